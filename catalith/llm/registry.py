@@ -6,12 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm import bpe, chat, lines, packing, urls
+from catalith.llm import bpe, chat, lines, packing, search, urls
 from catalith.session import read_table
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search.nearest(points, F.col("vec_id") % 100 == 0, k=10)
+
+
+def op2_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = read_table(spark, sf_dir, "embeddings")
+    fine = points.where(search.usable(F.col("embedding"), zero=True))
+    whole = F.transform("embedding", lambda x: F.floor(F.lit(256) * x.cast("double")).cast("long"))
+    return search.largest_products(fine.select("vec_id", whole.alias("vector")), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.drop_repeated_lines(docs, min_chars=40, min_docs=5).select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
@@ -68,6 +80,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_nearest": op1_nearest,
+        "op2_products": op2_products,
         "op3_line_dedup": op3_line_dedup,
         "op4_url_filter": op4_url_filter,
         "op6_packing": op6_packing,
@@ -76,6 +90,16 @@ def queries() -> dict:
     }
 
 
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, p.vec_id, list_inner_product(q.v, p.v)::BIGINT AS score
+           FROM v q JOIN v p ON q.vec_id <> p.vec_id AND len(q.v) = len(p.v) WHERE q.vec_id % 50 = 0),
+     r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
 _KEY = "translate(regexp_replace(l, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP3_SQL = f"""
@@ -108,4 +132,4 @@ SELECT conv_id, n_turns, sha256(t) AS turns_sha256, length(l) AS loss_chars, sha
 
 
 def oracle_sql() -> dict:
-    return {"op3_line_dedup": OP3_SQL, "op10_chat": OP10_SQL}
+    return {"op2_products": OP2_SQL, "op3_line_dedup": OP3_SQL, "op10_chat": OP10_SQL}
