@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm import bpe, chat, lines, packing, search, urls
+from catalith.llm import bpe, chat, lines, neardup, packing, search, urls
 from catalith.session import read_table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -54,6 +54,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs, width=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     coded = bpe.encode(docs, public_tokenizers.path(WORD_BPE), decode=True)
@@ -85,6 +90,7 @@ def queries() -> dict:
         "op3_line_dedup": op3_line_dedup,
         "op4_url_filter": op4_url_filter,
         "op6_packing": op6_packing,
+        "op7_minhash": op7_minhash,
         "op9_bpe": op9_bpe,
         "op10_chat": op10_chat,
     }
@@ -114,6 +120,20 @@ FROM s GROUP BY doc_id
 """
 
 
+OP7_SQL = """
+WITH RECURSIVE t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+     w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM t),
+     s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                               ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+     e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+     p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+           GROUP BY ALL HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+     r AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, p.v FROM r JOIN p ON r.v = p.u),
+     c AS (SELECT u, min(v) AS component_id FROM r GROUP BY u)
+SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN c ON s.doc_id = c.u
+"""
+
+
 def _escaped_length(c: str) -> str:
     """Characters of a text once escaped: one more for each backslash and control string."""
     found = lambda s: f"(length({c}) - length(replace({c}, '{s}', ''))) // {len(s)}"
@@ -132,4 +152,4 @@ SELECT conv_id, n_turns, sha256(t) AS turns_sha256, length(l) AS loss_chars, sha
 
 
 def oracle_sql() -> dict:
-    return {"op2_products": OP2_SQL, "op3_line_dedup": OP3_SQL, "op10_chat": OP10_SQL}
+    return {"op2_products": OP2_SQL, "op3_line_dedup": OP3_SQL, "op7_minhash": OP7_SQL, "op10_chat": OP10_SQL}
