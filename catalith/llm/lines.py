@@ -135,11 +135,12 @@ def drop_repeated_lines(
         runs.add(keys.where(F.col("batch") == b).drop("batch"), key)
     repeated, repeated_at = written(runs.repeated(min_docs))
     runs.close()
-    lost = keys.join(repeated, KEY).where(F.col(key) < F.col("top")).select(F.col(key).alias("__id"), F.struct(*KEY).alias("h"))
+    # merge joins at every size: none of the sides has a proven bound, and hot keys are split by AQE
+    lost = keys.join(repeated.hint("merge"), KEY).where(F.col(key) < F.col("top")).select(F.col(key).alias("__id"), F.struct(*KEY).alias("h"))
     lost, _ = written(lost.groupBy("__id").agg(F.collect_set("h").alias("__lost")))
     drop_path(spark, keys_at)
     drop_path(spark, repeated_at)
-    joined = docs.join(lost, F.col(key) == F.col("__id"), "left").withColumn("__lines", lines_of(F.col(text)))
+    joined = docs.join(lost.hint("merge"), F.col(key) == F.col("__id"), "left").withColumn("__lines", lines_of(F.col(text)))
     stays = F.filter("__lines", lambda x: ~((F.char_length(line_key(x)) >= min_chars) & F.array_contains("__lost", key_hash(line_key(x)))))
     kept = F.when(F.col("__lost").isNull(), F.col("__lines")).otherwise(stays)
     joined = joined.withColumn("__kept", kept)
