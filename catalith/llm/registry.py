@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm import bpe, chat, lines, neardup, packing, search, urls
+from catalith.llm import bpe, chat, lines, lm, neardup, packing, search, urls
 from catalith.session import read_table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -48,6 +48,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "rate", "bound")
 
 
+def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return lm.ppm_scores(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     pieces = packing.pack(docs, public_tokenizers.path(WORD_BPE), capacity=2048, end_id=1)
@@ -89,6 +94,7 @@ def queries() -> dict:
         "op2_products": op2_products,
         "op3_line_dedup": op3_line_dedup,
         "op4_url_filter": op4_url_filter,
+        "op5_ppm": op5_ppm,
         "op6_packing": op6_packing,
         "op7_minhash": op7_minhash,
         "op9_bpe": op9_bpe,
