@@ -52,29 +52,26 @@ def jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame, list[str]]:
     """Jump tables (tree, node, up) for 1, 2, 4, ... replies, then (tree, node, root, depth, total) and the scratch paths."""
     spark = nodes.sparkSession
     parents = nodes.select("tree", F.col("node").alias("up"))
-    first = nodes.select("tree", "node", F.col("parent").alias("up"), "score").join(parents.withColumn("known", F.lit(True)), ["tree", "up"], "left")
+    first = nodes.select("tree", "node", F.col("parent").alias("up"), "score").join(parents.withColumn("known", F.lit(True)).hint("merge"), ["tree", "up"], "left")
     first = first.select("tree", "node", F.when(F.col("known"), F.col("up")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"))
     state, at = written(first)
     tables, paths = [], [at]
+    done = state.where(F.col("up").isNull())
     limit = max(1, state.count()).bit_length() + 1
     while True:
         live = state.where(F.col("up").isNotNull())
         if live.isEmpty() or len(tables) > limit:
             break
         tables.append(live.select("tree", "node", "up"))
-        above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
-        joined = state.join(above, ["tree", "up"], "left")
-        state, at = written(
-            joined.select(
-                "tree",
-                "node",
-                F.col("up2").alias("up"),
-                (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"),
-                (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
-            )
+        reached = live.unionByName(done)  # where the pointers of this round end; only pointers still on their way are joined
+        above = reached.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
+        joined = live.join(above.hint("merge"), ["tree", "up"]).select(
+            "tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth")
         )
+        state, at = written(joined)
         paths.append(at)
-    return tables, state.where(F.col("up").isNull()).select("tree", "node", "depth", "total"), paths
+        done = done.unionByName(state.where(F.col("up").isNull()))
+    return tables, done.select("tree", "node", "depth", "total"), paths
 
 
 def paths_of(nodes: DataFrame, keep: int | None = 1) -> DataFrame:

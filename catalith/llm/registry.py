@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm import bpe, chat, lines, lm, neardup, packing, search, urls
+from catalith.llm import bpe, chat, lines, lm, neardup, packing, search, toxicity, urls
 from catalith.session import read_table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -64,6 +64,13 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs, width=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return toxicity.toxicity(docs, labels, held_out).select("doc_id", "held_out", "score", "predicted", "decision")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     coded = bpe.encode(docs, public_tokenizers.path(WORD_BPE), decode=True)
@@ -97,6 +104,7 @@ def queries() -> dict:
         "op5_ppm": op5_ppm,
         "op6_packing": op6_packing,
         "op7_minhash": op7_minhash,
+        "op8_toxicity": op8_toxicity,
         "op9_bpe": op9_bpe,
         "op10_chat": op10_chat,
     }

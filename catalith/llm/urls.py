@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalith.llm.lines import LOWER, UPPER
+from catalith.session import written
 
 #: Suffixes of two labels; all others are the last label. A parameter of host_levels().
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
@@ -114,8 +115,9 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[UrlRule], threshold
     pick = lambda df, k: df.select(k, F.struct("rate", "bound").alias(f"of_{k}"))
     mine = mine.join(pick(hosts, "host"), "host", "left").join(pick(domains, "domain"), "domain", "left").join(pick(suffixes, "suffix"), "suffix", "left")
     fallback = F.struct(F.lit(overall).alias("rate"), F.lit(overall).alias("bound"))
-    mine = mine.select(F.col("host").alias("__host"), F.coalesce("of_host", "of_domain", "of_suffix", fallback).alias("__rep"))
-    out = pages.join(mine, F.col("host") == F.col("__host"), "left").withColumn("__rule", fitting_rule(F.col("host"), F.col("path"), rules))
+    mine, _ = written(mine.select(F.col("host").alias("__host"), F.coalesce("of_host", "of_domain", "of_suffix", fallback).alias("__rep")))
+    # written, so that both sides of the join are plain shuffles and AQE can split a hot host
+    out = pages.join(mine.hint("merge"), F.col("host") == F.col("__host"), "left").withColumn("__rule", fitting_rule(F.col("host"), F.col("path"), rules))
     method = F.when(F.col("__rep.bound") > threshold, "block").otherwise("allow")
     out = out.withColumn("rule", F.col("__rule.rule")).withColumn("verdict", F.coalesce("__rule.verdict", method))
     return out.withColumn("rate", F.col("__rep.rate")).withColumn("bound", F.col("__rep.bound")).drop("__host", "__rep", "__rule")
