@@ -7,10 +7,11 @@ estimated from the training counts (secondary estimation): for contexts of one o
 rate at which a symbol left out would have been new. There is one trie for each class of the training documents (language),
 and a text's probability is the mixture over classes, so the class of a scored text is not needed.
 
-How it runs: documents are dealt into chunks of bounded size. A chunk yields its distinct words and byte windows with
-counts; both are summed over all chunks (word counts, trie), the trie is evaluated for each distinct window level by
-level with joins on the suffix, and every chunk gets back just the words and windows it holds. So no table of the corpus is
-broadcast, and a chunk's memory is bounded by its text. A window of up to 6 bytes is one long: its length and its bytes.
+How it runs: documents are dealt into chunks of bounded size. A chunk yields its distinct words with counts, which are summed
+over all chunks. Distinct words are dealt into parts; a part yields its byte windows with counts, summed to the trie. The
+trie is evaluated for each distinct window, level by level with joins on the suffix; every part gets back its windows and
+scores its words, and every chunk gets back its words and scores its documents. So no table of the corpus is broadcast, and
+memory is bounded by a chunk's text. A window of up to 6 bytes is one long: its length and its bytes.
 
 Defined results: null text is empty: one token, the end. Rows that repeat a doc_id are scored each. Rows with a null doc_id
 count as training rows. Without training rows all symbols are equally likely.
@@ -18,6 +19,7 @@ count as training rows. Without training rows all symbols are equally likely.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 
 from catalith.session import drop_path, scratch, ship, written
 
-CHUNK_BYTES, LEAST_CHUNKS = 24_000_000, 24
+CHUNK_BYTES, LEAST_CHUNKS = 32_000_000, 24
+PART_WORDS, LEAST_PARTS = 500_000, 12
 MAX_CLASSES = 8
 LENGTH_BITS = 56
 END = (2 << LENGTH_BITS) | 0x200A  # white space, end of text
@@ -58,46 +61,87 @@ def summed(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return codes[first], np.add.reduceat(weights, first, axis=0) if len(codes) else weights
 
 
-def _counted(docs: DataFrame, classes: int, order: int) -> DataFrame:
-    """chunk, word or code, and counts n0, n1, ... by class, from docs (chunk, cls, text); held-out documents have no class and count 0."""
+def _counted(docs: DataFrame, classes: int) -> DataFrame:
+    """chunk, word and counts n0, n1, ... by class, from docs (chunk, cls, text); held-out documents have no class and count 0."""
     names = [f"n{i}" for i in range(classes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from catalith.llm.lm import END, summed, windows
-
-        def result(chunk: int, seen: list[Counter], ends: list[int]) -> Iterator[pa.RecordBatch]:
+        def result(chunk: int, seen: list[dict]) -> Iterator[pa.RecordBatch]:
             words = list(set().union(*seen))
-            n = np.array([[c[w] for c in seen[:classes]] for w in words], np.int64).reshape(-1, classes)
-            codes, sums = [np.array([END])], [np.array([ends])]
-            for a in range(0, len(words), 100_000):
-                code, word = windows(words[a : a + 100_000], order)
-                for part, out in zip(summed(code, n[a + word]), (codes, sums), strict=True):
-                    out.append(part)
-            code, total = summed(np.concatenate(codes), np.concatenate(sums))
+            n = [np.fromiter(map(c.get, words, itertools.repeat(0)), np.int64, len(words)) for c in seen[:classes]]
             for a in range(0, len(words), 50_000):
                 w = words[a : a + 50_000]
-                cols = [pa.array(np.full(len(w), chunk, np.int32)), pa.array(w, pa.binary()), pa.nulls(len(w), pa.int64()), *(pa.array(x) for x in n[a : a + 50_000].T.copy())]
-                yield pa.RecordBatch.from_arrays(cols, names=["chunk", "word", "code", *names])
-            for a in range(0, len(code), 50_000):
-                c = code[a : a + 50_000]
-                cols = [pa.array(np.full(len(c), chunk, np.int32)), pa.nulls(len(c), pa.binary()), pa.array(c), *(pa.array(x) for x in total[a : a + 50_000].T.copy())]
-                yield pa.RecordBatch.from_arrays(cols, names=["chunk", "word", "code", *names])
-
-        now, seen, ends = None, [], []
+                cols = [pa.array(np.full(len(w), chunk, np.int32)), pa.array(w, pa.binary()), *(pa.array(x[a : a + 50_000]) for x in n)]
+                yield pa.RecordBatch.from_arrays(cols, names=["chunk", "word", *names])
+
+        now, seen = None, []
         for batch in batches:
             for chunk, cls, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if chunk != now:
                     if now is not None:
-                        yield from result(now, seen, ends)
-                    now, seen, ends = chunk, [Counter() for _ in range(classes + 1)], [0] * classes
-                words = text.as_buffer().to_pybytes().lower().split()
-                seen[classes if cls is None else cls].update(words)
-                if cls is not None:
-                    ends[cls] += 1
+                        yield from result(now, seen)
+                    now, seen = chunk, [Counter() for _ in range(classes + 1)]
+                seen[classes if cls is None else cls].update(text.as_buffer().to_pybytes().lower().split())
+        if now is not None:
+            yield from result(now, seen)
+
+    return docs.sortWithinPartitions("chunk").mapInArrow(run, f"chunk int, word binary, {', '.join(f'{n} long' for n in names)}")
+
+
+def _windows(words: DataFrame, classes: int, order: int) -> DataFrame:
+    """part, code, n0, n1, ...: the distinct windows of each part's words, weighted by the words' counts."""
+    names = [f"n{i}" for i in range(classes)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from catalith.llm.lm import summed, windows
+
+        def result(part: int, codes: list, sums: list) -> pa.RecordBatch:
+            code, total = summed(np.concatenate(codes), np.concatenate(sums))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(code), part, np.int32)), pa.array(code), *(pa.array(x) for x in total.T.copy())], names=["part", "code", *names])
+
+        now, codes, sums = None, [], []
+        for batch in batches:
+            parts = np.asarray(batch.column(0))
+            n = np.stack([np.asarray(batch.column(2 + i)) for i in range(classes)], axis=1) if len(batch) else None
+            for part in np.unique(parts).tolist():
+                at = np.flatnonzero(parts == part)
+                if part != now:
+                    if now is not None:
+                        yield result(now, codes, sums)
+                    now, codes, sums = part, [], []
+                code, word = windows(batch.column(1).take(pa.array(at)).to_pylist(), order)
+                code, total = summed(code, n[at][word])
+                codes.append(code)
+                sums.append(total)
+                if len(codes) >= 16:
+                    code, total = summed(np.concatenate(codes), np.concatenate(sums))
+                    codes, sums = [code], [total]
         if now is not None:
-            yield from result(now, seen, ends)
+            yield result(now, codes, sums)
+
+    return words.select("part", "word", *names).repartition("part").sortWithinPartitions("part").mapInArrow(run, f"part int, code long, {', '.join(f'{n} long' for n in names)}")
+
 
-    return docs.sortWithinPartitions("chunk").mapInArrow(run, f"chunk int, word binary, code long, {', '.join(f'{n} long' for n in names)}")
+def _word_scores(words: DataFrame, levels: DataFrame, classes: int, order: int) -> DataFrame:
+    """word, c, p0, p1, ...: count in training and log10 probability by class, from words (part, word, c) and levels (part, code, h0, ...)."""
+
+    def score(w: pa.Table, g: pa.Table) -> pa.Table:
+        from catalith.llm.lm import windows
+
+        words = w["word"].to_pylist()
+        code = np.asarray(g["code"])
+        by = np.argsort(code)
+        code, h = code[by], [np.asarray(g[f"h{i}"])[by] for i in range(classes)]
+        p = [np.zeros(len(words)) for _ in h]
+        for a in range(0, len(words), 50_000):
+            x, at = windows(words[a : a + 50_000], order)
+            found, starts = np.searchsorted(code, x), np.flatnonzero(np.diff(at, prepend=-1))
+            for out, y in zip(p, h, strict=True):
+                out[a : a + 50_000] = np.add.reduceat(y[found], starts)
+        return pa.table({"word": w["word"], "c": w["c"]} | {f"p{i}": pa.array(x.astype(np.float32)) for i, x in enumerate(p)})
+
+    schema = f"word binary, c long, {', '.join(f'p{i} float' for i in range(classes))}"
+    return words.select("part", "word", "c").groupBy("part").cogroup(levels.groupBy("part")).applyInArrow(score, schema)
 
 
 LEN = f"shiftright(code, {LENGTH_BITS})"
@@ -214,50 +258,42 @@ def ppm_scores(docs: DataFrame, held_out: Column, order: int = 5, cls: str = "la
     for i, name in enumerate(top):
         number = F.when(F.col("cls") == name, i).otherwise(number)
     docs = docs.withColumn("cls", F.when(~F.col("held_out"), number).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-    counted, _ = written(_counted(docs.select("chunk", "cls", "text").repartition("chunk"), classes, order))
-    every = sum((F.col(f"n{i}") for i in range(1, classes)), F.col("n0"))
-    words, _ = written(counted.where("word is not null").groupBy("word").agg(F.sum(every).alias("c")))
-    sums = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    names = [f"n{i}" for i in range(classes)]
+    counted, counted_at = written(_counted(docs.select("chunk", "cls", "text").repartition("chunk"), classes))
+    every = sum((F.col(n) for n in names[1:]), F.col(names[0]))
+    words, words_at = written(counted.groupBy("word").agg(*[F.sum(n).alias(n) for n in names]).withColumn("c", every))
+    sums = words.agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     ends = sum(n_train)
     total, distinct = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
-    codes = counted.where("code is not null")
-    full, escapes, old = _trie(codes.groupBy("code").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(classes)]), classes)
-    levels, _ = _levels(full, escapes, classes, order)
-    for p in old:
+    parts = max(LEAST_PARTS, math.ceil(sums["k"] / PART_WORDS))
+    words = words.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int"))
+    codes, codes_at = written(_windows(words, classes, order))
+    end_row = spark.createDataFrame([(END, *n_train)], f"code long, {', '.join(f'{n} long' for n in names)}")
+    full, escapes, old = _trie(codes.select("code", *names).unionByName(end_row).groupBy("code").agg(*[F.sum(n).alias(n) for n in names]), classes)
+    levels, levels_at = _levels(full, escapes, classes, order)
+    end = np.array([levels.where(F.col("code") == END).first()[f"h{i}"] for i in range(classes)])
+    scored, _ = written(_word_scores(words, codes.select("part", "code").join(levels.hint("merge"), "code"), classes, order))
+    for p in (*old, codes_at, levels_at, words_at):
         drop_path(spark, p)
-    h = F.array(*[f"h{i}" for i in range(classes)])
-    local = counted.where("word is not null").select("chunk", "word").join(words.hint("merge"), "word").select("chunk", "word", "c", F.lit(None).cast("long").alias("code"), F.lit(None).cast("array<double>").alias("h"))
-    local = local.unionByName(codes.select("chunk", "code").join(levels.hint("merge"), "code").select("chunk", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"), "code", h.alias("h")))
+    local, _ = written(counted.select("chunk", "word").join(scored.hint("merge"), "word"))
+    drop_path(spark, counted_at)
     prior = np.log10(np.maximum(np.array(n_train, float), 1e-9) / max(1, ends))
     base_end = math.log10((ends + 1) / (total + distinct + 1))
 
     def score(d: pa.Table, t: pa.Table) -> pa.Table:
-        from catalith.llm.lm import END, windows
-
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         rows = []
         if len(d):
-            is_word = pa.compute.is_valid(t["word"])
-            w, g = t.filter(is_word), t.filter(pa.compute.invert(is_word))
-            words, c = w["word"].to_pylist(), np.asarray(w["c"])
-            code = np.asarray(g["code"])
-            h = np.asarray(g["h"].combine_chunks().flatten()).reshape(-1, classes)
-            by = np.argsort(code)
-            code, h = code[by], h[by]
-            ppm = np.zeros((len(words), classes))
-            for a in range(0, len(words), 100_000):
-                x, at = windows(words[a : a + 100_000], order)
-                starts = np.flatnonzero(np.diff(at, prepend=-1))
-                ppm[a : a + 100_000] = np.add.reduceat(h[np.searchsorted(code, x)], starts, axis=0)
-            end = h[np.searchsorted(code, END)]
-            base = np.log10((c + 1) / (total + distinct + 1))
-            slot = {x: i for i, x in enumerate(words)}.__getitem__
+            c = np.asarray(t["c"])
+            known, base = c > 0, np.log10((c + 1) / (total + distinct + 1))
+            ppm = np.stack([np.asarray(t[f"p{i}"]) for i in range(classes)], axis=1).astype(np.float64)
+            slot = dict(zip(t["word"].to_pylist(), range(len(t)), strict=True)).__getitem__
             for ident, held, text in zip(d["doc_id"].to_pylist(), d["held_out"].to_pylist(), d["text"].combine_chunks(), strict=True):
                 said = text.as_buffer().to_pybytes().lower().split()
                 i = np.fromiter(map(slot, said), np.int64, len(said))
                 each = prior + end + ppm[i].sum(axis=0)
                 top = each.max()
-                rows.append((ident, held, len(i) + 1, int((c[i] > 0).sum()) + (ends > 0), total, float(base[i].sum() + base_end), float(top + np.log10((10.0 ** (each - top)).sum()))))
+                rows.append((ident, held, len(i) + 1, int(known[i].sum()) + (ends > 0), total, float(base[i].sum() + base_end), float(top + np.log10((10.0 ** (each - top)).sum()))))
         kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64()]
         cols = list(zip(*rows, strict=True)) or [()] * len(names)
         return pa.table({n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=True)})
