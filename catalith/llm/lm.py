@@ -277,7 +277,7 @@ def ppm_scores(docs: DataFrame, held_out: Column, order: int = 5, cls: str = "la
         drop_path(spark, p)
     local, _ = written(counted.select("chunk", "word").join(scored.hint("merge"), "word"))
     drop_path(spark, counted_at)
-    prior = np.log10(np.maximum(np.array(n_train, float), 1e-9) / max(1, ends))
+    prior = np.log10(np.maximum(np.array(n_train, float), 1e-9) / ends) if ends else np.zeros(classes)
     base_end = math.log10((ends + 1) / (total + distinct + 1))
 
     def score(d: pa.Table, t: pa.Table) -> pa.Table:
