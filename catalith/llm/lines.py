@@ -13,6 +13,7 @@ doc_id keep all their lines and are not counted. Columns besides text stay as th
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,7 @@ from catalith.session import drop_path, scratch, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["h1", "h2"]
+LEAST_BUCKETS, BUCKET_KEYS = 8, 1_000_000
 
 
 def line_key(line: Column) -> Column:
@@ -57,7 +59,9 @@ class LineRuns:
     def _save(self, df: DataFrame) -> tuple[str, str]:
         table, path = f"{self.name}_{self.made}", scratch(self.spark)
         self.made += 1
-        (df.repartition(self.buckets, *KEY).write.format("parquet").option("path", path).bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(table))
+        # a task for each bucket, so that a run is one sorted file a bucket
+        dealt = df.repartition(self.buckets, F.pmod(F.hash(*KEY), F.lit(self.buckets)))
+        (dealt.write.format("parquet").option("path", path).bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(table))
         return table, path
 
     def _drop(self, run: tuple[str, str]) -> None:
@@ -129,8 +133,8 @@ def drop_repeated_lines(
     for c in ("n_lines", "n_dropped"):
         if c in docs.columns:
             docs = docs.drop(c)
-    runs = LineRuns(spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys, keys_at = written(line_hashes(docs, min_chars, text, key).withColumn("batch", F.pmod(F.xxhash64(key), F.lit(batches))))
+    runs = LineRuns(spark, buckets or max(LEAST_BUCKETS, math.ceil(keys.count() / BUCKET_KEYS)))
     for b in range(batches):
         runs.add(keys.where(F.col("batch") == b).drop("batch"), key)
     repeated, repeated_at = written(runs.repeated(min_docs))
