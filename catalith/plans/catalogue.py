@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from catalith.functions import parsing, scoring, trigram
-from catalith.operators import documents, hamming, lookups, prices, resolve, search
+from catalith.operators import documents, hamming, lookups, prices, resolve, search, zones
 from catalith.session import read_table
 from catalith.sources import store
-from catalith.sources.catalogue import faces_of, sorted_faces
+from catalith.sources.catalogue import faces_of, missing_images, sorted_faces
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -525,3 +525,159 @@ def stream_store_on_change(spark, sf_dir):
     from catalith.sources.store import VersionedTable
 
     return VersionedTable(spark, f"{base}/points").read().select("printing_id", day("observed_on"), F.col("eur").cast("double").alias("eur"))
+
+
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as OCR regions of one scan for each user; odd users' scans are cropped."""
+    e = read_table(spark, sf_dir, "events")
+    x, y = (F.col("event_id") * 37 % 100) / 100.0, (F.col("event_id") * 53 % 97) / 100.0
+    return e.select(
+        F.col("user_id").alias("scan_id"),
+        F.col("event_id").alias("seq"),
+        F.when(F.col("event_id") % 5 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" "), F.col("event_type"))).alias("text"),
+        x.alias("x_min"),
+        y.alias("y_min"),
+        (x + (F.col("event_id") % 7) / 64.0).alias("x_max"),
+        (y + (F.col("event_id") % 3) / 64.0).alias("y_max"),
+        ((F.col("event_id") * 41 % 360) - 180).cast("double").alias("rotation"),
+        ((F.col("event_id") % 11) / 10.0).alias("confidence"),
+        F.lit(1).alias("image_width"),
+        F.lit(1).alias("image_height"),
+        (F.col("user_id") % 2 == 1).alias("is_cropped"),
+    )
+
+
+_REGIONS = """r0 AS (SELECT user_id AS scan_id, event_id AS seq, CASE WHEN event_id % 5 = 0 THEN ' ' ELSE ' ' || event_type END AS text, (event_id * 37 % 100) / 100.0::DOUBLE AS x0, (event_id * 53 % 97) / 100.0::DOUBLE AS y0,
+  (event_id % 7) / 64.0::DOUBLE AS w, (event_id % 3) / 64.0::DOUBLE AS h, ((event_id * 41 % 360) - 180)::DOUBLE AS rotation, (event_id % 11) / 10.0::DOUBLE AS confidence, user_id % 2 = 1 AS cropped FROM events),
+r1 AS (SELECT *, (x0 + (x0 + w)) / 2.0::DOUBLE AS rx, (y0 + (y0 + h)) / 2.0::DOUBLE AS ry, greatest(0, (x0 + w) - x0) * greatest(0, (y0 + h) - y0) AS area FROM r0)"""
+
+
+@query(f"""WITH {_REGIONS},
+e AS (SELECT *, min(rx) OVER s AS ax, max(rx) OVER s AS bx, min(ry) OVER s AS ay, max(ry) OVER s AS dy FROM r1 WINDOW s AS (PARTITION BY scan_id)),
+p AS (SELECT *, CASE WHEN bx - ax >= 0.2 THEN 0.05 + (rx - ax) / (bx - ax) * (0.95::DOUBLE - 0.05::DOUBLE) ELSE rx END AS x, CASE WHEN dy - ay >= 0.2 THEN 0.07 + (ry - ay) / (dy - ay) * (0.94::DOUBLE - 0.07::DOUBLE) ELSE ry END AS y FROM e),
+a AS (SELECT *, y >= 0.55 AND y < 0.85 AS lower, y < 0.35 AS upper FROM p),
+b AS (SELECT *, lower AND row_number() OVER (PARTITION BY scan_id, lower ORDER BY area DESC, seq) <= 3 AS rules, upper AND row_number() OVER (PARTITION BY scan_id, upper ORDER BY area DESC, seq) <= 1 AS name,
+  y >= 0.85 AND x >= 0.65 AND length(trim(text)) BETWEEN 1 AND 8 AS pm FROM a),
+c AS (SELECT *, y >= 0.45 AND y < 0.60 AND NOT rules AS tm, pm AND row_number() OVER (PARTITION BY scan_id, pm ORDER BY x DESC, seq) <= 1 AS power FROM b),
+d AS (SELECT *, tm AND row_number() OVER (PARTITION BY scan_id, tm ORDER BY area DESC, seq) <= 1 AS type, y >= 0.85 AND x <= 0.45 AND NOT power AS bm FROM c),
+f AS (SELECT *, bm AND row_number() OVER (PARTITION BY scan_id, bm ORDER BY x, seq) <= 2 AS bottom FROM d),
+z AS (SELECT *, trim(text) AS t, CASE WHEN cropped THEN CASE WHEN x BETWEEN 0.05 AND 0.78 AND y BETWEEN 0.04 AND 0.10 THEN 'name' WHEN x BETWEEN 0.05 AND 0.78 AND y BETWEEN 0.555 AND 0.605 THEN 'type_line'
+  WHEN x BETWEEN 0.78 AND 0.96 AND y BETWEEN 0.885 AND 0.925 THEN 'power_toughness' WHEN x BETWEEN 0.03 AND 0.40 AND y BETWEEN 0.91 AND 0.97 THEN 'bottom' WHEN y BETWEEN 0.62 AND 0.88 THEN 'rules_text' ELSE 'unknown' END
+  WHEN name THEN 'name' WHEN type THEN 'type_line' WHEN rules THEN 'rules_text' WHEN power THEN 'power_toughness' WHEN bottom THEN 'bottom' ELSE 'unknown' END AS zone FROM f)
+SELECT scan_id, {", ".join(f"coalesce(string_agg(t, ' ' ORDER BY ry, rx, seq) FILTER (WHERE zone = '{n}' AND t <> ''), '') AS {n}, round(coalesce(avg(confidence) FILTER (WHERE zone = '{n}' AND t <> ''), 0), 6)::DOUBLE AS {n}_conf" for n in zones.ZONES)} FROM z GROUP BY scan_id""")
+def zones_from_regions(spark, sf_dir):
+    return zones.zones_of(regions(spark, sf_dir)).select("scan_id", *[c for z in zones.ZONES for c in (F.col(z), r6(f"{z}_conf").alias(f"{z}_conf"))])
+
+
+@query(f"""WITH {_REGIONS}, s AS (SELECT scan_id, rotation, sum(area) AS w FROM r1 WHERE confidence >= 0.4 AND area > 0 GROUP BY ALL),
+m AS (SELECT *, sum(w) OVER (PARTITION BY scan_id ORDER BY rotation ROWS UNBOUNDED PRECEDING) AS run, sum(w) OVER (PARTITION BY scan_id) / 2 AS half FROM s)
+SELECT scan_id, min(rotation) AS median_rotation, abs(min(rotation)) > 135 AS upside_down FROM m WHERE run >= half GROUP BY scan_id""")
+def rotation_median(spark, sf_dir):
+    return resolve.upside_down(regions(spark, sf_dir))
+
+
+@query("""SELECT event_id, CASE WHEN d THEN oc >= fc AND o >= f ELSE o > f OR (m AND oc > fc AND o >= 0.4) END AS accepted FROM (SELECT event_id, event_id % 2 = 0 AS d, (event_id % 10) / 10.0 AS f, (event_id * 7 % 10) / 10.0 AS o, event_id % 6 AS fc, event_id * 5 % 6 AS oc, event_id % 3 = 0 AS m FROM events)""")
+def retry_rule(spark, sf_dir):
+    i = F.col("event_id")
+    accepted = resolve.accept_retry(i % 2 == 0, (i % 10) / 10.0, (i * 7 % 10) / 10.0, i % 6, i * 5 % 6, i % 3 == 0)
+    return read_table(spark, sf_dir, "events").select("event_id", accepted.alias("accepted"))
+
+
+@query("""SELECT DISTINCT p_size AS upright, p_partkey % 20 AS flipped, p_size >= 12 AND p_size - p_partkey % 20 >= 2 AS flip FROM part""")
+def orientation_rule(spark, sf_dir):
+    p = read_table(spark, sf_dir, "part").select(F.col("p_size").alias("upright"), (F.col("p_partkey") % 20).alias("flipped")).distinct()
+    return p.withColumn("flip", scoring.should_flip(F.col("upright"), F.col("flipped")))
+
+
+@query(f"""WITH h AS {_hash_sql(1, 62)}, q AS (SELECT q.id AS scan_id, i.id AS symbol_set, bit_count(xor(q.hash, i.hash)) AS d FROM h q JOIN h i ON q.id >= 40 AND i.id < 40 AND bit_count(xor(q.hash, i.hash)) <= 24)
+SELECT scan_id, symbol_set, round(1 - d / 64, 6)::DOUBLE AS symbol_score FROM q QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY d, symbol_set) = 1""")
+def symbol_detect(spark, sf_dir):
+    h = hashes(spark, sf_dir, 1, 62)
+    scans = h.where("id >= 40").select(F.col("id").alias("scan_id"), F.col("hash").alias("symbol_hash"))
+    icons = h.where("id < 40").select(F.col("id").alias("code"), F.col("hash").alias("icon_phash"))
+    return resolve.symbol_matches(scans, icons, 24).withColumn("symbol_score", r6("symbol_score"))
+
+
+@query(f"""WITH {PRINTINGS_SQL}, w(set_type, weight) AS (VALUES ('type1', 1.0), ('type2', 0.85), ('type3', 0.1)), k AS (SELECT id, CASE WHEN id % 11 = 0 THEN 'gone' ELSE set_code END AS set_code FROM pr)
+SELECT id, coalesce(weight, 0.5)::DOUBLE AS weight FROM k LEFT JOIN st ON set_code = code LEFT JOIN w ON st.set_type = w.set_type""")
+def set_weight_chain(spark, sf_dir):
+    weights = spark.createDataFrame([("type1", 1.0), ("type2", 0.85), ("type3", 0.1)], "set_type string, weight double")
+    rows = printings(spark, sf_dir).select("id", F.when(F.col("id") % 11 == 0, "gone").otherwise(F.col("set_code")).alias("set_code"))
+    return lookups.with_set_weights(rows, sets(spark, sf_dir), weights).select("id", "weight")
+
+
+@query("""WITH c AS (SELECT user_id, min_by(value, event_id)::INTEGER AS top FROM events GROUP BY user_id) SELECT user_id, CASE WHEN p_partkey IS NOT NULL THEN top END AS printing, p_name FROM c LEFT JOIN part ON p_partkey = top""")
+def top_candidate_join(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.round("value").cast("long").alias("printing_id")))).alias("candidates"))
+    part = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("printing_id"), "p_name")
+    rows = lookups.top_candidate(e, part)
+    return rows.select("user_id", F.when(F.col("p_name").isNotNull(), F.col("printing_id")).cast("int").alias("printing"), "p_name")
+
+
+@query("""WITH t(n, d, x, v) AS (VALUES (0, '2024-02-29', '1,234.50', 'a'), (1, '2024-13-01', 'x', ' '), (2, '2024-1-1', NULL, NULL), (3, NULL, ' 7 ', '  b '), (4, '2023-02-29', '1.555', ''))
+SELECT n, try_strptime(CASE WHEN length(d) = 10 THEN d END, '%Y-%m-%d')::DATE::VARCHAR AS day, round(try_cast(replace(trim(x), ',', '') AS DECIMAL(12, 3)), 2)::DOUBLE AS price, coalesce(nullif(trim(v), ''), 'en') AS language, least(50, greatest(1, n * 20 - 5))::INTEGER AS copies FROM t""")
+def lenient_values(spark, sf_dir):
+    rows = [(0, "2024-02-29", "1,234.50", "a"), (1, "2024-13-01", "x", " "), (2, "2024-1-1", None, None), (3, None, " 7 ", "  b "), (4, "2023-02-29", "1.555", "")]
+    t = spark.createDataFrame(rows, "n int, d string, x string, v string")
+    copies = F.greatest(F.lit(1), F.least(F.lit(50), F.col("n") * 20 - 5)).alias("copies")
+    return t.select("n", parsing.strict_date(F.col("d")).cast("string").alias("day"), parsing.lenient_decimal(F.col("x")).cast("double").alias("price"), documents.with_default(F.col("v"), "en").alias("language"), copies)
+
+
+@query("""SELECT event_id, 'scans/' || regexp_replace(lower(event_type || '@Mail.' || user_id), '[^\p{L}\p{N}]', '_', 'g') || strftime(ts, '/%Y/%m/') || event_id || CASE event_id % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.webp' ELSE '.jpg' END AS key FROM events""")
+def object_keys(spark, sf_dir):
+    media = F.when(F.col("event_id") % 3 == 0, "image/png").when(F.col("event_id") % 3 == 1, "image/webp").otherwise("image/jpeg")
+    owner = F.concat(F.col("event_type"), F.lit("@Mail."), F.col("user_id").cast("string"))
+    return read_table(spark, sf_dir, "events").select("event_id", parsing.scan_object_key(owner, F.col("ts"), F.col("event_id").cast("string"), media).alias("key"))
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_brand = 'Brand#1' OR p_size > 40")
+def backfill_worklist(spark, sf_dir):
+    p = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_brand") != "Brand#1", F.col("p_brand")).alias("image_object_key"), F.when(F.col("p_size") <= 40, F.col("p_size")).alias("art_phash"))
+    return missing_images(p).select("id")
+
+
+@query("SELECT DISTINCT scan_id, id FROM (SELECT user_id AS scan_id, event_id % 50 AS id FROM events WHERE event_type = 'view' UNION ALL SELECT user_id, event_id % 70 FROM events WHERE event_type = 'click')")
+def pool_union(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events")
+    part = lambda kind, n: e.where(F.col("event_type") == kind).select(F.col("user_id").alias("scan_id"), (F.col("event_id") % n).alias("id"))
+    return part("view", 50).unionByName(part("click", 70)).distinct()
+
+
+@query(f"""WITH {_CARDS} SELECT id, count(*) FILTER (WHERE right(instance_id, 1) IN ('1', '2')) AS taken, coalesce(string_agg(language, '' ORDER BY instance_id, printing_id, is_foil, language) FILTER (WHERE right(instance_id, 1) IN ('1', '2')), '') AS languages FROM c GROUP BY id""")
+def selection_commit(spark, sf_dir):
+    c = collections(spark, sf_dir)
+    ids = F.transform(F.array(F.lit("-1"), F.lit("-2")), lambda s: F.concat(F.col("id").cast("string"), s))
+    taken = documents.committed(F.col("cards"), ids, F.lit("2026-01-01").cast("timestamp"))
+    return c.select("id", F.size(taken).cast("long").alias("taken"), F.array_join(F.transform(taken, lambda x: x["language"]), "").alias("languages"))
+
+
+@query("SELECT user_id, bool_or(event_type IN ('error')) AS admin FROM events GROUP BY user_id")
+def admin_flag(spark, sf_dir):
+    groups = read_table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("g"))
+    return groups.select("user_id", documents.is_admin(F.col("g"), ("error",)).alias("admin"))
+
+
+@query(f"""WITH {_CARDS} SELECT id, any_value(name) AS name, count(*)::INTEGER AS card_count FROM c WHERE owner_id = '3' AND NOT is_removed GROUP BY id""")
+def collection_overview(spark, sf_dir):
+    return documents.overview(collections(spark, sf_dir), "3")
+
+
+@query(None)
+def resolve_scans(spark, sf_dir):
+    """Scans made from misread part names through candidates, zone scores, fusion, priors and classes; no SQL counterpart, held by fixtures in the tests."""
+    part = read_table(spark, sf_dir, "part")
+    cards = part.select(
+        F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.lower("p_brand").alias("set_code"), F.col("p_partkey").cast("string").alias("collector_number"),
+        F.element_at(F.array(*map(F.lit, ["common", "uncommon", "rare"])), (F.col("p_size") % 3 + 1)).alias("rarity"), F.lit("en").alias("lang"), F.col("p_type").alias("type_line_full"),
+        F.lit(None).cast("string").alias("rules_text"), F.lit(None).cast("string").alias("oracle_text"), F.lit("2").alias("power"), F.lit("3").alias("toughness"),
+    )
+    some = part.where("p_partkey % 50 = 0")
+    line = F.concat(F.element_at(F.array(*map(F.lit, ["C", "U", "R"])), (F.col("p_size") % 3 + 1)), F.lit(" "), F.lpad(F.col("p_partkey").cast("string"), 4, "0"))
+    scans = some.select(
+        F.col("p_partkey").cast("string").alias("scan_id"), F.concat(F.lit("</s>"), F.regexp_replace("p_name", "l", "1")).alias("name"), F.col("p_type").alias("type_line"), F.lit(None).cast("string").alias("rules_text"), F.lit("2/3").alias("power_toughness"), line.alias("bottom"),
+        *[F.lit(0.7).alias(f"{z}_conf") for z in zones.ZONES], F.lit(None).cast("string").alias("symbol_set"),
+    )
+    rows = resolve.zone_scores(scans, cards)
+    none = spark.createDataFrame([], "scan_id string, id string, distance int")
+    done = resolve.ranked(resolve.fused(rows, none), part.select(F.col("p_partkey").cast("string").alias("id"), F.lit(0.95).alias("weight")))
+    return resolve.classified(done, scans).withColumn("combined", r6("combined"))
