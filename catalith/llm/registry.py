@@ -45,7 +45,8 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.regexp_extract(urls.path_of(F.col("url")), r"/(\d{1,18})(?:\.html)?/?$", 1).try_cast("long")
     shown = pages.select(urls.host_of(F.col("url")).alias("host"), number.alias("doc_id")).where(F.col("doc_id").isNotNull())
     outcomes = shown.join(labels, "doc_id").select("host", "bad")
-    return urls.judge(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "rate", "bound")
+    judged = urls.judge(pages, outcomes, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("rate", 6).alias("rate"), F.round("bound", 6).alias("bound"))
 
 
 def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +135,43 @@ FROM s GROUP BY doc_id
 """
 
 
+def _levels_sql(source: str) -> str:
+    two = ", ".join(f"'{x}'" for x in urls.TWO_LABEL_SUFFIXES)
+    return f"""(SELECT *, CASE WHEN wide IN ({two}) THEN wide ELSE a[-1] END AS suffix, CASE WHEN len(a) <= k THEN host ELSE array_to_string(a[len(a) - k + 1:], '.') END AS domain
+      FROM (SELECT *, CASE WHEN wide IN ({two}) THEN 3 ELSE 2 END AS k FROM (SELECT *, string_split(host, '.') AS a, CASE WHEN len(string_split(host, '.')) >= 2 THEN array_to_string(string_split(host, '.')[-2:], '.') END AS wide FROM {source})))"""
+
+
+def _posterior_sql(counts: str, name: str) -> str:
+    """CTEs that give the table counts (good, bad, m) its strength, rate and bound."""
+    return f"""{name}s AS (SELECT count(*) AS k, sum(n * (bad / n - m) ** 2) AS ss, sum(m * (1 - m)) AS v, sum(n * m * (1 - m)) AS nv FROM (SELECT *, good + bad AS n FROM {counts}) WHERE n > 0),
+     {name}r AS (SELECT CASE WHEN k = 0 OR nv = 0 OR nv IS NULL THEN 1000.0 WHEN nv - v > 0 AND (ss - v) / (nv - v) > 0 THEN least(1000.0, greatest(0.5, (nv - v) / (ss - v) - 1)) ELSE 1000.0 END::DOUBLE AS s FROM {name}s),
+     {name} AS (SELECT *, rate - 1.64 * sqrt(rate * (1 - rate) / (s + good + bad + 1)) AS bound FROM (SELECT c.*, s, (m * s + bad) / (m * s + bad + (1 - m) * s + good) AS rate FROM {counts} c, {name}r))"""
+
+
+_HOST_SQL = "coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+OP4_SQL = f"""
+WITH p AS (SELECT page_id, {_HOST_SQL} AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+     o AS (SELECT host, (1 - quality)::DOUBLE AS bad FROM (SELECT host, try_cast(regexp_extract(path, '/(\\d{{1,18}})(?:\\.html)?/?$', 1) AS BIGINT) AS doc_id FROM p) n JOIN labels USING (doc_id)),
+     h AS (SELECT host, sum(1 - bad) AS good, sum(bad) AS bad FROM o GROUP BY host),
+     hl AS {_levels_sql("h")},
+     t AS (SELECT CASE WHEN sum(bad) > 0 THEN sum(bad) / (sum(good) + sum(bad)) ELSE 0 END AS overall FROM h),
+     sc AS (SELECT suffix, sum(good) AS good, sum(bad) AS bad, any_value(overall) AS m FROM hl, t GROUP BY suffix),
+     {_posterior_sql("sc", "sf")},
+     dc AS (SELECT domain, any_value(suffix) AS suffix, sum(hl.good) AS good, sum(hl.bad) AS bad, any_value(sf.rate) AS m FROM hl JOIN sf USING (suffix) GROUP BY domain),
+     {_posterior_sql("dc", "df")},
+     hc AS (SELECT host, hl.good, hl.bad, df.rate AS m FROM hl JOIN df USING (domain)),
+     {_posterior_sql("hc", "hf")},
+     mine AS {_levels_sql("(SELECT DISTINCT host FROM p)")},
+     rep AS (SELECT mine.host, coalesce(hf.rate, df.rate, sf.rate, overall) AS rate, coalesce(hf.bound, df.bound, sf.bound, overall) AS bound
+             FROM mine CROSS JOIN t LEFT JOIN hf ON mine.host = hf.host LEFT JOIN df ON mine.domain = df.domain LEFT JOIN sf ON mine.suffix = sf.suffix),
+     r AS (SELECT p.*, rate, bound, CASE WHEN (p.host = 'www.example.com' OR p.host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+             WHEN (p.host = 'example.com' OR p.host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+             WHEN (p.host = 'net' OR p.host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/' WHEN (p.host = 'net' OR p.host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+             WHEN (p.host = 'com' OR p.host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM p JOIN rep ON p.host = rep.host)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+       round(rate, 6)::DOUBLE AS rate, round(bound, 6)::DOUBLE AS bound FROM r
+"""
+
 OP7_SQL = """
 WITH RECURSIVE t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
      w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM t),
@@ -166,4 +204,4 @@ SELECT conv_id, n_turns, sha256(t) AS turns_sha256, length(l) AS loss_chars, sha
 
 
 def oracle_sql() -> dict:
-    return {"op2_products": OP2_SQL, "op3_line_dedup": OP3_SQL, "op7_minhash": OP7_SQL, "op10_chat": OP10_SQL}
+    return {"op2_products": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_minhash": OP7_SQL, "op10_chat": OP10_SQL}
