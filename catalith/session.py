@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -46,6 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         at = tempfile.mkdtemp(prefix="catalith-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(at)
     return at
 
