@@ -54,7 +54,7 @@ def test_collector_line(spark, line, number, rarity, set_code, lang):
     assert (got["number"], got["rarity"], got["set_code"], got["lang"]) == (number, rarity, set_code, lang)
 
 
-@pytest.mark.parametrize("line", ["", "CALDER MOORE", "TM & © 2023 Wizards of the Coast", None])
+@pytest.mark.parametrize("line", ["", "CALDER MOORE", "TM & © 2023 The Publisher", None])
 def test_no_collector_line(spark, line):
     assert value(spark, parsing.parse_collector_line(F.col("t")), t=line) is None
 
