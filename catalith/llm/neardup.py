@@ -9,8 +9,8 @@ largest component are compared with the other blocks. In a tile the packed bits
 chance collisions, and what passes is confirmed on the full shingle sets; pairs already connected are skipped, so a tile
 returns a spanning forest and never all pairs. Components come from large-star and small-star rounds.
 
-A link of the required similarity is missed if no band agrees or the estimate is 4 standard deviations low: with 18 bands
-of 4 about 1 in 14,000 at similarity 0.8 and 1 in 1,000,000 at 0.85 for the first.
+A link of the required similarity is missed if no band agrees (18 bands of 4: 7.6e-5 at similarity 0.8, 1.7e-6 at 0.85) or
+the estimate is 4 standard deviations low (3e-5), and then only if no other link connects the two.
 
 Defined results: null text and texts without words have an empty set and are linked with nothing. Texts of fewer words than
 a shingle are one shingle. Rows that repeat a doc_id are one node of the graph, each with its own n_shingles. Rows with a
@@ -267,13 +267,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     reps = some.join(classes, same, "left_semi").select(F.col("doc_id").alias("id"), "bands", "bits")
     rows = reps.select("id", F.explode("bands").alias("band"))
     full = rows.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("size")).where("least <> most").select("band", "size")
-    members, members_at = written(rows.join(full, "band"))
+    full, full_at = written(full)  # aggregates are written before they are joined: AQE then can split a hot band
+    members, members_at = written(rows.join(full.hint("merge"), "band"))
     weight = members.groupBy("id").agg(F.sum("size").alias("weight"))
     centre = members.join(weight, "id").groupBy("band").agg(F.max(F.struct("weight", -F.col("id"))).alias("best")).select("band", (-F.col("best.col2")).alias("centre"))
-    group = members.join(centre, "band").select("centre", "id").distinct()
+    centre, centre_at = written(centre)
+    group = members.join(centre.hint("merge"), "band").select("centre", "id").distinct()
     sizes = F.count(F.lit(1)).cast("double")
     group, group_at = written(group)
-    drop_path(spark, members_at)
+    for p in (full_at, members_at, centre_at):
+        drop_path(spark, p)
     blocks = group.groupBy("centre").agg(F.ceil(sizes / BLOCK).cast("int").alias("blocks"))
     wanted, wanted_at = written(group.select("id").distinct())
     # texts and bits of the members only
