@@ -664,16 +664,15 @@ def collection_overview(spark, sf_dir):
 
 @query(None)
 def resolve_scans(spark, sf_dir):
-    """Scans made from misread part names through candidates, zone scores, fusion, priors and classes; no SQL counterpart, held by fixtures in the tests."""
+    """Scans of all parts, made from misread names, through candidates, zone scores, fusion, priors and classes; no SQL counterpart, held by fixtures in the tests."""
     part = read_table(spark, sf_dir, "part")
     cards = part.select(
         F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.lower("p_brand").alias("set_code"), F.col("p_partkey").cast("string").alias("collector_number"),
         F.element_at(F.array(*map(F.lit, ["common", "uncommon", "rare"])), (F.col("p_size") % 3 + 1)).alias("rarity"), F.lit("en").alias("lang"), F.col("p_type").alias("type_line_full"),
         F.lit(None).cast("string").alias("rules_text"), F.lit(None).cast("string").alias("oracle_text"), F.lit("2").alias("power"), F.lit("3").alias("toughness"),
     )
-    some = part.where("p_partkey % 50 = 0")
     line = F.concat(F.element_at(F.array(*map(F.lit, ["C", "U", "R"])), (F.col("p_size") % 3 + 1)), F.lit(" "), F.lpad(F.col("p_partkey").cast("string"), 4, "0"))
-    scans = some.select(
+    scans = part.select(
         F.col("p_partkey").cast("string").alias("scan_id"), F.concat(F.lit("</s>"), F.regexp_replace("p_name", "l", "1")).alias("name"), F.col("p_type").alias("type_line"), F.lit(None).cast("string").alias("rules_text"), F.lit("2/3").alias("power_toughness"), line.alias("bottom"),
         *[F.lit(0.7).alias(f"{z}_conf") for z in zones.ZONES], F.lit(None).cast("string").alias("symbol_set"),
     )

@@ -157,3 +157,19 @@ def test_ocr_regions(spark):
     body = '{"width": 10, "regions": [{"text": "a", "box": {"x_min": 0, "y_min": 0, "x_max": 1, "y_max": 1}, "quad": [1, 2]}, {"text": "no box"}]}'
     got = catalogue.read_regions(spark.createDataFrame([("s", body)], "scan_id string, body string")).collect()
     assert len(got) == 1 and got[0]["image_height"] == 0 and got[0]["quad"] is None
+
+
+def test_resolve_scans_resolves_every_part(spark, tmp_path):
+    from catalith.functions.trigram import best_extent
+    from catalith.plans.catalogue import resolve_scans
+
+    names = ["small ring", "green bolt", "small bolt"]
+    rows = [(i, names[i % 3], "Brand#1", "STANDARD", i % 7) for i in range(1, 121)]
+    spark.createDataFrame(rows, "p_partkey int, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r["scan_id"]: r["id"] for r in resolve_scans(spark, str(tmp_path)).collect()}
+    assert got == {str(i): str(i) for i in range(1, 121)}
+    scans = spark.createDataFrame([(str(r[0]), "</s>" + r[1].replace("l", "1")) for r in rows], "scan_id string, name string")
+    cards = spark.createDataFrame([(str(r[0]), r[1]) for r in rows], "id string, name string")
+    found = {(r["scan_id"], r["id"]) for r in resolve.name_candidates(scans, cards).collect()}
+    best = lambda line: sorted((-s, str(r[0])) for r in rows if (s := best_extent(r[1], line)) > resolve.NAME_CUTOFF)[: resolve.NAME_TOP]
+    assert found == {(str(r[0]), i) for r in rows for _, i in best("</s>" + r[1].replace("l", "1"))}
