@@ -1,17 +1,19 @@
 """Operator 5: language-model scores by prediction by partial matching (PPM) over bytes.
 
-The trie holds byte contexts of order 0 to `order` (5) within a token, from the white space in front of it; a token's last
-symbol is the white space behind it, and a text ends with its own symbol. A symbol unseen in a context costs an escape and
-is looked for in the next shorter context, where the symbols of the longer one are excluded. Escape probabilities are
-estimated from the training counts (secondary estimation): for contexts of one order, total and number of symbols, the
-rate at which a symbol left out would have been new. There is one trie for each class of the training documents (language),
-and a text's probability is the mixture over classes, so the class of a scored text is not needed.
-
-How it runs: documents are dealt into chunks of bounded size. A chunk yields its distinct words with counts, which are summed
-over all chunks. Distinct words are dealt into parts; a part yields its byte windows with counts, summed to the trie. The
-trie is evaluated for each distinct window, level by level with joins on the suffix; every part gets back its windows and
-scores its words, and every chunk gets back its words and scores its documents. So no table of the corpus is broadcast, and
-memory is bounded by a chunk's text. A window of up to 6 bytes is one long: its length and its bytes.
+The trie holds byte contexts of order 0 to `order` (5) of the running, ASCII lower-cased text: contexts reach back over white
+space and earlier words, down to a blank that stands in front of the text; white space is a symbol as it is written, and a
+text ends with its own symbol. (Without `running`, contexts begin at the white space in front of a word, which is read as one
+blank.) A symbol unseen in a context costs an escape and is looked for in the next shorter context, where the symbols of the
+longer one are excluded. Escape probabilities are estimated from the training counts (secondary estimation): for contexts of
+one order, total and number of symbols, the rate at which a symbol left out would have been new. There is one trie for each
+class of the training documents (language), and a text's probability is the mixture over classes, so the class of a scored
+text is not needed. The base is a unigram model of the words.
+
+How it runs: documents are dealt into chunks of bounded size. A chunk yields its distinct words and its distinct byte windows
+with counts, which are summed over all chunks; the windows make the trie. The trie is evaluated for each distinct window,
+level by level with joins on the suffix; every chunk gets back its words and windows and scores its documents. So no table
+of the corpus is broadcast, and memory is bounded by a chunk's text. A window of up to 7 bytes is one long: its length and
+its bytes.
 
 Defined results: null text is empty: one token, the end. Rows that repeat a doc_id are scored each. Rows with a null doc_id
 count as training rows. Without training rows all symbols are equally likely.
@@ -26,31 +28,56 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalith.session import drop_path, scratch, ship, written
 
 CHUNK_BYTES, LEAST_CHUNKS = 32_000_000, 24
-PART_WORDS, LEAST_PARTS = 500_000, 12
+BLOCK_BYTES = 500_000
 MAX_CLASSES = 8
 LENGTH_BITS = 56
-END = (2 << LENGTH_BITS) | 0x200A  # white space, end of text
-
-
-def windows(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The longest window (context and symbol) at each position of each word, and the word's number."""
-    data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
-    n = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    word = np.repeat(np.arange(len(words)), n)
-    at = np.arange(1, len(data))
-    into = at - np.repeat(np.cumsum(n) - n, n)  # symbols since the white space in front
-    length = np.minimum(into, order) + 1
-    code = length << LENGTH_BITS
-    for j in range(order + 1):
-        some = np.flatnonzero(length > j)
-        code[some] |= data[at[some] - j].astype(np.int64) << (8 * j)
-    return code, word
+END = b"\xff"  # no byte of UTF-8
+
+
+def stream(text: bytes, running: bool) -> bytes:
+    """The symbols of a lower-case text behind a first blank, which is context only; without running, words in single blanks and a line feed as the end."""
+    return b" " + text + END if running else b" " + b"".join(w + b" " for w in text.split()) + b"\n"
+
+
+def windows(streams: list[bytes], order: int, running: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The longest window (context and symbol) of each symbol of each stream, and the number of symbols of each stream."""
+    data = np.frombuffer(b"".join(streams), np.uint8).astype(np.int64)
+    n = np.fromiter(map(len, streams), np.int64, len(streams))
+    first = np.cumsum(n) - n
+    at = np.arange(len(data))
+    if running:
+        begin = np.repeat(first, n)
+    else:
+        begin = np.maximum.accumulate(np.where(data == 32, at, 0))
+        begin[1:] = begin[:-1].copy()
+    length = np.minimum(at - begin, order) + 1
+    code, padded = data.copy(), np.concatenate([np.zeros(order, np.int64), data])
+    for j in range(1, order + 1):
+        code |= padded[order - j : len(padded) - j] << (8 * j)
+    code &= (np.int64(1) << (8 * length)) - 1
+    code |= length << LENGTH_BITS
+    symbol = np.ones(len(data), bool)
+    symbol[first] = False
+    return code[symbol], n - 1
+
+
+def blocks(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about BLOCK_BYTES each."""
+    start = size = 0
+    for i, n in enumerate(sizes):
+        size += n
+        if size >= BLOCK_BYTES:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def summed(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,87 +88,68 @@ def summed(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return codes[first], np.add.reduceat(weights, first, axis=0) if len(codes) else weights
 
 
-def _counted(docs: DataFrame, classes: int) -> DataFrame:
-    """chunk, word and counts n0, n1, ... by class, from docs (chunk, cls, text); held-out documents have no class and count 0."""
+def _counted(docs: DataFrame, classes: int, order: int, running: bool) -> DataFrame:
+    """chunk, word or code (the other is null) and counts n0, n1, ... by class, from docs (chunk, cls, text); held-out documents have no class and count 0."""
     names = [f"n{i}" for i in range(classes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def result(chunk: int, seen: list[dict]) -> Iterator[pa.RecordBatch]:
-            words = list(set().union(*seen))
-            n = [np.fromiter(map(c.get, words, itertools.repeat(0)), np.int64, len(words)) for c in seen[:classes]]
-            for a in range(0, len(words), 50_000):
-                w = words[a : a + 50_000]
-                cols = [pa.array(np.full(len(w), chunk, np.int32)), pa.array(w, pa.binary()), *(pa.array(x[a : a + 50_000]) for x in n)]
-                yield pa.RecordBatch.from_arrays(cols, names=["chunk", "word", *names])
-
-        now, seen = None, []
+        from catalith.llm.lm import BLOCK_BYTES, stream, summed, windows
+
+        class Chunk:
+            def __init__(self, number: int):
+                self.number, self.words = number, [Counter() for _ in range(classes + 1)]
+                self.texts, self.size, self.sums = [[] for _ in self.words], [0] * (classes + 1), []
+
+            def add(self, cls: int, text: bytes) -> None:
+                self.words[cls].update(text.split())
+                self.texts[cls].append(stream(text, running))
+                self.size[cls] += len(text)
+                if self.size[cls] >= BLOCK_BYTES:
+                    self.flush(cls)
+
+            def flush(self, cls: int) -> None:
+                code, n = np.unique(windows(self.texts[cls], order, running)[0], return_counts=True)
+                weights = np.zeros((len(code), classes), np.int64)
+                if cls < classes:
+                    weights[:, cls] = n
+                self.sums.append((code, weights))
+                self.texts[cls], self.size[cls] = [], 0
+                if len(self.sums) >= 8:
+                    self.sums = [self.sum()]
+
+            def sum(self) -> tuple[np.ndarray, np.ndarray]:
+                return summed(np.concatenate([c for c, _ in self.sums]), np.concatenate([w for _, w in self.sums]))
+
+            def rows(self, words: list | None, codes: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
+                k = len(n)
+                word = pa.nulls(k, pa.binary()) if words is None else pa.array(words, pa.binary())
+                code = pa.nulls(k, pa.int64()) if codes is None else pa.array(codes)
+                return pa.RecordBatch.from_arrays([pa.array(np.full(k, self.number, np.int32)), word, code, *(pa.array(x) for x in n.T.copy())], names=["chunk", "word", "code", *names])
+
+            def result(self) -> Iterator[pa.RecordBatch]:
+                for cls, texts in enumerate(self.texts):
+                    if texts:
+                        self.flush(cls)
+                codes, sums = self.sum()
+                for a in range(0, len(codes), 50_000):
+                    yield self.rows(None, codes[a : a + 50_000], sums[a : a + 50_000])
+                words = list(set().union(*self.words))
+                for a in range(0, len(words), 50_000):
+                    w = words[a : a + 50_000]
+                    yield self.rows(w, None, np.stack([np.fromiter(map(c.get, w, itertools.repeat(0)), np.int64, len(w)) for c in self.words[:classes]], axis=1))
+
+        now = None
         for batch in batches:
             for chunk, cls, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if chunk != now:
+                if now is None or chunk != now.number:
                     if now is not None:
-                        yield from result(now, seen)
-                    now, seen = chunk, [Counter() for _ in range(classes + 1)]
-                seen[classes if cls is None else cls].update(text.as_buffer().to_pybytes().lower().split())
+                        yield from now.result()
+                    now = Chunk(chunk)
+                now.add(classes if cls is None else cls, text.as_buffer().to_pybytes().lower())
         if now is not None:
-            yield from result(now, seen)
-
-    return docs.sortWithinPartitions("chunk").mapInArrow(run, f"chunk int, word binary, {', '.join(f'{n} long' for n in names)}")
-
-
-def _windows(words: DataFrame, classes: int, order: int) -> DataFrame:
-    """part, code, n0, n1, ...: the distinct windows of each part's words, weighted by the words' counts."""
-    names = [f"n{i}" for i in range(classes)]
+            yield from now.result()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from catalith.llm.lm import summed, windows
-
-        def result(part: int, codes: list, sums: list) -> pa.RecordBatch:
-            code, total = summed(np.concatenate(codes), np.concatenate(sums))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(code), part, np.int32)), pa.array(code), *(pa.array(x) for x in total.T.copy())], names=["part", "code", *names])
-
-        now, codes, sums = None, [], []
-        for batch in batches:
-            parts = np.asarray(batch.column(0))
-            n = np.stack([np.asarray(batch.column(2 + i)) for i in range(classes)], axis=1) if len(batch) else None
-            for part in np.unique(parts).tolist():
-                at = np.flatnonzero(parts == part)
-                if part != now:
-                    if now is not None:
-                        yield result(now, codes, sums)
-                    now, codes, sums = part, [], []
-                code, word = windows(batch.column(1).take(pa.array(at)).to_pylist(), order)
-                code, total = summed(code, n[at][word])
-                codes.append(code)
-                sums.append(total)
-                if len(codes) >= 16:
-                    code, total = summed(np.concatenate(codes), np.concatenate(sums))
-                    codes, sums = [code], [total]
-        if now is not None:
-            yield result(now, codes, sums)
-
-    return words.select("part", "word", *names).repartition("part").sortWithinPartitions("part").mapInArrow(run, f"part int, code long, {', '.join(f'{n} long' for n in names)}")
-
-
-def _word_scores(words: DataFrame, levels: DataFrame, classes: int, order: int) -> DataFrame:
-    """word, c, p0, p1, ...: count in training and log10 probability by class, from words (part, word, c) and levels (part, code, h0, ...)."""
-
-    def score(w: pa.Table, g: pa.Table) -> pa.Table:
-        from catalith.llm.lm import windows
-
-        words = w["word"].to_pylist()
-        code = np.asarray(g["code"])
-        by = np.argsort(code)
-        code, h = code[by], [np.asarray(g[f"h{i}"])[by] for i in range(classes)]
-        p = [np.zeros(len(words)) for _ in h]
-        for a in range(0, len(words), 50_000):
-            x, at = windows(words[a : a + 50_000], order)
-            found, starts = np.searchsorted(code, x), np.flatnonzero(np.diff(at, prepend=-1))
-            for out, y in zip(p, h, strict=True):
-                out[a : a + 50_000] = np.add.reduceat(y[found], starts)
-        return pa.table({"word": w["word"], "c": w["c"]} | {f"p{i}": pa.array(x.astype(np.float32)) for i, x in enumerate(p)})
-
-    schema = f"word binary, c long, {', '.join(f'p{i} float' for i in range(classes))}"
-    return words.select("part", "word", "c").groupBy("part").cogroup(levels.groupBy("part")).applyInArrow(score, schema)
+    return docs.sortWithinPartitions("chunk").mapInArrow(run, f"chunk int, word binary, code long, {', '.join(f'{n} long' for n in names)}")
 
 
 LEN = f"shiftright(code, {LENGTH_BITS})"
@@ -231,9 +239,10 @@ def _levels(full: DataFrame, escapes: DataFrame, classes: int, order: int) -> tu
     return spark.read.parquet(path).select("code", *[f"h{i}" for i in names]), path
 
 
-def ppm_scores(docs: DataFrame, held_out: Column, order: int = 5, cls: str = "lang", text: str = "text", key: str = "doc_id") -> DataFrame:
+def ppm_scores(docs: DataFrame, held_out: Column, order: int = 5, cls: str = "lang", text: str = "text", key: str = "doc_id", running: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs.
 
+    running: contexts reach over the whole text before a symbol; else they begin at the white space before a word.
     cls: a column whose values part the training rows; the most frequent MAX_CLASSES - 1 values have a trie each and all
     others share one."""
     if not 1 <= order <= 6:
@@ -259,24 +268,21 @@ def ppm_scores(docs: DataFrame, held_out: Column, order: int = 5, cls: str = "la
         number = F.when(F.col("cls") == name, i).otherwise(number)
     docs = docs.withColumn("cls", F.when(~F.col("held_out"), number).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     names = [f"n{i}" for i in range(classes)]
-    counted, counted_at = written(_counted(docs.select("chunk", "cls", "text").repartition("chunk"), classes))
+    counted, counted_at = written(_counted(docs.select("chunk", "cls", "text").repartition("chunk"), classes, order, running))
     every = sum((F.col(n) for n in names[1:]), F.col(names[0]))
-    words, words_at = written(counted.groupBy("word").agg(*[F.sum(n).alias(n) for n in names]).withColumn("c", every))
-    sums = words.agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    words, words_at = written(counted.where("word is not null").groupBy("word").agg(F.sum(every).alias("c")))
+    sums = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     ends = sum(n_train)
     total, distinct = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
-    parts = max(LEAST_PARTS, math.ceil(sums["k"] / PART_WORDS))
-    words = words.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int"))
-    codes, codes_at = written(_windows(words, classes, order))
-    end_row = spark.createDataFrame([(END, *n_train)], f"code long, {', '.join(f'{n} long' for n in names)}")
-    full, escapes, old = _trie(codes.select("code", *names).unionByName(end_row).groupBy("code").agg(*[F.sum(n).alias(n) for n in names]), classes)
+    codes = counted.where("code is not null")
+    full, escapes, old = _trie(codes.groupBy("code").agg(*[F.sum(n).alias(n) for n in names]), classes)
     levels, levels_at = _levels(full, escapes, classes, order)
-    end = np.array([levels.where(F.col("code") == END).first()[f"h{i}"] for i in range(classes)])
-    scored, _ = written(_word_scores(words, codes.select("part", "code").join(levels.hint("merge"), "code"), classes, order))
-    for p in (*old, codes_at, levels_at, words_at):
+    values = [F.col(f"h{i}").cast("float").alias(f"h{i}") for i in range(classes)]
+    none = lambda kinds: [F.lit(None).cast(k).alias(n) for n, k in kinds.items()]
+    back = counted.where("word is not null").select("chunk", "word").join(words.hint("merge"), "word").select("chunk", "word", "c", *none({"code": "long"} | {f"h{i}": "float" for i in range(classes)}))
+    local, _ = written(back.unionByName(codes.select("chunk", "code").join(levels.select("code", *values).hint("merge"), "code").select("chunk", *none({"word": "binary", "c": "long"}), "code", *[f"h{i}" for i in range(classes)])))
+    for p in (*old, levels_at, words_at, counted_at):
         drop_path(spark, p)
-    local, _ = written(counted.select("chunk", "word").join(scored.hint("merge"), "word"))
-    drop_path(spark, counted_at)
     prior = np.log10(np.maximum(np.array(n_train, float), 1e-9) / ends) if ends else np.zeros(classes)
     base_end = math.log10((ends + 1) / (total + distinct + 1))
 
@@ -284,16 +290,27 @@ def ppm_scores(docs: DataFrame, held_out: Column, order: int = 5, cls: str = "la
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         rows = []
         if len(d):
-            c = np.asarray(t["c"])
+            from catalith.llm.lm import blocks, stream, windows
+
+            of_word = t["word"].is_valid()
+            w, g = t.select(["word", "c"]).filter(of_word), t.select(["code", *(f"h{i}" for i in range(classes))]).filter(pa.compute.invert(of_word))
+            c = np.asarray(w["c"])
             known, base = c > 0, np.log10((c + 1) / (total + distinct + 1))
-            ppm = np.stack([np.asarray(t[f"p{i}"]) for i in range(classes)], axis=1).astype(np.float64)
-            slot = dict(zip(t["word"].to_pylist(), range(len(t)), strict=True)).__getitem__
-            for ident, held, text in zip(d["doc_id"].to_pylist(), d["held_out"].to_pylist(), d["text"].combine_chunks(), strict=True):
-                said = text.as_buffer().to_pybytes().lower().split()
-                i = np.fromiter(map(slot, said), np.int64, len(said))
-                each = prior + end + ppm[i].sum(axis=0)
-                top = each.max()
-                rows.append((ident, held, len(i) + 1, int(known[i].sum()) + (ends > 0), total, float(base[i].sum() + base_end), float(top + np.log10((10.0 ** (each - top)).sum()))))
+            slot = dict(zip(w["word"].to_pylist(), range(len(w)), strict=True)).__getitem__
+            code = np.asarray(g["code"])
+            by = np.argsort(code)
+            code, h = code[by], [np.asarray(g[f"h{i}"])[by].astype(np.float64) for i in range(classes)]
+            texts, ids, held = d["text"].combine_chunks(), d["doc_id"].to_pylist(), d["held_out"].to_pylist()
+            for a, b in blocks(pa.compute.binary_length(texts).to_pylist()):
+                said = [x.as_buffer().to_pybytes().lower() for x in texts[a:b]]
+                x, n = windows([stream(y, running) for y in said], order, running)
+                found, starts = np.searchsorted(code, x), np.cumsum(n) - n
+                ppm = np.stack([np.add.reduceat(y[found], starts) for y in h], axis=1)
+                for k, y in enumerate(said):
+                    i = np.fromiter(map(slot, y.split()), np.int64)
+                    each = prior + ppm[k]
+                    top = each.max()
+                    rows.append((ids[a + k], held[a + k], len(i) + 1, int(known[i].sum()) + (ends > 0), total, float(base[i].sum() + base_end), float(top + np.log10((10.0 ** (each - top)).sum()))))
         kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64()]
         cols = list(zip(*rows, strict=True)) or [()] * len(names)
         return pa.table({n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=True)})

@@ -51,7 +51,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return lm.ppm_scores(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+    return lm.ppm_scores(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, running=True)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,6 +126,19 @@ def test_ppm_is_a_distribution_over_next_symbols(spark):
     assert 0 < sum(10 ** (got[i] - end) for i, *_ in probe) <= 1.0001
 
 
+def test_ppm_contexts_cross_words(spark):
+    """The order of the words and the white space between them matter; windows reach back over the text as it runs."""
+    rows = [(i, "one two\nsix ten " * 5, "en") for i in range(20)]
+    probe = [(100, "one two\nsix ten", "en"), (101, "ten six two\none", "en"), (102, "one two six ten", "en")]
+    df = spark.createDataFrame(rows + probe, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["score"] for r in lm.ppm_scores(df, F.col("doc_id") >= 100, running=True).collect()}
+    assert got[100] > got[101] + 1 and got[100] > got[102] + 1
+    code, n = lm.windows([lm.stream(x, True) for x in (b"one two\nsix", b"")], 5, True)
+    texts = [b" one two\nsix\xff", b" \xff"]
+    want = [t[max(0, k - 5) : k + 1] for t in texts for k in range(1, len(t))]
+    assert code.tolist() == [len(w) << 56 | int.from_bytes(w, "big") for w in want] and n.tolist() == [12, 1]
+
+
 def toxic_corpus(seed, n=400):
     rng = random.Random(seed)
     syllables = ["ka", "lo", "mi", "ren", "tis", "vor", "an", "el"]
