@@ -1,10 +1,12 @@
 """Operator 8: toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
-The kernel of two units (words without their non-letters, or four and more single letters in a row read as one word) sums
+A unit is a run of letters of one sentence, whatever stands between them: a word without its non-letters, neighbouring words
+read as one while they have JOIN letters at most ('id iot', 'i di ot'), and overlapping windows of a longer word. The
+kernel of two units sums
 over common subsequences of 4 letters, each occurrence weighted by DECAY for every letter in its gaps, over spans of up to 8
 letters; it is divided by the lengths of both occurrence vectors. So inserted characters, gaps and endings only lower a
 match. As the kernel is a product of explicit occurrence vectors, a decision over all landmarks is one table of weights by
-subsequence, and a unit is scored by looking up its own subsequences.
+subsequence. A text's letters look up their subsequences once; running sums give the decision of every unit.
 
 Training: a bounded sample of labelled documents (SAMPLE of each class, by hash of the id). Units are ranked by how far they
 speak for toxic documents; the strongest and the most frequent clean ones are the landmarks. Each document gives the
@@ -35,9 +37,15 @@ from catalith.session import drop_path, ship, written
 
 LETTERS, SPAN, DECAY = 40, 8, 0.5
 SAMPLE, LANDMARKS, SENTENCE_UNITS = 4000, 256, 32
+JOIN = 16
+#: Letters of the overlapping windows in words of more than JOIN letters.
+WINDOWS = (5, 8, 12, JOIN)
+#: Characters scored at once.
+SLICE = 200_000
 #: Positions behind the first of a subsequence's other three letters, and the weight of its gaps.
 OFFSETS = [(a, b, c, DECAY ** (c - 3)) for a, b, c in itertools.combinations(range(1, SPAN), 3)]
 LOWEST = -3.0
+_WIDE_SPACE = [c for c in range(0x250, 0x3001) if chr(c).isspace()]
 _SENTENCE = re.compile(r"[.!?\n]+")
 
 
@@ -47,6 +55,7 @@ def letter_codes() -> np.ndarray:
 
 
 _CODES = letter_codes()
+_SPACES = np.array([chr(c).isspace() for c in range(0x250)])
 
 
 def occurrences(units: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -110,6 +119,89 @@ def units_of(words: list[str]) -> list[str]:
     return out
 
 
+def joined(words: list[str]) -> Iterator[str]:
+    """Runs of neighbouring words of one sentence (letters only) read as one, of 4 to JOIN letters."""
+    words = [w for w in words if w]
+    for i in range(len(words)):
+        run = words[i]
+        for w in words[i + 1 :]:
+            run += w
+            if len(run) > JOIN:
+                break
+            if len(run) >= 4:
+                yield run
+
+
+def sliding(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """The largest decision among the units of each text (LOWEST without any), and that unit's letters."""
+    best, units = np.full(len(texts), LOWEST), [""] * len(texts)
+    lower = [(t or "").lower() for t in texts]
+    points = np.frombuffer("\n".join([*lower, ""]).encode("utf-32-le"), np.uint32)
+    narrow = np.minimum(points, len(_CODES) - 1)
+    space = _SPACES[narrow]
+    code = _CODES[narrow]
+    wide = np.flatnonzero(points >= len(_CODES))
+    if len(wide):
+        space[wide] = np.isin(points[wide], _WIDE_SPACE)
+        code[wide] = np.where(space[wide], 0, 27 + points[wide] % 13)
+    # a sentence ends at a line feed and at a word's last character if that is one of .!?
+    mark = (points == 33) | (points == 46) | (points == 63)
+    ends = points == 10
+    ends[1:] |= mark[:-1] & space[1:]
+    text_of = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in lower])
+    letter = np.flatnonzero(code)
+    if len(letter) < 4:
+        return best, units
+    word_of = np.cumsum(space)[letter]  # letters of one word have as many spaces in front
+    sentence = np.cumsum(ends)[letter]
+    code = code[letter]
+    start = np.flatnonzero(np.concatenate([[True], word_of[1:] != word_of[:-1]]))
+    end = np.append(start[1:], len(letter))
+    sentence, doc = sentence[start], text_of[letter[start]]
+    sums = [np.zeros(len(code) + 1) for _ in range(SPAN)]
+    second = [code[: len(code) - a] * LETTERS + code[a:] for a in range(SPAN)]
+    for a, b, c, weight in OFFSETS:
+        n = len(code) - c
+        if n > 0:
+            sums[c][1 : n + 1] += table[second[a][:n] * (LETTERS * LETTERS) + second[c - b][b : b + n]] * np.float32(weight)
+    sums = [np.cumsum(x) for x in sums]
+    patterns = Counter(c for *_, c, _ in OFFSETS)
+
+    def decided(s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        total, square = np.zeros(len(s)), np.zeros(len(s))
+        for c, k in patterns.items():
+            total += sums[c][np.maximum(e - c, s)] - sums[c][s]
+            square += np.maximum(e - s - c, 0) * (k * DECAY ** (2 * (c - 3)))
+        return np.where(square > 0, total / np.sqrt(np.maximum(square, 1e-12)), LOWEST)
+
+    found = [(doc, start, end, decided(start, end))]
+    first, k = np.arange(len(start)), 1
+    while len(first := first[first + k < len(start)]):
+        s, e = start[first], end[first + k]
+        fits = (e - s <= JOIN) & (sentence[first] == sentence[first + k])
+        first, s, e = first[fits], s[fits], e[fits]
+        found.append((doc[first], s, e, decided(s, e)))
+        k += 1
+    long = np.flatnonzero(end - start > JOIN)
+    for window in WINDOWS if len(long) else ():
+        n = end[long] - start[long] - window + 1
+        s = np.repeat(start[long], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        found.append((np.repeat(doc[long], n), s, s + window, decided(s, s + window)))
+    at = np.full(len(texts), -1)
+    of, s, e, d = (np.concatenate(x) for x in zip(*found, strict=True))
+    by = np.argsort(of, kind="stable")
+    of, d = of[by], d[by]
+    begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    top = np.maximum.reduceat(d, begin)
+    best[of[begin]] = top
+    hit = np.flatnonzero(d == np.repeat(top, np.diff(np.append(begin, len(d)))))
+    at[of[hit][::-1]] = by[hit][::-1]
+    for i in of[begin].tolist():
+        if best[i] > LOWEST:
+            units[i] = "".join(map(chr, points[letter[s[at[i]] : e[at[i]]]].tolist()))
+    return best, units
+
+
 @dataclass
 class ToxicModel:
     """weights by subsequence (sparse), and the logistic function of the largest decision."""
@@ -167,14 +259,15 @@ def _witnesses(texts: DataFrame, evidence: dict[str, float]) -> DataFrame:
     """toxic, units: the units of each document's sentence with the strongest evidence, strongest first, SENTENCE_UNITS at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from catalith.llm.toxicity import _SENTENCE, SENTENCE_UNITS, units_of
+        from catalith.llm.toxicity import _SENTENCE, SENTENCE_UNITS, joined, units_of
 
         for batch in batches:
             rows = []
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 best, found = -1.0, []
                 for sentence in _SENTENCE.split((text or "").lower()):
-                    units = ["".join(filter(str.isalpha, u)) for u in units_of(sentence.split())]
+                    words = ["".join(filter(str.isalpha, w)) for w in sentence.split()]
+                    units = units_of(words) + [u for u in joined(words) if u in evidence]
                     top = max((evidence.get(u, 0.0) for u in units), default=-1.0)
                     if top > best:
                         best, found = top, units
@@ -189,15 +282,13 @@ def _worst(texts: DataFrame, model: ToxicModel) -> DataFrame:
     """The unit with the largest decision of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from catalith.llm.toxicity import decisions, units_of
+        from catalith.llm.bpe import slices
+        from catalith.llm.toxicity import SLICE, sliding
 
         table = model.table()
         for batch in batches:
-            found = []
-            for text in batch.column(0).to_pylist():
-                units = sorted({u for w in units_of((text or "").lower().split()) if len(u := "".join(filter(str.isalpha, w))) >= 4})
-                if units:
-                    found.append(units[int(np.argmax(decisions(units, table)))])
+            texts = batch.column(0).to_pylist()
+            found = [u for a, b in slices(texts, SLICE) for u in sliding(texts[a:b], table)[1] if u]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["unit"])
 
     return texts.select("text").mapInArrow(run, "unit string")
@@ -265,38 +356,17 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
 
 class Decided:
-    """Decisions of words, kept by a Python worker up to a bound."""
+    """Decisions of texts, some of them at a time."""
 
-    def __init__(self, model: ToxicModel, remember: int = 500_000):
-        self.table, self.remember = model.table(), remember
-        self.reset()
-
-    def reset(self) -> None:
-        from catalith.llm.bpe import Slots
-
-        self.slots, self.value = Slots(), np.zeros(0)
+    def __init__(self, model: ToxicModel):
+        self.table = model.table()
 
     def documents(self, texts: list[str | None]) -> np.ndarray:
         """The largest decision among the units of each text."""
-        if len(self.slots) > self.remember:
-            self.reset()
-        words = [(t or "").lower().split() for t in texts]
-        n = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter(map(self.slots.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(n.sum()))
-        if self.slots.new:
-            self.value = np.concatenate([self.value, decisions(self.slots.new, self.table)])
-            self.slots.new.clear()
-        out = np.full(len(texts), LOWEST)
-        some = np.flatnonzero(n)
-        if len(some):
-            starts = (np.cumsum(n) - n)[some]
-            out[some] = np.maximum.reduceat(self.value[at], starts)
-        for i in some.tolist():
-            if n[i] >= 4 and any(len(a) == len(b) == 1 for a, b in itertools.pairwise(words[i])):
-                runs = units_of(words[i])[len(words[i]) :]
-                if runs:
-                    out[i] = max(out[i], decisions(runs, self.table).max())
-        return out
+        from catalith.llm.bpe import slices
+
+        parts = [sliding(texts[a:b], self.table)[0] for a, b in slices(texts, SLICE)]
+        return np.concatenate(parts) if parts else np.zeros(0)
 
 
 def score(docs: DataFrame, model: ToxicModel, text: str = "text", key: str = "doc_id", carry: str | None = None) -> DataFrame:

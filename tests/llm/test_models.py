@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -168,6 +169,33 @@ def test_toxicity_held_out_and_disguised(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_toxicity_across_blanks_and_in_long_runs(spark):
+    rows, labels = toxic_corpus(1)
+    split = ["id iot", "mor on", "i di ot", "i d iot", "s c um b ag", "path et ic", "kalomi" * 5 + "idiot" + "rentis" * 5]
+    extra = [(5000 + i, f"ka lo. mi {x} vor ren") for i, x in enumerate(split)] + [(6000, "ka lo id. iot vor"), (6001, "kalomi" * 20)]
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(spark.createDataFrame(rows + extra, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(False)).collect()}
+    assert [got[5000 + i] for i in range(len(split))] == [1] * len(split)
+    assert got[6000] == got[6001] == 0
+    assert sum(got[i] == y for i, y in labels) / len(labels) > 0.98
+
+
+def test_sliding_units_equal_the_units_one_by_one():
+    rng = np.random.default_rng(3)
+    table = rng.normal(size=toxicity.LETTERS**4).astype(np.float32)
+    texts = [None, "", "abc", "a-bc d, ef. gh ij klm\nno pqrst! u", "x" * 5 + "abcdefghij" * 4, "äö ü\u2003ω ab - cd", "i d i o t"]
+    got, units = toxicity.sliding(texts, table)
+    for text, best, unit in zip(texts, got, units, strict=True):
+        found = []
+        for sentence in re.split(r"\n|(?<=[.!?])\s", (text or "").lower()):
+            words = ["".join(filter(str.isalpha, w)) for w in sentence.split()]
+            found += [w for w in words if w] + list(toxicity.joined(words))
+            found += [w[i : i + n] for w in words if len(w) > toxicity.JOIN for n in toxicity.WINDOWS for i in range(len(w) - n + 1)]
+        d = toxicity.decisions(found, table) if found else np.zeros(0)
+        assert best == pytest.approx(max(d, default=toxicity.LOWEST), rel=1e-5)
+        if len(d) and max(d) > toxicity.LOWEST:
+            assert toxicity.decisions([unit], table)[0] == pytest.approx(best, rel=1e-5)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "doc_id long, text string")
     for labels, want in (([], 0), ([(1, 1)], 1), ([(1, 0), (1, None)], 0)):
