@@ -12,7 +12,7 @@ Training: a bounded sample of labelled documents (SAMPLE of each class, by hash
 speak for toxic documents; the strongest and the most frequent clean ones are the landmarks. Each document gives the
 sentence with the strongest unit as its labelled sentence. A linear SVM on the Nystroem features of the sentences' witness
 units is fitted three times, each time with the witnesses the last one picks and the clean documents' units it took for the worst. A document's score is a logistic function,
-fitted on the sample, of its largest unit decision; the largest of a sentence's units is the sentence's decision.
+fitted on the sample (each row weighted by its class's labels to its class's sampled rows), of its largest unit decision; the largest of a sentence's units is the sentence's decision.
 
 Defined results: null, empty and letterless texts have no unit and get the score of the lowest decision. Repeated rows are
 scored each. Labels that disagree on a doc_id count as toxic. Without both classes in the labels every score is the labels'
@@ -298,6 +298,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     """labels: key, toxic 0/1. Only the sample's texts are read into the training jobs; rows of bounded number come to the driver."""
     ship(docs.sparkSession)
     labels = labels.where(F.col(key).isNotNull() & F.col("toxic").isin(0, 1)).groupBy(key).agg(F.max("toxic").cast("int").alias("toxic"))
+    total = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # the sample's rows stand for all of their class in the probabilities
+    stands = {y: n / min(n, sample) for y, n in total.items()}
     chosen = [labels.where(F.col("toxic") == y).orderBy(F.xxhash64(key), key).limit(sample) for y in (0, 1)]
     # 2 * sample ids at most
     texts, path = written(docs.select(key, text).join(F.broadcast(chosen[0].unionByName(chosen[1])), key).select("toxic", F.col(text).alias("text")))
@@ -316,7 +319,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     landmarks = [r["unit"] for r in strong[: LANDMARKS // 2]] + [r["unit"] for r in plain[: LANDMARKS // 2]]
     if not landmarks or not bags:
         drop_path(docs.sparkSession, path)
-        rate = have[1] / sum(have.values())
+        rate = have[1] * stands[1] / (have[0] * stands[0] + have[1] * stands[1])
         return ToxicModel(np.zeros(0, np.int64), np.zeros(0), 0.0, math.log(rate / (1 - rate)))
     value, vector = np.linalg.eigh(kernel(landmarks, landmarks).astype(np.float64))
     good = value > 1e-6
@@ -346,11 +349,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     scored = score(texts.withColumn("id", F.lit(0).cast("long")), model, text="text", key="id", carry="toxic").select("toxic", "decision").collect()
     drop_path(docs.sparkSession, path)
     d, t = np.array([r["decision"] for r in scored]), np.array([r["toxic"] for r in scored], float)
+    each = np.where(t > 0, stands[1], stands[0])
     t = np.where(t > 0, 1 - 1 / (t.sum() + 2), 1 / ((1 - t).sum() + 2))  # Platt's targets
     x, ab = np.stack([d + bias, np.ones(len(d))], axis=1), np.array([1.0, 0.0])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ ab, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-4 * np.eye(2), x.T @ (p - t) + 1e-4 * ab)
+        step = np.linalg.solve((x * (each * p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-4 * np.eye(2), x.T @ (each * (p - t)) + 1e-4 * ab)
         ab -= np.clip(step, -5, 5)
     return ToxicModel(model.numbers, model.weights, float(ab[0]), float(ab[0] * bias + ab[1]))
 

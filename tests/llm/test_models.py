@@ -179,6 +179,19 @@ def test_toxicity_across_blanks_and_in_long_runs(spark):
     assert sum(got[i] == y for i, y in labels) / len(labels) > 0.98
 
 
+def test_toxicity_keeps_the_rate_of_the_labels_past_the_sample(spark):
+    """Scores are probabilities at the labels' rate, however small the sample of each class is."""
+    rows, _ = toxic_corpus(2, 600)
+    rng = random.Random(4)
+    labels = [(i, int(rng.random() < (0.3 if re.search("idiot|moron|scumbag|pathetic", t) else 0.05))) for i, t in rows]
+    docs, given = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    rate = sum(y for _, y in labels) / len(labels)
+    assert rate < 0.2
+    for sample in (40, 4000):
+        scores = toxicity.score(docs, toxicity.fit(docs, given, sample=sample)).agg(F.avg("score")).first()[0]
+        assert abs(scores - rate) < 0.08, (sample, scores, rate)
+
+
 def test_sliding_units_equal_the_units_one_by_one():
     rng = np.random.default_rng(3)
     table = rng.normal(size=toxicity.LETTERS**4).astype(np.float32)
