@@ -1,74 +1,109 @@
 """Operator 5: language-model scores by prediction by partial matching (PPM) over bytes.
 
 The trie holds byte contexts of order 0 to `order` (5) of the running, ASCII lower-cased text: contexts reach back over white
-space and earlier words, down to a blank that stands in front of the text; white space is a symbol as it is written, and a
-text ends with its own symbol. (Without `running`, contexts begin at the white space in front of a word, which is read as one
-blank.) A symbol unseen in a context costs an escape and is looked for in the next shorter context, where the symbols of the
-longer one are excluded. Escape probabilities are estimated from the training counts (secondary estimation): for contexts of
-one order, total and number of symbols, the rate at which a symbol left out would have been new. There is one trie for each
-class of the training documents (language), and a text's probability is the mixture over classes, so the class of a scored
-text is not needed. The base is a unigram model of the words.
-
-How it runs: documents are dealt into chunks of bounded size. A chunk yields its distinct words and its distinct byte windows
-with counts, which are summed over all chunks; the windows make the trie. The trie is evaluated for each distinct window,
-level by level with joins on the suffix; every chunk gets back its words and windows and scores its documents. So no table
-of the corpus is broadcast, and memory is bounded by a chunk's text. A window of up to 7 bytes is one long: its length and
-its bytes.
+space and earlier words, down to `order` zero bytes that stand in front of the text; white space is a symbol as it is written,
+and a text ends with its own symbol. A symbol unseen in a context costs an escape and is looked for in the next shorter context,
+where the symbols of the longer one are excluded. Escape probabilities are estimated from the training counts (secondary
+estimation): for contexts of one order, total and number of symbols, the rate at which a symbol left out would have been new.
+
+Longer contexts are nearly always unary chains of the trie, so they are held with their paths compressed: the text is cut where
+a hash of the last bytes says so (every SEGMENT bytes on average), and a context is the whole segment before a cut (64-bit
+fingerprint), whose symbols are the segments that followed it. A segment unseen there costs an escape and is coded byte by byte.
+What a training document itself counted in these contexts is left out when that document is scored, as they would hold it by
+heart; so a high score says that other documents have the same passages. The base is a unigram model of the words.
+
+How it runs: documents are dealt into chunks of bounded size. A chunk yields its distinct words, byte windows and segment pairs
+with counts. Windows summed over all chunks make the trie, which is evaluated for each distinct window, level by level with
+joins on the suffix; of the segment contexts only those found more than once go on. Every chunk gets back its own values and
+then streams its documents past them. No table of the corpus is broadcast; memory is bounded by a chunk's distinct words and
+windows. A window of up to 7 bytes is one long: its length and its bytes.
 
 Defined results: null text is empty: one token, the end. Rows that repeat a doc_id are scored each. Rows with a null doc_id
-count as training rows. Without training rows all symbols are equally likely.
+count as training rows. Without training rows all symbols are equally likely. Texts of any length are read in parts of
+PART_BYTES, at which a segment ends. Columns other than the key and the text do not matter and are not returned.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalith.session import drop_path, scratch, ship, written
 
-CHUNK_BYTES, LEAST_CHUNKS = 32_000_000, 24
-BLOCK_BYTES = 500_000
-MAX_CLASSES = 8
+CHUNK_BYTES, LEAST_CHUNKS = 48_000_000, 12
+BLOCK_BYTES, PART_BYTES = 1_000_000, 1_000_000
+SEGMENT = 64
 LENGTH_BITS = 56
 END = b"\xff"  # no byte of UTF-8
-
-
-def stream(text: bytes, running: bool) -> bytes:
-    """The symbols of a lower-case text behind a first blank, which is context only; without running, words in single blanks and a line feed as the end."""
-    return b" " + text + END if running else b" " + b"".join(w + b" " for w in text.split()) + b"\n"
-
-
-def windows(streams: list[bytes], order: int, running: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The longest window (context and symbol) of each symbol of each stream, and the number of symbols of each stream."""
-    data = np.frombuffer(b"".join(streams), np.uint8).astype(np.int64)
-    n = np.fromiter(map(len, streams), np.int64, len(streams))
-    first = np.cumsum(n) - n
-    at = np.arange(len(data))
-    if running:
-        begin = np.repeat(first, n)
-    else:
-        begin = np.maximum.accumulate(np.where(data == 32, at, 0))
-        begin[1:] = begin[:-1].copy()
-    length = np.minimum(at - begin, order) + 1
-    code, padded = data.copy(), np.concatenate([np.zeros(order, np.int64), data])
-    for j in range(1, order + 1):
-        code |= padded[order - j : len(padded) - j] << (8 * j)
-    code &= (np.int64(1) << (8 * length)) - 1
-    code |= length << LENGTH_BITS
-    symbol = np.ones(len(data), bool)
-    symbol[first] = False
-    return code[symbol], n - 1
-
-
-def blocks(sizes: list[int]) -> Iterator[tuple[int, int]]:
+_NONE = np.uint64(2**64 - 1)
+
+
+def mixed(codes: np.ndarray) -> np.ndarray:
+    h = codes * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+class CodeTable:
+    """Numbers by code (below 2**64 - 1), all codes of an array at once: open addressing, so a look-up is a few array reads."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.used = bits, 0
+        self.keys, self.values = np.full(1 << bits, _NONE), np.zeros(1 << bits)
+
+    def find(self, codes: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The slot of each code; -1 if it is not held."""
+        at = (h >> np.uint64(64 - self.bits)).view(np.int64)
+        rest = np.flatnonzero(self.keys[at] != codes)
+        mask = (1 << self.bits) - 1
+        while len(rest):
+            a = at[rest]
+            free = self.keys[a] == _NONE
+            at[rest[free]] = -1
+            rest, a = rest[~free], (a[~free] + 1) & mask
+            at[rest] = a
+            rest = rest[self.keys[a] != codes[rest]]
+        return at
+
+    def insert(self, codes: np.ndarray) -> None:
+        """codes: distinct, none held."""
+        self.used += len(codes)
+        if 2 * self.used > len(self.keys):
+            old = self.keys != _NONE
+            keys, values = self.keys[old], self.values[old]
+            self.bits = max(self.bits + 1, (4 * self.used).bit_length() - 1)
+            self.keys, self.values = np.full(1 << self.bits, _NONE), np.zeros(1 << self.bits)
+            self._place(keys)
+            self.values[self.find(keys, mixed(keys))] = values
+        self._place(codes)
+
+    def _place(self, codes: np.ndarray) -> None:
+        at = (mixed(codes) >> np.uint64(64 - self.bits)).view(np.int64)
+        mask = (1 << self.bits) - 1
+        while len(codes):
+            free = self.keys[at] == _NONE
+            self.keys[at[free]] = codes[free]
+            left = self.keys[at] != codes
+            codes, at = codes[left], (at[left] + 1) & mask
+
+    def found(self, codes: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """As find(), after taking in the codes that are new."""
+        at = self.find(codes, h)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            self.insert(np.unique(codes[new]))
+            at = self.find(codes, h)  # slots may have moved
+        return at
+
+
+def groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about BLOCK_BYTES each."""
     start = size = 0
     for i, n in enumerate(sizes):
@@ -80,82 +115,161 @@ def blocks(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def summed(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes and the sums of their weights (rows)."""
-    order = np.argsort(codes, kind="stable")
-    codes, weights = codes[order], weights[order]
-    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
-    return codes[first], np.add.reduceat(weights, first, axis=0) if len(codes) else weights
+class Streams:
+    """The windows and segments of some texts' parts.
+
+    codes: the longest window (context and symbol) of each symbol; h: their hashes; starts: where each part begins;
+    text: the number of each part's text; cut: where each segment begins; pair, context: fingerprints of the segments that
+    follow another one of their part (at `linked`) with, and of, that one."""
+
+    _power = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+    def __init__(self, parts: list[tuple[int, bytes, bytes]], order: int):
+        """parts: number of the text, `order` bytes in front, bytes."""
+        data = b"".join([x for _, front, body in parts for x in (front, body)]) + bytes(8)
+        self.text = np.array([p[0] for p in parts], np.int64)
+        n = np.array([len(p[2]) for p in parts], np.int64)
+        raw = np.ndarray((len(data) - 8,), ">u8", data, strides=(1,)).astype(np.uint64)
+        raw >>= np.uint64(8 * (7 - order))
+        inside = np.ones(len(raw), bool)
+        gaps = np.cumsum(n + order) - order
+        inside[(gaps[:, None] + np.arange(order)).ravel()] = False
+        self.codes = raw[inside]
+        self.h = mixed(self.codes)
+        self.starts = np.cumsum(n) - n
+        ends = (self.h & np.uint64(SEGMENT - 1)) == 0
+        ends[self.starts + n - 1] = True
+        ends = np.flatnonzero(ends)
+        self.cut = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
+        power, inverse = self.powers(len(self.codes))
+        print_ = np.add.reduceat(self.h * power[: len(self.codes)], self.cut) * inverse[self.cut]
+        part = np.searchsorted(self.starts, self.cut, side="right") - 1
+        self.text_of_cut = self.text[part]
+        self.linked = np.flatnonzero(part[1:] == part[:-1]) + 1
+        self.context = print_[self.linked - 1]
+        self.pair = mixed(self.context * np.uint64(0xA0761D6478BD642F) + print_[self.linked])
+
+    @classmethod
+    def powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of an odd number and of its inverse, modulo 2**64."""
+        if len(cls._power[0]) < n:
+            n = max(n, BLOCK_BYTES)
+            odd = 0xE7037ED1A0B428DB
+            step = np.full((2, n), odd, np.uint64)
+            step[1] = pow(odd, -1, 2**64)
+            step[:, 0] = 1
+            cls._power = tuple(np.cumprod(step, axis=1))
+        return cls._power
+
+
+def streams(texts: list[bytes], order: int) -> Iterator[Streams]:
+    """All texts (lower case, without their ends) in order, in blocks of bounded size."""
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        front = bytes(order)
+        for a in range(0, len(text) + 1, PART_BYTES):
+            body = text[a : a + PART_BYTES]
+            last = a + PART_BYTES > len(text)
+            held.append((i, front, body + END if last else body))
+            front = (front + body)[-order:]
+            size += len(body) + order + 1
+            if size >= BLOCK_BYTES:
+                yield Streams(held, order)
+                held, size = [], 0
+    if held:
+        yield Streams(held, order)
+
+
+class Words(dict):
+    """Numbers words as they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+class ChunkCounts:
+    """Words, windows and segment pairs of a chunk; n: in training rows, m: in the others."""
+
+    def __init__(self, number: int, order: int):
+        self.number, self.order = number, order
+        self.words, self.count = Words(), np.zeros(0, np.int64)
+        self.table = CodeTable()
+
+    def add(self, texts: list[bytes], held: bool) -> Iterator[pa.RecordBatch]:
+        """Takes in texts of one kind; the segment pairs of a block are given out at once."""
+        for a, b in groups([len(t) for t in texts]):
+            some = [t.lower() for t in texts[a:b]]
+            for t in some:
+                at = np.fromiter(map(self.words.__getitem__, t.split()), np.int64)
+                if not held and len(at):
+                    if len(self.count) < len(self.words):
+                        self.count = np.concatenate([self.count, np.zeros(len(self.words), np.int64)])
+                    if len(at) < 1000:
+                        np.add.at(self.count, at, 1)
+                    else:
+                        self.count += np.bincount(at, minlength=len(self.count))
+            for s in streams(some, self.order):
+                at = self.table.found(s.codes, s.h)
+                if not held:
+                    self.table.values += np.bincount(at, minlength=len(self.table.values))
+                pair, first, n = np.unique(s.pair, return_index=True, return_counts=True)
+                if len(pair):
+                    none = np.zeros(len(n), np.int64)
+                    yield counted_rows(self.number, 2, len(n), code=pair.view(np.int64), ctx=s.context[first].view(np.int64), n=none if held else n, m=n if held else none)
+
+    def result(self) -> Iterator[pa.RecordBatch]:
+        on = np.flatnonzero(self.table.keys != _NONE)
+        for a in range(0, len(on), 50_000):
+            at = on[a : a + 50_000]
+            yield counted_rows(self.number, 1, len(at), code=self.table.keys[at].view(np.int64), n=self.table.values[at].astype(np.int64))
+        words = list(self.words)
+        count = np.zeros(len(words), np.int64)
+        count[: min(len(words), len(self.count))] = self.count[: len(words)]
+        for a in range(0, len(words), 50_000):
+            w = words[a : a + 50_000]
+            yield counted_rows(self.number, 0, len(w), word=w, n=count[a : a + 50_000])
+
+
+_COUNTED = {"chunk": pa.int32(), "kind": pa.int32(), "word": pa.binary(), "code": pa.int64(), "ctx": pa.int64(), "n": pa.int64(), "m": pa.int64()}
+
 
+def counted_rows(chunk: int, kind: int, size: int, **given) -> pa.RecordBatch:
+    fixed = {"chunk": np.full(size, chunk, np.int32), "kind": np.full(size, kind, np.int32)} | given
+    return pa.RecordBatch.from_arrays([pa.array(fixed[c], k) if c in fixed else pa.nulls(size, k) for c, k in _COUNTED.items()], names=list(_COUNTED))
 
-def _counted(docs: DataFrame, classes: int, order: int, running: bool) -> DataFrame:
-    """chunk, word or code (the other is null) and counts n0, n1, ... by class, from docs (chunk, cls, text); held-out documents have no class and count 0."""
-    names = [f"n{i}" for i in range(classes)]
+
+def _counted(docs: DataFrame, chunks: int, order: int) -> tuple[DataFrame, str]:
+    """Rows of all chunks (see _COUNTED) of docs (chunk, held_out, text), written by kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from catalith.llm.lm import BLOCK_BYTES, stream, summed, windows
-
-        class Chunk:
-            def __init__(self, number: int):
-                self.number, self.words = number, [Counter() for _ in range(classes + 1)]
-                self.texts, self.size, self.sums = [[] for _ in self.words], [0] * (classes + 1), []
-
-            def add(self, cls: int, text: bytes) -> None:
-                self.words[cls].update(text.split())
-                self.texts[cls].append(stream(text, running))
-                self.size[cls] += len(text)
-                if self.size[cls] >= BLOCK_BYTES:
-                    self.flush(cls)
-
-            def flush(self, cls: int) -> None:
-                code, n = np.unique(windows(self.texts[cls], order, running)[0], return_counts=True)
-                weights = np.zeros((len(code), classes), np.int64)
-                if cls < classes:
-                    weights[:, cls] = n
-                self.sums.append((code, weights))
-                self.texts[cls], self.size[cls] = [], 0
-                if len(self.sums) >= 8:
-                    self.sums = [self.sum()]
-
-            def sum(self) -> tuple[np.ndarray, np.ndarray]:
-                return summed(np.concatenate([c for c, _ in self.sums]), np.concatenate([w for _, w in self.sums]))
-
-            def rows(self, words: list | None, codes: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
-                k = len(n)
-                word = pa.nulls(k, pa.binary()) if words is None else pa.array(words, pa.binary())
-                code = pa.nulls(k, pa.int64()) if codes is None else pa.array(codes)
-                return pa.RecordBatch.from_arrays([pa.array(np.full(k, self.number, np.int32)), word, code, *(pa.array(x) for x in n.T.copy())], names=["chunk", "word", "code", *names])
-
-            def result(self) -> Iterator[pa.RecordBatch]:
-                for cls, texts in enumerate(self.texts):
-                    if texts:
-                        self.flush(cls)
-                codes, sums = self.sum()
-                for a in range(0, len(codes), 50_000):
-                    yield self.rows(None, codes[a : a + 50_000], sums[a : a + 50_000])
-                words = list(set().union(*self.words))
-                for a in range(0, len(words), 50_000):
-                    w = words[a : a + 50_000]
-                    yield self.rows(w, None, np.stack([np.fromiter(map(c.get, w, itertools.repeat(0)), np.int64, len(w)) for c in self.words[:classes]], axis=1))
+        from catalith.llm.lm import ChunkCounts
 
         now = None
         for batch in batches:
-            for chunk, cls, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if now is None or chunk != now.number:
-                    if now is not None:
-                        yield from now.result()
-                    now = Chunk(chunk)
-                now.add(classes if cls is None else cls, text.as_buffer().to_pybytes().lower())
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                rows = list(zip(*(part.column(i).to_pylist() for i in range(3)), strict=True))
+                for chunk in dict.fromkeys(r[0] for r in rows):
+                    if now is None or now.number != chunk:
+                        if now is not None:
+                            yield from now.result()
+                        now = ChunkCounts(chunk, order)
+                    for held in (False, True):
+                        yield from now.add([t for c, h, t in rows if c == chunk and h == held], held)
         if now is not None:
             yield from now.result()
 
-    return docs.sortWithinPartitions("chunk").mapInArrow(run, f"chunk int, word binary, code long, {', '.join(f'{n} long' for n in names)}")
+    path = scratch(docs.sparkSession)
+    dealt = docs.repartitionById(chunks, F.col("chunk")).sortWithinPartitions("chunk")
+    counted = dealt.mapInArrow(run, "chunk int, kind int, word binary, code long, ctx long, n long, m long")
+    counted.write.partitionBy("kind").parquet(path)
+    return docs.sparkSession.read.schema(counted.schema).parquet(path), path
 
 
 LEN = f"shiftright(code, {LENGTH_BITS})"
 PREFIX = f"shiftleft({LEN} - 1, {LENGTH_BITS}) | shiftright(code & (shiftleft(1L, {LENGTH_BITS}) - 1), 8)"
 SUFFIX = f"shiftleft({LEN} - 1, {LENGTH_BITS}) | (code & (shiftleft(1L, cast(8 * ({LEN} - 1) as int)) - 1))"
-SUFFIXES = f"transform(sequence(1, cast({LEN} as int)), i -> shiftleft(cast(i as bigint), {LENGTH_BITS}) | (code & (shiftleft(1L, 8 * i) - 1)))"
 MOST_SYMBOLS, MOST_BITS = 12, 20
 
 
@@ -167,153 +281,225 @@ def bucket(total: np.ndarray) -> np.ndarray:
     return np.where(total < 6, total, np.minimum(MOST_BITS, np.frexp(np.maximum(total, 1).astype(np.float64))[1] + 3)).astype(np.int64)
 
 
-def _trie(windows_: DataFrame, classes: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Nodes (code, c, total, symbols, excluded of the context, each for every class); escape statistics; scratch paths.
-
-    excluded: what the shorter context counts for the symbols seen in this one."""
-    names = range(classes)
-    nodes = windows_.select(F.explode(F.expr(SUFFIXES)).alias("code"), *[f"n{i}" for i in names])
-    nodes, nodes_at = written(nodes.groupBy("code").agg(*[F.sum(f"n{i}").alias(f"c{i}") for i in names]))
-    of = nodes.withColumn("prefix", F.expr(PREFIX)).withColumn("suffix", F.expr(SUFFIX))
-    shorter = nodes.select(F.col("code").alias("suffix"), *[F.col(f"c{i}").alias(f"s{i}") for i in names])
-    of = of.join(shorter.hint("merge"), "suffix", "left")
-    sums = [x for i in names for x in (F.sum(f"c{i}").alias(f"t{i}"), F.sum((F.col(f"c{i}") > 0).cast("long")).alias(f"d{i}"), F.sum(F.when(F.col(f"c{i}") > 0, F.col(f"s{i}")).otherwise(0)).alias(f"x{i}"))]
-    contexts = of.groupBy("prefix").agg(*sums)
-    full = nodes.withColumn("prefix", F.expr(PREFIX)).join(contexts.hint("merge"), "prefix").drop("prefix")
-    full, full_at = written(full)
-    drop_path(windows_.sparkSession, nodes_at)
-    parts = F.explode(F.array(*[F.struct(F.lit(i).alias("cls"), F.col(f"c{i}").alias("c"), F.col(f"t{i}").alias("t"), F.col(f"d{i}").alias("d")) for i in names]))
-    left_out = full.select(F.expr(f"cast({LEN} - 1 as int)").alias("order"), parts.alias("x")).select("order", "x.*").where((F.col("c") > 0) & (F.col("t") > 1))
+def _left_out(counts: DataFrame, by: Column) -> list:
+    """Rows (o, b, d, n, e): of n symbols left out of a context, e would have been new. counts: c of a symbol, t and d of its context."""
     once = F.col("c") == 1
-    escapes = left_out.groupBy("cls", "order", _bucket(F.col("t") - 1).alias("b"), F.least(F.col("d") - once.cast("long"), F.lit(MOST_SYMBOLS)).cast("int").alias("d")).agg(
-        F.sum("c").alias("n"), F.sum(F.when(once, F.col("c")).otherwise(0)).alias("e")
-    )
-    return full, escapes, [full_at]
+    keys = [by.alias("o"), _bucket(F.col("t") - 1).alias("b"), F.least(F.col("d") - once.cast("long"), F.lit(MOST_SYMBOLS)).cast("int").alias("d")]
+    return counts.where((F.col("c") > 0) & (F.col("t") > 1)).groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(F.when(once, F.col("c")).otherwise(0)).alias("e")).collect()
 
 
-def _levels(full: DataFrame, escapes: DataFrame, classes: int, order: int) -> tuple[DataFrame, str]:
-    """code and h0, h1, ...: log10 probability of each window's symbol after its context, by class.
+class Escapes:
+    """Estimated escape probabilities by order, total and number of symbols of a context."""
 
-    Level by level of window length. Besides h, f is the log probability after an escape from the window's context."""
-    rate = np.full((classes, order + 1, MOST_BITS + 1, MOST_SYMBOLS + 1), np.nan)
-    for r in escapes.collect():  # classes * orders * buckets rows at most
-        rate[r["cls"], r["order"], r["b"], r["d"]] = (r["e"] + 0.5) / (r["n"] + 1)
-    spark, names = full.sparkSession, range(classes)
-    path = scratch(spark)
-    schema = ", ".join(["code long", *(f"{k}{i} double" for k in "hf" for i in names), *(f"{k}{i} long" for k in "ctd" for i in names)])
+    def __init__(self, rows: list, orders: int):
+        self.rate = np.full((orders, MOST_BITS + 1, MOST_SYMBOLS + 1), np.nan)
+        for r in rows:  # orders * buckets at most
+            self.rate[r["o"], r["b"], r["d"]] = (r["e"] + 0.5) / (r["n"] + 1)
 
-    def escape(i: int, o: int, total: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        r = rate[i, o, bucket(total), np.clip(symbols, 0, MOST_SYMBOLS)]
+    def __call__(self, order: int, total: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        r = self.rate[order, bucket(total), np.clip(symbols, 0, MOST_SYMBOLS)]
         return np.where(np.isnan(r), np.maximum(symbols, 1) / np.maximum(total + symbols, 1), r)
 
+
+def _trie(windows: DataFrame, order: int) -> tuple[DataFrame, str]:
+    """Nodes (code, c) with their context's total t, number of symbols d, and x: what the shorter context counts for those symbols."""
+    suffixes = f"transform(sequence(1, {order + 1}), i -> shiftleft(cast(i as bigint), {LENGTH_BITS}) | (code & (shiftleft(1L, 8 * i) - 1)))"
+    nodes, nodes_at = written(windows.select(F.explode(F.expr(suffixes)).alias("code"), "n").groupBy("code").agg(F.sum("n").alias("c")))
+    of = nodes.withColumn("prefix", F.expr(PREFIX)).withColumn("suffix", F.expr(SUFFIX))
+    shorter = nodes.select(F.col("code").alias("suffix"), F.col("c").alias("s"))
+    seen = F.col("c") > 0
+    contexts = of.join(shorter.hint("merge"), "suffix", "left").groupBy("prefix").agg(F.sum("c").alias("t"), F.count_if(seen).alias("d"), F.coalesce(F.sum(F.when(seen, F.col("s"))), F.lit(0)).alias("x"))
+    full, full_at = written(nodes.withColumn("prefix", F.expr(PREFIX)).join(contexts.hint("merge"), "prefix").drop("prefix"))
+    drop_path(windows.sparkSession, nodes_at)
+    return full, full_at
+
+
+def _levels(full: DataFrame, order: int) -> tuple[DataFrame, str]:
+    """code and h, the log10 probability of each window's symbol after its context; level by level of window length.
+
+    Besides h, f is the log probability after an escape from the window's context."""
+    escape = Escapes(_left_out(full, F.expr(f"cast({LEN} - 1 as int)")), order + 1)
+    spark = full.sparkSession
+    path = scratch(spark)
+    schema = "code long, h double, f double, c long, t long, d long"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             get = lambda c: np.asarray(batch.column(batch.schema.get_field_index(c)).fill_null(0))
-            code = get("code")
+            code, c, t, d, x = (get(k) for k in ("code", "c", "t", "d", "x"))
             o = int(code[0] >> LENGTH_BITS) - 1
-            out = {"code": code}
             with np.errstate(divide="ignore", invalid="ignore"):
-                for i in names:
-                    c, t, d, x = (get(f"{k}{i}") for k in "ctdx")
-                    if o:
-                        c1, left, more, f1, h1 = get(f"pc{i}"), get(f"pt{i}") - x, get(f"pd{i}") - d, get(f"pf{i}"), get(f"ph{i}")
-                        e = escape(i, o - 1, left, more)
-                        f = np.where((left <= 0) | (more <= 0), f1, np.where(c1 > 0, np.log10((1 - e) * c1 / left), np.log10(e) + f1))
-                    else:
-                        f = np.log10(1 / np.maximum(1, 256 - d))
-                        h1 = f
-                    e = escape(i, o, t, d)
-                    h = np.where(d <= 0, h1, np.where(c > 0, np.log10((1 - e) * c / t), np.log10(e) + f))
-                    out |= {f"h{i}": h, f"f{i}": f, f"c{i}": c, f"t{i}": t, f"d{i}": d}
-            cols = [f.split()[0] for f in schema.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(out[c]) for c in cols], names=cols)
+                if o:
+                    c1, left, more, f1, h1 = get("pc"), get("pt") - x, get("pd") - d, get("pf"), get("ph")
+                    e = escape(o - 1, left, more)
+                    f = np.where((left <= 0) | (more <= 0), f1, np.where(c1 > 0, np.log10((1 - e) * c1 / left), np.log10(e) + f1))
+                else:
+                    f = h1 = np.log10(1 / np.maximum(1, 256 - d))
+                e = escape(o, t, d)
+                h = np.where(d <= 0, h1, np.where(c > 0, np.log10((1 - e) * c / t), np.log10(e) + f))
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (code, h, f, c, t, d)], names=["code", "h", "f", "c", "t", "d"])
 
     for m in range(1, order + 2):
         rows = full.where(F.expr(LEN) == m)
         if m > 1:
-            below = spark.read.parquet(f"{path}/m={m - 1}").select(F.col("code").alias("suffix"), *[F.col(f"{k}{i}").alias(f"p{k}{i}") for k in "hfctd" for i in names])
+            below = spark.read.parquet(f"{path}/m={m - 1}").select(F.col("code").alias("suffix"), *[F.col(k).alias(f"p{k}") for k in "hfctd"])
             rows = rows.withColumn("suffix", F.expr(SUFFIX)).join(below.hint("merge"), "suffix").drop("suffix")
         rows.mapInArrow(run, schema).write.parquet(f"{path}/m={m}")
-    return spark.read.parquet(path).select("code", *[f"h{i}" for i in names]), path
-
-
-def ppm_scores(docs: DataFrame, held_out: Column, order: int = 5, cls: str = "lang", text: str = "text", key: str = "doc_id", running: bool = False) -> DataFrame:
+    mask = (1 << LENGTH_BITS) - 1
+    return spark.read.parquet(f"{path}/m={order + 1}").select(F.col("code").bitwiseAND(F.lit(mask)).alias("code"), "h"), path
+
+
+def _segments(pairs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Segment pairs whose context is found more than once: (chunk, code) of each chunk, and (code, c, t, d); scratch paths."""
+    often = pairs.groupBy("ctx").agg(F.sum("n").alias("t"), F.sum(F.col("n") + F.col("m")).alias("all")).where("t > 0 and all > 1").select("ctx", "t")
+    often, often_at = written(often)
+    live, live_at = written(pairs.join(often.hint("merge"), "ctx").select("chunk", "code", "ctx", "n", "t"))
+    # written, so that AQE can split a context that many different segments follow
+    per, per_at = written(live.groupBy("code", "ctx").agg(F.sum("n").alias("c"), F.max("t").alias("t")))
+    contexts = per.groupBy("ctx").agg(F.count_if(F.col("c") > 0).alias("d"))
+    useful, useful_at = written(per.join(contexts.hint("merge"), "ctx"))
+    for p in (often_at, per_at):
+        drop_path(pairs.sparkSession, p)
+    return live.select("chunk", "code").distinct(), useful, [live_at, useful_at]
+
+
+class ChunkScores:
+    """Scores texts with a chunk's own words (base logs), windows (logs) and segment pairs."""
+
+    def __init__(self, order: int, escapes: Escapes, total: int, distinct: int, ends: int):
+        self.order, self.escapes, self.ends, self.size = order, escapes, ends, total + distinct + 1
+        self.words: dict[bytes, int] = {}
+        self.count: list[np.ndarray] = []
+        self.table = CodeTable()
+        self.pairs: list[np.ndarray] = []
+
+    def learn(self, kind: int, batch: dict) -> None:
+        if kind == 0:
+            self.words.update(zip(batch["word"].to_pylist(), range(len(self.words), len(self.words) + len(batch["word"])), strict=True))
+            self.count.append(np.asarray(batch["c"]))
+        elif kind == 1:
+            codes = np.asarray(batch["code"]).view(np.uint64)
+            self.table.insert(codes)
+            self.table.values[self.table.find(codes, mixed(codes))] = np.asarray(batch["h"])
+        else:
+            self.pairs.append(np.stack([np.asarray(batch[k]) for k in ("code", "ctx", "c", "t", "d")]))
+
+    def ready(self) -> None:
+        c = np.concatenate([*self.count, np.zeros(0, np.int64)])
+        self.known, self.base = c > 0, np.log10((c + 1) / self.size)
+        p = np.concatenate([*self.pairs, np.zeros((5, 0), np.int64)], axis=1)
+        p = p[:, np.argsort(p[0].view(np.uint64), kind="stable")]
+        self.keys, self.facts = p[0].view(np.uint64).copy(), p[1:]
+        self.pairs = []
+
+    def score(self, texts: list[bytes], held: list[bool]) -> list[tuple]:
+        """n_tokens, n_known, base_score, score of each text."""
+        texts = [t.lower() for t in texts]
+        total, found = np.zeros(len(texts)), []
+        for s in streams(texts, self.order):
+            logs = self.table.values[self.table.find(s.codes, s.h)]
+            total += np.bincount(s.text, np.add.reduceat(logs, s.starts), len(texts))
+            if len(self.keys) and len(s.pair):
+                at = np.minimum(np.searchsorted(self.keys, s.pair), len(self.keys) - 1)
+                hit = self.keys[at] == s.pair
+                if hit.any():
+                    cost = np.add.reduceat(logs, s.cut)[s.linked[hit]]
+                    found.append((s.text_of_cut[s.linked[hit]], at[hit], cost))
+        if found:
+            total += self.segments(*(np.concatenate(x) for x in zip(*found, strict=True)), ~np.array(held))
+        out = []
+        for text, ppm in zip(texts, total.tolist(), strict=True):
+            at = np.fromiter(map(self.words.__getitem__, text.split()), np.int64)
+            base = float(self.base[at].sum()) + math.log10((self.ends + 1) / self.size)
+            out.append((len(at) + 1, int(self.known[at].sum()) + (self.ends > 0), base, ppm))
+        return out
+
+    def segments(self, text: np.ndarray, at: np.ndarray, cost: np.ndarray, train: np.ndarray) -> np.ndarray:
+        """What each text's score gains or loses by the segment contexts over coding the segments byte by byte (cost)."""
+        ctx, c, t, d = self.facts[:, at]
+        order = np.lexsort((at, ctx, text))
+        text, at, cost, ctx, c, t, d = (x[order] for x in (text, at, cost, ctx, c, t, d))
+        new_ctx = np.concatenate([[True], (text[1:] != text[:-1]) | (ctx[1:] != ctx[:-1])])
+        new_pair = new_ctx | np.concatenate([[True], at[1:] != at[:-1]])
+        own_ctx, own_pair = (np.repeat(n, n) for n in (np.diff(np.append(np.flatnonzero(x), len(x))) for x in (new_ctx, new_pair)))
+        mine = train[text]
+        # a training text's own counts are left out
+        only = np.add.reduceat((new_pair & (c == own_pair)).astype(np.int64), np.flatnonzero(new_ctx))
+        d = d - np.where(mine, only[np.cumsum(new_ctx) - 1], 0)
+        c, t = c - np.where(mine, own_pair, 0), t - np.where(mine, own_ctx, 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            e = self.escapes(0, t, d)
+            gain = np.where(t <= 0, 0.0, np.where(c > 0, np.log10((1 - e) * c / t) - cost, np.log10(e)))
+        return np.bincount(text, gain, len(train))
+
+
+def ppm_scores(docs: DataFrame, held_out: Column, order: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs.
 
-    running: contexts reach over the whole text before a symbol; else they begin at the white space before a word.
-    cls: a column whose values part the training rows; the most frequent MAX_CLASSES - 1 values have a trie each and all
-    others share one."""
+    held_out: rows that are scored only. The other rows train the model."""
     if not 1 <= order <= 6:
         raise ValueError("order is 1 to 6")
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(
-        F.col(key).cast("long").alias("doc_id"),
-        F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("text"),
-        F.coalesce(F.col(cls).cast("string"), F.lit("")).alias("cls"),
-        F.coalesce(held_out, F.lit(False)).alias("held_out"),
-    )
-    found = docs.groupBy("cls").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if(~F.col("held_out")).alias("train"))
-    found = found.agg(F.sum("bytes").alias("bytes"), F.sum("train").alias("train"), F.sort_array(F.collect_list(F.struct(-F.col("train"), "cls"))).alias("top")).select("bytes", "train", F.slice("top", 1, MAX_CLASSES - 1).alias("top")).first()
-    top = [r["cls"] for r in found["top"] or [] if r["col1"]]
-    n_train = [-r["col1"] for r in found["top"] or [] if r["col1"]]
-    if (rest := (found["train"] or 0) - sum(n_train)) or not n_train:
-        n_train.append(rest)
-    classes = len(n_train)
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("text"))
+    found = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if(~F.col("held_out")).alias("train")).first()
+    ends = found["train"] or 0
     chunks = max(LEAST_CHUNKS, math.ceil((found["bytes"] or 0) / CHUNK_BYTES))
-    number = F.lit(classes - 1)
-    for i, name in enumerate(top):
-        number = F.when(F.col("cls") == name, i).otherwise(number)
-    docs = docs.withColumn("cls", F.when(~F.col("held_out"), number).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-    names = [f"n{i}" for i in range(classes)]
-    counted, counted_at = written(_counted(docs.select("chunk", "cls", "text").repartition("chunk"), classes, order, running))
-    every = sum((F.col(n) for n in names[1:]), F.col(names[0]))
-    words, words_at = written(counted.where("word is not null").groupBy("word").agg(F.sum(every).alias("c")))
+    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    counted, counted_at = _counted(docs.select("chunk", "held_out", "text"), chunks, order)
+    local_words, codes, pairs = (counted.where(F.col("kind") == k) for k in range(3))
+    words, words_at = written(local_words.groupBy("word").agg(F.sum("n").alias("c")))
     sums = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    ends = sum(n_train)
     total, distinct = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
-    codes = counted.where("code is not null")
-    full, escapes, old = _trie(codes.groupBy("code").agg(*[F.sum(n).alias(n) for n in names]), classes)
-    levels, levels_at = _levels(full, escapes, classes, order)
-    values = [F.col(f"h{i}").cast("float").alias(f"h{i}") for i in range(classes)]
-    none = lambda kinds: [F.lit(None).cast(k).alias(n) for n, k in kinds.items()]
-    back = counted.where("word is not null").select("chunk", "word").join(words.hint("merge"), "word").select("chunk", "word", "c", *none({"code": "long"} | {f"h{i}": "float" for i in range(classes)}))
-    local, _ = written(back.unionByName(codes.select("chunk", "code").join(levels.select("code", *values).hint("merge"), "code").select("chunk", *none({"word": "binary", "c": "long"}), "code", *[f"h{i}" for i in range(classes)])))
-    for p in (*old, levels_at, words_at, counted_at):
+    full, full_at = _trie(codes.groupBy("code").agg(F.sum("n").alias("n")), order)
+    levels, levels_at = _levels(full, order)
+    live, useful, segments_at = _segments(pairs)
+    escapes = Escapes(_left_out(useful, F.lit(0)), 1)
+    columns = {"word": "binary", "code": "long", "ctx": "long", "c": "long", "t": "long", "d": "long", "h": "double", "doc_id": "long", "held_out": "boolean", "text": "binary"}
+
+    def rows(df: DataFrame, kind: int, *given: str) -> DataFrame:
+        return df.select("chunk", F.lit(kind).alias("kind"), *[(F.col(c) if c in given else F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
+
+    mine = rows(local_words.select("chunk", "word").join(words.hint("merge"), "word"), 0, "word", "c")
+    mine = mine.unionByName(rows(codes.select("chunk", "code").join(levels.hint("merge"), "code"), 1, "code", "h"))
+    mine = mine.unionByName(rows(live.join(useful.hint("merge"), "code"), 2, "code", "ctx", "c", "t", "d"))
+    mine, _ = written(mine)
+    for p in (full_at, levels_at, words_at, counted_at, *segments_at):
         drop_path(spark, p)
-    prior = np.log10(np.maximum(np.array(n_train, float), 1e-9) / ends) if ends else np.zeros(classes)
-    base_end = math.log10((ends + 1) / (total + distinct + 1))
-
-    def score(d: pa.Table, t: pa.Table) -> pa.Table:
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        rows = []
-        if len(d):
-            from catalith.llm.lm import blocks, stream, windows
-
-            of_word = t["word"].is_valid()
-            w, g = t.select(["word", "c"]).filter(of_word), t.select(["code", *(f"h{i}" for i in range(classes))]).filter(pa.compute.invert(of_word))
-            c = np.asarray(w["c"])
-            known, base = c > 0, np.log10((c + 1) / (total + distinct + 1))
-            slot = dict(zip(w["word"].to_pylist(), range(len(w)), strict=True)).__getitem__
-            code = np.asarray(g["code"])
-            by = np.argsort(code)
-            code, h = code[by], [np.asarray(g[f"h{i}"])[by].astype(np.float64) for i in range(classes)]
-            texts, ids, held = d["text"].combine_chunks(), d["doc_id"].to_pylist(), d["held_out"].to_pylist()
-            for a, b in blocks(pa.compute.binary_length(texts).to_pylist()):
-                said = [x.as_buffer().to_pybytes().lower() for x in texts[a:b]]
-                x, n = windows([stream(y, running) for y in said], order, running)
-                found, starts = np.searchsorted(code, x), np.cumsum(n) - n
-                ppm = np.stack([np.add.reduceat(y[found], starts) for y in h], axis=1)
-                for k, y in enumerate(said):
-                    i = np.fromiter(map(slot, y.split()), np.int64)
-                    each = prior + ppm[k]
-                    top = each.max()
-                    rows.append((ids[a + k], held[a + k], len(i) + 1, int(known[i].sum()) + (ends > 0), total, float(base[i].sum() + base_end), float(top + np.log10((10.0 ** (each - top)).sum()))))
-        kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64()]
-        cols = list(zip(*rows, strict=True)) or [()] * len(names)
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=True)})
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return docs.select("chunk", "doc_id", "held_out", "text").groupBy("chunk").cogroup(local.groupBy("chunk")).applyInArrow(score, schema)
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from catalith.llm.lm import BLOCK_BYTES, ChunkScores
+
+        now = chunk = None
+        for batch in batches:
+            get = dict(zip(batch.schema.names, batch.columns, strict=True))
+            which, kind = np.asarray(get["chunk"]), np.asarray(get["kind"])
+            cuts = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (kind[1:] != kind[:-1])])) if len(batch) else []
+            for a, b in zip(cuts, [*cuts[1:], len(batch)], strict=True):
+                if which[a] != chunk:
+                    chunk, now = which[a], ChunkScores(order, escapes, total, distinct, ends)
+                    ready = False
+                if kind[a] < 3:
+                    now.learn(int(kind[a]), {c: v.slice(a, b - a) for c, v in get.items()})
+                    continue
+                if not ready:
+                    now.ready()
+                    ready = True
+                at = a
+                while at < b:  # about a block of texts at a time
+                    size, end = 0, at
+                    while end < b and size < BLOCK_BYTES:
+                        size += len(get["text"][end].as_buffer())
+                        end += 1
+                    ids, held, texts = (get[c].slice(at, end - at).to_pylist() for c in ("doc_id", "held_out", "text"))
+                    done = [(i, h, n, k, total, base, s) for i, h, (n, k, base, s) in zip(ids, held, now.score(texts, held), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
+                    at = end
+
+    # each chunk's values come before its documents
+    together = mine.unionByName(rows(docs, 3, "doc_id", "held_out", "text")).repartitionById(chunks, F.col("chunk")).sortWithinPartitions("chunk", "kind")
+    return together.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

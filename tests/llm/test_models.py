@@ -20,124 +20,184 @@ def held(i):
 
 def corpus(seed, n=60):
     rng = random.Random(seed)
-    words = {"en": ["the", "and", "thing", "other", "a", "Running"], "de": ["der", "und", "ding", "über", "ä"]}
+    words = ["the", "and", "thing", "other", "a", "Running", "der", "und", "ding", "über", "ä"]
     rows = []
     for i in range(n):
-        lang = rng.choice(["en", "en", "de", None])
-        ws = words.get(lang, words["en"])
-        rows.append((i, " ".join(rng.choice(ws) + rng.choice(["", ".", "s", str(rng.randint(0, 99))]) for _ in range(rng.randint(0, 40))), lang))
-    return rows + [(1000, None, "en"), (1001, "", None), (1002, "\n\t x", "de"), (1003, "z" * 3000, "en")]
+        rows.append((i, " ".join(rng.choice(words) + rng.choice(["", ".", "s", str(rng.randint(0, 99))]) for _ in range(rng.randint(0, 40)))))
+    passage = " ".join(rng.choice(words) + str(rng.randint(0, 9)) for _ in range(200))
+    copies = [(2000 + i, rows[i % 3][1] + "\n" + passage + " " + str(i)) for i in range(12)] + [(2000, passage * 2), (3000, "et " * 400), (3001, "Et " * 500)]
+    return rows + copies + [(1000, None), (1001, ""), (1002, "\n\t x"), (1003, "z" * 3000), (1004, "\x00a\x00")]
 
 
 def tokens(text):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
 
 
+def cut(text, order):
+    """Segments of a text, each with the bytes that its first window reaches back to; by plain integers."""
+    def ends(w):
+        h = int.from_bytes(w, "big") * 0x9E3779B97F4A7C15 % 2**64
+        h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 % 2**64
+        return (h ^ h >> 29) % lm.SEGMENT == 0
+
+    q, out, begin = bytes(order) + text, [], order
+    for k in range(order, len(q)):
+        if ends(q[k - order : k + 1]) or k == len(q) - 1:
+            out.append((begin, k + 1, q[begin - order : k + 1]))
+            begin = k + 1
+    return q, out
+
+
 def ppm_by_hand(rows, order):
     """Scores by a plain dictionary version of the same model."""
-    train = [r for r in rows if not held(r[0])]
-    sizes = Counter(r[2] or "" for r in train)
-    top = sorted(sizes, key=lambda c: (-sizes[c], c))
-    counts = {c: Counter(w for r in train if (r[2] or "") == c for w in tokens(r[1])) for c in top}
-    total = Counter()
-    for c in counts.values():
-        total.update(c)
+    lower = {k: "".join(c.lower() if "A" <= c <= "Z" else c for c in r[1] or "").encode() + b"\xff" for k, r in enumerate(rows)}
+    train = [k for k, r in enumerate(rows) if not held(r[0])]
+    total, grams, follows, own = Counter(), Counter(), Counter(), {}
+    for k, text in lower.items():
+        q, segments = cut(text, order)
+        own[k] = Counter((a[2], b[2]) for a, b in zip(segments, segments[1:]))
+        for i in range(order, len(q)):
+            for o in range(order + 1):
+                grams[q[i - o : i + 1]] += k in train
+        if k in train:
+            total.update(tokens(rows[k][1]))
+            follows.update(own[k])
     n, v = sum(total.values()) + len(train), len(total) + 1
-    models = []
-    for c in top:
-        grams = Counter({b" \n": sizes[c], b"\n": sizes[c]})
-        for w, k in counts[c].items():
-            q = b" " + w + b" "
-            for i in range(1, len(q)):
-                for o in range(min(order, i) + 1):
-                    grams[q[i - o : i + 1]] += k
-        t, d, x = Counter(), Counter(), Counter()
-        for g, k in grams.items():
-            t[g[:-1]] += k
-            d[g[:-1]] += 1
-            if len(g) > 1:
-                x[g[:-1]] += grams[g[1:]]
+    grams = Counter({g: c for g, c in grams.items() if c})
+    bucket = lambda z: z if z < 6 else min(20, int(math.log2(z)) + 4)
+
+    def rates(counts, order_of):
+        t, d = Counter(), Counter()
+        for (c, _), k in counts.items():
+            t[c] += k
+            d[c] += 1
         seen, new = defaultdict(int), defaultdict(int)
-        bucket = lambda z: z if z < 6 else min(20, int(math.log2(z)) + 4)
-        for g, k in grams.items():
-            if t[g[:-1]] > 1:
-                key = (len(g) - 1, bucket(t[g[:-1]] - 1), min(12, d[g[:-1]] - (k == 1)))
+        for (c, _), k in counts.items():
+            if t[c] > 1:
+                key = (order_of(c), bucket(t[c] - 1), min(12, d[c] - (k == 1)))
                 seen[key] += k
                 new[key] += k * (k == 1)
 
-        def symbol(ctx, s, grams=grams, t=t, d=d, x=x, seen=seen, new=new):
-            out, last = 0.0, None
-            while True:
-                if d[ctx]:
-                    left, more = t[ctx] - (x[last] if last is not None else 0), d[ctx] - (d[last] if last is not None else 0)
-                    if left > 0 and more > 0:
-                        key = (len(ctx), bucket(left), min(12, more))
-                        e = (new[key] + 0.5) / (seen[key] + 1) if key in seen else more / (left + more)
-                        if grams[ctx + s]:
-                            return out + math.log10((1 - e) * grams[ctx + s] / left)
-                        out += math.log10(e)
-                    last = ctx
-                if not ctx:
-                    return out + math.log10(1 / (256 - d[b""]))
-                ctx = ctx[1:]
-
-        models.append((math.log10(sizes[c] / len(train)), symbol))
-    out = {}
-    for i, text, _ in rows:
+        def escape(o, left, more):
+            key = (o, bucket(left), min(12, more))
+            return (new[key] + 0.5) / (seen[key] + 1) if key in seen else max(more, 1) / max(left + more, 1)
+
+        return t, d, escape
+
+    t, d, escape = rates({(g[:-1], g[-1:]): k for g, k in grams.items()}, len)
+    _, _, long_escape = rates(follows, lambda c: 0)
+    x = Counter()
+    for g in grams:
+        if len(g) > 1:
+            x[g[:-1]] += grams[g[1:]]
+
+    def symbol(ctx, s):
+        out, last = 0.0, None
+        while True:
+            if d[ctx]:
+                left, more = t[ctx] - (x[last] if last is not None else 0), d[ctx] - (d[last] if last is not None else 0)
+                if left > 0 and more > 0:
+                    e = escape(len(ctx), left, more)
+                    if grams[ctx + s]:
+                        return out + math.log10((1 - e) * grams[ctx + s] / left)
+                    out += math.log10(e)
+                last = ctx
+            if not ctx:
+                return out + math.log10(1 / (256 - d[b""]))
+            ctx = ctx[1:]
+
+    out = []
+    for k, (i, text) in enumerate(rows):
         ws = tokens(text)
         base = sum(math.log10((total[w] + 1) / (n + v + 1)) for w in ws) + math.log10((len(train) + 1) / (n + v + 1))
-        each = []
-        for prior, symbol in models:
-            p = prior + symbol(b" ", b"\n")
-            for w in ws:
-                q = b" " + w + b" "
-                p += sum(symbol(q[max(0, k - order) : k], q[k : k + 1]) for k in range(1, len(q)))
-            each.append(p)
-        top_p = max(each)
-        out[i] = (len(ws) + 1, sum(total[w] > 0 for w in ws) + 1, n, base, top_p + math.log10(sum(10 ** (e - top_p) for e in each)))
+        q, segments = cut(lower[k], order)
+        logs = [symbol(q[j - order : j], q[j : j + 1]) for j in range(order, len(q))]
+        rest = follows - own[k] if k in train else follows
+        score = 0.0
+        for j, (a, b, segment) in enumerate(segments):
+            cost = sum(logs[a - order : b - order])
+            after = {s: c for (f, s), c in rest.items() if j and f == segments[j - 1][2]}
+            if not after:
+                score += cost
+                continue
+            e = long_escape(0, sum(after.values()), len(after))
+            score += math.log10((1 - e) * after[segment] / sum(after.values())) if segment in after else math.log10(e) + cost
+        out.append((i, held(i), len(ws) + 1, sum(total[w] > 0 for w in ws) + 1, n, base, score))
     return out
 
 
 @pytest.mark.parametrize("order", [2, 5])
 def test_ppm_equals_the_plain_version(spark, order):
     rows = corpus(order)
-    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, n0 int")
-    want = ppm_by_hand(rows, order)
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n0 int")
     got = lm.ppm_scores(df, held_column(), order=order).collect()
+    plain = lambda r: (r[0], r[2], r[6])
     assert len(got) == len(rows)
-    for r in got:
-        n, known, total, base, score = want[r["doc_id"]]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (n, known, total, held(r["doc_id"]))
-        assert r["base_score"] == pytest.approx(base, abs=1e-9) and r["score"] == pytest.approx(score, rel=1e-5)
+    for r, want in zip(sorted(map(tuple, got), key=plain), sorted(ppm_by_hand(rows, order), key=plain), strict=True):
+        assert r[:5] == want[:5]
+        assert r[5] == pytest.approx(want[5], abs=1e-9) and r[6] == pytest.approx(want[6], rel=1e-6)
+
+
+def test_ppm_parts_of_long_texts(monkeypatch):
+    """A text read in parts has the windows of the whole text; segments end where a part does."""
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcd ") for _ in range(5000)).encode()
+    whole = next(lm.streams([text], 5))
+    monkeypatch.setattr(lm, "PART_BYTES", 700)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 1500)
+    parts = list(lm.streams([b"x", text, b""], 5))
+    assert len(parts) > 2
+    codes = np.concatenate([s.codes for s in parts])
+    assert codes[2:-1].tolist() == whole.codes.tolist() and sum(len(s.codes) for s in parts) == 5001 + 3
+    assert sorted(set(np.concatenate([s.text for s in parts]).tolist())) == [0, 1, 2]
+
+
+def test_code_table_holds_what_it_was_given():
+    rng = np.random.default_rng(1)
+    table, held = lm.CodeTable(4), {}
+    for _ in range(20):
+        codes = rng.integers(0, 3000, 500).astype(np.uint64)
+        at = table.found(codes, lm.mixed(codes))
+        assert (table.keys[at] == codes).all()
+        table.values += np.bincount(at, minlength=len(table.values))
+        for c in codes.tolist():
+            held[c] = held.get(c, 0) + 1
+    keys = np.array(list(held), np.uint64)
+    assert table.values[table.find(keys, lm.mixed(keys))].tolist() == list(held.values())
+    other = np.array([5000, 2**47], np.uint64)
+    assert table.find(other, lm.mixed(other)).tolist() == [-1, -1]
 
 
 def test_ppm_without_rows_or_training(spark):
-    schema = "doc_id long, text string, lang string"
+    schema = "doc_id long, text string"
     assert lm.ppm_scores(spark.createDataFrame([], schema), held_column()).count() == 0
-    got = lm.ppm_scores(spark.createDataFrame([(1, "a b", "en"), (1, "a b", "en")], schema), F.lit(True)).collect()
-    assert len(got) == 2 and got[0]["n_known"] == 0 and got[0]["score"] == pytest.approx(5 * math.log10(1 / 256), rel=1e-6)
+    got = lm.ppm_scores(spark.createDataFrame([(1, "a b"), (1, "a b")], schema), F.lit(True)).collect()
+    assert len(got) == 2 and got[0]["n_known"] == 0 and got[0]["score"] == pytest.approx(4 * math.log10(1 / 256), rel=1e-6)
 
 
 def test_ppm_is_a_distribution_over_next_symbols(spark):
-    """Symbols after a context: probabilities of all one-byte continuations of a word sum to at most 1, close to it."""
-    rows = [(i, t, "en") for i, t in enumerate(["ab ab ac", "abc ab", "b"] * 5)]
-    probe = [(10_000 + i, chr(i), "en") for i in range(33, 127)]
-    got = {r["doc_id"]: r["score"] for r in lm.ppm_scores(spark.createDataFrame(rows + probe, "doc_id long, text string, lang string"), F.col("doc_id") >= 10_000).collect()}
-    end = math.log10(15 / (15 + 35))
-    assert 0 < sum(10 ** (got[i] - end) for i, *_ in probe) <= 1.0001
-
-
-def test_ppm_contexts_cross_words(spark):
-    """The order of the words and the white space between them matter; windows reach back over the text as it runs."""
-    rows = [(i, "one two\nsix ten " * 5, "en") for i in range(20)]
-    probe = [(100, "one two\nsix ten", "en"), (101, "ten six two\none", "en"), (102, "one two six ten", "en")]
-    df = spark.createDataFrame(rows + probe, "doc_id long, text string, lang string")
-    got = {r["doc_id"]: r["score"] for r in lm.ppm_scores(df, F.col("doc_id") >= 100, running=True).collect()}
+    """Symbols after a context: probabilities of all one-byte continuations sum to at most 1, close to it."""
+    rows = [(i, t) for i, t in enumerate(["ab ab ac", "abc ab", "b"] * 5)]
+    probe = [(10_000 + i, "ab" + chr(i)) for i in range(1, 127) if chr(i) == chr(i).lower()] + [(10_000, "ab")]
+    got = {r["doc_id"]: r["score"] for r in lm.ppm_scores(spark.createDataFrame(rows + probe, "doc_id long, text string"), F.col("doc_id") >= 10_000).collect()}
+    want = {i: s for i, _, _, _, _, _, s in ppm_by_hand([(i if i < 10_000 else i * 7, t) for i, t in rows], 5)}
+    assert len(want) == len(rows) and 0 < sum(10 ** got[i] for i, *_ in probe) <= 1
+
+
+def test_ppm_contexts_cross_words_and_find_copies(spark):
+    """The order of the words and the white space between them matter; a text whose copy was learnt from scores far above others."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    texts = [" ".join(word() for _ in range(150)) for _ in range(60)]
+    rows = [(i, "one two\nsix ten " * 5) for i in range(20)] + [(200 + i, t) for i, t in enumerate(texts)] + [(300, texts[0])]
+    probe = [(100, "one two\nsix ten"), (101, "ten six two\none"), (102, "one two six ten"), (400, texts[1])]
+    df = spark.createDataFrame(rows + probe, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.ppm_scores(df, F.col("doc_id").isin(*[i for i, _ in probe])).collect()}
     assert got[100] > got[101] + 1 and got[100] > got[102] + 1
-    code, n = lm.windows([lm.stream(x, True) for x in (b"one two\nsix", b"")], 5, True)
-    texts = [b" one two\nsix\xff", b" \xff"]
-    want = [t[max(0, k - 5) : k + 1] for t in texts for k in range(1, len(t))]
-    assert code.tolist() == [len(w) << 56 | int.from_bytes(w, "big") for w in want] and n.tolist() == [12, 1]
+    alone = [got[200 + i] for i in range(2, 60)]
+    for i in (200, 300, 400):  # in training twice, in training once and scored once
+        assert got[i] > max(alone) + 50
+    assert got[201] < max(alone) + 50  # its copy was not learnt from
 
 
 def toxic_corpus(seed, n=400):
