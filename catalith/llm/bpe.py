@@ -7,7 +7,9 @@ are ordered so; checked on loading), this equals merging each word on its own.
 
 Defined results: null text is the empty text, which has no ids and decodes to ''. Repeated rows are encoded each. The
 strings of special tokens in a text are the special ids, as the library has it. Rows may be of any length: a text is
-split at white space, and only words not seen before by the Python worker are merged.
+read in pieces of about PIECE_CHARS, cut at white space, and only words not in the Python worker's store (REMEMBER words at
+most, and those of one piece) are merged. An empty table gives an empty table. Ties do not occur: ranks are distinct. Columns
+other than the key and the text are not read and not returned, so none can clash.
 """
 
 from __future__ import annotations
@@ -22,15 +24,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from catalith.session import ship
 
+PIECE_CHARS, REMEMBER = 500_000, 100_000
 _LETTER = "a-zªµºß-öø-ÿĀ-įı-ſ"
 _DIGIT = "0-9²³¹¼-¾"
 #: Texts of only these characters need no Unicode normalisation and have the same classes in every regex library.
 _ODD = re.compile("[^\t\n\r -~¡-¬®-Įįı-ſ‐-‧€]")
+_BLANK = re.compile("[ \t\n\r]")
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+")
 
 
@@ -56,7 +61,7 @@ class Slots(dict):
 class PairIndexEncoder:
     """A vocabulary of word-end BPE (JSON of the tokenizers library), with a bounded store of words already encoded."""
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = REMEMBER):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = dict(spec["model"]["vocab"])
@@ -218,19 +223,30 @@ class PairIndexEncoder:
         return out
 
     def encode_many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, and where each text begins and ends. New words of all of them are indexed together."""
+        """Ids of all texts end to end, and where each text begins and ends."""
+        pieces, upto = [], [0]
+        for t in texts:
+            pieces += cut(t or "")
+            upto.append(len(pieces))
+        done = [self._encode_piece(pieces[a:b]) for a, b in slices(pieces)]
+        counts = np.concatenate([n for _, n in done]) if done else np.zeros(0, np.int64)
+        ids = done[0][0] if len(done) == 1 else np.concatenate([np.zeros(0, np.int32), *(i for i, _ in done)])
+        return ids, np.concatenate([[0], np.cumsum(counts)])[upto]
+
+    def _encode_piece(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and the number of each text's. New words of all of them are indexed together."""
         if len(self.store) > self.remember:
             self.reset()
         keys = [self._keys(t) if t else [] for t in texts]
         n = np.fromiter(map(len, keys), np.int64, len(keys))
-        slots = np.fromiter(map(self.store.__getitem__, itertools.chain.from_iterable(keys)), np.int64, int(n.sum()))
+        slots = np.fromiter(map(self.store.__getitem__, itertools.chain.from_iterable(keys)), np.int32, int(n.sum()))
         del keys
         self.learn()
         first = self.bounds[slots]
         count = self.bounds[slots + 1] - first
         upto = np.concatenate([[0], np.cumsum(count)])
         ids = self.flat[np.repeat(first - upto[:-1], count) + np.arange(upto[-1])]
-        return ids, upto[np.concatenate([[0], np.cumsum(n)])]
+        return ids, np.diff(upto[np.concatenate([[0], np.cumsum(n)])])
 
     def decode(self, ids: np.ndarray) -> str:
         """Token strings joined by blanks, as the library decodes where its file names no decoder."""
@@ -243,8 +259,18 @@ def encoder(path: str) -> PairIndexEncoder:
     return PairIndexEncoder(path)
 
 
-def slices(texts: list, chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def cut(text: str) -> list[str]:
+    """A text as it is, or a long one in pieces of about PIECE_CHARS that end before white space."""
+    out, at = [], 0
+    while len(text) - at > PIECE_CHARS and (m := _BLANK.search(text, at + PIECE_CHARS)):
+        out.append(text[at : m.start()])
+        at = m.start()
+    return [*out, text[at:]] if at else [text]
+
+
+def slices(texts: list, chars: int | None = None) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about so many characters each, so that a batch of long texts stays small in memory."""
+    chars = chars or PIECE_CHARS
     start = size = 0
     for i, t in enumerate(texts):
         size += len(t or "")
@@ -255,6 +281,19 @@ def slices(texts: list, chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def parts(batch: pa.RecordBatch, column: int, size: int = 2 * PIECE_CHARS) -> Iterator[pa.RecordBatch]:
+    """A batch in slices with about so many bytes of text each; texts become Python strings a slice at a time."""
+    bytes_of = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start = total = 0
+    for i, n in enumerate(bytes_of.tolist(), 1):
+        total += n
+        if total >= size:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+    if start < len(batch):
+        yield batch.slice(start)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", decode: bool = False) -> DataFrame:
     """One row for each of docs: the key, n_tokens, ids (binary, little-endian unsigned 32-bit), decoded if asked for.
 
@@ -266,15 +305,14 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
         out.add("decoded", T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from catalith.llm.bpe import encoder, slices
+        from catalith.llm.bpe import encoder, parts
 
         enc = encoder(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                ids, upto = enc.encode_many(texts[a:b])
+            for part in parts(batch, 1):
+                ids, upto = enc.encode_many(part.column(1).to_pylist())
                 data = [None, pa.py_buffer((4 * upto).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))]
-                cols = [batch.column(0).slice(a, b - a), pa.array(np.diff(upto)), pa.Array.from_buffers(pa.binary(), b - a, data)]
+                cols = [part.column(0), pa.array(np.diff(upto)), pa.Array.from_buffers(pa.binary(), len(part), data)]
                 if decode:
                     cols.append(pa.array([enc.decode(ids[i:j]) for i, j in itertools.pairwise(upto.tolist())], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in out])

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -44,6 +45,16 @@ def test_many_positions_merge_as_single_ones(library):
         assert ids[i:j].tolist() == library.encode(w, add_special_tokens=False).ids
 
 
+def test_long_texts_in_pieces_and_a_small_store_change_nothing(library, monkeypatch):
+    monkeypatch.setattr(bpe, "PIECE_CHARS", 100)
+    texts = [*random_texts(100, 7), "x" * 1000, "ab\u0301 cd " * 90, "<|endoftext|> q" * 60, None, "\n" * 500, " ".join(random_texts(50, 8))]
+    enc = bpe.PairIndexEncoder(PATH, remember=50)
+    ids, upto = enc.encode_many(texts)
+    for t, i, j in zip(texts, upto, upto[1:], strict=False):
+        assert ids[i:j].tolist() == library.encode(t or "", add_special_tokens=False).ids
+    assert len(enc.store) < 50 + 150 and enc.encode_many([])[1].tolist() == [0]
+
+
 def pieces_by_document(rows):
     out = {}
     for r in rows:
@@ -74,6 +85,26 @@ def test_packing_is_a_partition_of_all_ids(spark, docs, library, capacity):
         padding += 0 if size & (size - 1) == 0 else capacity - size
         total += size
     assert padding <= 0.01 * total
+    assert {r["made"] for r in rows} <= {"placed", "joined", "topped", "cut"} and all(len({p["made"] for p in x}) == 1 for x in by_sequence.values())
+
+
+def test_packing_places_or_joins_most_and_bounds_what_is_open():
+    rng = random.Random(6)
+    p, made, most = packing.SquareSumPacker(2048, most_open=500), {}, 0
+    sizes = [min(2047, int(rng.lognormvariate(6, 1)) + 1) for _ in range(4000)]
+    done = {}
+    for doc, size in enumerate(sizes):
+        for how, window in p.place(doc, 0, size):
+            made[how] = made.get(how, 0) + sum(x[2] for x in window)
+            done.update({(d, a): n for d, a, n in window})
+        most = max(most, p.n_open)
+    for how, window in p.drain():
+        made[how] = made.get(how, 0) + sum(x[2] for x in window)
+        done.update({(d, a): n for d, a, n in window})
+    assert most <= 501 and sum(made.values()) == sum(sizes) == sum(done.values()) and p.n_open == 0
+    pieces = Counter(d for d, _ in done)
+    assert made["cut"] < 2048 and made["placed"] > 0.3 * sum(sizes), made
+    assert sum(n > 1 for n in pieces.values()) < 0.15 * len(sizes)  # most documents stay whole
 
 
 def test_square_sum_level_is_the_cheapest():
