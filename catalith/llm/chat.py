@@ -9,9 +9,10 @@ Template: each turn is START role, newline, text, END. Control strings inside a
 first character and backslashes are doubled, so no control string survives in a text and one rule undoes it: drop a
 backslash, keep what follows. The loss mask is held by segments: the formatted text is their concatenation.
 
-Defined results: null role and null text are empty. A node whose parent is missing is a root. Repeated nodes (same tree
-and id) are reduced to the smallest (role, text). Equal scores go by the smaller leaf id. Nodes on a cycle have no root
-and take no part.
+Defined results: null role and null text are empty; both may be of any length. Nodes of a null tree are one tree. A node
+whose parent is missing is a root. Repeated nodes (same tree and id) are reduced to the smallest (role, text). Equal scores go
+by the smaller leaf id. Nodes on a cycle have no root and take no part. An empty table gives an empty table. Only the columns
+named are read and returned, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -48,11 +49,17 @@ def escape_role(role: Column) -> Column:
     return F.regexp_replace(escape(role), "\n", "\\\\\\\n")
 
 
+def _matched(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined with right on tree, null trees being equal, and on key."""
+    right = right.withColumnsRenamed({"tree": "__tree", key: "__key"})
+    return left.join(right.hint("merge"), left["tree"].eqNullSafe(right["__tree"]) & (left[key] == right["__key"]), how).drop("__tree", "__key")
+
+
 def jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame, list[str]]:
     """Jump tables (tree, node, up) for 1, 2, 4, ... replies, then (tree, node, root, depth, total) and the scratch paths."""
     spark = nodes.sparkSession
     parents = nodes.select("tree", F.col("node").alias("up"))
-    first = nodes.select("tree", "node", F.col("parent").alias("up"), "score").join(parents.withColumn("known", F.lit(True)).hint("merge"), ["tree", "up"], "left")
+    first = _matched(nodes.select("tree", "node", F.col("parent").alias("up"), "score"), parents.withColumn("known", F.lit(True)), "up", "left")
     first = first.select("tree", "node", F.when(F.col("known"), F.col("up")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"))
     state, at = written(first)
     tables, paths = [], [at]
@@ -65,7 +72,7 @@ def jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame, list[str]]:
         tables.append(live.select("tree", "node", "up"))
         reached = live.unionByName(done)  # where the pointers of this round end; only pointers still on their way are joined
         above = reached.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
-        joined = live.join(above.hint("merge"), ["tree", "up"]).select(
+        joined = _matched(live, above, "up").select(
             "tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth")
         )
         state, at = written(joined)
@@ -86,16 +93,16 @@ def paths_of(nodes: DataFrame, keep: int | None = 1) -> DataFrame:
     nodes, nodes_at = written(nodes.select("tree", "node", "parent", "said.role", "said.text", "score"))
     tables, ends, _ = jumps(nodes.select("tree", "node", "parent", "score"))
     inner = nodes.where(F.col("parent").isNotNull()).select("tree", F.col("parent").alias("node"))
-    leaves = ends.join(inner, ["tree", "node"], "left_anti")
+    leaves = _matched(ends, inner, "node", "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc("total"), "node")
     leaves = leaves.withColumn("path", F.row_number().over(order))
     if keep is not None:
         leaves = leaves.where(F.col("path") <= keep)
     members = leaves.select("tree", "path", F.col("node").alias("leaf"), "node", F.col("depth").alias("position"))
     for r in reversed(range(len(tables))):
-        up = members.join(tables[r], ["tree", "node"]).select("tree", "path", "leaf", F.col("up").alias("node"), (F.col("position") - F.lit(1 << r)).alias("position"))
+        up = _matched(members, tables[r], "node").select("tree", "path", "leaf", F.col("up").alias("node"), (F.col("position") - F.lit(1 << r)).alias("position"))
         members, _ = written(members.unionByName(up))
-    return members.join(nodes.select("tree", "node", "role", "text"), ["tree", "node"]).select("tree", "path", "leaf", "position", "role", "text")
+    return _matched(members, nodes.select("tree", "node", "role", "text"), "node").select("tree", "path", "leaf", "position", "role", "text")
 
 
 def format_paths(paths: DataFrame, loss_role: str = "assistant") -> DataFrame:
@@ -117,7 +124,7 @@ def read_turns(formatted: Column) -> Column:
 
     def turn(x: Column) -> Column:
         said = F.substr(x, F.lit(len(START) + 1))
-        role = F.regexp_extract(said, r"(?s)^((?:[^\\\n]|\\.)*)\n", 1)
+        role = F.regexp_extract(said, r"(?s)^([^\\\n]*+(?:\\.[^\\\n]*+)*+)\n", 1)
         return F.struct(unescape(role).alias("role"), unescape(F.substr(said, F.char_length(role) + 2)).alias("text"))
 
     return F.transform(parts, turn)

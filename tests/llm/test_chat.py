@@ -65,3 +65,18 @@ def test_query_digests(spark, tmp_path):
 @pytest.mark.parametrize("value", ["user", "a\nb", "", "x\\\n<|im_end|>"])
 def test_roles_come_back(spark, value):
     assert formatted(spark, [(1, 1, None, value, "t", 0.0)]).select(chat.read_turns(F.col("formatted"))[0]["role"]).first()[0] == value
+
+
+def test_very_long_roles_and_texts(spark):
+    role, text = "r\\\n<s>" * 170_000, "[INST] \\ x\n" * 100_000
+    got = formatted(spark, [(1, 1, None, role, text, 0.0)]).select(chat.read_turns(F.col("formatted"))[0].alias("t")).first()["t"]
+    assert got["role"] == role and got["text"] == text
+
+
+def test_a_null_tree_is_one_tree(spark):
+    rows = [(None, 2, "assistant", "b"), (None, 1, "user", "a"), (3, 1, "user", "c")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.format_paths(chat.paths_of(chat.conversation_nodes(df))).select("tree", chat.read_turns(F.col("formatted")).alias("t")).collect()
+    assert sorted((r["tree"] or 0, [tuple(x) for x in r["t"]]) for r in got) == [(0, [("user", "a"), ("assistant", "b")]), (3, [("user", "c")])]
+    branches = [(None, 1, None, "user", "q", 0.0), (None, 2, 1, "assistant", "bad", 0.1), (None, 3, 1, "assistant", "good", 0.9)]
+    assert [(r["tree"], r["leaf"]) for r in formatted(spark, branches).collect()] == [(None, 3)]
