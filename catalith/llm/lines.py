@@ -1,14 +1,15 @@
 """Operator 3: line dedup with levelled sorted runs of line hashes. DataFrame functions only.
 
-Documents come in batches. Every batch merge-anti-joins the runs so far: line keys that no run holds form the batch's own
+Documents come in batches, more of them than `fanout`, so that later ones look at compacted runs. Every batch merge-anti-joins the runs so far: line keys that no run holds form the batch's own
 run (level 0), sorted by hash and bucketed, with the number of documents and the largest document id of each key. Keys
 that a run does hold go to a second, much smaller family of runs, the repeats. When a family has `fanout` runs of one
 level they are merged into one run of the next level. So a key is in one first-seen run at most, and only keys that come
 again cost more than one look. A key's total is its first-seen count plus its repeats.
 
-Defined results: null or empty text is one empty line. A row is a document; rows that repeat a doc_id count each, and
-decisions hold for all rows of that doc_id. A tie cannot occur: the keeper is the largest doc_id. Rows with a null
-doc_id keep all their lines and are not counted. Columns besides text stay as they are.
+Defined results: null or empty text is one empty line. Rows that repeat a doc_id are one document in the counts and keep a
+result each; decisions hold for all of them. A tie cannot occur: the keeper is the largest doc_id. Rows with a null doc_id
+keep all their lines and are not counted. Lines and texts may be of any length. An empty table gives an empty table. All
+columns stay, but for text, n_lines and n_dropped, which are replaced where the input has them.
 """
 
 from __future__ import annotations
@@ -19,16 +20,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.session import drop_path, scratch, written
+from catalith.session import drop_path, scratch, unused, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["h1", "h2"]
 LEAST_BUCKETS, BUCKET_KEYS = 8, 1_000_000
+BATCHES, FANOUT = 5, 3
 
 
 def line_key(line: Column) -> Column:
     """The line without white space at its ends, ASCII letters in lower case."""
-    return F.translate(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), UPPER, LOWER)
+    return F.translate(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), UPPER, LOWER)
 
 
 def key_hash(line: Column) -> Column:
@@ -50,7 +52,7 @@ def line_hashes(docs: DataFrame, min_chars: int, text: str = "text", key: str =
 class LineRuns:
     """Runs of (h1, h2, n, top) in levels, as bucketed sorted tables in the shared folder."""
 
-    def __init__(self, spark: SparkSession, buckets: int, fanout: int = 4):
+    def __init__(self, spark: SparkSession, buckets: int, fanout: int = FANOUT):
         self.spark, self.buckets, self.fanout = spark, buckets, fanout
         self.name = f"line_runs_{uuid.uuid4().hex}"
         self.made = 0
@@ -102,7 +104,7 @@ class LineRuns:
         drop_path(self.spark, path)
 
     def repeated(self, min_docs: int) -> DataFrame:
-        """Keys found in at least min_docs documents and the largest document id that holds each."""
+        """Keys found in at least min_docs rows and the largest document id that holds each."""
         first = again = None
         for run in self.runs("first"):
             first = run if first is None else first.unionByName(run)
@@ -123,30 +125,31 @@ class LineRuns:
 
 
 def drop_repeated_lines(
-    docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, buckets: int | None = None, text: str = "text", key: str = "doc_id"
+    docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = BATCHES, buckets: int | None = None, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
     """docs with the text less its repeated lines, and n_lines (before), n_dropped.
 
     Three passes over the input: keys into the runs, keys against the repeated ones, texts against their own list of lost
-    lines. Only hashes are shuffled in the first two; the last is a join on doc_id."""
+    lines. Only hashes are shuffled in the first two; the last is a join on doc_id that shuffles the texts once."""
     spark = docs.sparkSession
-    for c in ("n_lines", "n_dropped"):
-        if c in docs.columns:
-            docs = docs.drop(c)
-    keys, keys_at = written(line_hashes(docs, min_chars, text, key).withColumn("batch", F.pmod(F.xxhash64(key), F.lit(batches))))
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")])
+    ident, lost_, lines_, kept_ = unused([*docs.columns, "n_lines", "n_dropped"], "id", "lost", "lines", "kept")
+    keys, keys_at = written(line_hashes(docs, min_chars, text, key).select(F.col(key).alias("id"), *KEY, F.pmod(F.xxhash64(key), F.lit(batches)).alias("batch")))
     runs = LineRuns(spark, buckets or max(LEAST_BUCKETS, math.ceil(keys.count() / BUCKET_KEYS)))
     for b in range(batches):
-        runs.add(keys.where(F.col("batch") == b).drop("batch"), key)
+        runs.add(keys.where(F.col("batch") == b).drop("batch"), "id")
     repeated, repeated_at = written(runs.repeated(min_docs))
     runs.close()
     # merge joins at every size: none of the sides has a proven bound, and hot keys are split by AQE
-    lost = keys.join(repeated.hint("merge"), KEY).where(F.col(key) < F.col("top")).select(F.col(key).alias("__id"), F.struct(*KEY).alias("h"))
-    lost, _ = written(lost.groupBy("__id").agg(F.collect_set("h").alias("__lost")))
-    drop_path(spark, keys_at)
-    drop_path(spark, repeated_at)
-    joined = docs.join(lost.hint("merge"), F.col(key) == F.col("__id"), "left").withColumn("__lines", lines_of(F.col(text)))
-    stays = F.filter("__lines", lambda x: ~((F.char_length(line_key(x)) >= min_chars) & F.array_contains("__lost", key_hash(line_key(x)))))
-    kept = F.when(F.col("__lost").isNull(), F.col("__lines")).otherwise(stays)
-    joined = joined.withColumn("__kept", kept)
-    out = {text: F.array_join("__kept", "\n"), "n_lines": F.size("__lines").cast("long"), "n_dropped": (F.size("__lines") - F.size("__kept")).cast("long")}
-    return joined.withColumns(out).drop("__id", "__lost", "__lines", "__kept")
+    hits, hits_at = written(keys.select("id", *KEY).join(repeated.hint("merge"), KEY))
+    # rows that repeat a doc_id are one document
+    shared, shared_at = written(hits.select("id", *KEY).distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select(*KEY))
+    lost = hits.where(F.col("id") < F.col("top")).join(shared.hint("merge"), KEY, "left_semi")
+    lost, _ = written(lost.groupBy(F.col("id").alias(ident)).agg(F.collect_set(F.struct(*KEY)).alias(lost_)))
+    for p in (keys_at, repeated_at, hits_at, shared_at):
+        drop_path(spark, p)
+    joined = docs.join(lost.hint("merge"), F.col(key) == F.col(ident), "left").withColumn(lines_, lines_of(F.col(text)))
+    stays = F.filter(lines_, lambda x: ~((F.char_length(line_key(x)) >= min_chars) & F.array_contains(lost_, key_hash(line_key(x)))))
+    joined = joined.withColumn(kept_, F.when(F.col(lost_).isNull(), F.col(lines_)).otherwise(stays))
+    out = {text: F.array_join(kept_, "\n"), "n_lines": F.size(lines_).cast("long"), "n_dropped": (F.size(lines_) - F.size(kept_)).cast("long")}
+    return joined.withColumns(out).drop(ident, lost_, lines_, kept_)

@@ -80,7 +80,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     done = chat.format_paths(chat.paths_of(chat.conversation_nodes(rows)))
     turns = F.array_join(F.transform(chat.read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -124,14 +124,14 @@ SELECT * FROM r WHERE rank <= 5
 _KEY = "translate(regexp_replace(l, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP3_SQL = f"""
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-     e AS (SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM d),
-     k AS (SELECT doc_id, i, l, {_KEY} AS k FROM e),
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+     e AS (SELECT row_id, doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM d),
+     k AS (SELECT row_id, doc_id, i, l, {_KEY} AS k FROM e),
      r AS (SELECT k, max(doc_id) AS top FROM k WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
-     s AS (SELECT k.doc_id, i, l, r.k IS NOT NULL AND k.doc_id < top AS lost FROM k LEFT JOIN r ON k.k = r.k)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
+     s AS (SELECT row_id, k.doc_id, i, l, r.k IS NOT NULL AND coalesce(k.doc_id < top, false) AS lost FROM k LEFT JOIN r ON k.k = r.k)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
        sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT lost), '')) AS kept_sha256
-FROM s GROUP BY doc_id
+FROM s GROUP BY row_id
 """
 
 

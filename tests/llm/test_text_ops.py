@@ -162,6 +162,28 @@ def test_line_dedup_empty_and_null_ids(spark, docs):
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_dropped"]) for r in got) == [(-1, 0)] * 3 + [(0, 1), (1, 1), (2, 1), (3, 1), (4, 0), (4, 0)]
 
 
+def test_line_dedup_counts_documents_not_rows(spark, docs):
+    line = "a line that is long enough to be looked at by this"
+    got = lines.drop_repeated_lines(docs([(1, line)] * 4 + [(7, line)]), buckets=2).collect()
+    assert [r["n_dropped"] for r in got] == [0] * 5
+    got = lines.drop_repeated_lines(docs([(i % 5, f"{i}\n{line}\n{line}") for i in range(20)]), buckets=2).collect()
+    assert sorted((r["doc_id"], r["n_dropped"], r["n_lines"]) for r in got) == sorted([(i, 0 if i == 4 else 2, 3) for i in range(5)] * 4)
+
+
+def test_line_keys_strip_only_white_space_and_are_quick(spark):
+    rows = ["abc  \x85", " \t abc\u2028", "\x0b\x0cA B\r ", "x" + " " * 300_000 + "x", " " * 100_000]
+    got = [r["k"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string").orderBy("i").select(lines.line_key(F.col("x")).alias("k")).collect()]
+    assert got == ["abc  \x85", "abc\u2028", "a b", rows[3], ""]
+
+
+def test_line_dedup_keeps_other_columns_of_any_name(spark, docs):
+    line = "a line that is long enough to be looked at by this"
+    df = docs({i: f"{line}\n{i}" for i in range(6)}).withColumns({c: F.lit(c) for c in ("lost", "_lost", "id", "LINES", "kept", "h1", "batch", "N_lines")})
+    got = lines.drop_repeated_lines(df, buckets=2).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == [*map(str, range(5)), f"{line}\n5"]
+    assert all(r[c] == c for r in got for c in ("lost", "_lost", "id", "LINES", "kept", "h1", "batch")) and got[0]["n_lines"] == 2
+
+
 RULES = [urls.UrlRule("com", "/", "allow"), urls.UrlRule("example.com", "/en/", "block"), urls.UrlRule("www.example.com", "/en/", "allow"), urls.UrlRule("net", "/es/", "block")]
 
 
