@@ -13,8 +13,10 @@ A link of the required similarity is missed if no band agrees (18 bands of 4: 7.
 the estimate is 4 standard deviations low (3e-5), and then only if no other link connects the two.
 
 Defined results: null text and texts without words have an empty set and are linked with nothing. Texts of fewer words than
-a shingle are one shingle. Rows that repeat a doc_id are one node of the graph, each with its own n_shingles. Rows with a
-null doc_id are dropped. Other columns do not matter.
+a shingle are one shingle. Rows that repeat a doc_id are one node of the graph, each with its own n_shingles: all sets of a
+doc_id are in one component. Rows with a null doc_id are dropped. Texts may be of any length; a task holds the sets of 512
+texts at a time. An empty table gives an empty table. Columns other than the key and the text are not read and not returned,
+so none can clash.
 """
 
 from __future__ import annotations
@@ -114,12 +116,12 @@ def least_estimate(similarity: float, sigmas: float = 4.0) -> float:
 
 
 SIGNATURE = T.StructType(
-    [T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))]
+    [T.StructField("doc_id", T.LongType()), T.StructField("of_text", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))]
 )
 
 
 def signatures(docs: DataFrame, width: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles and, for sets that are not empty, f1, f2, bands, bits."""
+    """doc_id, of_text (hash of the text as it is), n_shingles and, for sets that are not empty, f1, f2, bands, bits."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +130,7 @@ def signatures(docs: DataFrame, width: int, text: str = "text", key: str = "doc_
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
-                sets = [shingles(t, width) for t in part.column(1).to_pylist()]
+                sets = [shingles(t, width) for t in part.column(2).to_pylist()]
                 some = [i for i, s in enumerate(sets) if len(s)]
                 f1, f2 = (np.zeros(len(sets), np.uint64) for _ in range(2))
                 bands, bits = [None] * len(sets), [None] * len(sets)
@@ -142,10 +144,10 @@ def signatures(docs: DataFrame, width: int, text: str = "text", key: str = "doc_
                         bands[i], bits[i] = x, y
                         f1[i], f2[i] = mixed(sets[some[n]] + np.uint64(1)).sum(), mixed(sets[some[n]] ^ np.uint64(0x5851F42D4C957F2D)).sum()
                 empty = np.array([not len(s) for s in sets])
-                cols = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1.view(np.int64), mask=empty), pa.array(f2.view(np.int64), mask=empty), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "f1", "f2", "bands", "bits"])
+                cols = [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1.view(np.int64), mask=empty), pa.array(f2.view(np.int64), mask=empty), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "of_text", "n_shingles", "f1", "f2", "bands", "bits"])
 
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, SIGNATURE)
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("of_text"), text).mapInArrow(run, SIGNATURE)
 
 
 class Forest:
@@ -187,15 +189,15 @@ def links_in_tile(ids: list[int], labels: list[int], near: list[bool], texts: li
 
 
 def _linked(tiles: DataFrame, width: int, percent: int) -> DataFrame:
-    """tiles: tile (string), id, label, near, text, bits. Rows of a tile are brought together by one shuffle and sort."""
+    """tiles: tile (string), id, of_text, label, near, text, bits. Rows of a tile are brought together by one shuffle and sort."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from catalith.llm.neardup import links_in_tile
 
         def done(rows: list[dict]) -> list[tuple[int, int]]:
-            seen = {r["id"]: r for r in rows}  # a member that is there as itself and as the centre counts once
+            seen = {(r["id"], r["of_text"]): r for r in rows}  # a member that is there as itself and as the centre counts once
             for r in rows:
-                seen[r["id"]]["near"] |= r["near"]
+                seen[r["id"], r["of_text"]]["near"] |= r["near"]
             r = list(seen.values())
             if len(r) < 2:
                 return []
@@ -224,14 +226,22 @@ def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
 
     Large-star and small-star rounds in turn; each is a minimum by node, joined back, so a node of many edges is no single task."""
 
+    scrap: list[str] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        """Written, so that it is joined by a plain shuffle and AQE can split a node of many edges."""
+        out, path = written(df)
+        scrap.append(path)
+        return out
+
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
             both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-            return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            least = kept(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+            return both.where(F.col("v") > F.col("u")).join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = kept(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        least = kept(down.groupBy("u").agg(F.min("v").alias("m")))
+        moved = down.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
     def state(e: DataFrame) -> tuple:
@@ -241,7 +251,9 @@ def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
     was = state(edges)
     while was[0]:
         turned, path = written(star(star(edges, large=True), large=False))
-        drop_path(edges.sparkSession, at)
+        for p in (at, *scrap):
+            drop_path(edges.sparkSession, p)
+        scrap.clear()
         edges, at, now = turned, path, state(turned)
         if now == was:
             break
@@ -264,51 +276,70 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     some = sig.where(F.col("n_shingles") > 0)
     classes, _ = written(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("cls")))
     same = [some["doc_id"] == classes["cls"], some["f1"] == classes["f1"], some["f2"] == classes["f2"]]
-    reps = some.join(classes, same, "left_semi").select(F.col("doc_id").alias("id"), "bands", "bits")
+    reps = some.join(classes, same, "left_semi").select(F.col("doc_id").alias("id"), "of_text", "bands", "bits")
     rows = reps.select("id", F.explode("bands").alias("band"))
     full = rows.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("size")).where("least <> most").select("band", "size")
     full, full_at = written(full)  # aggregates are written before they are joined: AQE then can split a hot band
     members, members_at = written(rows.join(full.hint("merge"), "band"))
-    weight = members.groupBy("id").agg(F.sum("size").alias("weight"))
-    centre = members.join(weight, "id").groupBy("band").agg(F.max(F.struct("weight", -F.col("id"))).alias("best")).select("band", (-F.col("best.col2")).alias("centre"))
+    weight, weight_at = written(members.groupBy("id").agg(F.sum("size").alias("weight")))
+    centre = members.join(weight.hint("merge"), "id").groupBy("band").agg(F.max(F.struct("weight", -F.col("id"))).alias("best")).select("band", (-F.col("best.col2")).alias("centre"))
     centre, centre_at = written(centre)
     group = members.join(centre.hint("merge"), "band").select("centre", "id").distinct()
-    sizes = F.count(F.lit(1)).cast("double")
     group, group_at = written(group)
-    for p in (full_at, members_at, centre_at):
-        drop_path(spark, p)
-    blocks = group.groupBy("centre").agg(F.ceil(sizes / BLOCK).cast("int").alias("blocks"))
+    blocks, blocks_at = written(group.groupBy("centre").agg(F.ceil(F.count(F.lit(1)).cast("double") / BLOCK).cast("int").alias("blocks")))
     wanted, wanted_at = written(group.select("id").distinct())
-    # texts and bits of the members only
-    held = _with_ids(docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")), wanted, "id")
-    held = held.join(reps.select("id", "bits"), "id").groupBy("id").agg(F.min(F.struct("text", "bits")).alias("x")).select("id", "x.text", "x.bits")
+    # texts and bits of the members only; rows that repeat an id and a text are one
+    held = _with_ids(docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("of_text"), F.coalesce(F.col(text), F.lit("")).alias("text")), wanted, "id")
+    held = held.join(reps.select("id", "of_text", "bits").hint("merge"), ["id", "of_text"]).groupBy("id", "of_text").agg(F.min(F.struct("text", "bits")).alias("x")).select("id", "of_text", "x.text", "x.bits")
     held, held_at = written(held)
-    dealt = group.join(blocks, "centre").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = group.join(blocks.hint("merge"), "centre").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt, dealt_at = written(dealt)
     many = blocks.where("blocks > 1").select("centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     tile = lambda *c: F.concat_ws("-", *c)
+    parts = ["tile", "id", "of_text", "label", "near", "text", "bits"]
     inner = dealt.select(tile("centre", "block").alias("tile"), "id").unionByName(many.select(tile("centre", "block").alias("tile"), F.col("centre").alias("id")))
-    inner = inner.join(held, "id").select("tile", "id", F.col("id").alias("label"), F.lit(True).alias("near"), "text", "bits")
-    links, _ = written(_linked(inner, width, percent))
+    inner = inner.join(held.hint("merge"), "id").withColumns({"label": F.col("id"), "near": F.lit(True)}).select(*parts)
+    links, links_at = written(_linked(inner, width, percent))
     known, known_at = components(links)
     known, _ = written(known)
+    drops = [full_at, members_at, weight_at, centre_at, group_at, blocks_at, wanted_at, dealt_at, *known_at]
     # groups of several blocks that are not yet one component: members outside the largest against the other blocks
-    wide = dealt.where("blocks > 1").join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    wide, _ = written(wide)
+    wide = dealt.where("blocks > 1").join(known.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    wide, wide_at = written(wide)
+    drops += [wide_at, held_at]
     if not wide.isEmpty():
         counted = wide.groupBy("centre", "label").agg(F.count(F.lit(1)).alias("n"))
         main = counted.groupBy("centre").agg(F.max(F.struct("n", "label")).alias("x"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("centre", F.col("x.label").alias("main"))
-        open_ = wide.join(main, "centre").withColumn("near", F.col("label") != F.col("main"))
-        active = open_.where("near").select("centre", F.col("block").alias("from")).distinct()
+        main, main_at = written(main)
+        open_, open_at = written(wide.join(main.hint("merge"), "centre").withColumn("near", F.col("label") != F.col("main")))
+        active, active_at = written(open_.where("near").select("centre", F.col("block").alias("from")).distinct())
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         out = open_.where("near").select("centre", F.col("block").alias("from"), other.alias("to"), "id", "label", "near").where("from <> to")
-        into = open_.select("centre", F.col("block").alias("to"), "id", "label").join(active, "centre").where("from <> to").withColumn("near", F.lit(False))
-        cross = out.unionByName(into).select(tile("centre", "from", "to").alias("tile"), "id", "label", "near").join(held, "id")
-        more = _linked(cross.select("tile", "id", "label", "near", "text", "bits"), width, percent)
-        known, _ = components(links.unionByName(more))
-    for p in (group_at, wanted_at):
+        into = open_.select("centre", F.col("block").alias("to"), "id", "label").join(active.hint("merge"), "centre").where("from <> to").withColumn("near", F.lit(False))
+        cross = out.unionByName(into).select(tile("centre", "from", "to").alias("tile"), "id", "label", "near").join(held.hint("merge"), "id")
+        links, more_at = written(links.unionByName(_linked(cross.select(*parts), width, percent)))
+        known, known_at = components(links)
+        known, _ = written(known)
+        drops += [main_at, open_at, active_at, more_at, *known_at]
+    # classes are joined to their components first, then documents to classes by two plain shuffles
+    named, named_at = written(classes.join(known.withColumnRenamed("node", "cls").hint("merge"), "cls", "left").select("f1", "f2", F.coalesce("component", "cls").alias("component")))
+    member = some.select("doc_id", "n_shingles", "f1", "f2").join(named.hint("merge"), ["f1", "f2"])
+    # a doc_id with several sets unites their components
+    member, _ = written(member.select("doc_id", "n_shingles", "component"))
+    united = member.groupBy("doc_id").agg(F.min("component").alias("u"), F.max("component").alias("v")).where("u <> v")
+    united, united_at = written(member.join(united.select("doc_id", "u").hint("merge"), "doc_id").where("component <> u").select(F.col("component").alias("u"), F.col("u").alias("v")))
+    for p in (*drops, links_at, named_at):
         drop_path(spark, p)
-    named = some.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2"])
-    named = named.join(known.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("component_id"))
-    alone = sig.where(F.col("n_shingles") == 0).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return named.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    if united.isEmpty():
+        member = member.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    else:
+        again, again_at = components(united)
+        again, _ = written(again.select(F.col("node").alias("component"), F.col("component").alias("component_id")))
+        for p in again_at:
+            drop_path(spark, p)
+        member = member.join(again.hint("merge"), "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "component").alias("component_id"))
+    drop_path(spark, united_at)
+    # a text without words of a doc_id that has other texts is in their component
+    others = member.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    alone = sig.where(F.col("n_shingles") == 0).join(others.hint("merge"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return member.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))

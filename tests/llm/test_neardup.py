@@ -68,6 +68,19 @@ def test_repeated_rows_null_ids_and_empty_table(spark, docs):
     assert neardup.near_duplicates(docs({}), 3, 85).count() == 0
 
 
+def test_an_id_with_several_texts_is_one_node(spark, docs):
+    a, b, c, d = ("red green blue one two", "sun moon star sky sea", "up down left right in", "oak elm ash fir yew")
+    rows = [(2, b), (5, a), (5, b), (9, a), (5, None), (20, c), (20, d), (21, d), (22, c), (30, "alone here"), (30, ""), (31, "")]
+    got = neardup.near_duplicates(docs(rows), 3, 85).collect()
+    want = {2: 2, 5: 2, 9: 2, 20: 20, 21: 20, 22: 20, 30: 30, 31: 31}
+    assert len(got) == len(rows) and all(r["component_id"] == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == want[r["doc_id"]]) for r in got)
+    # near copies of either text of an id
+    long = lambda w: " ".join(f"{w}{i}" for i in range(100))
+    rows = [(7, long("a")), (7, long("b")), (8, long("a") + " x"), (9, long("b") + " y"), (10, long("c"))]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(rows), 3, 85).collect()}
+    assert got == {7: 7, 8: 7, 9: 7, 10: 10}
+
+
 def test_estimates_are_near_the_truth():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 2000, dtype=np.uint64)
