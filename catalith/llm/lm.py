@@ -16,7 +16,8 @@ How it runs: documents are dealt into chunks of bounded size. A chunk yields its
 with counts. Windows summed over all chunks make the trie, which is evaluated for each distinct window, level by level with
 joins on the suffix; of the segment contexts only those found more than once go on. Every chunk gets back its own values and
 then streams its documents past them. No table of the corpus is broadcast; memory is bounded by a chunk's distinct words and
-windows. A window of up to 7 bytes is one long: its length and its bytes.
+windows. A window of up to 7 bytes is one long: its length and its bytes. Words, like segments, go by fingerprints of 63 bits or
+more (a clash among a billion words has a chance of some per cent, and then changes two words' counts).
 
 Defined results: null text is empty: one token, the end. Rows that repeat a doc_id are scored each. Rows with a null doc_id
 count as training rows. Without training rows all symbols are equally likely. Texts of any length are read in parts of
@@ -26,6 +27,7 @@ PART_BYTES, at which a segment ends. Columns other than the key and the text do
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +38,12 @@ from pyspark.sql import functions as F
 from catalith.session import drop_path, scratch, ship, written
 
 CHUNK_BYTES, LEAST_CHUNKS = 48_000_000, 12
-BLOCK_BYTES, PART_BYTES = 1_000_000, 1_000_000
+BLOCK_BYTES, PART_BYTES, LONGEST_WORD = 500_000, 500_000, 4_000_000
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 SEGMENT = 64
 LENGTH_BITS = 56
 END = b"\xff"  # no byte of UTF-8
+ODD = 0xE7037ED1A0B428DB
 _NONE = np.uint64(2**64 - 1)
 
 
@@ -51,6 +55,16 @@ def mixed(codes: np.ndarray) -> np.ndarray:
     return h
 
 
+def byte_numbers() -> np.ndarray:
+    """A number for each byte of a word; white space and the end symbol count nothing."""
+    out = mixed(np.arange(1, 257, dtype=np.uint64))
+    out[[*range(9, 14), 32, 255]] = 0
+    return out
+
+
+_OF_BYTE = byte_numbers()
+
+
 class CodeTable:
     """Numbers by code (below 2**64 - 1), all codes of an array at once: open addressing, so a look-up is a few array reads."""
 
@@ -103,76 +117,86 @@ class CodeTable:
         return at
 
 
-def groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about BLOCK_BYTES each."""
-    start = size = 0
-    for i, n in enumerate(sizes):
-        size += n
-        if size >= BLOCK_BYTES:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 class Streams:
-    """The windows and segments of some texts' parts.
+    """The windows, segments and words of some texts' parts.
 
     codes: the longest window (context and symbol) of each symbol; h: their hashes; starts: where each part begins;
     text: the number of each part's text; cut: where each segment begins; pair, context: fingerprints of the segments that
-    follow another one of their part (at `linked`) with, and of, that one."""
+    follow another one of their part (at `linked`) with, and of, that one; word, text_of_word: fingerprint and text of each word."""
 
     _power = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
-    def __init__(self, parts: list[tuple[int, bytes, bytes]], order: int):
-        """parts: number of the text, `order` bytes in front, bytes."""
-        data = b"".join([x for _, front, body in parts for x in (front, body)]) + bytes(8)
+    def __init__(self, parts: list[tuple[int, bytes, bytes, bool]], order: int):
+        """parts: number of the text, `order` bytes in front, bytes (a text's last part ends with END), whether it begins within a word."""
+        data = b"".join([x for _, front, body, _ in parts for x in (front, body)]) + bytes(8)
         self.text = np.array([p[0] for p in parts], np.int64)
         n = np.array([len(p[2]) for p in parts], np.int64)
-        raw = np.ndarray((len(data) - 8,), ">u8", data, strides=(1,)).astype(np.uint64)
-        raw >>= np.uint64(8 * (7 - order))
-        inside = np.ones(len(raw), bool)
+        inside = np.ones(len(data) - 8, bool)
         gaps = np.cumsum(n + order) - order
         inside[(gaps[:, None] + np.arange(order)).ravel()] = False
-        self.codes = raw[inside]
-        self.h = mixed(self.codes)
+        raw = np.ndarray((len(data) - 8,), ">u8", data, strides=(1,))[inside].astype(np.uint64)
+        raw >>= np.uint64(8 * (7 - order))
+        self.codes = raw
+        self.h = mixed(raw)
         self.starts = np.cumsum(n) - n
+        power, inverse = self.powers(len(raw))
+        power = power[: len(raw)]
         ends = (self.h & np.uint64(SEGMENT - 1)) == 0
         ends[self.starts + n - 1] = True
         ends = np.flatnonzero(ends)
         self.cut = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
-        power, inverse = self.powers(len(self.codes))
-        print_ = np.add.reduceat(self.h * power[: len(self.codes)], self.cut) * inverse[self.cut]
+        segment = np.add.reduceat(self.h * power, self.cut) * inverse[self.cut]
         part = np.searchsorted(self.starts, self.cut, side="right") - 1
         self.text_of_cut = self.text[part]
         self.linked = np.flatnonzero(part[1:] == part[:-1]) + 1
-        self.context = print_[self.linked - 1]
-        self.pair = mixed(self.context * np.uint64(0xA0761D6478BD642F) + print_[self.linked])
+        self.context = segment[self.linked - 1]
+        self.pair = mixed(self.context * np.uint64(0xA0761D6478BD642F) + segment[self.linked])
+        number = _OF_BYTE[(raw & np.uint64(255)).astype(np.uint8)]
+        letter = number != 0
+        first = letter.copy()
+        first[1:] &= ~letter[:-1]
+        first[self.starts] = letter[self.starts] & ~np.array([p[3] for p in parts])
+        first = np.flatnonzero(first)
+        # a word's sum ends with the word: white space adds nothing; what goes on in a next part is left out
+        until = np.sort(np.concatenate([first, self.starts[[p[3] for p in parts]]])) if any(p[3] for p in parts) else first
+        sums = np.add.reduceat(number * power, until)[np.isin(until, first)] if len(first) else np.zeros(0, np.uint64)
+        self.word = mixed(sums * inverse[first]) >> np.uint64(1)
+        self.text_of_word = self.text[np.searchsorted(self.starts, first, side="right") - 1]
 
     @classmethod
     def powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Powers of an odd number and of its inverse, modulo 2**64."""
         if len(cls._power[0]) < n:
-            n = max(n, BLOCK_BYTES)
-            odd = 0xE7037ED1A0B428DB
-            step = np.full((2, n), odd, np.uint64)
-            step[1] = pow(odd, -1, 2**64)
+            n = max(n, 2 * BLOCK_BYTES)
+            step = np.full((2, n), ODD, np.uint64)
+            step[1] = pow(ODD, -1, 2**64)
             step[:, 0] = 1
             cls._power = tuple(np.cumprod(step, axis=1))
         return cls._power
 
 
+def part_bounds(text: bytes) -> Iterator[tuple[int, int]]:
+    """A text in parts of PART_BYTES at most that end before white space; a longer word is a part of up to LONGEST_WORD bytes."""
+    at = 0
+    while len(text) - at > PART_BYTES:
+        end = max(text.rfind(b" ", at + 1, at + PART_BYTES), text.rfind(b"\n", at + 1, at + PART_BYTES))
+        if end < 0:
+            found = _SPACE.search(text, at + PART_BYTES, at + LONGEST_WORD)
+            end = found.start() if found else min(len(text), at + LONGEST_WORD)
+        yield at, end
+        at = end
+    if at < len(text) or not text:
+        yield at, len(text)
+
+
 def streams(texts: list[bytes], order: int) -> Iterator[Streams]:
     """All texts (lower case, without their ends) in order, in blocks of bounded size."""
     held, size = [], 0
     for i, text in enumerate(texts):
-        front = bytes(order)
-        for a in range(0, len(text) + 1, PART_BYTES):
-            body = text[a : a + PART_BYTES]
-            last = a + PART_BYTES > len(text)
-            held.append((i, front, body + END if last else body))
-            front = (front + body)[-order:]
-            size += len(body) + order + 1
+        for a, b in part_bounds(text):
+            front = text[max(0, a - order) : a].rjust(order, b"\0")
+            held.append((i, front, text[a:b] + END if b == len(text) else text[a:b], a > 0 and not text[a - 1 : a].isspace() and not text[a : a + 1].isspace()))
+            size += b - a + order + 1
             if size >= BLOCK_BYTES:
                 yield Streams(held, order)
                 held, size = [], 0
@@ -180,58 +204,34 @@ def streams(texts: list[bytes], order: int) -> Iterator[Streams]:
         yield Streams(held, order)
 
 
-class Words(dict):
-    """Numbers words as they are first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
-
 class ChunkCounts:
     """Words, windows and segment pairs of a chunk; n: in training rows, m: in the others."""
 
     def __init__(self, number: int, order: int):
         self.number, self.order = number, order
-        self.words, self.count = Words(), np.zeros(0, np.int64)
-        self.table = CodeTable()
+        self.tables = [CodeTable(), CodeTable()]  # words, windows
 
     def add(self, texts: list[bytes], held: bool) -> Iterator[pa.RecordBatch]:
         """Takes in texts of one kind; the segment pairs of a block are given out at once."""
-        for a, b in groups([len(t) for t in texts]):
-            some = [t.lower() for t in texts[a:b]]
-            for t in some:
-                at = np.fromiter(map(self.words.__getitem__, t.split()), np.int64)
-                if not held and len(at):
-                    if len(self.count) < len(self.words):
-                        self.count = np.concatenate([self.count, np.zeros(len(self.words), np.int64)])
-                    if len(at) < 1000:
-                        np.add.at(self.count, at, 1)
-                    else:
-                        self.count += np.bincount(at, minlength=len(self.count))
-            for s in streams(some, self.order):
-                at = self.table.found(s.codes, s.h)
+        for s in streams([t.lower() for t in texts], self.order):
+            for table, codes, h in zip(self.tables, (s.word, s.codes), (mixed(s.word), s.h), strict=True):
+                at = table.found(codes, h)
                 if not held:
-                    self.table.values += np.bincount(at, minlength=len(self.table.values))
-                pair, first, n = np.unique(s.pair, return_index=True, return_counts=True)
-                if len(pair):
-                    none = np.zeros(len(n), np.int64)
-                    yield counted_rows(self.number, 2, len(n), code=pair.view(np.int64), ctx=s.context[first].view(np.int64), n=none if held else n, m=n if held else none)
+                    table.values += np.bincount(at, minlength=len(table.values))
+            pair, first, n = np.unique(s.pair, return_index=True, return_counts=True)
+            if len(pair):
+                none = np.zeros(len(n), np.int64)
+                yield counted_rows(self.number, 2, len(n), code=pair.view(np.int64), ctx=s.context[first].view(np.int64), n=none if held else n, m=n if held else none)
 
     def result(self) -> Iterator[pa.RecordBatch]:
-        on = np.flatnonzero(self.table.keys != _NONE)
-        for a in range(0, len(on), 50_000):
-            at = on[a : a + 50_000]
-            yield counted_rows(self.number, 1, len(at), code=self.table.keys[at].view(np.int64), n=self.table.values[at].astype(np.int64))
-        words = list(self.words)
-        count = np.zeros(len(words), np.int64)
-        count[: min(len(words), len(self.count))] = self.count[: len(words)]
-        for a in range(0, len(words), 50_000):
-            w = words[a : a + 50_000]
-            yield counted_rows(self.number, 0, len(w), word=w, n=count[a : a + 50_000])
+        for kind, table in enumerate(self.tables):
+            on = np.flatnonzero(table.keys != _NONE)
+            for a in range(0, len(on), 50_000):
+                at = on[a : a + 50_000]
+                yield counted_rows(self.number, kind, len(at), code=table.keys[at].view(np.int64), n=table.values[at].astype(np.int64))
 
 
-_COUNTED = {"chunk": pa.int32(), "kind": pa.int32(), "word": pa.binary(), "code": pa.int64(), "ctx": pa.int64(), "n": pa.int64(), "m": pa.int64()}
+_COUNTED = {"chunk": pa.int32(), "kind": pa.int32(), "code": pa.int64(), "ctx": pa.int64(), "n": pa.int64(), "m": pa.int64()}
 
 
 def counted_rows(chunk: int, kind: int, size: int, **given) -> pa.RecordBatch:
@@ -262,7 +262,7 @@ def _counted(docs: DataFrame, chunks: int, order: int) -> tuple[DataFrame, str]:
 
     path = scratch(docs.sparkSession)
     dealt = docs.repartitionById(chunks, F.col("chunk")).sortWithinPartitions("chunk")
-    counted = dealt.mapInArrow(run, "chunk int, kind int, word binary, code long, ctx long, n long, m long")
+    counted = dealt.mapInArrow(run, "chunk int, kind int, code long, ctx long, n long, m long")
     counted.write.partitionBy("kind").parquet(path)
     return docs.sparkSession.read.schema(counted.schema).parquet(path), path
 
@@ -358,37 +358,30 @@ def _segments(pairs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     live, live_at = written(pairs.join(often.hint("merge"), "ctx").select("chunk", "code", "ctx", "n", "t"))
     # written, so that AQE can split a context that many different segments follow
     per, per_at = written(live.groupBy("code", "ctx").agg(F.sum("n").alias("c"), F.max("t").alias("t")))
-    contexts = per.groupBy("ctx").agg(F.count_if(F.col("c") > 0).alias("d"))
+    contexts, contexts_at = written(per.groupBy("ctx").agg(F.count_if(F.col("c") > 0).alias("d")))
     useful, useful_at = written(per.join(contexts.hint("merge"), "ctx"))
-    for p in (often_at, per_at):
+    for p in (often_at, per_at, contexts_at):
         drop_path(pairs.sparkSession, p)
     return live.select("chunk", "code").distinct(), useful, [live_at, useful_at]
 
 
 class ChunkScores:
-    """Scores texts with a chunk's own words (base logs), windows (logs) and segment pairs."""
+    """Scores texts with a chunk's own words (counts), windows (logs) and segment pairs."""
 
     def __init__(self, order: int, escapes: Escapes, total: int, distinct: int, ends: int):
         self.order, self.escapes, self.ends, self.size = order, escapes, ends, total + distinct + 1
-        self.words: dict[bytes, int] = {}
-        self.count: list[np.ndarray] = []
-        self.table = CodeTable()
+        self.tables = [CodeTable(), CodeTable()]
         self.pairs: list[np.ndarray] = []
 
     def learn(self, kind: int, batch: dict) -> None:
-        if kind == 0:
-            self.words.update(zip(batch["word"].to_pylist(), range(len(self.words), len(self.words) + len(batch["word"])), strict=True))
-            self.count.append(np.asarray(batch["c"]))
-        elif kind == 1:
-            codes = np.asarray(batch["code"]).view(np.uint64)
-            self.table.insert(codes)
-            self.table.values[self.table.find(codes, mixed(codes))] = np.asarray(batch["h"])
+        if kind < 2:
+            table, codes = self.tables[kind], np.asarray(batch["code"]).view(np.uint64)
+            table.insert(codes)
+            table.values[table.find(codes, mixed(codes))] = np.asarray(batch["h" if kind else "c"])
         else:
             self.pairs.append(np.stack([np.asarray(batch[k]) for k in ("code", "ctx", "c", "t", "d")]))
 
     def ready(self) -> None:
-        c = np.concatenate([*self.count, np.zeros(0, np.int64)])
-        self.known, self.base = c > 0, np.log10((c + 1) / self.size)
         p = np.concatenate([*self.pairs, np.zeros((5, 0), np.int64)], axis=1)
         p = p[:, np.argsort(p[0].view(np.uint64), kind="stable")]
         self.keys, self.facts = p[0].view(np.uint64).copy(), p[1:]
@@ -396,11 +389,16 @@ class ChunkScores:
 
     def score(self, texts: list[bytes], held: list[bool]) -> list[tuple]:
         """n_tokens, n_known, base_score, score of each text."""
-        texts = [t.lower() for t in texts]
-        total, found = np.zeros(len(texts)), []
-        for s in streams(texts, self.order):
-            logs = self.table.values[self.table.find(s.codes, s.h)]
-            total += np.bincount(s.text, np.add.reduceat(logs, s.starts), len(texts))
+        n = len(texts)
+        total, base, known, tokens = np.zeros(n), np.full(n, math.log10((self.ends + 1) / self.size)), np.full(n, self.ends > 0, np.int64), np.ones(n, np.int64)
+        found = []
+        for s in streams([t.lower() for t in texts], self.order):
+            c = self.tables[0].values[self.tables[0].find(s.word, mixed(s.word))]
+            base += np.bincount(s.text_of_word, np.log10((c + 1) / self.size), n)
+            known += np.bincount(s.text_of_word[c > 0], minlength=n)
+            tokens += np.bincount(s.text_of_word, minlength=n)
+            logs = self.tables[1].values[self.tables[1].find(s.codes, s.h)]
+            total += np.bincount(s.text, np.add.reduceat(logs, s.starts), n)
             if len(self.keys) and len(s.pair):
                 at = np.minimum(np.searchsorted(self.keys, s.pair), len(self.keys) - 1)
                 hit = self.keys[at] == s.pair
@@ -409,12 +407,7 @@ class ChunkScores:
                     found.append((s.text_of_cut[s.linked[hit]], at[hit], cost))
         if found:
             total += self.segments(*(np.concatenate(x) for x in zip(*found, strict=True)), ~np.array(held))
-        out = []
-        for text, ppm in zip(texts, total.tolist(), strict=True):
-            at = np.fromiter(map(self.words.__getitem__, text.split()), np.int64)
-            base = float(self.base[at].sum()) + math.log10((self.ends + 1) / self.size)
-            out.append((len(at) + 1, int(self.known[at].sum()) + (self.ends > 0), base, ppm))
-        return out
+        return list(zip(tokens.tolist(), known.tolist(), base.tolist(), total.tolist(), strict=True))
 
     def segments(self, text: np.ndarray, at: np.ndarray, cost: np.ndarray, train: np.ndarray) -> np.ndarray:
         """What each text's score gains or loses by the segment contexts over coding the segments byte by byte (cost)."""
@@ -450,19 +443,19 @@ def ppm_scores(docs: DataFrame, held_out: Column, order: int = 5, text: str = "t
     docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     counted, counted_at = _counted(docs.select("chunk", "held_out", "text"), chunks, order)
     local_words, codes, pairs = (counted.where(F.col("kind") == k) for k in range(3))
-    words, words_at = written(local_words.groupBy("word").agg(F.sum("n").alias("c")))
+    words, words_at = written(local_words.groupBy("code").agg(F.sum("n").alias("c")))
     sums = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     total, distinct = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
     full, full_at = _trie(codes.groupBy("code").agg(F.sum("n").alias("n")), order)
     levels, levels_at = _levels(full, order)
     live, useful, segments_at = _segments(pairs)
     escapes = Escapes(_left_out(useful, F.lit(0)), 1)
-    columns = {"word": "binary", "code": "long", "ctx": "long", "c": "long", "t": "long", "d": "long", "h": "double", "doc_id": "long", "held_out": "boolean", "text": "binary"}
+    columns = {"code": "long", "ctx": "long", "c": "long", "t": "long", "d": "long", "h": "double", "doc_id": "long", "held_out": "boolean", "text": "binary"}
 
     def rows(df: DataFrame, kind: int, *given: str) -> DataFrame:
         return df.select("chunk", F.lit(kind).alias("kind"), *[(F.col(c) if c in given else F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
 
-    mine = rows(local_words.select("chunk", "word").join(words.hint("merge"), "word"), 0, "word", "c")
+    mine = rows(local_words.select("chunk", "code").join(words.hint("merge"), "code"), 0, "code", "c")
     mine = mine.unionByName(rows(codes.select("chunk", "code").join(levels.hint("merge"), "code"), 1, "code", "h"))
     mine = mine.unionByName(rows(live.join(useful.hint("merge"), "code"), 2, "code", "ctx", "c", "t", "d"))
     mine, _ = written(mine)

@@ -139,17 +139,23 @@ def test_ppm_equals_the_plain_version(spark, order):
 
 
 def test_ppm_parts_of_long_texts(monkeypatch):
-    """A text read in parts has the windows of the whole text; segments end where a part does."""
+    """A text read in parts has the windows and words of the whole text; segments end where a part does."""
     rng = random.Random(1)
-    text = "".join(rng.choice("abcd ") for _ in range(5000)).encode()
+    text = ("".join(rng.choice("abcd \n") for _ in range(5000)) + "x" * 4000 + " e " + "y" * 2000).encode()
     whole = next(lm.streams([text], 5))
+    assert len(whole.word) == len(text.split()) == len(whole.text_of_word) and len(set(whole.word.tolist())) == len(set(text.split()))
     monkeypatch.setattr(lm, "PART_BYTES", 700)
     monkeypatch.setattr(lm, "BLOCK_BYTES", 1500)
-    parts = list(lm.streams([b"x", text, b""], 5))
-    assert len(parts) > 2
-    codes = np.concatenate([s.codes for s in parts])
-    assert codes[2:-1].tolist() == whole.codes.tolist() and sum(len(s.codes) for s in parts) == 5001 + 3
-    assert sorted(set(np.concatenate([s.text for s in parts]).tolist())) == [0, 1, 2]
+    for longest in (10_000, 1000):
+        monkeypatch.setattr(lm, "LONGEST_WORD", longest)
+        parts = list(lm.streams([b"x", text, b""], 5))
+        assert len(parts) > 2
+        codes, words = (np.concatenate([getattr(s, x) for s in parts]) for x in ("codes", "word"))
+        assert codes[2:-1].tolist() == whole.codes.tolist()
+        assert len(words) == len(whole.word) + 1 and (longest == 1000 or words[1:].tolist() == whole.word.tolist())
+        assert sorted(set(np.concatenate([s.text for s in parts]).tolist())) == [0, 1, 2]
+    bounds = list(lm.part_bounds(text))
+    assert [a for a, _ in bounds[1:]] == [b for _, b in bounds[:-1]] and bounds[-1][1] == len(text) and max(b - a for a, b in bounds) <= 1000
 
 
 def test_code_table_holds_what_it_was_given():
