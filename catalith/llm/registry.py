@@ -137,7 +137,8 @@ FROM s GROUP BY row_id
 
 def _levels_sql(source: str) -> str:
     two = ", ".join(f"'{x}'" for x in urls.TWO_LABEL_SUFFIXES)
-    return f"""(SELECT *, CASE WHEN wide IN ({two}) THEN wide ELSE a[-1] END AS suffix, CASE WHEN len(a) <= k THEN host ELSE array_to_string(a[len(a) - k + 1:], '.') END AS domain
+    number = "(regexp_matches(host, '^([0-9]{1,3}\\.){3}[0-9]{1,3}$') OR starts_with(host, '['))"
+    return f"""(SELECT *, CASE WHEN {number} THEN host WHEN wide IN ({two}) THEN wide ELSE a[-1] END AS suffix, CASE WHEN {number} OR len(a) <= k THEN host ELSE array_to_string(a[len(a) - k + 1:], '.') END AS domain
       FROM (SELECT *, CASE WHEN wide IN ({two}) THEN 3 ELSE 2 END AS k FROM (SELECT *, string_split(host, '.') AS a, CASE WHEN len(string_split(host, '.')) >= 2 THEN array_to_string(string_split(host, '.')[-2:], '.') END AS wide FROM {source})))"""
 
 
@@ -149,10 +150,11 @@ def _posterior_sql(counts: str, name: str) -> str:
 
 
 _HOST_SQL = "coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+_NAME_SQL = "regexp_replace(regexp_replace(host, '^.*@', '', 's'), ':[0-9]*$', '')"
 OP4_SQL = f"""
 WITH p AS (SELECT page_id, {_HOST_SQL} AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
      o AS (SELECT host, (1 - quality)::DOUBLE AS bad FROM (SELECT host, try_cast(regexp_extract(path, '/(\\d{{1,18}})(?:\\.html)?/?$', 1) AS BIGINT) AS doc_id FROM p) n JOIN labels USING (doc_id)),
-     h AS (SELECT host, sum(1 - bad) AS good, sum(bad) AS bad FROM o GROUP BY host),
+     h AS (SELECT {_NAME_SQL} AS host, sum(1 - bad) AS good, sum(bad) AS bad FROM o GROUP BY 1),
      hl AS {_levels_sql("h")},
      t AS (SELECT CASE WHEN sum(bad) > 0 THEN sum(bad) / (sum(good) + sum(bad)) ELSE 0 END AS overall FROM h),
      sc AS (SELECT suffix, sum(good) AS good, sum(bad) AS bad, any_value(overall) AS m FROM hl, t GROUP BY suffix),
@@ -161,14 +163,14 @@ WITH p AS (SELECT page_id, {_HOST_SQL} AS host, coalesce(regexp_extract(url, '^.
      {_posterior_sql("dc", "df")},
      hc AS (SELECT host, hl.good, hl.bad, df.rate AS m FROM hl JOIN df USING (domain)),
      {_posterior_sql("hc", "hf")},
-     mine AS {_levels_sql("(SELECT DISTINCT host FROM p)")},
+     mine AS {_levels_sql(f"(SELECT DISTINCT {_NAME_SQL} AS host FROM p)")},
      rep AS (SELECT mine.host, coalesce(hf.rate, df.rate, sf.rate, overall) AS rate, coalesce(hf.bound, df.bound, sf.bound, overall) AS bound
              FROM mine CROSS JOIN t LEFT JOIN hf ON mine.host = hf.host LEFT JOIN df ON mine.domain = df.domain LEFT JOIN sf ON mine.suffix = sf.suffix),
-     r AS (SELECT p.*, rate, bound, CASE WHEN (p.host = 'www.example.com' OR p.host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+     r AS (SELECT p.*, rate, bound, overall, CASE WHEN (p.host = 'www.example.com' OR p.host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
              WHEN (p.host = 'example.com' OR p.host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
              WHEN (p.host = 'net' OR p.host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/' WHEN (p.host = 'net' OR p.host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
-             WHEN (p.host = 'com' OR p.host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM p JOIN rep ON p.host = rep.host)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+             WHEN (p.host = 'com' OR p.host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM t, p JOIN rep ON {_NAME_SQL.replace("(host,", "(p.host,")} = rep.host)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > overall THEN 'block' ELSE 'allow' END AS verdict,
        round(rate, 6)::DOUBLE AS rate, round(bound, 6)::DOUBLE AS bound FROM r
 """
 

@@ -2,11 +2,16 @@
 
 Labelled page outcomes (good, bad) are counted by host, registered domain and suffix. Each level's rate has a beta prior
 centred on the posterior rate of the level above, its strength fitted from the spread of rates at that level (method of
-moments). A url that no rule fits is blocked if the lower bound of its host's posterior bad rate is above the threshold.
+moments). A url that no rule fits is blocked if the lower bound of its host's posterior bad rate is above the threshold: the
+overall bad rate, unless one is given, so that hosts certainly worse than the average go, whatever the average is.
+Reputation belongs to a host's name, without user information and port; an address in numbers is its own domain and suffix.
+A host's outcomes also count in the means of its domain and suffix, which are its prior.
 
 Defined results: null urls and urls without '://' have an empty host and path, fit no rule and are judged by the overall
 rate. Repeated rows are judged each. Several rules of one length: the later of (host, path) in order wins. Hosts without
-labels take their domain's rate, then their suffix's, then the overall one. An empty table of labels allows all.
+labels take their domain's rate, then their suffix's, then the overall one. An empty table of labels allows all, an empty
+table of pages gives an empty one. Urls may be of any length. Input columns named host, path, rule, verdict, rate or bound are
+replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -17,9 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalith.llm.lines import LOWER, UPPER
-from catalith.session import written
+from catalith.session import unused, written
 
-#: Suffixes of two labels; all others are the last label. A parameter of host_levels().
+#: Suffixes of two labels; all others are the last label. The default of a parameter, which takes a longer list.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
 
 
@@ -38,6 +43,11 @@ def host_of(url: Column) -> Column:
     return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), UPPER, LOWER)
 
 
+def name_of(host: Column) -> Column:
+    """The host without user information and port."""
+    return F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*\z", "")
+
+
 def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
@@ -57,9 +67,11 @@ def with_levels(df: DataFrame, host: str = "host", two_label: tuple[str, ...] =
     labels = F.split(host, r"\.")
     n = F.size(labels)
     wide = F.when(n >= 2, F.concat_ws(".", F.slice(labels, -2, 2)))
-    suffix = F.when(wide.isin(*two_label), wide).otherwise(F.element_at(labels, -1))
-    k = F.when(wide.isin(*two_label), F.lit(3)).otherwise(F.lit(2))
-    domain = F.when(n <= k, F.col(host)).otherwise(F.concat_ws(".", F.slice(labels, -k, k)))
+    two = F.coalesce(wide.isin(*two_label), F.lit(False)) if two_label else F.lit(False)
+    number = F.col(host).rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}\z") | F.col(host).startswith("[")
+    suffix = F.when(number, F.col(host)).when(two, wide).otherwise(F.element_at(labels, -1))
+    k = F.when(two, F.lit(3)).otherwise(F.lit(2))
+    domain = F.when(number | (n <= k), F.col(host)).otherwise(F.concat_ws(".", F.slice(labels, -k, k)))
     return df.withColumn("suffix", suffix).withColumn("domain", domain)
 
 
@@ -76,13 +88,13 @@ def _strength(counts: DataFrame, mean: Column, most: float = 1000.0) -> float:
     return min(most, max(0.5, 1 / rho - 1)) if rho > 0 else most
 
 
-def reputation(outcomes: DataFrame, z: float = 1.64) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+def reputation(outcomes: DataFrame, z: float = 1.64, two_label: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> tuple[DataFrame, DataFrame, DataFrame, float]:
     """From outcomes (host, bad 0/1): tables of hosts, domains, suffixes with rate, lower bound; and the overall rate.
 
     Counts are summed before any shuffle; one row of sums a level comes to the driver."""
     b = F.col("bad").cast("double")
-    hosts = with_levels(outcomes.where(F.col("host").isNotNull()).groupBy("host").agg(F.sum(1 - b).alias("good"), F.sum(b).alias("bad")))
-    hosts = hosts.persist()
+    named = outcomes.where(F.col("host").isNotNull()).groupBy(name_of(F.col("host")).alias("host")).agg(F.sum(1 - b).alias("good"), F.sum(b).alias("bad"))
+    hosts, _ = written(with_levels(named, two_label=two_label))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     total = suffixes.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
@@ -104,20 +116,24 @@ def reputation(outcomes: DataFrame, z: float = 1.64) -> tuple[DataFrame, DataFra
     return hosts, domains, suffixes, overall
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[UrlRule], threshold: float = 0.5, z: float = 1.64, url: str = "url") -> DataFrame:
+def judge(
+    pages: DataFrame, outcomes: DataFrame, rules: list[UrlRule], threshold: float | None = None, z: float = 1.64, url: str = "url", two_label: tuple[str, ...] = TWO_LABEL_SUFFIXES
+) -> DataFrame:
     """pages with host, path, rule, verdict, rate and bound (of the most specific level that has labels).
 
-    outcomes: host, bad. The joins are on the distinct hosts of pages, then one on host, whose hot keys AQE splits."""
-    clash = [c for c in ("host", "path", "rule", "verdict", "rate", "bound") if c in pages.columns]
+    outcomes: host, bad. threshold: None for the overall rate. The joins are on the distinct host names of pages, then one
+    on the name, whose hot keys AQE splits."""
+    clash = [c for c in pages.columns if c.lower() in ("host", "path", "rule", "verdict", "rate", "bound")]
     pages = pages.drop(*clash).withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    hosts, domains, suffixes, overall = reputation(outcomes, z)
-    mine = with_levels(pages.select("host").distinct())
+    name, rep, said = unused([*pages.columns, "rule", "verdict", "rate", "bound"], "name", "rep", "said")
+    hosts, domains, suffixes, overall = reputation(outcomes, z, two_label)
+    mine = with_levels(pages.select(name_of(F.col("host")).alias("host")).distinct(), two_label=two_label)
     pick = lambda df, k: df.select(k, F.struct("rate", "bound").alias(f"of_{k}"))
     mine = mine.join(pick(hosts, "host"), "host", "left").join(pick(domains, "domain"), "domain", "left").join(pick(suffixes, "suffix"), "suffix", "left")
     fallback = F.struct(F.lit(overall).alias("rate"), F.lit(overall).alias("bound"))
-    mine, _ = written(mine.select(F.col("host").alias("__host"), F.coalesce("of_host", "of_domain", "of_suffix", fallback).alias("__rep")))
+    mine, _ = written(mine.select(F.col("host").alias(name), F.coalesce("of_host", "of_domain", "of_suffix", fallback).alias(rep)))
     # written, so that both sides of the join are plain shuffles and AQE can split a hot host
-    out = pages.join(mine.hint("merge"), F.col("host") == F.col("__host"), "left").withColumn("__rule", fitting_rule(F.col("host"), F.col("path"), rules))
-    method = F.when(F.col("__rep.bound") > threshold, "block").otherwise("allow")
-    out = out.withColumn("rule", F.col("__rule.rule")).withColumn("verdict", F.coalesce("__rule.verdict", method))
-    return out.withColumn("rate", F.col("__rep.rate")).withColumn("bound", F.col("__rep.bound")).drop("__host", "__rep", "__rule")
+    out = pages.join(mine.hint("merge"), name_of(F.col("host")) == F.col(name), "left").withColumn(said, fitting_rule(F.col("host"), F.col("path"), rules))
+    method = F.when(F.col(f"{rep}.bound") > (overall if threshold is None else threshold), "block").otherwise("allow")
+    out = out.withColumn("rule", F.col(f"{said}.rule")).withColumn("verdict", F.coalesce(f"{said}.verdict", method))
+    return out.withColumn("rate", F.col(f"{rep}.rate")).withColumn("bound", F.col(f"{rep}.bound")).drop(name, rep, said)

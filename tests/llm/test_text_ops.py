@@ -214,6 +214,30 @@ def test_url_without_labels_or_pages(spark):
     assert urls.judge(pages.limit(0), none, RULES).count() == 0
 
 
+def test_names_of_hosts_and_their_levels(spark):
+    rows = [("u:p@a.b.co.uk:8080", "a.b.co.uk", "co.uk", "b.co.uk"), ("10.0.0.1:80", "10.0.0.1", "10.0.0.1", "10.0.0.1"), ("[::1]:80", "[::1]", "[::1]", "[::1]"), ("x.y.com", "x.y.com", "com", "y.com"), ("com", "com", "com", "com"), ("", "", "", ""), ("a.tk.example", "a.tk.example", "tk.example", "a.tk.example")]
+    df = spark.createDataFrame([(r[0],) for r in rows], "h string").select("h", urls.name_of(F.col("h")).alias("host"))
+    got = urls.with_levels(df, two_label=("co.uk", "tk.example")).collect()
+    assert {(r["h"], r["host"], r["suffix"], r["domain"]) for r in got} == set(rows)
+
+
+def test_the_query_blocks_a_planted_host_and_no_other(spark, tmp_path):
+    """Hosts whose pages show documents of bad quality, at an overall bad rate of about a tenth."""
+    from catalith.llm import registry
+
+    pages, labels = [], []
+    for i in range(1200):
+        host = f"h{i % 40}.org" if i % 12 else ["casino.info:81", "casino.info"][i % 24 // 12]
+        bad = int("casino" in host or i % 31 == 0)
+        pages.append((i, f"http://{host}/doc/{i}", "x" * 10))
+        labels.append((i, 1 - bad, 0))
+    pages += [(5000, "https://www.casino.info/new", ""), (5001, "http://me@casino.info/", ""), (5002, "http://h1.org/" + "a" * 100_000, "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r["page_id"]: (r["host"], r["verdict"]) for r in registry.op4_url_filter(spark, str(tmp_path)).collect()}
+    assert len(got) == len(pages) and all((v == "block") == ("casino" in h) for h, v in got.values())
+
+
 def test_reputation_shrinks_to_the_level_above(spark):
     outcomes = spark.createDataFrame([("a.x.com", 1)] * 30 + [("b.x.com", 1)] + [("c.y.com", 0)] * 200, "host string, bad int")
     hosts, domains, suffixes, overall = urls.reputation(outcomes)
