@@ -8,7 +8,7 @@ are ordered so; checked on loading), this equals merging each word on its own.
 Defined results: null text is the empty text, which has no ids and decodes to ''. Repeated rows are encoded each. The
 strings of special tokens in a text are the special ids, as the library has it. Rows may be of any length: a text is
 read in pieces of about PIECE_CHARS, cut at white space, and only words not in the Python worker's store (REMEMBER words at
-most, and those of one piece) are merged. An empty table gives an empty table. Ties do not occur: ranks are distinct. Columns
+most, and those of GROUP_CHARS of text) are merged. An empty table gives an empty table. Ties do not occur: ranks are distinct. Columns
 other than the key and the text are not read and not returned, so none can clash.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from catalith.session import ship
 
-PIECE_CHARS, REMEMBER = 500_000, 100_000
+PIECE_CHARS, GROUP_CHARS, REMEMBER = 500_000, 4_000_000, 250_000
 _LETTER = "a-zªµºß-öø-ÿĀ-įı-ſ"
 _DIGIT = "0-9²³¹¼-¾"
 #: Texts of only these characters need no Unicode normalisation and have the same classes in every regex library.
@@ -228,25 +228,29 @@ class PairIndexEncoder:
         for t in texts:
             pieces += cut(t or "")
             upto.append(len(pieces))
-        done = [self._encode_piece(pieces[a:b]) for a, b in slices(pieces)]
+        done = [x for a, b in slices(pieces, GROUP_CHARS) for x in self._encode_group(pieces[a:b])]
         counts = np.concatenate([n for _, n in done]) if done else np.zeros(0, np.int64)
         ids = done[0][0] if len(done) == 1 else np.concatenate([np.zeros(0, np.int32), *(i for i, _ in done)])
         return ids, np.concatenate([[0], np.cumsum(counts)])[upto]
 
-    def _encode_piece(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, and the number of each text's. New words of all of them are indexed together."""
+    def _encode_group(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For some texts at a time: their ids end to end, and the number of each text's.
+
+        Texts become numbers of words piece by piece; the new words of the whole group are indexed together."""
         if len(self.store) > self.remember:
             self.reset()
-        keys = [self._keys(t) if t else [] for t in texts]
-        n = np.fromiter(map(len, keys), np.int64, len(keys))
-        slots = np.fromiter(map(self.store.__getitem__, itertools.chain.from_iterable(keys)), np.int32, int(n.sum()))
-        del keys
+        numbered = []
+        for a, b in slices(texts):
+            keys = [self._keys(t) if t else [] for t in texts[a:b]]
+            n = np.fromiter(map(len, keys), np.int64, len(keys))
+            numbered.append((n, np.fromiter(map(self.store.__getitem__, itertools.chain.from_iterable(keys)), np.int32, int(n.sum()))))
         self.learn()
-        first = self.bounds[slots]
-        count = self.bounds[slots + 1] - first
-        upto = np.concatenate([[0], np.cumsum(count)])
-        ids = self.flat[np.repeat(first - upto[:-1], count) + np.arange(upto[-1])]
-        return ids, np.diff(upto[np.concatenate([[0], np.cumsum(n)])])
+        for n, slots in numbered:
+            first = self.bounds[slots]
+            count = self.bounds[slots + 1] - first
+            upto = np.concatenate([[0], np.cumsum(count)])
+            ids = self.flat[np.repeat(first - upto[:-1], count) + np.arange(upto[-1])]
+            yield ids, np.diff(upto[np.concatenate([[0], np.cumsum(n)])])
 
     def decode(self, ids: np.ndarray) -> str:
         """Token strings joined by blanks, as the library decodes where its file names no decoder."""
@@ -281,7 +285,7 @@ def slices(texts: list, chars: int | None = None) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def parts(batch: pa.RecordBatch, column: int, size: int = 2 * PIECE_CHARS) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, column: int, size: int = GROUP_CHARS) -> Iterator[pa.RecordBatch]:
     """A batch in slices with about so many bytes of text each; texts become Python strings a slice at a time."""
     bytes_of = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start = total = 0
