@@ -4,8 +4,8 @@ A narrow map gives each document its number of distinct word shingles, a 128-bit
 bands of minima, and the low bits of all minima packed into longs. Documents of one set are one class, represented by the
 smallest doc_id, so copies are never compared. Classes that share a band hash meet in a bucket; each bucket has a centre,
 the member that shares buckets most, and the buckets of one centre form a group. A group is cut into blocks. First every
-block is linked within itself and with the centre; then, where a group still has several components, members outside its
-largest component are compared with the other blocks. In a tile the packed bits give each pair a similarity corrected for
+block is linked within itself and with the centre; then, in groups of several blocks, members that their block has not connected
+with the centre are compared with the other blocks. In a tile the packed bits give each pair a similarity corrected for
 chance collisions, and what passes is confirmed on the full shingle sets; pairs already connected are skipped, so a tile
 returns a spanning forest and never all pairs. Components come from large-star and small-star rounds.
 
@@ -167,8 +167,8 @@ class Forest:
         self.up[max(i, j)] = min(i, j)
 
 
-def links_in_tile(ids: list[int], labels: list[int], near: list[bool], texts: list[str], bits: np.ndarray, width: int, percent: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest between members of different labels; a pair has at least one member marked near."""
+def links_in_tile(ids: list[int], labels: list[int], near: list[bool], texts: list[str], bits: np.ndarray, width: int, percent: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Links of a spanning forest between members of different labels (a pair has at least one member marked near); each member's root, by number."""
     forest, out = Forest(labels), []
     estimate = estimated(bits, bits)
     mark = np.array(near)
@@ -185,26 +185,42 @@ def links_in_tile(ids: list[int], labels: list[int], near: list[bool], texts: li
         if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
             forest.join(a, b)
             out.append((ids[a], ids[b]))
-    return out
+    return out, [forest.root(x) for x in range(len(ids))]
 
 
 def _linked(tiles: DataFrame, width: int, percent: int) -> DataFrame:
-    """tiles: tile (string), id, of_text, label, near, text, bits. Rows of a tile are brought together by one shuffle and sort."""
+    """tiles: tile (string), centre, block, id, of_text, label, near, text, bits. Rows of a tile come together by one shuffle and sort.
+
+    Gives the links (u, v), and where centre is not null (centre, block, u, v) for each member u that is not connected with
+    it, v being the smallest member that u is connected with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from catalith.llm.neardup import links_in_tile
 
-        def done(rows: list[dict]) -> list[tuple[int, int]]:
+        def done(rows: list[dict]) -> list[tuple]:
             seen = {(r["id"], r["of_text"]): r for r in rows}  # a member that is there as itself and as the centre counts once
             for r in rows:
                 seen[r["id"], r["of_text"]]["near"] |= r["near"]
             r = list(seen.values())
             if len(r) < 2:
                 return []
-            return links_in_tile([x["id"] for x in r], [x["label"] for x in r], [x["near"] for x in r], [x["text"] for x in r], np.array([x["bits"] for x in r], np.int64), width, percent)
+            ids = [x["id"] for x in r]
+            links, root = links_in_tile(ids, [x["label"] for x in r], [x["near"] for x in r], [x["text"] for x in r], np.array([x["bits"] for x in r], np.int64), width, percent)
+            found = [(u, v, None, None) for u, v in links]
+            if (centre := r[0]["centre"]) is not None:
+                least: dict[int, int] = {}
+                for i, x in zip(ids, root, strict=True):
+                    least[x] = min(i, least.get(x, i))
+                main = root[ids.index(centre)]
+                found += {(i, least[x], centre, r[0]["block"]) for i, x in zip(ids, root, strict=True) if x != main}
+            return found
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["u", "v", "centre", "block"])
 
         held: list[dict] = []
-        out: list[tuple[int, int]] = []
+        out: list[tuple] = []
         for batch in batches:
             for at in range(0, len(batch), 256):
                 for row in batch.slice(at, 256).to_pylist():
@@ -213,12 +229,12 @@ def _linked(tiles: DataFrame, width: int, percent: int) -> DataFrame:
                         held = []
                     held.append(row)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["u", "v"])
+                yield batch_of(out)
                 out = []
         if held and (out := done(held)):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["u", "v"])
+            yield batch_of(out)
 
-    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "u long, v long")
+    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "u long, v long, centre long, block int")
 
 
 def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -296,31 +312,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     dealt, dealt_at = written(dealt)
     many = blocks.where("blocks > 1").select("centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     tile = lambda *c: F.concat_ws("-", *c)
-    parts = ["tile", "id", "of_text", "label", "near", "text", "bits"]
-    inner = dealt.select(tile("centre", "block").alias("tile"), "id").unionByName(many.select(tile("centre", "block").alias("tile"), F.col("centre").alias("id")))
+    parts = ["tile", "centre", "block", "id", "of_text", "label", "near", "text", "bits"]
+    labelled = F.when(F.col("blocks") > 1, F.col("centre")).alias("centre")
+    inner = dealt.select(tile("centre", "block").alias("tile"), labelled, "block", "id").unionByName(many.select(tile("centre", "block").alias("tile"), "centre", "block", F.col("centre").alias("id")))
     inner = inner.join(held.hint("merge"), "id").withColumns({"label": F.col("id"), "near": F.lit(True)}).select(*parts)
-    links, links_at = written(_linked(inner, width, percent))
-    known, known_at = components(links)
-    known, _ = written(known)
-    drops = [full_at, members_at, weight_at, centre_at, group_at, blocks_at, wanted_at, dealt_at, *known_at]
-    # groups of several blocks that are not yet one component: members outside the largest against the other blocks
-    wide = dealt.where("blocks > 1").join(known.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    wide, wide_at = written(wide)
-    drops += [wide_at, held_at]
-    if not wide.isEmpty():
-        counted = wide.groupBy("centre", "label").agg(F.count(F.lit(1)).alias("n"))
-        main = counted.groupBy("centre").agg(F.max(F.struct("n", "label")).alias("x"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("centre", F.col("x.label").alias("main"))
-        main, main_at = written(main)
-        open_, open_at = written(wide.join(main.hint("merge"), "centre").withColumn("near", F.col("label") != F.col("main")))
-        active, active_at = written(open_.where("near").select("centre", F.col("block").alias("from")).distinct())
+    found, found_at = written(_linked(inner, width, percent))
+    drops = [full_at, members_at, weight_at, centre_at, group_at, blocks_at, wanted_at, dealt_at, held_at, found_at]
+    links = found.where("centre is null").select("u", "v")
+    # groups of several blocks: members that are not connected with the centre against the other blocks
+    apart, apart_at = written(found.where("centre is not null").select("centre", "block", F.col("u").alias("id"), F.col("v").alias("label")))
+    drops.append(apart_at)
+    if not apart.isEmpty():
+        wide = dealt.where("blocks > 1").join(apart.select("centre", "id", "label").hint("merge"), ["centre", "id"], "left")
+        open_, open_at = written(wide.withColumn("near", F.col("label").isNotNull()).withColumn("label", F.coalesce("label", "centre")))
+        active, active_at = written(apart.select("centre", F.col("block").alias("from")).distinct())
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         out = open_.where("near").select("centre", F.col("block").alias("from"), other.alias("to"), "id", "label", "near").where("from <> to")
         into = open_.select("centre", F.col("block").alias("to"), "id", "label").join(active.hint("merge"), "centre").where("from <> to").withColumn("near", F.lit(False))
-        cross = out.unionByName(into).select(tile("centre", "from", "to").alias("tile"), "id", "label", "near").join(held.hint("merge"), "id")
-        links, more_at = written(links.unionByName(_linked(cross.select(*parts), width, percent)))
-        known, known_at = components(links)
-        known, _ = written(known)
-        drops += [main_at, open_at, active_at, more_at, *known_at]
+        cross = out.unionByName(into).select(tile("centre", "from", "to").alias("tile"), F.lit(None).cast("long").alias("centre"), F.lit(None).cast("int").alias("block"), "id", "label", "near").join(held.hint("merge"), "id")
+        links, more_at = written(links.unionByName(_linked(cross.select(*parts), width, percent).select("u", "v")))
+        drops += [open_at, active_at, more_at]
+    known, known_at = components(links)
     # classes are joined to their components first, then documents to classes by two plain shuffles
     named, named_at = written(classes.join(known.withColumnRenamed("node", "cls").hint("merge"), "cls", "left").select("f1", "f2", F.coalesce("component", "cls").alias("component")))
     member = some.select("doc_id", "n_shingles", "f1", "f2").join(named.hint("merge"), ["f1", "f2"])
@@ -328,7 +340,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     member, _ = written(member.select("doc_id", "n_shingles", "component"))
     united = member.groupBy("doc_id").agg(F.min("component").alias("u"), F.max("component").alias("v")).where("u <> v")
     united, united_at = written(member.join(united.select("doc_id", "u").hint("merge"), "doc_id").where("component <> u").select(F.col("component").alias("u"), F.col("u").alias("v")))
-    for p in (*drops, links_at, named_at):
+    for p in (*drops, *known_at, named_at):
         drop_path(spark, p)
     if united.isEmpty():
         member = member.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
