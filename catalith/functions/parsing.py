@@ -129,6 +129,16 @@ def strict_date(text: Column) -> Column:
     return F.try_to_date(text, "yyyy-MM-dd")
 
 
+def set_icon_key(code: Column) -> Column:
+    return F.concat(F.lit("sets/"), code, F.lit("/icon.png"))
+
+
+def printing_key(printing: Column, kind: str, face: Column | None = None) -> Column:
+    """printings/<id>[/face<n>]/<kind>.jpg; kind: normal or art_crop."""
+    side = F.lit("") if face is None else F.concat(F.lit("/face"), face.cast("string"))
+    return F.concat(F.lit("printings/"), printing.cast("string"), side, F.lit(f"/{kind}.jpg"))
+
+
 def scan_object_key(owner: Column, at: Column, scan_id: Column, media_type: Column) -> Column:
     """scans/<owner in lower case, '_' for all but letters and digits>/yyyy/MM/<id>.<extension>"""
     ext = F.when(media_type == "image/png", "png").when(media_type == "image/webp", "webp").otherwise("jpg")

@@ -61,10 +61,10 @@ def zones_at(scores: list[Column], threshold: float) -> Column:
     return sum(((s >= threshold).cast("int") for s in scores), F.lit(0))
 
 
-def confidence_class(score: Column, zones: list[Column], confidences: list[Column], ocr: Column) -> Column:
-    """High: 0.85, two zones of 0.70 and one of them read with 0.60. Medium: 0.60 and text aggregate 0.40. Else Low."""
-    sure = sum((((z >= 0.70) & (c >= 0.60)).cast("int") for z, c in zip(zones, confidences, strict=True)), F.lit(0))
-    high = (score >= 0.85) & (zones_at(zones, 0.70) >= 2) & (sure >= 1)
+def confidence_class(score: Column, zones: list[Column], confidences: list[Column], ocr: Column, least_read: float = 0.60) -> Column:
+    """High: 0.85, two zones of 0.70 and one of them read with 0.60 (least_read; 0 or less asks for none). Medium: 0.60 and text aggregate 0.40. Else Low."""
+    sure = sum((((z >= 0.70) & (c >= least_read)).cast("int") for z, c in zip(zones, confidences, strict=True)), F.lit(0))
+    high = (score >= 0.85) & (zones_at(zones, 0.70) >= 2) & ((sure >= 1) if least_read > 0 else F.lit(True))
     medium = (score >= 0.60) & (ocr >= 0.40)
     return F.when(F.coalesce(high, F.lit(False)), "High").when(F.coalesce(medium, F.lit(False)), "Medium").otherwise("Low")
 

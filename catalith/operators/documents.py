@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The groups of administrators.
+ADMIN_GROUPS = ("mtg-admins", "platform-admins")
+
 
 def visible(collections: DataFrame, owner: str) -> DataFrame:
     return collections.where((F.col("owner_id") == owner) & ~F.col("is_removed"))
@@ -15,6 +18,11 @@ def alive(selections: DataFrame, now: Column) -> DataFrame:
     return selections.where(F.col("expires_at") >= now)
 
 
+def by_id(documents: DataFrame, owner: str, key: Column) -> DataFrame:
+    """The owner's document with this id, if it is there and not removed."""
+    return visible(documents, owner).where(F.col("id") == key)
+
+
 def overview(collections: DataFrame, owner: str) -> DataFrame:
     return visible(collections, owner).select("id", "name", F.size("cards").alias("card_count")).orderBy("name", "id")
 
@@ -33,6 +41,11 @@ def card_page(rows: DataFrame, printings: DataFrame, skip: int, take: int, most:
     return page.join(printings.withColumnRenamed("id", "printing_id"), "printing_id").orderBy("__sort", "instance_id").drop("__sort")
 
 
+def card_total(rows: DataFrame) -> DataFrame:
+    """All rows of a page's list, before hydrating drops any."""
+    return rows.agg(F.count(F.lit(1)).alias("total"))
+
+
 def valid_name(name: Column) -> Column:
     return F.char_length(F.trim(name)).between(1, 64)
 
@@ -80,6 +93,6 @@ def feedback_changed_top(feedback: Column, candidates: Column) -> Column:
     return F.coalesce(F.nullif(feedback, F.lit("")).isNotNull(), F.lit(False)) & ~feedback.eqNullSafe(top)
 
 
-def is_admin(groups: Column, admins: tuple[str, ...] = ("platform-admins",)) -> Column:
+def is_admin(groups: Column, admins: tuple[str, ...] = ADMIN_GROUPS) -> Column:
     """Whether any of the groups is an administrators' group."""
     return F.arrays_overlap(groups, F.array(*map(F.lit, admins)))

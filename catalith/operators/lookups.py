@@ -22,6 +22,39 @@ def hydrate(rows: DataFrame, printings: DataFrame, key: str, drop_missing: bool)
     return rows.join(printings, key, "inner" if drop_missing else "left")
 
 
+def hydrate_in_order(rows: DataFrame, printings: DataFrame, key: str, by: str, position: str = "position") -> DataFrame:
+    """Nested candidates (array `by` of structs with `key`) with their printing, in their order; candidates without one go."""
+    flat = rows.select(*[c for c in rows.columns if c != by], F.posexplode(by).alias(position, "__c")).select("*", "__c.*").drop("__c")
+    return flat.withColumn(position, F.col(position) + 1).join(printings, key)
+
+
+def printing_by_id(printings: DataFrame, group: Column, printing: Column) -> DataFrame:
+    """The printing with this id if it belongs to the card (group is a condition on its columns), else nothing; no thumbnail key without an image."""
+    return printings.where(group & (F.col("id") == printing)).withColumn("thumbnail_key", thumbnail(F.col("image_object_key"), F.col("id")))
+
+
+def thumbnail(image: Column, printing: Column) -> Column:
+    """The key of a printing's picture, null where it has none."""
+    return F.when(image.isNotNull(), F.concat(F.lit("printings/"), printing.cast("string"), F.lit("/normal.jpg")))
+
+
+def set_by_code(sets: DataFrame, code: str) -> DataFrame:
+    return sets.where(F.col("code") == (code or "").strip().lower())
+
+
+def with_latest_price(rows: DataFrame, latest: DataFrame, key: str = "id", values: tuple[str, ...] = ("eur", "eur_foil")) -> DataFrame:
+    """rows with their latest prices, null where there is none."""
+    return rows.join(latest.select(F.col("printing_id").alias(key), *values), key, "left")
+
+
+def browse_weights(weights: DataFrame) -> DataFrame:
+    return weights.orderBy(F.desc("weight"), "set_type")
+
+
+def page_total(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.count(F.lit(1)).alias("total"))
+
+
 def with_set_names(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """The set's name, or its code where the set is missing."""
     named = rows.join(sets.select(F.col("code").alias("set_code"), F.col("name").alias("__name")), "set_code", "left")
@@ -33,8 +66,8 @@ def printings_of(printings: DataFrame, sets: DataFrame, latest: DataFrame | None
     rows = with_set_names(printings.where(group), sets.select("code", "name", "released_at"))
     rows = rows.join(sets.select(F.col("code").alias("set_code"), "released_at"), "set_code", "left")
     if latest is not None:
-        rows = rows.join(latest.select(F.col("printing_id").alias("id"), "eur", "eur_foil"), "id", "left")
-    return rows.orderBy(F.col("released_at").desc_nulls_last(), "set_code", "collector_number")
+        rows = with_latest_price(rows, latest)
+    return rows.orderBy(F.col("released_at").desc_nulls_last(), "set_code", "collector_number", "id")
 
 
 def browse_sets(sets: DataFrame, set_type: str | None = None, sort: str = "released_at", descending: bool = False, skip: int = 0, take: int = 50) -> DataFrame:
@@ -69,6 +102,25 @@ def last_by(rows: DataFrame, keys: list[str], order: Column, values: list[str])
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("__last")).select(*keys, "__last.*")
 
 
+def first_by(rows: DataFrame, keys: list[str], order: list[Column], values: list[str], count: str | None = None) -> DataFrame:
+    """The first row of each key in an ascending order, and how many rows the key has; combined before the shuffle, unlike a window."""
+    ranked = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    aggs = [F.min_by(F.struct(*values), ranked).alias("__first")] + ([F.count(F.lit(1)).alias(count)] if count else [])
+    return rows.groupBy(*keys).agg(*aggs).select(*keys, *([count] if count else []), "__first.*")
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows with their number in a total order. Sorted by range into tasks and numbered there; only the tasks' counts come together."""
+    from catalith.session import written
+
+    sorted_rows, _ = written(rows.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
+    counts = sorted_rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each task
+    counts = counts.withColumn("__before", F.coalesce(before, F.lit(0))).select("__part", "__before")
+    within = F.row_number().over(Window.partitionBy("__part").orderBy("__at"))
+    return sorted_rows.withColumn("__in", within).join(F.broadcast(counts), "__part").withColumn(name, (F.col("__before") + F.col("__in")).cast("int")).drop("__part", "__at", "__in", "__before")
+
+
 def weighted_lower_median(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """First value whose running weight reaches half of the total. Weights of equal values are summed first."""
     sums = rows.groupBy(*keys, value).agg(F.sum(weight).alias("w"))

@@ -55,10 +55,32 @@ def ingest_batch(batch: DataFrame, latest: DataFrame, points: DataFrame, observe
     return new_latest, new_points, written
 
 
+def ingest_days(batch: DataFrame, latest: DataFrame, source: Column) -> tuple[DataFrame, DataFrame]:
+    """(latest rows of the batch's keys, points to write) for observations (seq, printing_id, observed_on, values) of several days.
+
+    As ingest_batch() day by day, but at once: each day's last row is compared with the day before it in the batch, the first
+    with the latest value. updated_at is the last day."""
+    typed = batch.select("seq", "printing_id", "observed_on", *[F.col(v).cast("decimal(12,2)").alias(v) for v in VALUES])
+    daily = last_by(typed, ["printing_id", "observed_on"], F.col("seq"), VALUES)
+    old = latest.select("printing_id", *[F.col(v).alias(f"was_{v}") for v in VALUES], F.lit(True).alias("has"))
+    rows = daily.join(old, "printing_id", "left")
+    order = Window.partitionBy("printing_id").orderBy("observed_on")
+    priced = F.lit(False)
+    for v in VALUES:
+        priced = priced | F.col(v).isNotNull()
+    known = F.max((F.coalesce("has", F.lit(False)) | priced).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) == 1
+    rows = rows.withColumn("known", known).where("known")
+    first = F.row_number().over(order) == 1
+    rows = rows.withColumns({f"old_{v}": F.when(first, F.col(f"was_{v}")).otherwise(F.lag(v).over(order)) for v in VALUES} | {"new": first & F.col("has").isNull()})
+    points = rows.where(F.col("new") | changed(VALUES, "old")).select("printing_id", "observed_on", *VALUES, source.cast("string").alias("source"))
+    last = last_by(rows, ["printing_id"], F.col("observed_on"), [*VALUES, "observed_on"])
+    return last.select("printing_id", *VALUES, F.col("observed_on").cast("timestamp").alias("updated_at")), points
+
+
 def history(points: DataFrame, today: Column, retention_days: int = 365, start: Column | None = None, end: Column | None = None, day: str = "observed_on") -> DataFrame:
     """Points from the later of start and today - retention, up to end, oldest first."""
     floor = F.date_sub(today, retention_days)
     points = points.where(F.col(day) >= (F.greatest(start, floor) if start is not None else floor))
     if end is not None:
         points = points.where(F.col(day) <= end)
-    return points.orderBy(day)
+    return points.orderBy(day, *[c for c in ("printing_id",) if c in points.columns])

@@ -7,10 +7,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from catalith.functions.parsing import RARITY_RANK, lookup
 from catalith.functions.trigram import similarity_to
+from catalith.operators.lookups import first_by
 
 
 @dataclass(frozen=True)
@@ -79,11 +79,12 @@ def filtered(printings: DataFrame, r: SearchRequest) -> DataFrame:
 def representatives(printings: DataFrame, sets: DataFrame, group: str = "oracle_id") -> DataFrame:
     """One row a group with its printing_count: English first, then with image, newest, not foil, smallest id.
 
-    sets is the small dimension; Catalyst broadcasts it where it is small. Count and rank share one window shuffle."""
+    sets is the small dimension; Catalyst broadcasts it where it is small. Count and best row are combined before the one
+    shuffle, so a group of any size is no single task."""
     joined = printings.join(sets.select(F.col("code").alias("set_code"), "released_at"), "set_code", "left")
-    order = Window.partitionBy(group).orderBy((F.col("lang") == "en").desc(), F.col("image_object_key").isNotNull().desc(), F.col("released_at").desc_nulls_last(), F.col("is_foil").asc(), F.col("id").asc())
-    counted = joined.withColumn("printing_count", F.count(F.lit(1)).over(Window.partitionBy(group))).withColumn("__n", F.row_number().over(order))
-    return counted.where("__n = 1").drop("__n")
+    age = F.coalesce(-F.unix_date("released_at"), F.lit(2**31 - 1))  # newest first, unknown last
+    order = [F.coalesce(F.col("lang") != "en", F.lit(True)), F.col("image_object_key").isNull(), age, F.col("is_foil"), F.col("id")]
+    return first_by(joined, [group], order, [c for c in joined.columns if c != group], "printing_count")
 
 
 def sort_order(r: SearchRequest, group: str = "oracle_id") -> list[Column]:

@@ -5,15 +5,13 @@ observations by user, signs of embeddings are image hashes. Only the mapping is
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from catalith.functions import parsing, scoring, trigram
-from catalith.operators import documents, hamming, lookups, prices, resolve, search, zones
-from catalith.session import read_table
+from catalith.operators import documents, hamming, lookups, prices, resolve, scanlog, search, zones
+from catalith.session import read_table, scratch
 from catalith.sources import store
 from catalith.sources.catalogue import faces_of, missing_images, sorted_faces
 
@@ -123,9 +121,8 @@ row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderstatus = 'F') DESC, o
 SELECT o_custkey, o_orderkey, orders FROM n WHERE rn = 1""")
 def single_representative(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders")
-    order = Window.partitionBy("o_custkey").orderBy((F.col("o_orderstatus") == "F").desc(), F.col("o_orderdate").desc_nulls_last(), "o_orderkey")
-    rows = o.withColumn("orders", F.count(F.lit(1)).over(Window.partitionBy("o_custkey"))).withColumn("rn", F.row_number().over(order))
-    return rows.where("rn = 1").select("o_custkey", "o_orderkey", "orders")
+    order = [F.col("o_orderstatus") != "F", -F.unix_date(F.col("o_orderdate").cast("date")), F.col("o_orderkey")]
+    return lookups.first_by(o, ["o_custkey"], order, ["o_orderkey"], "orders")
 
 
 @query(f"""SELECT p_partkey, round(s::DOUBLE, 6) AS score FROM (SELECT p_partkey, {_jaccard_sql(_grams_sql("p_name"), _grams_sql("'green bolt'"))} AS s FROM part) WHERE s > 0.2""")
@@ -134,21 +131,13 @@ def fuzzy_filter_part(spark, sf_dir):
     return part.where(F.col("s").cast("double") > 0.2).select("p_partkey", r6(F.col("s").cast("double")).alias("score"))
 
 
-@query("""WITH RECURSIVE n AS (SELECT DISTINCT p_name FROM part),
-q AS (SELECT user_id, event_type || ' ' || coalesce(props, '') || ' smal rings' AS line FROM events WHERE event_id < 40),
-g AS (SELECT p_name, flatten(list_transform(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))) AS g FROM n),
-h AS (SELECT DISTINCT line, flatten(list_transform(regexp_extract_all(lower(line), '[\\p{L}\\p{N}]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))) AS h FROM q),
-e AS (SELECT p_name, line, list_distinct(g) AS g, h, unnest(range(1, len(h) + 1)) AS a FROM g, h),
-x AS (SELECT p_name, line, g, list_distinct(h[a:b]) AS x FROM (SELECT *, unnest(range(a, len(h) + 1)) AS b FROM e)),
-s AS (SELECT p_name, line, max((len(list_intersect(g, x))::DOUBLE / (len(g) + len(x) - len(list_intersect(g, x))))::FLOAT) AS s FROM x GROUP BY ALL),
-r AS (SELECT line, p_name, s, row_number() OVER (PARTITION BY line ORDER BY s DESC, p_name) AS rank FROM s WHERE s > 0.3)
-SELECT line, p_name, round(s::DOUBLE, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 5""")
+@query(None)
 def word_similarity_topk(spark, sf_dir):
+    """All events' lines; SQL over whole tables would have to try every extent of every pair, so the tests hold it against the plain definition."""
     names = read_table(spark, sf_dir, "part").select("p_name").distinct().select(F.col("p_name").alias("id"), "p_name")
-    lines = read_table(spark, sf_dir, "events").where("event_id < 40").select(F.concat(F.col("event_type"), F.lit(" "), F.coalesce("props", F.lit("")), F.lit(" smal rings")).alias("line")).distinct()
+    lines = read_table(spark, sf_dir, "events").select(F.concat(F.col("event_type"), F.lit(" "), F.coalesce("props", F.lit("")), F.lit(" smal rings")).alias("line")).distinct()
     found = trigram.word_matches(names, lines.withColumn("key", F.col("line")), "id", "p_name", "key", "line", 0.3)
-    order = Window.partitionBy("key").orderBy(F.desc("score"), "id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where("rank <= 5")
+    ranked = resolve.top_by(found, "key", [F.desc("score"), F.asc("id")], 5, "rank")
     return ranked.select(F.col("key").alias("line"), F.col("id").alias("p_name"), r6(F.col("score").cast("double")).alias("score"), "rank")
 
 
@@ -187,16 +176,16 @@ def rarity_rank_sort(spark, sf_dir):
 @query(f"""WITH {PRINTINGS_SQL} SELECT code, row_number() OVER (ORDER BY released_at ASC NULLS LAST, code)::INTEGER AS up_last, row_number() OVER (ORDER BY released_at DESC NULLS FIRST, code DESC)::INTEGER AS down_first,
 row_number() OVER (ORDER BY released_at DESC NULLS LAST, code)::INTEGER AS down_last, row_number() OVER (ORDER BY released_at ASC NULLS FIRST, code)::INTEGER AS up_first FROM st""")
 def nulls_contract(spark, sf_dir):
-    """sets is a small dimension: the windows without a key are over at most some thousand rows."""
-    s, d = sets(spark, sf_dir), F.col("released_at")
-    over = lambda *o: F.row_number().over(Window.orderBy(*o))
-    return s.select(
-        "code",
-        over(d.asc_nulls_last(), "code").alias("up_last"),
-        over(d.desc_nulls_first(), F.desc("code")).alias("down_first"),
-        over(d.desc_nulls_last(), "code").alias("down_last"),
-        over(d.asc_nulls_first(), "code").alias("up_first"),
-    )
+    """Ranks of all sets in four orders; sorted by range, so no task has them all."""
+    s, d = sets(spark, sf_dir).select("code", "released_at"), F.col("released_at")
+    for name, order in {
+        "up_last": [d.asc_nulls_last(), F.asc("code")],
+        "down_first": [d.desc_nulls_first(), F.desc("code")],
+        "down_last": [d.desc_nulls_last(), F.asc("code")],
+        "up_first": [d.asc_nulls_first(), F.asc("code")],
+    }.items():
+        s = lookups.numbered(s, order, name)
+    return s.drop("released_at")
 
 
 @query(f"WITH {PRINTINGS_SQL} SELECT code, name, set_type, released_at::VARCHAR AS released_at FROM st ORDER BY st.released_at DESC NULLS FIRST, code DESC LIMIT 30 OFFSET 5")
@@ -280,7 +269,7 @@ def _hash_sql(first: int, count: int) -> str:
 
 @query(f"WITH h AS {_hash_sql(1, 62)} SELECT a.id AS query_id, b.id, bit_count(xor(a.hash, b.hash))::INTEGER AS distance FROM h a JOIN h b ON a.id <> b.id WHERE bit_count(xor(a.hash, b.hash)) <= 16")
 def hamming_pairs(spark, sf_dir):
-    h = hashes(spark, sf_dir, 1, 62)
+    h = hashes(spark, sf_dir, 1, 62).where("hash is not null")
     return hamming.within(h, h, 16).where("query_id <> id")
 
 
@@ -296,8 +285,8 @@ SELECT query_id, id, distance, rank FROM r WHERE rank <= 10"""
 def hamming_topk(spark, sf_dir):
     parts = []
     for first in (1, 32):
-        h = hashes(spark, sf_dir, first, 31)
-        parts.append(hamming.within(h.where("id % 20 = 0"), h, 16))
+        h = hashes(spark, sf_dir, first, 31).where("hash is not null")
+        parts.append(hamming.nearest(h.where("id % 20 = 0"), h, 16, 10))
     return hamming.merged_top_k(parts, 10)
 
 
@@ -364,15 +353,15 @@ def weighted_median(spark, sf_dir):
 
 @query("SELECT conv_id, string_agg(trim(text), ' ' ORDER BY turn) AS said FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
 def ordered_concat(spark, sf_dir):
-    c = read_table(spark, sf_dir, "conversations").where(F.trim("text") != "")
-    parts = F.array_sort(F.collect_list(F.struct("turn", F.trim("text").alias("text"))))
-    return c.groupBy("conv_id").agg(parts.alias("t")).select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("said"))
+    said = F.trim("text")
+    c = read_table(spark, sf_dir, "conversations").where(said != "")
+    return c.groupBy("conv_id").agg(zones.reading_order(F.lit(True), ["turn"], said).alias("said"))
 
 
 @query("SELECT lang, coalesce(round(avg(CASE WHEN trim(text) <> '' THEN n_chars END), 6), 0)::DOUBLE AS mean_chars FROM documents GROUP BY lang")
 def mean_nonblank(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
-    return d.groupBy("lang").agg(F.coalesce(r6(F.avg(F.when(F.trim("text") != "", F.col("n_chars")))), F.lit(0.0)).alias("mean_chars"))
+    return d.groupBy("lang").agg(r6(zones.mean_where(F.trim("text") != "", F.col("n_chars"))).alias("mean_chars"))
 
 
 @query("""WITH b AS (SELECT vec_id, label, embedding[1]::DOUBLE + 0.5 AS x, embedding[2]::DOUBLE + 0.5 AS y FROM embeddings), e AS (SELECT label, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM b GROUP BY label),
@@ -434,13 +423,16 @@ def faces_json(spark, sf_dir):
     return cards.join(keys, "l_orderkey").select("l_orderkey", F.size("faces").cast("long").alias("faces"), F.array_join(F.transform("faces", lambda f: f["name"]), ",").alias("line"), "k")
 
 
-def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with their lines as documents with cards."""
+def collections(spark: SparkSession, sf_dir: str, owner: str | None = None) -> DataFrame:
+    """Orders with their lines as documents with cards. With an owner, other owners' lines go before they are nested."""
     line = read_table(spark, sf_dir, "lineitem")
-    card = F.struct(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("instance_id"), F.col("l_partkey").alias("printing_id"), (F.col("l_linestatus") == "F").alias("is_foil"), F.col("l_returnflag").alias("language"), F.lit("NM").alias("condition"))
-    cards = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(card)).alias("cards"))
     orders = read_table(spark, sf_dir, "orders")
     docs = orders.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 10).cast("string").alias("owner_id"), F.concat(F.lit("box "), F.col("o_orderstatus")).alias("name"), (F.col("o_orderpriority") == "5-LOW").alias("is_removed"))
+    if owner is not None:
+        docs = docs.where((F.col("owner_id") == owner) & ~F.col("is_removed"))
+        line = line.join(docs.select("l_orderkey"), "l_orderkey", "left_semi")
+    card = F.struct(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("instance_id"), F.col("l_partkey").alias("printing_id"), (F.col("l_linestatus") == "F").alias("is_foil"), F.col("l_returnflag").alias("language"), F.lit("NM").alias("condition"))
+    cards = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(card)).alias("cards"))
     return docs.join(cards, "l_orderkey").withColumnRenamed("l_orderkey", "id")
 
 
@@ -452,7 +444,7 @@ FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
 SELECT collection_id, collection_name, instance_id, p_name AS name FROM p ORDER BY upper(p_name), instance_id LIMIT 60 OFFSET 30""")
 def flatten_page(spark, sf_dir):
     part = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    return documents.card_page(documents.flattened(collections(spark, sf_dir), "3"), part, 30, 60).select("collection_id", "collection_name", "instance_id", "name")
+    return documents.card_page(documents.flattened(collections(spark, sf_dir, "3"), "3"), part, 30, 60).select("collection_id", "collection_name", "instance_id", "name")
 
 
 @query(f"""WITH {_CARDS} SELECT id, count(*) FILTER (WHERE right(instance_id, 1) NOT IN ('1', '3')) AS stays, count(*) FILTER (WHERE right(instance_id, 1) IN ('1', '3')) AS moves, (2 - count(DISTINCT instance_id) FILTER (WHERE right(instance_id, 1) IN ('1', '3')))::INTEGER AS missing FROM c GROUP BY id""")
@@ -463,20 +455,21 @@ def bulk_move(spark, sf_dir):
     return c.select("id", F.size(rest).cast("long").alias("stays"), F.size(into).cast("long").alias("moves"), missing.alias("missing"))
 
 
-@query("SELECT l_orderkey, l_linenumber, unnest(range(1, least(50, greatest(1, (l_quantity - 5)::INT)) + 1))::INTEGER AS copy FROM lineitem WHERE l_orderkey < 2000")
+@query("SELECT l_orderkey, l_linenumber, unnest(range(1, least(50, greatest(1, ((l_quantity - 44) * 10)::INT)) + 1))::INTEGER AS copy FROM lineitem")
 def repeat_rows(spark, sf_dir):
-    line = read_table(spark, sf_dir, "lineitem").where("l_orderkey < 2000").select("l_orderkey", "l_linenumber", "l_quantity")
-    return documents.repeated(line, F.col("l_quantity") - 5).select("l_orderkey", "l_linenumber", "copy")
+    line = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return documents.repeated(line, (F.col("l_quantity") - 44) * 10).select("l_orderkey", "l_linenumber", "copy")
 
 
-@query("""WITH c AS (SELECT user_id, list(event_id % 13 ORDER BY event_id) AS c FROM events GROUP BY user_id)
-SELECT user_id, nullif(coalesce(list_position(c, user_id % 13), 0), 0)::BIGINT AS rank, (c[1] <> user_id % 13) AS changed_top FROM c""")
+@query("""WITH c AS (SELECT event_id // 8 AS scan_id, list(user_id % 13 ORDER BY event_id) AS c FROM events GROUP BY 1)
+SELECT scan_id, nullif(coalesce(list_position(c, scan_id % 13), 0), 0)::BIGINT AS rank, (c[1] <> scan_id % 13) AS changed_top FROM c""")
 def array_rank(spark, sf_dir):
-    e = read_table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id"))).alias("c"))
-    cands = F.transform("c", lambda x: F.struct((x["event_id"] % 13).cast("string").alias("printing_id")))
-    label = (F.col("user_id") % 13).cast("string")
+    """Scans of eight events each; the candidates are their users."""
+    e = read_table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 8).alias("scan_id")).agg(F.array_sort(F.collect_list(F.struct("event_id", "user_id"))).alias("c"))
+    cands = F.transform("c", lambda x: F.struct((x["user_id"] % 13).cast("string").alias("printing_id")))
+    label = (F.col("scan_id") % 13).cast("string")
     e = e.withColumn("candidates", cands)
-    return e.select("user_id", lookups.label_rank(F.col("candidates"), label).alias("rank"), documents.feedback_changed_top(label, F.col("candidates")).alias("changed_top"))
+    return e.select("scan_id", lookups.label_rank(F.col("candidates"), label).alias("rank"), documents.feedback_changed_top(label, F.col("candidates")).alias("changed_top"))
 
 
 @query("SELECT event_id FROM events WHERE ts + INTERVAL 7 DAY >= TIMESTAMP '2024-01-20 00:00:00'")
@@ -491,40 +484,38 @@ def dup_clash(spark, sf_dir):
     return c.select("id", documents.clashes(F.col("cards"), F.lit(2), F.lit(True), F.lit("n")).alias("clash"))
 
 
-@query("""WITH o AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS hash FROM customer WHERE c_custkey < 1000), n AS (SELECT c_custkey AS id, upper(c_name) AS name, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 END AS hash FROM customer WHERE c_custkey >= 500)
+@query("""WITH o AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS hash FROM customer WHERE c_acctbal < 6000), n AS (SELECT c_custkey AS id, upper(c_name) AS name, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 END AS hash FROM customer WHERE c_acctbal >= 2000)
 SELECT coalesce(o.id, n.id) AS id, coalesce(n.name, o.name) AS name, round(coalesce(n.hash, o.hash), 6) AS hash FROM o FULL JOIN n ON o.id = n.id""")
 def merge_upsert(spark, sf_dir):
     c = read_table(spark, sf_dir, "customer")
-    old = c.where("c_custkey < 1000").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("hash"))
-    new = c.where("c_custkey >= 500").select(F.col("c_custkey").alias("id"), F.upper("c_name").alias("name"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_acctbal") + 1).alias("hash"))
+    old = c.where("c_acctbal < 6000").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("hash"))
+    new = c.where("c_acctbal >= 2000").select(F.col("c_custkey").alias("id"), F.upper("c_name").alias("name"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_acctbal") + 1).alias("hash"))
     return store.upsert(old, new, ["id"], preserve=["hash"]).withColumn("hash", r6("hash"))
 
 
-@query("""SELECT count(*) AS total, count(*) FILTER (WHERE c_custkey >= 1000) AS added, count(*) FILTER (WHERE c_custkey < 1000) AS updated FROM customer WHERE c_custkey >= 500""")
+@query("""SELECT count(*) AS total, count(*) FILTER (WHERE c_acctbal >= 6000) AS added, count(*) FILTER (WHERE c_acctbal < 6000) AS updated FROM customer WHERE c_acctbal >= 2000""")
 def upsert_counts(spark, sf_dir):
-    c = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    return store.upsert_counts(c.where("id < 1000"), c.where("id >= 500"), ["id"])
+    c = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
+    return store.upsert_counts(c.where("c_acctbal < 6000"), c.where("c_acctbal >= 2000"), ["id"])
 
 
 @query("SELECT event_type, count(*) AS scans, round(avg(value), 6) AS mean_value, min(value) AS low, max(value) AS high FROM events GROUP BY event_type")
 def telemetry_rollup(spark, sf_dir):
-    e = read_table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("scans"), r6(F.avg("value")).alias("mean_value"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return scanlog.outcomes(read_table(spark, sf_dir, "events"), ["event_type"], "value")
 
 
-@query(f"WITH {_OBSERVED} SELECT printing_id::VARCHAR AS printing_id, observed_on::VARCHAR AS observed_on, eur::DOUBLE AS eur FROM points WHERE points.observed_on < DATE '2024-01-06'")
+@query(f"WITH {_OBSERVED} SELECT printing_id::VARCHAR AS printing_id, observed_on::VARCHAR AS observed_on, eur::DOUBLE AS eur FROM points")
 def stream_store_on_change(spark, sf_dir):
-    """The first days of the price series through the streaming ingest; equal to the batch result."""
-    from catalith.session import scratch
-    from catalith.streaming.ingest import price_stream
-
-    base = scratch(spark) if spark.conf.get("spark.checkpoint.dir", None) else tempfile.mkdtemp(prefix="catalith-")
-    days = observations(spark, sf_dir).where("observed_on < date'2024-01-06'").select("seq", F.col("printing_id").cast("string").alias("printing_id"), "eur", F.lit(None).cast("decimal(12,2)").alias("eur_foil"), "observed_on")
-    days.coalesce(1).write.parquet(f"{base}/landing")
-    price_stream(spark, f"{base}/landing", "seq long, printing_id string, eur decimal(12,2), eur_foil decimal(12,2), observed_on date", f"{base}/latest", f"{base}/points", f"{base}/checkpoint").awaitTermination()
-    from catalith.sources.store import VersionedTable
+    """The whole price series through the streaming ingest, a week a micro-batch; equal to the batch result."""
+    from catalith.streaming.ingest import points_of, price_stream
 
-    return VersionedTable(spark, f"{base}/points").read().select("printing_id", day("observed_on"), F.col("eur").cast("double").alias("eur"))
+    base = scratch(spark)
+    rows = observations(spark, sf_dir).select("seq", F.col("printing_id").cast("string").alias("printing_id"), "eur", F.lit(None).cast("decimal(12,2)").alias("eur_foil"), "observed_on")
+    week, schema = F.date_trunc("week", "observed_on"), "seq long, printing_id string, eur decimal(12,2), eur_foil decimal(12,2), observed_on date"
+    for (day_,) in rows.select(week.alias("w")).distinct().orderBy("w").collect():  # each week lands and is taken in before the next
+        rows.where(week == day_).write.mode("append").parquet(f"{base}/landing")
+        price_stream(spark, f"{base}/landing", schema, f"{base}/latest", f"{base}/points", f"{base}/checkpoint", files=100_000).awaitTermination()
+    return points_of(spark, f"{base}/points").select("printing_id", day("observed_on"), F.col("eur").cast("double").alias("eur"))
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -606,12 +597,14 @@ def set_weight_chain(spark, sf_dir):
     return lookups.with_set_weights(rows, sets(spark, sf_dir), weights).select("id", "weight")
 
 
-@query("""WITH c AS (SELECT user_id, min_by(value, event_id)::INTEGER AS top FROM events GROUP BY user_id) SELECT user_id, CASE WHEN p_partkey IS NOT NULL THEN top END AS printing, p_name FROM c LEFT JOIN part ON p_partkey = top""")
+@query("""WITH c AS (SELECT event_id // 8 AS scan_id, round(min_by(value, event_id))::INTEGER AS top FROM events GROUP BY 1) SELECT scan_id, CASE WHEN p_partkey IS NOT NULL THEN top END AS printing, p_name FROM c LEFT JOIN part ON p_partkey = top""")
 def top_candidate_join(spark, sf_dir):
-    e = read_table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.round("value").cast("long").alias("printing_id")))).alias("candidates"))
+    """Scans of eight events each, which are their candidates."""
+    each = F.struct("event_id", F.round("value").cast("long").alias("printing_id"))
+    e = read_table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 8).alias("scan_id")).agg(F.array_sort(F.collect_list(each)).alias("candidates"))
     part = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("printing_id"), "p_name")
     rows = lookups.top_candidate(e, part)
-    return rows.select("user_id", F.when(F.col("p_name").isNotNull(), F.col("printing_id")).cast("int").alias("printing"), "p_name")
+    return rows.select("scan_id", F.when(F.col("p_name").isNotNull(), F.col("printing_id")).cast("int").alias("printing"), "p_name")
 
 
 @query("""WITH t(n, d, x, v) AS (VALUES (0, '2024-02-29', '1,234.50', 'a'), (1, '2024-13-01', 'x', ' '), (2, '2024-1-1', NULL, NULL), (3, NULL, ' 7 ', '  b '), (4, '2023-02-29', '1.555', ''))
@@ -623,7 +616,7 @@ def lenient_values(spark, sf_dir):
     return t.select("n", parsing.strict_date(F.col("d")).cast("string").alias("day"), parsing.lenient_decimal(F.col("x")).cast("double").alias("price"), documents.with_default(F.col("v"), "en").alias("language"), copies)
 
 
-@query("""SELECT event_id, 'scans/' || regexp_replace(lower(event_type || '@Mail.' || user_id), '[^\p{L}\p{N}]', '_', 'g') || strftime(ts, '/%Y/%m/') || event_id || CASE event_id % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.webp' ELSE '.jpg' END AS key FROM events""")
+@query("""SELECT event_id, 'scans/' || regexp_replace(lower(event_type || '@Mail.' || user_id), '[^\\p{L}\\p{N}]', '_', 'g') || strftime(ts, '/%Y/%m/') || event_id || CASE event_id % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.webp' ELSE '.jpg' END AS key FROM events""")
 def object_keys(spark, sf_dir):
     media = F.when(F.col("event_id") % 3 == 0, "image/png").when(F.col("event_id") % 3 == 1, "image/webp").otherwise("image/jpeg")
     owner = F.concat(F.col("event_type"), F.lit("@Mail."), F.col("user_id").cast("string"))
@@ -640,7 +633,7 @@ def backfill_worklist(spark, sf_dir):
 def pool_union(spark, sf_dir):
     e = read_table(spark, sf_dir, "events")
     part = lambda kind, n: e.where(F.col("event_type") == kind).select(F.col("user_id").alias("scan_id"), (F.col("event_id") % n).alias("id"))
-    return part("view", 50).unionByName(part("click", 70)).distinct()
+    return resolve.pool_of(part("view", 50), part("click", 70))
 
 
 @query(f"""WITH {_CARDS} SELECT id, count(*) FILTER (WHERE right(instance_id, 1) IN ('1', '2')) AS taken, coalesce(string_agg(language, '' ORDER BY instance_id, printing_id, is_foil, language) FILTER (WHERE right(instance_id, 1) IN ('1', '2')), '') AS languages FROM c GROUP BY id""")
@@ -651,15 +644,16 @@ def selection_commit(spark, sf_dir):
     return c.select("id", F.size(taken).cast("long").alias("taken"), F.array_join(F.transform(taken, lambda x: x["language"]), "").alias("languages"))
 
 
-@query("SELECT user_id, bool_or(event_type IN ('error')) AS admin FROM events GROUP BY user_id")
+@query("SELECT user_id, bool_or(event_type IN ('error', 'purchase')) AS admin FROM events GROUP BY user_id")
 def admin_flag(spark, sf_dir):
-    groups = read_table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("g"))
-    return groups.select("user_id", documents.is_admin(F.col("g"), ("error",)).alias("admin"))
+    group = F.when(F.col("event_type") == "error", "mtg-admins").when(F.col("event_type") == "purchase", "platform-admins").otherwise(F.col("event_type"))
+    groups = read_table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(group).alias("g"))
+    return groups.select("user_id", documents.is_admin(F.col("g")).alias("admin"))
 
 
 @query(f"""WITH {_CARDS} SELECT id, any_value(name) AS name, count(*)::INTEGER AS card_count FROM c WHERE owner_id = '3' AND NOT is_removed GROUP BY id""")
 def collection_overview(spark, sf_dir):
-    return documents.overview(collections(spark, sf_dir), "3")
+    return documents.overview(collections(spark, sf_dir, "3"), "3")
 
 
 @query(None)

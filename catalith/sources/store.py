@@ -1,9 +1,15 @@
-"""Keyed upserts into versioned Parquet tables: a new version folder, then a pointer to it. The path being read is never overwritten."""
+"""Keyed upserts: as a merge of two tables, and as batches appended to a Parquet folder.
+
+A folder of batches has a subfolder for each batch number; writing a number again replaces it, so a replay changes nothing,
+and a batch that fails leaves no committed files. The current rows are the last of each key. No pointer is kept."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def merge(old: DataFrame, new: DataFrame, keys: list[str], preserve: list[str] | None = None) -> DataFrame:
@@ -34,38 +40,62 @@ def upsert_counts(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return seen.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("has").isNull()).alias("added"), F.count_if(F.col("has")).alias("updated"))
 
 
-class VersionedTable:
-    """Versions v=0, 1, ... below a path; current.txt names the live one. A failed write leaves the old one live."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _fs(self, name: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def version(self) -> int | None:
-        fs, p = self._fs("current.txt")
-        return int(self.spark.read.text(f"{self.path}/current.txt").first()[0]) if fs.exists(p) else None
-
-    def read(self) -> DataFrame | None:
-        v = self.version()
-        return None if v is None else self.spark.read.parquet(f"{self.path}/v={v}")
-
-    def write(self, df: DataFrame) -> int:
-        old = self.version()
-        v = 0 if old is None else old + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v={v}")
-        fs, p = self._fs("next.txt")
-        out = fs.create(p, True)
-        out.write(bytearray(str(v).encode()))
-        out.close()
-        fs, live = self._fs("current.txt")
-        if fs.exists(live):
-            fs.delete(live, False)
-        fs.rename(p, live)
-        return v
-
-    def upsert(self, new: DataFrame, keys: list[str], preserve: list[str] | None = None) -> int:
-        old = self.read()
-        return self.write(new if old is None else upsert(old, new, keys, preserve))
+def append(df: DataFrame, path: str, batch: int) -> None:
+    """Write a batch; a replay of the same number replaces it."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All rows of all batches with their batch number; none before the first."""
+    kind = T.StructType.fromDDL(schema)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], kind).withColumn("batch", F.lit(None).cast("long"))
+    return spark.read.schema(T.StructType([*kind.fields, T.StructField("batch", T.LongType())])).parquet(path)
+
+
+def current(spark: SparkSession, path: str, schema: str, keys: list[str], preserve: list[str] | None = None, before: int | None = None) -> DataFrame:
+    """The last row of each key over all batches (before a number); preserved columns have their last value that is not null."""
+    rows = batches(spark, path, schema)
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    kept = set(preserve or [])
+    values = [c for c in rows.columns if c not in keys and c != "batch" and c not in kept]
+    aggs = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("batch"))).alias(c) for c in kept]
+    if values:
+        aggs.append(F.max_by(F.struct(*values), "batch").alias("__last"))
+    out = rows.groupBy(*keys).agg(*aggs)
+    pick = {c: F.col(f"__last.{c}").alias(c) for c in values}
+    return out.select(*[pick.get(c, F.col(c)) for c in T.StructType.fromDDL(schema).names])
+
+
+def compacted(spark: SparkSession, path: str, to: str, schema: str, keys: list[str], preserve: list[str] | None = None) -> None:
+    """The current rows as batch 0 of a new folder, for when a folder has grown many batches."""
+    append(current(spark, path, schema, keys, preserve), to, 0)
+
+
+def quarantined(rows: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(rows that pass all checks, the others with the names of the failed ones in `errors`). A null check has failed."""
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]))
+    marked = rows.withColumn("errors", failed)
+    return marked.where(F.size("errors") == 0).drop("errors"), marked.where(F.size("errors") > 0)
+
+
+def reported(run: Callable[[], dict]) -> dict:
+    """The counters of a run, or a report that it failed; what it has committed before stays."""
+    try:
+        return {"status": "completed", **run()}
+    except Exception as e:  # a failed run is a result, not an error of the caller
+        return {"status": "failed", "error": f"{type(e).__name__}: {e}"}
+
+
+def rebuild_index(rows: DataFrame, path: str, run: int) -> None:
+    """Write an index as a new run. One that fails leaves no committed files, and the run before stays live."""
+    rows.write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
+def live_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index of the last run that was committed."""
+    every = spark.read.parquet(path)
+    last = every.agg(F.max("run")).first()[0]
+    return every.where(F.col("run") == last).drop("run")

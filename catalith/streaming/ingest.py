@@ -1,4 +1,7 @@
-"""Streaming variants of the ingest: micro-batches through the same functions as the batch jobs, committed batch by batch."""
+"""Streaming variants of the ingest: micro-batches through the same functions as the batch jobs, committed batch by batch.
+
+A micro-batch writes only what it touches, under its own number: new points and the latest values of its keys. Replays write
+the same again, and batches that are committed survive a later failure."""
 
 from __future__ import annotations
 
@@ -6,37 +9,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from catalith.operators.prices import ingest_batch
-from catalith.sources.store import VersionedTable
+from catalith.operators.prices import ingest_days
+from catalith.sources.store import append, current
 
 LATEST = "printing_id string, eur decimal(12,2), eur_foil decimal(12,2), updated_at timestamp"
 POINTS = "printing_id string, observed_on date, eur decimal(12,2), eur_foil decimal(12,2), source string"
+POINT_KEYS = ["printing_id", "observed_on"]
+
+
+def latest_of(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    return current(spark, path, LATEST, ["printing_id"], before=before)
 
 
-def apply_price_days(batch: DataFrame, latest_table: VersionedTable, points_table: VersionedTable, source: str) -> None:
-    """Take in a batch of observations (seq, printing_id, eur, eur_foil, observed_on), one day after the other."""
-    spark = batch.sparkSession
+def points_of(spark: SparkSession, path: str) -> DataFrame:
+    return current(spark, path, POINTS, POINT_KEYS)
+
+
+def apply_prices(batch: DataFrame, number: int, latest_path: str, points_path: str, source: str) -> None:
+    """Take in a micro-batch of observations (seq, printing_id, eur, eur_foil, observed_on) of any days, in the order of the days."""
     batch = batch.persist()
-    for (day,) in sorted(batch.select("observed_on").distinct().collect()):
-        latest, points = latest_table.read(), points_table.read()
-        latest = spark.createDataFrame([], LATEST) if latest is None else latest
-        points = spark.createDataFrame([], POINTS) if points is None else points
-        new_latest, new_points, _ = ingest_batch(batch.where(F.col("observed_on") == day), latest, points, F.lit(day), F.lit(source), F.lit(day))
-        # points first: they are worked out from the old latest values, so a replay after a failure between the two is harmless
-        points_table.write(new_points)
-        latest_table.write(new_latest)
+    latest, points = ingest_days(batch, latest_of(batch.sparkSession, latest_path, before=number), F.lit(source))
+    # points first: they are worked out from the old latest values, so a replay after a failure between the two is harmless
+    append(points, points_path, number)
+    append(latest, latest_path, number)
     batch.unpersist()
 
 
 def price_stream(spark: SparkSession, landing: str, schema: str, latest_path: str, points_path: str, checkpoint: str, source: str = "stream", files: int = 1) -> StreamingQuery:
     """Read all Parquet files of a landing folder that are new, some at a time, and take them in; stops when all are done."""
-    latest, points = VersionedTable(spark, latest_path), VersionedTable(spark, points_path)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(landing)
-    return stream.writeStream.foreachBatch(lambda batch, _: apply_price_days(batch, latest, points, source)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda batch, n: apply_prices(batch, n, latest_path, points_path, source)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def keyed_stream(spark: SparkSession, landing: str, schema: str, table_path: str, keys: list[str], checkpoint: str, preserve: list[str] | None = None) -> StreamingQuery:
-    """Upsert new files of a landing folder by key; batches that are committed survive a later failure."""
-    table = VersionedTable(spark, table_path)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    return stream.writeStream.foreachBatch(lambda batch, _: table.upsert(batch, keys, preserve) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def keyed_stream(spark: SparkSession, landing: str, schema: str, table_path: str, checkpoint: str, files: int = 1) -> StreamingQuery:
+    """Append new files of a landing folder batch by batch; read the table by store.current()."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(landing)
+    return stream.writeStream.foreachBatch(lambda batch, n: append(batch, table_path, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,8 +1,11 @@
 import datetime as dt
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from catalith.functions import scoring
 from catalith.operators import documents, hamming, lookups, prices, resolve, search
 from catalith.sources import catalogue, store
 
@@ -108,11 +111,64 @@ def test_search_pages(spark):
     assert r.descending and r.take == 100 and r.colors == ("G", "W")
 
 
-def test_hamming_chunks_equal_broadcast(spark):
-    rows = [(i, (i * 0x9E3779B97F4A7C15) % 2**64 - 2**63) for i in range(60)] + [(100 + i, ((i * 0x9E3779B97F4A7C15) % 2**64 - 2**63) ^ (1 << i)) for i in range(40)]
-    h = spark.createDataFrame(rows, "id long, hash long")
-    a, b = (sorted(map(tuple, hamming.within(h, h, 3, few=few).collect())) for few in (True, False))
-    assert a == b and len(a) >= 180
+def test_hamming_chunks_and_tiles_equal_brute_force(spark):
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    values = base + [x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for x in base] + [x ^ (rng.getrandbits(64) & rng.getrandbits(64) & rng.getrandbits(64)) for x in base] + base[:5]
+    rows = [(i, x - 2**64 if x >= 2**63 else x) for i, x in enumerate(values)]
+    h = spark.createDataFrame(rows, "id long, hash long").repartition(3)
+    every = sorted((i, j, (x ^ y).bit_count()) for i, x in enumerate(values) for j, y in enumerate(values))
+    for radius in (0, 3, 9, 16, 64):
+        assert sorted(map(tuple, hamming.within(h, h, radius).collect())) == [e for e in every if e[2] <= radius]
+    assert hamming.narrow(3) and not hamming.narrow(16)
+    for radius, k in ((3, 2), (20, 4)):
+        got = sorted((r["query_id"], r["rank"], r["id"], r["distance"]) for r in hamming.nearest(h.where("id % 3 = 0"), h, radius, k).collect())
+        want = []
+        for q in range(0, len(values), 3):
+            best = sorted((d, j) for i, j, d in every if i == q and d <= radius)[:k]
+            want += [(q, n, j, d) for n, (d, j) in enumerate(best, 1)]
+        assert got == want
+    assert hamming.within(h.limit(0), h, 16).count() == 0 == hamming.nearest(h, h.limit(0), 16, 3).count()
+
+
+def test_hamming_tiles_give_no_row_beyond_their_hits():
+    rng = np.random.default_rng(3)
+    q, h = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (50, 3000))
+    i, j, d = hamming.hits_of(q, h, 24, np.arange(3000), 5)
+    assert len(i) <= 250 and (np.bincount(i, minlength=50) <= 5).all() and (d <= 24).all() and (np.bitwise_count(q[i] ^ h[j]) == d).all()
+
+
+def test_word_matches_equal_the_plain_definition(spark):
+    from catalith.functions.trigram import best_extent, word_matches
+
+    rng = random.Random(4)
+    words = ["small", "ring", "green", "bolt", "smal", "rings", "x", "the", "thing"]
+    names = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(1, 3))) for _ in range(25)})
+    lines = sorted({" ".join(rng.choice(words) + rng.choice(["", "s", "q"]) for _ in range(rng.randint(0, 6))) for _ in range(40)} | {"zzz"})
+    for cutoff in (0.3, 0.6):
+        found = word_matches(spark.createDataFrame([(n, n) for n in names], "i string, n string"), spark.createDataFrame([(x, x) for x in lines], "k string, l string"), "i", "n", "k", "l", cutoff)
+        want = {(n, x): best_extent(n, x) for n in names for x in lines}
+        got = {(r["i"], r["k"]): r["score"] for r in found.collect()}
+        # scores are 32-bit: one right at the cutoff may fall to either side
+        assert {p: s for p, s in got.items() if s > cutoff + 1e-6} == {p: pytest.approx(s, abs=1e-6) for p, s in want.items() if s > cutoff + 1e-6}
+        assert all(want[p] >= cutoff - 1e-6 for p in got)
+
+
+def test_confidence_by_the_first_row_that_has_a_printing(spark):
+    zones = [f"{z}_{x}" for z in resolve.ZONES for x in ("score", "conf")]
+    row = lambda scan, i, rank, score, zone: (scan, i, rank, score, *[zone] * 10, zone)
+    rows = spark.createDataFrame([row("a", "gone", 1, 0.9, 0.1), row("a", "x", 2, 0.5, 0.9), row("b", "x", 1, 0.9, 0.9), row("c", "gone", 1, 0.9, 0.9)], ["scan_id", "id", "rank", "combined", *zones, "ocr_score"])
+    scans, cards = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "scan_id string"), spark.createDataFrame([("x",), ("x",)], "id string")
+    got = {r["scan_id"]: (r["id"], r["confidence"]) for r in resolve.classified(rows, scans, cards).collect()}
+    assert got == {"a": ("gone", "High"), "b": ("x", "High"), "c": ("gone", "Low"), "d": (None, "Low")}
+    low = F.lit(0.9), [F.lit(0.9)] * 2, [F.lit(0.1)] * 2, F.lit(0.9)
+    assert scans.select(scoring.confidence_class(*low), scoring.confidence_class(*low, least_read=0)).first()[:] == ("Medium", "High")
+
+
+def test_numbers_in_a_total_order(spark):
+    df = spark.range(0, 1000, 1, 7).select(F.pmod(F.xxhash64("id"), F.lit(10_000)).alias("v"), "id")
+    got = lookups.numbered(df, [F.desc("v"), F.asc("id")], "n").orderBy("n").collect()
+    assert [r["n"] for r in got] == list(range(1, 1001)) and [(r["v"], -r["id"]) for r in got] == sorted(((r["v"], -r["id"]) for r in got), reverse=True)
 
 
 def test_documents(spark):
@@ -129,15 +185,41 @@ def test_retry_rule(spark):
     assert [r[0] for r in df.select(resolve.accept_retry(*map(F.col, df.columns))).collect()] == [r[6] for r in rows]
 
 
-def test_upsert_and_versions(spark, tmp_path):
-    old = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "id int, name string, hash int")
-    new = spark.createDataFrame([(2, "B", None), (3, "C", 7)], "id int, name string, hash int")
-    t = store.VersionedTable(spark, str(tmp_path / "t"))
-    assert t.read() is None
-    t.write(old)
-    t.upsert(new, ["id"], preserve=["hash"])
-    t.upsert(new, ["id"], preserve=["hash"])
-    assert sorted(map(tuple, t.read().collect())) == [(1, "a", 5), (2, "B", 6), (3, "C", 7)] and t.version() == 2
+def test_upserts_and_batches(spark, tmp_path):
+    schema = "id int, name string, hash int"
+    old = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], schema)
+    new = spark.createDataFrame([(2, "B", None), (3, "C", 7)], schema)
+    want = [(1, "a", 5), (2, "B", 6), (3, "C", 7)]
+    assert sorted(map(tuple, store.upsert(old, new, ["id"], preserve=["hash"]).collect())) == want
+    path = str(tmp_path / "t")
+    for number, batch in ((0, old), (1, new), (1, new), (0, old)):
+        store.append(batch, path, number)
+    assert sorted(map(tuple, store.current(spark, path, schema, ["id"], ["hash"]).collect())) == want
+    assert sorted(map(tuple, store.current(spark, path, schema, ["id"], before=1).collect())) == [(1, "a", 5), (2, "b", 6)]
+
+
+def test_a_failed_run_leaves_what_was_committed(spark, tmp_path):
+    path = str(tmp_path / "index")
+    store.rebuild_index(spark.createDataFrame([(1, 5)], "id int, hash long"), path, 1)
+    broken = spark.createDataFrame([(2, 6)], "id int, hash long").withColumn("hash", F.raise_error(F.lit("broken")).cast("long"))
+    report = store.reported(lambda: store.rebuild_index(broken, path, 2) or {})
+    assert report["status"] == "failed" and "broken" in report["error"]
+    assert [tuple(r) for r in store.live_index(spark, path).collect()] == [(1, 5)]
+    assert store.reported(lambda: store.rebuild_index(spark.createDataFrame([(3, 7)], "id int, hash long"), path, 3) or {"total": 1}) == {"status": "completed", "total": 1}
+    assert [tuple(r) for r in store.live_index(spark, path).collect()] == [(3, 7)]
+
+
+def test_bulk_files(spark, tmp_path):
+    (tmp_path / "bulk.json").write_text('{"data": [{"type": "other", "download_uri": "x"}, {"type": "default_cards", "download_uri": "y"}]}')
+    (tmp_path / "sets.json").write_text('{"data": [{"code": "ltr", "name": "L", "released_at": "2023-06-23"}, {"code": "x", "released_at": "2023-6-1"}]}')
+    (tmp_path / "cards.json").write_text('[{"id": "1", "name": "A"}, null, {"id": "2"}]')
+    (tmp_path / "a.png").write_bytes(b"123")
+    assert catalogue.bulk_entry(spark, str(tmp_path / "bulk.json")) == "y"
+    with pytest.raises(ValueError):
+        catalogue.bulk_entry(spark, str(tmp_path / "bulk.json"), "none")
+    assert [str(r["released_at"]) for r in catalogue.read_sets(spark, str(tmp_path / "sets.json")).orderBy("code").collect()] == ["2023-06-23", "None"]
+    assert sorted(r["id"] for r in catalogue.read_cards(spark, str(tmp_path / "cards.json"), lines=False).collect()) == ["1", "2"]
+    assert catalogue.read_images(spark, str(tmp_path / "a.png")).first()["content"] == b"123"
 
 
 def test_raw_cards(spark, tmp_path):

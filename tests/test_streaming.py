@@ -1,12 +1,16 @@
 import datetime as dt
+import random
 from decimal import Decimal
 
 from pyspark.sql import functions as F
 
 from catalith.operators import prices
-from catalith.sources.store import VersionedTable
-from catalith.streaming.ingest import keyed_stream, price_stream
+from catalith.sources import store
+from catalith.streaming.ingest import apply_prices, keyed_stream, latest_of, points_of, price_stream
 
+LATEST = "printing_id string, eur decimal(12,2), eur_foil decimal(12,2), updated_at timestamp"
+POINTS = "printing_id string, observed_on date, eur decimal(12,2), eur_foil decimal(12,2), source string"
+POINTS_COLUMNS = ["printing_id", "observed_on", "eur", "eur_foil", "source"]
 SCHEMA = "seq long, printing_id string, eur decimal(12,2), eur_foil decimal(12,2), observed_on date"
 
 
@@ -20,18 +24,43 @@ def test_stream_equals_batch_and_replay_is_harmless(spark, tmp_path):
     for checkpoint in ("one", "one", "two"):  # the second run finds nothing new, the third reads all again
         price_stream(spark, str(tmp_path / "landing"), SCHEMA, *paths, str(tmp_path / checkpoint), files=100).awaitTermination()
         if checkpoint == "one":
-            got = sorted((r["printing_id"], str(r["observed_on"]), r["eur"]) for r in VersionedTable(spark, paths[1]).read().collect())
+            got = sorted((r["printing_id"], str(r["observed_on"]), r["eur"]) for r in points_of(spark, paths[1]).collect())
     want = prices.points_of(spark.createDataFrame(rows, SCHEMA), "printing_id", "observed_on", "seq", ["eur", "eur_foil"])
     assert got == sorted((r["printing_id"], str(r["observed_on"]), r["eur"]) for r in want.collect())
-    assert {r["printing_id"]: r["eur"] for r in VersionedTable(spark, paths[0]).read().collect()} == {"a": None, "b": Decimal("2.00")}
+    assert {r["printing_id"]: r["eur"] for r in latest_of(spark, paths[0]).collect()} == {"a": None, "b": Decimal("2.00")}
+
+
+def test_days_at_once_equal_days_one_by_one(spark, tmp_path):
+    """Micro-batches of several days against ingest_batch() for each day; a later batch of the same day overwrites its point."""
+    rng, row = random.Random(1), 0
+    latest, points = spark.createDataFrame([], LATEST), spark.createDataFrame([], POINTS)
+    for number, days in enumerate([(1, 2, 3), (3, 4), (4,), (5, 7)]):
+        rows = []
+        for d in days:
+            for _ in range(rng.randint(3, 8)):
+                row += 1
+                rows.append((row, rng.choice("abcd"), rng.choice([None, Decimal("1.00"), Decimal("2.00")]), rng.choice([None, Decimal("3.00")]), dt.date(2026, 6, d)))
+        batch = spark.createDataFrame(rows, SCHEMA)
+        for d in days:
+            one = batch.where(F.col("observed_on") == dt.date(2026, 6, d))
+            latest, points, _ = prices.ingest_batch(one, latest, points, F.lit(dt.date(2026, 6, d)), F.lit("stream"), F.lit(dt.date(2026, 6, d)))
+            latest, points = (spark.createDataFrame(x.collect(), x.schema) for x in (latest, points))
+        for _ in range(2):  # a replay changes nothing
+            apply_prices(batch, number, str(tmp_path / "l"), str(tmp_path / "p"), "stream")
+    assert sorted(map(str, points_of(spark, str(tmp_path / "p")).collect())) == sorted(map(str, points.select(*POINTS_COLUMNS).collect()))
+    assert sorted(map(str, latest_of(spark, str(tmp_path / "l")).collect())) == sorted(map(str, latest.collect()))
 
 
 def test_keyed_stream(spark, tmp_path):
     schema = "id int, name string, image string"
     spark.createDataFrame([(1, "a", "x"), (2, "b", None)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    run = lambda: keyed_stream(spark, str(tmp_path / "in"), schema, str(tmp_path / "t"), ["id"], str(tmp_path / "c"), ["image"]).awaitTermination()
+    table = str(tmp_path / "t")
+    run = lambda: keyed_stream(spark, str(tmp_path / "in"), schema, table, str(tmp_path / "c")).awaitTermination()
+    rows = lambda path: sorted(map(tuple, store.current(spark, path, schema, ["id"], ["image"]).collect()))
+    assert rows(table) == []
     run()
     spark.createDataFrame([(1, "A", None)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     run()
-    got = VersionedTable(spark, str(tmp_path / "t")).read().orderBy("id").select(F.concat_ws("|", "id", "name", "image")).collect()
-    assert [r[0] for r in got] == ["1|A|x", "2|b"]
+    assert rows(table) == [(1, "A", "x"), (2, "b", None)]
+    store.compacted(spark, table, str(tmp_path / "small"), schema, ["id"], ["image"])
+    assert rows(str(tmp_path / "small")) == rows(table)
