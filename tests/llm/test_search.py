@@ -55,10 +55,27 @@ def test_products_equal_brute_force(spark, copies):
     assert got == brute(ids, x, lambda a, b: int((a * b).sum()), 5, lambda q: q % 50 == 0)
 
 
+def test_products_with_lengths_far_apart_leave_short_bands_out(spark, monkeypatch):
+    """Long vectors decide all queries; ties, repeated ids and other columns of any name change nothing."""
+    monkeypatch.setattr(search, "TILE_POINTS", 40)
+    monkeypatch.setattr(search, "TILE_QUERIES", 7)
+    rng = np.random.default_rng(9)
+    x = np.rint(rng.normal(size=(500, 6)) * np.exp(rng.normal(size=(500, 1)) * 2) * 100).astype(np.int64)
+    x[300:350] = x[10]
+    rows = [(i, x[i].tolist(), 1, 2) for i in range(500)] + [(3, x[3].tolist(), 5, 5)] * 3
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>, least int, qb int").repartition(4)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in search.largest_products(df, F.col("vec_id") % 20 == 0).collect())
+    assert got == brute(list(range(500)), x, lambda a, b: int((a * b).sum()), 5, lambda q: q % 20 == 0)
+
+
 def test_products_odd_rows(spark):
     df = spark.createDataFrame([(0, [3, 4]), (1, None), (2, [None, 1]), (3, [0, 0]), (4, [2**40, 2**40]), (4, [1, 1]), (5, [1, 2, 3]), (6, [-3, -4])], "vec_id long, vector array<long>")
     got = search.largest_products(df, F.col("vec_id") == 0, k=9).orderBy("rank").collect()
     assert [(r["vec_id"], r["score"]) for r in got] == [(4, 7 * 2**40), (3, 0), (6, -25)]
+    assert search.largest_products(df.limit(0), F.col("vec_id") == 0).count() == 0
+    long = spark.createDataFrame([(i, [i] * 20_000) for i in range(4)], "vec_id long, vector array<long>")
+    got = search.largest_products(long, F.col("vec_id") == 1, k=2).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(3, 60_000), (2, 40_000)]
 
 
 def test_bounds_hold():
