@@ -9,13 +9,20 @@ match. As the kernel is a product of explicit occurrence vectors, a decision ove
 subsequence. A text's letters look up their subsequences once; running sums give the decision of every unit.
 
 Training: a bounded sample of labelled documents (SAMPLE of each class, by hash of the id). Units are ranked by how far they
-speak for toxic documents; the strongest and the most frequent clean ones are the landmarks. Each document gives the
-sentence with the strongest unit as its labelled sentence. A linear SVM on the Nystroem features of the sentences' witness
-units is fitted three times, each time with the witnesses the last one picks and the clean documents' units it took for the worst. A document's score is a logistic function,
+speak for toxic documents; the strongest and the most frequent clean ones are the landmarks. Each document gives one sentence,
+whole and of any length, which bears its label; the sentence is known by its witness, the unit that speaks most for toxic
+documents: at first by those ranks, then by the last fit. A linear SVM on the Nystroem features of the witnesses is fitted three
+times; clean documents' earlier witnesses stay in the training. A document's score is a logistic function,
 fitted on the sample (each row weighted by its class's labels to its class's sampled rows), of its largest unit decision; the largest of a sentence's units is the sentence's decision.
 
+Units of fewer than four letters have no subsequence and are never toxic by themselves. Letters other than a to z share 13
+codes by their code point, so texts in other scripts are told apart only roughly.
+
 Defined results: null, empty and letterless texts have no unit and get the score of the lowest decision. Repeated rows are
-scored each. Labels that disagree on a doc_id count as toxic. Without both classes in the labels every score is the labels'
+scored each; in training a doc_id counts once, with its smallest text. Texts of any length are scored whole, in pieces of about
+PIECE characters that overlap by OVERLAP (a unit with a longer gap between its letters than that may be missed at a cut). Labels
+that disagree on a doc_id count as toxic. An empty table gives an empty table. keep() leaves all columns as they are; score()
+returns the key and its own columns, so none can clash. Without both classes in the labels every score is the labels'
 rate of toxic rows (0 without labels).
 """
 
@@ -36,7 +43,9 @@ from pyspark.sql import functions as F
 from catalith.session import drop_path, ship, written
 
 LETTERS, SPAN, DECAY = 40, 8, 0.5
-SAMPLE, LANDMARKS, SENTENCE_UNITS = 4000, 256, 32
+SAMPLE, LANDMARKS = 4000, 256
+#: Characters of a long text scored as one, and those its pieces share.
+PIECE, OVERLAP = 200_000, 400
 JOIN = 16
 #: Letters of the overlapping windows in words of more than JOIN letters.
 WINDOWS = (5, 8, 12, JOIN)
@@ -255,43 +264,58 @@ def _units(texts: DataFrame) -> DataFrame:
     return texts.select("toxic", "text").mapInArrow(run, "unit string, toxic int, n long").where(F.char_length("unit") >= 4)
 
 
-def _witnesses(texts: DataFrame, evidence: dict[str, float]) -> DataFrame:
-    """toxic, units: the units of each document's sentence with the strongest evidence, strongest first, SENTENCE_UNITS at most."""
+def first_witness(text: str | None, evidence: dict[str, float]) -> str:
+    """The unit of a text with the strongest evidence, ties to the smaller; without any, the first word that is a unit ('' if none)."""
+    best, found, plain = 0.0, "", ""
+    for sentence in _SENTENCE.split((text or "").lower()):
+        words = ["".join(filter(str.isalpha, w)) for w in sentence.split()]
+        for u in itertools.chain(units_of(words), joined(words)):
+            e = evidence.get(u, 0.0)
+            if e > best or (e == best and e and u < found):
+                best, found = e, u
+        plain = plain or next((w for w in words if len(w) >= 4), "")
+    return found or plain
+
+
+def _first_witnesses(texts: DataFrame, evidence: dict[str, float]) -> DataFrame:
+    """toxic and the first witness of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from catalith.llm.toxicity import _SENTENCE, SENTENCE_UNITS, joined, units_of
+        from catalith.llm.toxicity import first_witness
 
         for batch in batches:
-            rows = []
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                best, found = -1.0, []
-                for sentence in _SENTENCE.split((text or "").lower()):
-                    words = ["".join(filter(str.isalpha, w)) for w in sentence.split()]
-                    units = units_of(words) + [u for u in joined(words) if u in evidence]
-                    top = max((evidence.get(u, 0.0) for u in units), default=-1.0)
-                    if top > best:
-                        best, found = top, units
-                rows.append((toxic, sorted({u for u in found if len(u) >= 4}, key=lambda u: (-evidence.get(u, 0.0), u))[:SENTENCE_UNITS]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], names=["toxic", "units"])
+            found = [first_witness(t, evidence) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["toxic", "unit"])
 
-    return texts.select("toxic", "text").mapInArrow(run, "toxic int, units array<string>")
+    return texts.select("toxic", "text").mapInArrow(run, "toxic int, unit string").where("unit <> ''")
 
 
-def _worst(texts: DataFrame, model: ToxicModel) -> DataFrame:
-    """The unit with the largest decision of each text."""
+def _next_witnesses(texts: DataFrame, model: ToxicModel) -> DataFrame:
+    """toxic and the unit with the largest decision of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from catalith.llm.bpe import slices
-        from catalith.llm.toxicity import SLICE, sliding
+        from catalith.llm.bpe import parts
+        from catalith.llm.toxicity import Decided
 
-        table = model.table()
+        decided = Decided(model)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            found = [u for a, b in slices(texts, SLICE) for u in sliding(texts[a:b], table)[1] if u]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["unit"])
+            for part in parts(batch, 1, PIECE):
+                found = decided.units(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.string())], names=["toxic", "unit"])
 
-    return texts.select("text").mapInArrow(run, "unit string")
+    return texts.select("toxic", "text").mapInArrow(run, "toxic int, unit string").where("unit <> ''")
+
+
+def folded(landmarks: list[str], beta: np.ndarray) -> ToxicModel:
+    """A decision over landmarks (sum of beta times the normalised kernel) as one weight for each subsequence."""
+    lengths = np.zeros(len(landmarks))
+    for unit, _, weight in occurrences(landmarks):
+        lengths += np.bincount(unit, minlength=len(landmarks)) * weight**2
+    table = np.zeros(LETTERS**4)
+    for unit, number, weight in occurrences(landmarks):
+        np.add.at(table, number, beta[unit] / np.sqrt(lengths[unit]) * weight)
+    numbers = np.flatnonzero(table)
+    return ToxicModel(numbers, table[numbers].astype(np.float32), 1.0, 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> ToxicModel:
@@ -303,7 +327,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     stands = {y: n / min(n, sample) for y, n in total.items()}
     chosen = [labels.where(F.col("toxic") == y).orderBy(F.xxhash64(key), key).limit(sample) for y in (0, 1)]
     # 2 * sample ids at most
-    texts, path = written(docs.select(key, text).join(F.broadcast(chosen[0].unionByName(chosen[1])), key).select("toxic", F.col(text).alias("text")))
+    texts = docs.select(key, text).join(F.broadcast(chosen[0].unionByName(chosen[1])), key)
+    texts, path = written(texts.groupBy(key).agg(F.max("toxic").alias("toxic"), F.min(text).alias("text")).select("toxic", "text"))
     have = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(have) < 2:
         drop_path(docs.sparkSession, path)
@@ -314,38 +339,34 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     strong = counts.where(F.col("bad") > 1).withColumn("e", F.col("bad") * odds).where("e > 0").orderBy(F.desc("e"), "unit").limit(8 * LANDMARKS).collect()
     plain = counts.where(odds < 0).orderBy(F.desc("clean"), "unit").limit(LANDMARKS).collect()
     evidence = {r["unit"]: float(r["e"]) for r in strong}
-    bags = [(r["toxic"], list(r["units"])) for r in _witnesses(texts, evidence).collect() if r["units"]]
+    seen = {y: [] for y in (0, 1)}
+    for r in _first_witnesses(texts, evidence).collect():  # one of each document of the sample
+        seen[r["toxic"]].append(r["unit"])
     drop_path(docs.sparkSession, counts_at)
     landmarks = [r["unit"] for r in strong[: LANDMARKS // 2]] + [r["unit"] for r in plain[: LANDMARKS // 2]]
-    if not landmarks or not bags:
+    if not landmarks or not seen[0] or not seen[1]:
         drop_path(docs.sparkSession, path)
         rate = have[1] * stands[1] / (have[0] * stands[0] + have[1] * stands[1])
         return ToxicModel(np.zeros(0, np.int64), np.zeros(0), 0.0, math.log(rate / (1 - rate)))
     value, vector = np.linalg.eigh(kernel(landmarks, landmarks).astype(np.float64))
     good = value > 1e-6
     root = vector[:, good] / np.sqrt(value[good])
-    lengths = np.zeros(len(landmarks))
-    for unit, _, weight in occurrences(landmarks):
-        lengths += np.bincount(unit, minlength=len(landmarks)) * weight**2
-    negatives, witness = [r["unit"] for r in plain], [us[0] for _, us in bags]
+    negatives = [r["unit"] for r in plain]
     sure = [r["unit"] for r in strong if r["bad"] >= 5 and r["clean"] * have[1] < 0.02 * r["bad"] * have[0]]
     for again in range(3):
-        pool = sorted({u for _, us in bags for u in us} | set(negatives) | set(sure))
+        bad, good = seen[1] + sure, seen[0] + negatives
+        pool = sorted({*bad, *good})
         place = {u: i for i, u in enumerate(pool)}
-        features = kernel(pool, landmarks) @ root
-        at = np.array([place[u] for u in [*witness, *negatives, *sure]])
-        y = np.array([2 * t - 1 for t, _ in bags] + [-1] * len(negatives) + [1] * len(sure), float)
-        weight = np.where(y > 0, 1 / max(1, (y > 0).sum()), 1 / max(1, (y < 0).sum())) * len(y)
-        w, bias = fit_svm(features[at], y, weight)
-        f = features @ w
-        witness = [max(us, key=lambda u: f[place[u]]) for _, us in bags]
-        beta, table = root @ w, np.zeros(LETTERS**4)
-        for unit, number, weight in occurrences(landmarks):
-            np.add.at(table, number, beta[unit] / np.sqrt(lengths[unit]) * weight)
-        numbers = np.flatnonzero(table)
-        model = ToxicModel(numbers, table[numbers].astype(np.float32), 1.0, 0.0)
-        if again < 2:  # the clean sample's units that look worst so far are learnt as clean
-            negatives += [r["unit"] for r in _worst(texts.where("toxic = 0"), model).collect()]
+        features = (kernel(pool, landmarks) @ root)[np.array([place[u] for u in bad + good])]
+        y = np.array([1.0] * len(bad) + [-1.0] * len(good))
+        weight = np.where(y > 0, 1 / len(bad), 1 / len(good)) * len(y)
+        w, bias = fit_svm(features, y, weight)
+        model = folded(landmarks, root @ w)
+        if again < 2:  # what looks worst in clean documents so far stays among the clean units
+            negatives += seen[0]
+            seen = {y: [] for y in (0, 1)}
+            for r in _next_witnesses(texts, model).collect():
+                seen[r["toxic"]].append(r["unit"])
     scored = score(texts.withColumn("id", F.lit(0).cast("long")), model, text="text", key="id", carry="toxic").select("toxic", "decision").collect()
     drop_path(docs.sparkSession, path)
     d, t = np.array([r["decision"] for r in scored]), np.array([r["toxic"] for r in scored], float)
@@ -359,18 +380,48 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     return ToxicModel(model.numbers, model.weights, float(ab[0]), float(ab[0] * bias + ab[1]))
 
 
+def pieces(text: str | None) -> list[str]:
+    """A text, or a long one in overlapping pieces that begin at white space where there is any."""
+    text = text or ""
+    if len(text) <= PIECE:
+        return [text]
+    out, at = [], 0
+    while at + PIECE < len(text):
+        out.append(text[at : at + PIECE])
+        begin = text.rfind(" ", at + PIECE - 2 * OVERLAP, at + PIECE - OVERLAP)
+        at = begin if begin > 0 else at + PIECE - OVERLAP
+    return [*out, text[at:]]
+
+
 class Decided:
     """Decisions of texts, some of them at a time."""
 
     def __init__(self, model: ToxicModel):
         self.table = model.table()
 
+    def _each(self, texts: list[str | None]) -> Iterator[tuple[int, float, str]]:
+        """Number of the text, decision and unit of every piece."""
+        from catalith.llm.bpe import slices
+
+        cut = [(i, p) for i, t in enumerate(texts) for p in pieces(t)]
+        for a, b in slices([p for _, p in cut], SLICE):
+            best, units = sliding([p for _, p in cut[a:b]], self.table)
+            yield from zip([i for i, _ in cut[a:b]], best.tolist(), units, strict=True)
+
     def documents(self, texts: list[str | None]) -> np.ndarray:
         """The largest decision among the units of each text."""
-        from catalith.llm.bpe import slices
+        out = np.full(len(texts), LOWEST)
+        for i, d, _ in self._each(texts):
+            out[i] = max(out[i], d)
+        return out
 
-        parts = [sliding(texts[a:b], self.table)[0] for a, b in slices(texts, SLICE)]
-        return np.concatenate(parts) if parts else np.zeros(0)
+    def units(self, texts: list[str | None]) -> list[str]:
+        """The unit with the largest decision of each text."""
+        best: list[tuple[float, str]] = [(LOWEST, "")] * len(texts)
+        for i, d, u in self._each(texts):
+            if d > best[i][0]:
+                best[i] = (d, u)
+        return [u for _, u in best]
 
 
 def score(docs: DataFrame, model: ToxicModel, text: str = "text", key: str = "doc_id", carry: str | None = None) -> DataFrame:
@@ -380,14 +431,13 @@ def score(docs: DataFrame, model: ToxicModel, text: str = "text", key: str = "do
     schema = f"{key} {kind}, " + (f"{carry} int, " if carry else "") + "decision double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from catalith.llm.bpe import slices
+        from catalith.llm.bpe import parts
         from catalith.llm.toxicity import Decided
 
         decided = Decided(model)
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            d = np.concatenate([decided.documents(texts[a:b]) for a, b in slices(texts)]) if texts else np.zeros(0)
-            cols = [batch.column(i) for i in range(batch.num_columns - 1)]
+        for part in (p for batch in batches for p in parts(batch, batch.num_columns - 1)):
+            d = decided.documents(part.column(part.num_columns - 1).to_pylist())
+            cols = [part.column(i) for i in range(part.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(d), pa.array(model.score(d))], names=[f.split()[0] for f in schema.split(", ")])
 
     return docs.select(key, *([carry] if carry else []), text).mapInArrow(run, schema)
@@ -407,14 +457,12 @@ def keep(docs: DataFrame, model: ToxicModel, threshold: float = 0.3, text: str =
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from catalith.llm.bpe import slices
+        from catalith.llm.bpe import parts
         from catalith.llm.toxicity import Decided
 
         decided = Decided(model)
-        for batch in batches:
-            texts = batch.column(place).to_pylist()
-            for a, b in slices(texts):
-                fine = model.score(decided.documents(texts[a:b])) < threshold
-                yield batch.slice(a, b - a).filter(pa.array(fine))
+        for part in (p for batch in batches for p in parts(batch, place)):
+            fine = model.score(decided.documents(part.column(place).to_pylist())) < threshold
+            yield part.filter(pa.array(fine))
 
     return docs.mapInArrow(run, docs.schema)

@@ -227,7 +227,8 @@ def test_toxicity_held_out_and_disguised(spark):
     extra = [(5000, None), (5001, ""), (5002, "123 ..."), (5003, "ka lo mi " * 20000), (5004, "you are an id-iot"), (5005, "a i d i o t b"), (5006, "mi scum.bag vor"), (5007, "what a mor0on lo"), (5008, "ka lo\nren tis")]
     schema = "doc_id long, text string"
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    got = {r["doc_id"]: r for r in toxicity.toxicity(spark.createDataFrame(rows + extra, schema), spark.createDataFrame(labels, "doc_id long, toxic int"), held_out).collect()}
+    docs = spark.createDataFrame(rows + extra, schema).withColumns({c: F.lit("clash") for c in ("toxic", "score", "decision", "unit")})
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), held_out).collect()}
     test = [(got[i]["predicted"], y) for i, y in labels if got[i]["held_out"]]
     assert len(test) > 60 and sum(p == y for p, y in test) / len(test) > 0.98
     assert all(got[i]["predicted"] == 1 for i in (5004, 5005, 5006, 5007)), {i: got[i]["score"] for i in range(5004, 5008)}
@@ -275,6 +276,49 @@ def test_sliding_units_equal_the_units_one_by_one():
             assert toxicity.decisions([unit], table)[0] == pytest.approx(best, rel=1e-5)
 
 
+def test_the_svm_is_at_its_optimum_and_folds_into_weights():
+    """The fit against its own definition: no direction lowers the loss; the table of weights decides as the landmarks do."""
+    rng = np.random.default_rng(5)
+    y = np.where(rng.random(300) < 0.3, 1.0, -1.0)
+    z = rng.normal(size=(300, 6)) + y[:, None] * 0.4
+    weight = rng.random(300) + 0.5
+
+    def loss(w, b):
+        return (weight * np.maximum(0, 1 - y * (z @ w + b)) ** 2).sum() / weight.sum() + 1e-3 * ((w**2).sum() + 1e-3 * b**2)
+
+    w, b = toxicity.fit_svm(z, y, weight)
+    least = loss(w, b)
+    for _ in range(200):
+        step = rng.normal(size=7) * rng.choice([1e-3, 1e-2, 0.1])
+        assert loss(w + step[:6], b + step[6]) >= least - 1e-9
+    marks, units = ["idiot", "moronic", "plain", "words", "abcabc"], ["idiot", "id1iot", "moron", "wordplain", "xyz", "abc", "zzzzz"]
+    beta = rng.normal(size=5)
+    model = toxicity.folded(marks, beta)
+    want = toxicity.kernel(units, marks) @ beta
+    got = toxicity.decisions([u.replace("1", "x") for u in units], model.table()), toxicity.kernel([u.replace("1", "x") for u in units], marks) @ beta
+    some = [i for i, u in enumerate(units) if len(u) >= 4]
+    assert np.allclose(got[0][some], got[1][some], atol=1e-5) and len(want) == len(units)
+
+
+def test_first_witness_by_hand():
+    evidence = {"idiot": 3.0, "moron": 3.0, "plain": 1.0, "longer": 0.5}
+    assert toxicity.first_witness("some plain text. an id iot here, moron", evidence) == "idiot"
+    assert toxicity.first_witness("nothing at all", evidence) == "nothing" and toxicity.first_witness(None, evidence) == "" == toxicity.first_witness("a b 12", evidence)
+
+
+def test_toxicity_of_long_texts_in_pieces(monkeypatch):
+    rng = random.Random(8)
+    table = np.random.default_rng(4).normal(size=toxicity.LETTERS**4).astype(np.float32)
+    model = toxicity.ToxicModel(np.arange(toxicity.LETTERS**4), table, 1.0, 0.0)
+    texts = ["".join(rng.choice("abcde  .\n") for _ in range(n)) for n in (10, 900, 2000)] + ["x" * 700 + "abcd" * 200, None, ""]
+    whole = toxicity.sliding(texts, table)
+    monkeypatch.setattr(toxicity, "PIECE", 300)
+    monkeypatch.setattr(toxicity, "OVERLAP", 80)
+    decided = toxicity.Decided(model)
+    assert len(toxicity.pieces(texts[2])) > 5 and np.allclose(decided.documents(texts)[:3], whole[0][:3], atol=1e-4)
+    assert np.allclose(decided.documents(texts)[4:], toxicity.LOWEST) and [bool(u) for u in decided.units(texts)] == [bool(u) for u in whole[1]]
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "doc_id long, text string")
     for labels, want in (([], 0), ([(1, 1)], 1), ([(1, 0), (1, None)], 0)):
