@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.functions import parsing, scoring
-from catalith.operators import documents, lookups, mutations, scanlog, search
+from catalith.operators import documents, lookups, mutations, resolve, scanlog, search
 from catalith.plans.catalogue import _CARDS, _OBSERVED, PRINTINGS_SQL, collections, day, observations, printings, query, r6, sets
 from catalith.session import read_table
 from catalith.sources import catalogue as source
@@ -340,3 +340,41 @@ def face_keys(spark, sf_dir):
     old = face(F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("old"), text("l_linenumber"))))
     rows = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(new)).alias("new"), F.collect_list(old).alias("old"))
     return rows.select("l_orderkey", F.array_join(F.transform(source.inherit_face_keys(F.col("new"), F.col("old")), lambda f: F.coalesce(f["image_object_key"], F.lit("-"))), ",").alias("keys"))
+
+
+def scan_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Every part as a printing and as a scan of it: each fourth lies upside down, each third has no picture hash, each fifth a worn name."""
+    part = read_table(spark, sf_dir, "part")
+    key, mask = F.col("p_partkey"), F.lit((1 << 62) - 1)
+    hashed = lambda salt: F.xxhash64(F.lit(salt), "p_partkey").bitwiseAND(mask)
+    letter = F.element_at(F.array(*map(F.lit, "CUR")), (key % 3 + 1).cast("int"))
+    code = F.concat(F.lit("S"), F.lpad((key % 40).cast("string"), 2, "0"))
+    cards = part.select(
+        text("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lower(code).alias("set_code"), text("p_partkey").alias("collector_number"),
+        F.element_at(F.array(*map(F.lit, ["common", "uncommon", "rare"])), (key % 3 + 1).cast("int")).alias("rarity"), F.lit("en").alias("lang"), F.col("p_type").alias("type_line_full"),
+        F.lit(None).cast("string").alias("rules_text"), F.lit(None).cast("string").alias("oracle_text"), F.lit("2").alias("power"), F.lit("3").alias("toughness"), hashed("art").alias("art_phash"), hashed("full").alias("full_phash"),
+    )
+    codes = spark.range(40).select(F.concat(F.lit("s"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("code"), F.when(F.col("id") % 2 == 0, "core").otherwise("token").alias("set_type"), F.xxhash64(F.lit("icon"), "id").bitwiseAND(mask).alias("icon_phash"))
+    hashes = part.select(
+        text("p_partkey").alias("scan_id"), F.when(key % 3 != 0, hashed("art").bitwiseXOR(F.lit(5))).alias("art_hash"), F.when(key % 3 != 0, hashed("full").bitwiseXOR(F.lit(1))).alias("full_hash"), F.lit(None).cast("long").alias("symbol_hash")
+    )
+    worn = F.when(key % 5 == 0, F.regexp_replace("p_name", "l", "1")).otherwise(F.col("p_name"))
+    bottom = F.concat(letter, F.lit(" "), F.lpad(text("p_partkey"), 4, "0"), F.lit(" "), code, F.lit(" . EN"))
+    line = lambda n, said, x, y: F.struct(F.lit(n).alias("seq"), said.alias("text"), F.lit(x).alias("x"), F.lit(y).alias("y"))
+    said = F.array(line(0, worn, 0.30, 0.07), line(1, F.col("p_type"), 0.30, 0.58), line(2, F.lit("2/3"), 0.95, 0.90), line(3, bottom, 0.05, 0.94))
+
+    def regions(down: Column) -> DataFrame:
+        r = part.select(text("p_partkey").alias("scan_id"), down.alias("down"), F.explode(said).alias("r")).select("scan_id", "down", "r.*")
+        at = lambda c: F.when(F.col("down"), 1 - F.col(c)).otherwise(F.col(c))
+        r = r.withColumn("x", at("x")).withColumn("y", at("y")).withColumn("text", F.when(F.col("down"), F.reverse("text")).otherwise(F.col("text")))
+        box = {"x_min": F.col("x") - 0.02, "x_max": F.col("x") + 0.02, "y_min": F.col("y") - 0.01, "y_max": F.col("y") + 0.01}
+        return r.withColumns(box | {"rotation": F.when(F.col("down"), 180.0).otherwise(0.0), "confidence": F.lit(0.9), "image_width": F.lit(1), "image_height": F.lit(1), "is_cropped": F.lit(True)})
+
+    return regions(key % 4 == 0), regions(key % 4 != 0), hashes, cards, codes, source.seed_weights(spark)
+
+
+@query(None)
+def scan_chain(spark, sf_dir):
+    """All steps of a scan over every part; no SQL counterpart, held by its outcomes in the tests."""
+    _, outcome = resolve.scan_chain(*scan_inputs(spark, sf_dir))
+    return outcome.select("scan_id", "id", r6("combined").alias("combined"), "confidence", "turned")
