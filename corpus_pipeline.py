@@ -1,4 +1,8 @@
-"""A corpus pipeline: toxicity, line dedup, near-duplicates, packing. Each stage works on all that its predecessor kept.
+"""A corpus pipeline: toxicity, line dedup, near-duplicates, packing. Each stage works on all its predecessor kept.
+
+All stages take null in any column (a null text is an empty one; rows with a null doc_id are kept by the first two stages and
+dropped by the third), texts of any length, repeated rows and empty tables; the first three return the columns of documents,
+so further columns of the input, whatever their names, are left out.
 
 ORACLE_SQL is None: the toxicity classifier and the packing can't be written in SQL; tests hold the stages against
 brute-force versions."""
@@ -18,7 +22,8 @@ TOXIC_SCORE = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels, gives less than TOXIC_SCORE."""
+    """Documents that the classifier, fitted on the labels, gives less than TOXIC_SCORE. Each row is scored by itself, repeated ones
+    alike; empty texts and texts without letters stay. Without labels all stay."""
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.fit(docs, labels)
     kept = toxicity.keep(docs.select(*DOCUMENTS), model, TOXIC_SCORE)
@@ -26,21 +31,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of 40 characters and more that 5 documents share stay in the last of them only; documents left without text go."""
+    """Lines of 40 characters and more that 5 documents share stay in the document of the largest doc_id only; documents left with
+    white space only go. Rows that repeat a doc_id are one document in the counts. n_chars follows the text where lines went."""
     out = lines.drop_repeated_lines(docs, min_chars=40, min_docs=5)
-    left = (F.col("n_dropped") == 0) | (F.trim("text") != "")
+    left = (F.col("n_dropped") == 0) | (F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")) != "")
     return out.where(left).select("doc_id", "text", "lang", "source", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8) stays: the smallest doc_id."""
+    """One document of each group of near-duplicates (five words, 0.8) stays: the smallest doc_id, with all its rows. Texts without
+    words are alike to nothing and stay."""
     found = neardup.near_duplicates(docs, width=5, percent=80)
     extra = found.where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(extra.hint("merge"), "doc_id", "left_anti").select(*DOCUMENTS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
+    """Pieces of sequences of 2048 tokens; every row, repeated and empty ones too, is in them whole."""
     return packing.pack(docs, public_tokenizers.path(WORD_BPE), capacity=2048, end_id=1)
 
 
