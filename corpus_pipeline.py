@@ -1,7 +1,7 @@
 """A corpus pipeline: toxicity, line dedup, near-duplicates, packing. Each stage works on all its predecessor kept.
 
-All stages take null in any column (a null text is an empty one; rows with a null doc_id are kept by the first two stages and
-dropped by the third), texts of any length, repeated rows and empty tables; the first three return the columns of documents,
+All stages take null in any column (a null text is an empty one; rows with a null doc_id are compared with
+nothing and stay), texts of any length, repeated rows and empty tables; the first three return the columns of documents,
 so further columns of the input, whatever their names, are left out.
 
 ORACLE_SQL is None: the toxicity classifier and the packing can't be written in SQL; tests hold the stages against
