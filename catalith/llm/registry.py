@@ -83,8 +83,9 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     done = chat.format_paths(chat.paths_of(chat.conversation_nodes(rows)))
-    turns = F.array_join(F.transform(chat.read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    done = done.select(F.col("tree").alias("conv_id"), "formatted", turns.alias("turns"), F.size(chat.read_turns(F.col("formatted"))).cast("long").alias("n_turns"), chat.loss_text(F.col("segments")).alias("loss"))
+    done = done.select("tree", "formatted", chat.read_turns(F.col("formatted")).alias("said"), chat.loss_text(F.col("segments")).alias("loss"))
+    turns = F.array_join(F.transform("said", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    done = done.select(F.col("tree").alias("conv_id"), "formatted", turns.alias("turns"), F.size("said").cast("long").alias("n_turns"), "loss")
     sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
     return done.select(
         "conv_id",
