@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from catalith.functions import parsing, scoring, trigram
 from catalith.operators import documents, hamming, lookups, prices, resolve, scanlog, search, zones

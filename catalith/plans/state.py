@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalith.functions import parsing, scoring
 from catalith.operators import documents, lookups, mutations, resolve, scanlog, search
-from catalith.plans.catalogue import _CARDS, _OBSERVED, PRINTINGS_SQL, collections, day, observations, printings, query, r6, sets
+from catalith.plans.catalogue import _CARDS, _OBSERVED, PRINTINGS_SQL, collections, observations, printings, query, r6, sets
 from catalith.session import read_table
 from catalith.sources import catalogue as source
 from catalith.sources import store
