@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm import bpe, chat, lines, lm, neardup, packing, search, toxicity, urls
+from catalith.llm import balls, bpe, chat, counts, divergence, lines, lm, neardup, packing, search, toxicity, urls
 from catalith.session import read_table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -97,6 +97,24 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    fine = points.where(balls.usable(F.col("embedding"), 64))
+    whole = F.transform("embedding", lambda x: F.floor(F.lit(64) * x.cast("double")).cast("long"))
+    found = balls.ball_kmeans(fine.select("vec_id", whole.alias("vector")), k=16, rounds=3, dim=64)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256).alias("centroid_sha256"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("lang", "source", "text")
+    return divergence.divergence(docs, min_docs=30, most_terms=50)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return counts.token_counts(docs, public_tokenizers.path(WORD_BPE), limit=2048)
+
+
 def queries() -> dict:
     return {
         "op1_nearest": op1_nearest,
@@ -109,6 +127,9 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_bpe": op9_bpe,
         "op10_chat": op10_chat,
+        "op11_balls": op11_balls,
+        "op12_divergence": op12_divergence,
+        "op13_token_counts": op13_token_counts,
     }
 
 
@@ -206,5 +227,45 @@ SELECT conv_id, n_turns, sha256(t) AS turns_sha256, length(l) AS loss_chars, sha
 """
 
 
+_ROUND_SQL = """
+     m{r} AS (SELECT v.vec_id, v.v, v.row_id, arg_min(c.cluster, [d, c.cluster]) AS cluster, min(d) AS distance
+              FROM (SELECT v.*, c.cluster, (list_inner_product(v.v, v.v) - 2 * list_inner_product(v.v, c.c) + list_inner_product(c.c, c.c))::BIGINT AS d FROM v, c{r} c) v JOIN c{r} c ON v.cluster = c.cluster GROUP BY ALL)"""
+_MEANS_SQL = """
+     s{r} AS (SELECT cluster, i, sum(x::BIGINT)::BIGINT AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range(len(v))) AS i FROM m{r}) GROUP BY ALL),
+     c{n} AS (SELECT cluster, coalesce(f.c, c{r}.c) AS c FROM c{r} LEFT JOIN (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS c FROM s{r} GROUP BY cluster) f USING (cluster))"""
+OP11_SQL = (
+    """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v, row_number() OVER () AS row_id FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     c0 AS (SELECT row_number() OVER (ORDER BY h NULLS LAST, v)::INTEGER - 1 AS cluster, v AS c FROM (SELECT sha256('1:' || vec_id) AS h, v FROM v ORDER BY h NULLS LAST, v LIMIT 16)),"""
+    + ",".join(_ROUND_SQL.format(r=r) + "," + _MEANS_SQL.format(r=r, n=r + 1) for r in range(3))
+    + ","
+    + _ROUND_SQL.format(r=3)
+    + """
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(c, lambda x: x::BIGINT), ',')) AS centroid_sha256 FROM m3 JOIN c3 USING (cluster)
+"""
+)
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+     w AS (SELECT doc, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+     k AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT doc) >= 30),
+     g AS (SELECT DISTINCT lang, source FROM d),
+     c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+     f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+     t AS (SELECT lang, source, term, n, sum(n) OVER (PARTITION BY lang, source) AS total, count(*) OVER (PARTITION BY lang, source) AS v,
+                  sum(n) OVER (PARTITION BY lang, term) AS ln, sum(n) OVER (PARTITION BY lang) AS ltotal FROM f),
+     p AS (SELECT lang, source, term, n, (1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v)::HUGEINT)::BIGINT AS p,
+                  (1 + (1000000000::HUGEINT * (ln + 5)) // (ltotal + 5 * v)::HUGEINT)::BIGINT AS q FROM t),
+     s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+     pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+               LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+     every AS (FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+     r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM every)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op2_products": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_minhash": OP7_SQL, "op10_chat": OP10_SQL}
+    return {"op2_products": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_minhash": OP7_SQL, "op10_chat": OP10_SQL, "op11_balls": OP11_SQL, "op12_divergence": OP12_SQL}
