@@ -8,7 +8,8 @@ again cost more than one look. A key's total is its first-seen count plus its re
 
 Defined results: null or empty text is one empty line. Rows that repeat a doc_id are one document in the counts and keep a
 result each; decisions hold for all of them. A tie cannot occur: the keeper is the largest doc_id. Rows with a null doc_id
-keep all their lines and are not counted. Lines and texts may be of any length. An empty table gives an empty table. All
+keep all their lines and are not counted. Lines and texts may be of any length: the work grows with
+a text's lines times the logarithm of those it loses. An empty table gives an empty table. All
 columns stay, but for text, n_lines and n_dropped, which are replaced where the input has them.
 """
 
@@ -43,12 +44,25 @@ def lines_of(text: Column) -> Column:
 
 
 def line_hashes(docs: DataFrame, min_chars: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """A row for each distinct eligible line key of each row of docs: key, h1, h2."""
+    """A row for each distinct eligible line key of each row of docs: key, h1, h2.
+
+    Keys are made distinct as strings, which Spark does by a hash set; structs it would compare pair by pair."""
     keys = F.filter(F.transform(lines_of(F.col(text)), line_key), lambda k: F.char_length(k) >= min_chars)
-    hashes = F.explode(F.array_distinct(F.transform(keys, key_hash)))
+    hashes = F.explode(F.transform(F.array_distinct(keys), key_hash))
     return docs.where(F.col(key).isNotNull()).select(key, hashes.alias("h")).select(key, "h.h1", "h.h2")
 
 
+def without_lost(lines: Column, lost: Column, min_chars: int) -> Column:
+    """Lines whose hashes are not in the sorted array lost, by a binary search for each: steps of falling powers of two."""
+    hashes = F.transform(lines, lambda x: F.when(F.char_length(line_key(x)) >= min_chars, key_hash(line_key(x))))
+    steps = F.transform(F.sequence(F.length(F.bin(F.size(lost))), F.lit(0), F.lit(-1)), lambda b: F.pow(F.lit(2), b).cast("int"))
+    place = lambda h: F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(lost, at + step) <= h, at + step).otherwise(at))
+    gone = F.transform(hashes, lambda h: F.coalesce(F.get(lost, place(h)) == h, F.lit(False)))
+    # zipped, so that the flags are worked out once and not within the filter's function
+    kept = F.filter(F.arrays_zip(lines.alias("line"), gone.alias("gone")), lambda p: ~p["gone"])
+    return F.transform(kept, lambda p: p["line"])
+
+
 class LineRuns:
     """Runs of (h1, h2, n, top) in levels, as bucketed sorted tables in the shared folder."""
 
@@ -145,11 +159,10 @@ def drop_repeated_lines(
     # rows that repeat a doc_id are one document
     shared, shared_at = written(hits.select("id", *KEY).distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select(*KEY))
     lost = hits.where(F.col("id") < F.col("top")).join(shared.hint("merge"), KEY, "left_semi")
-    lost, _ = written(lost.groupBy(F.col("id").alias(ident)).agg(F.collect_set(F.struct(*KEY)).alias(lost_)))
+    lost, _ = written(lost.groupBy(F.col("id").alias(ident)).agg(F.sort_array(F.collect_set(F.struct(*KEY))).alias(lost_)))
     for p in (keys_at, repeated_at, hits_at, shared_at):
         drop_path(spark, p)
     joined = docs.join(lost.hint("merge"), F.col(key) == F.col(ident), "left").withColumn(lines_, lines_of(F.col(text)))
-    stays = F.filter(lines_, lambda x: ~((F.char_length(line_key(x)) >= min_chars) & F.array_contains(lost_, key_hash(line_key(x)))))
-    joined = joined.withColumn(kept_, F.when(F.col(lost_).isNull(), F.col(lines_)).otherwise(stays))
+    joined = joined.withColumn(kept_, F.when(F.col(lost_).isNull(), F.col(lines_)).otherwise(without_lost(F.col(lines_), F.col(lost_), min_chars)))
     out = {text: F.array_join(kept_, "\n"), "n_lines": F.size(lines_).cast("long"), "n_dropped": (F.size(lines_) - F.size(kept_)).cast("long")}
     return joined.withColumns(out).drop(ident, lost_, lines_, kept_)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -171,6 +172,18 @@ def test_line_dedup_counts_documents_not_rows(spark, docs):
     assert sorted((r["doc_id"], r["n_dropped"], r["n_lines"]) for r in got) == sorted([(i, 0 if i == 4 else 2, 3) for i in range(5)] * 4)
 
 
+def test_line_dedup_of_a_very_long_text(spark, docs):
+    """200,000 lines, half of them lost, in time that grows with their number: the lines are looked up, not compared in pairs."""
+    shared = [f"{i} is a common line that is long enough to count" for i in range(100_000)]
+    mixed = [x for i, line in enumerate(shared) for x in (line, f"line {i} of the long text only, and long enough to count")]
+    texts = {1: "\n".join(mixed)} | {i: "\n".join(shared) for i in range(2, 6)}
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in lines.drop_repeated_lines(docs(texts), buckets=4).collect()}
+    assert time.perf_counter() - began < 90
+    assert got[1]["text"] == "\n".join(mixed[1::2]) and (got[1]["n_lines"], got[1]["n_dropped"]) == (200_000, 100_000)
+    assert [got[i]["n_dropped"] for i in range(2, 6)] == [100_000] * 3 + [0] and got[5]["text"] == texts[5]
+
+
 def test_line_keys_strip_only_white_space_and_are_quick(spark):
     rows = ["abc  \x85", " \t abc\u2028", "\x0b\x0cA B\r ", "x" + " " * 300_000 + "x", " " * 100_000]
     got = [r["k"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string").orderBy("i").select(lines.line_key(F.col("x")).alias("k")).collect()]
