@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.functions import parsing, scoring
-from catalith.operators import documents, lookups, mutations, resolve, scanlog, search
-from catalith.plans.catalogue import _CARDS, _OBSERVED, PRINTINGS_SQL, collections, observations, printings, query, r6, sets
+from catalith.operators import documents, hamming, lookups, mutations, scan, scanlog, search
+from catalith.plans.catalogue import _CARDS, _OBSERVED, PRINTINGS_SQL, _hash_sql, collections, hashes, observations, printings, query, r6, sets
 from catalith.session import read_table
 from catalith.sources import catalogue as source
 from catalith.sources import store
@@ -342,11 +342,13 @@ def face_keys(spark, sf_dir):
     return rows.select("l_orderkey", F.array_join(F.transform(source.inherit_face_keys(F.col("new"), F.col("old")), lambda f: F.coalesce(f["image_object_key"], F.lit("-"))), ",").alias("keys"))
 
 
-def scan_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Every part as a printing and as a scan of it: each fourth lies upside down, each third has no picture hash, each fifth a worn name."""
+def scan_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Every part as a printing and as a scan of it, with both sides of the image. Each fourth scan lies upside down; every
+    eighth does so without its text saying it. A side that is upside down has hashes of its own, far from the catalogue. By the
+    number modulo 3: no hash, the picture's hash only, both hashes. Each fifth scan has a worn name."""
     part = read_table(spark, sf_dir, "part")
     key, mask = F.col("p_partkey"), F.lit((1 << 62) - 1)
-    hashed = lambda salt: F.xxhash64(F.lit(salt), "p_partkey").bitwiseAND(mask)
+    hashed = lambda salt, of=key: F.xxhash64(F.lit(salt), of).bitwiseAND(mask)
     letter = F.element_at(F.array(*map(F.lit, "CUR")), (key % 3 + 1).cast("int"))
     code = F.concat(F.lit("S"), F.lpad((key % 40).cast("string"), 2, "0"))
     cards = part.select(
@@ -355,26 +357,86 @@ def scan_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
         F.lit(None).cast("string").alias("rules_text"), F.lit(None).cast("string").alias("oracle_text"), F.lit("2").alias("power"), F.lit("3").alias("toughness"), hashed("art").alias("art_phash"), hashed("full").alias("full_phash"),
     )
     codes = spark.range(40).select(F.concat(F.lit("s"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("code"), F.when(F.col("id") % 2 == 0, "core").otherwise("token").alias("set_type"), F.xxhash64(F.lit("icon"), "id").bitwiseAND(mask).alias("icon_phash"))
-    hashes = part.select(
-        text("p_partkey").alias("scan_id"), F.when(key % 3 != 0, hashed("art").bitwiseXOR(F.lit(5))).alias("art_hash"), F.when(key % 3 != 0, hashed("full").bitwiseXOR(F.lit(1))).alias("full_hash"), F.lit(None).cast("long").alias("symbol_hash")
-    )
+    sides = part.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).withColumn("down", (key % 4 == 0) == (F.col("side") == 0))
+    seen = lambda salt, noise: F.when(F.col("down"), hashed(f"turned {salt}")).otherwise(hashed(salt).bitwiseXOR(F.lit(noise)))
+    hashes = sides.select(
+        text("p_partkey").alias("scan_id"), "side", F.when(key % 3 != 0, seen("art", 5)).alias("art_hash"), F.when(key % 3 == 2, seen("full", 1)).alias("full_hash"),
+        F.when(~F.col("down"), F.xxhash64(F.lit("icon"), (key % 40).cast("long")).bitwiseAND(mask)).alias("symbol_hash"), F.lit(True).alias("is_cropped"), F.lit(False).alias("rotated"),
+    )
     worn = F.when(key % 5 == 0, F.regexp_replace("p_name", "l", "1")).otherwise(F.col("p_name"))
     bottom = F.concat(letter, F.lit(" "), F.lpad(text("p_partkey"), 4, "0"), F.lit(" "), code, F.lit(" . EN"))
     line = lambda n, said, x, y: F.struct(F.lit(n).alias("seq"), said.alias("text"), F.lit(x).alias("x"), F.lit(y).alias("y"))
     said = F.array(line(0, worn, 0.30, 0.07), line(1, F.col("p_type"), 0.30, 0.58), line(2, F.lit("2/3"), 0.95, 0.90), line(3, bottom, 0.05, 0.94))
-
-    def regions(down: Column) -> DataFrame:
-        r = part.select(text("p_partkey").alias("scan_id"), down.alias("down"), F.explode(said).alias("r")).select("scan_id", "down", "r.*")
-        at = lambda c: F.when(F.col("down"), 1 - F.col(c)).otherwise(F.col(c))
-        r = r.withColumn("x", at("x")).withColumn("y", at("y")).withColumn("text", F.when(F.col("down"), F.reverse("text")).otherwise(F.col("text")))
-        box = {"x_min": F.col("x") - 0.02, "x_max": F.col("x") + 0.02, "y_min": F.col("y") - 0.01, "y_max": F.col("y") + 0.01}
-        return r.withColumns(box | {"rotation": F.when(F.col("down"), 180.0).otherwise(0.0), "confidence": F.lit(0.9), "image_width": F.lit(1), "image_height": F.lit(1), "is_cropped": F.lit(True)})
-
-    return regions(key % 4 == 0), regions(key % 4 != 0), hashes, cards, codes, source.seed_weights(spark)
+    r = sides.select(text("p_partkey").alias("scan_id"), "p_partkey", "side", "down", F.explode(said).alias("r")).select("scan_id", "p_partkey", "side", "down", "r.*")
+    at = lambda c: F.when(F.col("down"), 1 - F.col(c)).otherwise(F.col(c))
+    r = r.withColumn("x", at("x")).withColumn("y", at("y")).withColumn("text", F.when(F.col("down"), F.reverse("text")).otherwise(F.col("text")))
+    box = {"x_min": F.col("x") - 0.02, "x_max": F.col("x") + 0.02, "y_min": F.col("y") - 0.01, "y_max": F.col("y") + 0.01}
+    told = F.col("down") & (key % 8 != 0)
+    r = r.withColumns(box | {"rotation": F.when(told, 180.0).otherwise(0.0), "confidence": F.lit(0.9), "image_width": F.lit(1), "image_height": F.lit(1), "is_cropped": F.lit(True)})
+    return r.drop("p_partkey", "down"), hashes, cards, codes, source.seed_weights(spark)
 
 
 @query(None)
 def scan_chain(spark, sf_dir):
-    """All steps of a scan over every part; no SQL counterpart, held by its outcomes in the tests."""
-    _, outcome = resolve.scan_chain(*scan_inputs(spark, sf_dir))
-    return outcome.select("scan_id", "id", r6("combined").alias("combined"), "confidence", "turned")
+    """All steps of a scan over every part; no SQL counterpart for the whole, held by its outcomes in the tests."""
+    _, outcome = scan.scan_chain(*scan_inputs(spark, sf_dir))
+    return outcome.select("scan_id", "id", r6("combined").alias("combined"), "confidence", "side", "flipped", "retried", "turned", "hash_distance")
+
+
+def two_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's sign hash as a scan with two sides, each at a distance of its own by the vector's number."""
+    h = hashes(spark, sf_dir, 1, 62).where("hash is not null")
+    bits = lambda by: F.expr(f"shiftleft(1L, cast(id * {by} % 23 as int)) - 1")
+    sides = h.select(F.col("id").alias("scan_id"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("hash").bitwiseXOR(bits(7)).alias("full_hash")), F.struct(F.lit(1).alias("side"), F.col("hash").bitwiseXOR(bits(5)).alias("full_hash")))).alias("s"))
+    return sides.select("scan_id", "s.*")
+
+
+@query(f"""WITH h AS {_hash_sql(1, 62)}, q AS (SELECT id AS scan_id, 0 AS side, xor(hash, (1::BIGINT << (id * 7 % 23)::INTEGER) - 1) AS hash FROM h UNION ALL SELECT id, 1, xor(hash, (1::BIGINT << (id * 5 % 23)::INTEGER) - 1) FROM h),
+b AS (SELECT scan_id, min(d) FILTER (WHERE side = 0) AS upright, min(d) FILTER (WHERE side = 1) AS flipped FROM (SELECT scan_id, side, bit_count(xor(q.hash, h.hash))::INTEGER AS d FROM q JOIN h ON bit_count(xor(q.hash, h.hash)) <= 16) GROUP BY scan_id)
+SELECT h.id AS scan_id, upright, flipped, coalesce((upright IS NULL OR upright >= 12) AND flipped IS NOT NULL AND (upright IS NULL OR upright - flipped >= 2), false) AS would_flip,
+ CASE WHEN would_flip THEN 1 ELSE 0 END::INTEGER AS side FROM h LEFT JOIN b ON h.id = b.scan_id""")
+def orientation_probe(spark, sf_dir):
+    """Two-sided hash search whose nearest distances choose the side to read first."""
+    h = hashes(spark, sf_dir, 1, 62).where("hash is not null")
+    sides = two_sides(spark, sf_dir)
+    found = scan.sided_hits(sides, "full_hash", hamming.hash_index(h, "id", "hash"), scan.FULL_RADIUS, 10)
+    return scan.orientation(sides.select("scan_id").distinct(), found)
+
+
+_STATES = """o AS (SELECT o_orderkey AS scan_id, (o_orderkey * 7 % 11) / 10.0 AS b0, (o_orderkey * 5 % 11) / 10.0 AS b1, o_orderkey % 6 AS c0, o_orderkey * 5 % 6 AS c1, o_custkey % 3 = 0 AS down, o_custkey % 4 = 1 AS bare, o_custkey % 2 AS side FROM orders),
+t AS (SELECT *, down OR b0 < 0.4 OR bare AS retried, (down OR b0 < 0.4 OR bare) AND CASE WHEN down THEN c1 >= c0 AND b1 >= b0 ELSE b1 > b0 OR (bare AND c1 > c0 AND b1 >= 0.4) END AS turned FROM o)"""
+
+
+@query(f"""WITH {_STATES}, h AS (SELECT DISTINCT l_orderkey AS scan_id, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS side, l_partkey AS id, l_linenumber AS distance FROM lineitem),
+u AS (SELECT t.scan_id, CASE WHEN turned THEN 1 - t.side ELSE t.side END AS used, id, min(distance) AS distance FROM t JOIN h ON h.scan_id = t.scan_id AND h.side = CASE WHEN turned THEN 1 - t.side ELSE t.side END GROUP BY ALL)
+SELECT t.scan_id, (CASE WHEN turned THEN 1 - side ELSE side END)::INTEGER AS side, retried, turned, count(id) AS hits, min(distance)::INTEGER AS nearest, min(id)::BIGINT AS least_id FROM t LEFT JOIN u ON t.scan_id = u.scan_id GROUP BY ALL""")
+def retry_choice(spark, sf_dir):
+    """Orders as scans read on both sides, their lines as hash hits of a side: the choice takes the whole state of its side."""
+    o, key = read_table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    tenths = lambda by: (key * by % 11) / 10.0
+    first = o.select(
+        key.alias("scan_id"), (F.col("o_custkey") % 2).cast("int").alias("side"), tenths(7).alias("best"), (key % 6).alias("cover"), (F.col("o_custkey") % 3 == 0).alias("down"), (F.col("o_custkey") % 4 == 1).alias("bare")
+    )
+    other = o.select(key.alias("scan_id"), tenths(5).alias("best"), (key * 5 % 6).alias("cover"))
+    sides = scan.chosen_sides(first, other)
+    line = read_table(spark, sf_dir, "lineitem")
+    hits = line.select(F.col("l_orderkey").alias("scan_id"), (F.col("l_linestatus") == "F").cast("int").alias("side"), F.col("l_partkey").alias("id"), F.col("l_linenumber").alias("distance"))
+    own = first.select("scan_id", "side")
+    mine = hits.join(own, ["scan_id", "side"], "left_semi").groupBy("scan_id", "id").agg(F.min("distance").alias("distance"))
+    theirs = hits.join(own.withColumn("side", 1 - F.col("side")), ["scan_id", "side"], "left_semi").groupBy("scan_id", "id").agg(F.min("distance").alias("distance"))
+    used = scan.with_choice(mine, theirs, sides).groupBy("scan_id").agg(F.count("id").alias("hits"), F.min("distance").cast("int").alias("nearest"), F.min("id").cast("long").alias("least_id"))
+    return sides.join(used, "scan_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("long")))
+
+
+@query(f"""WITH h AS {_hash_sql(1, 62)}, q AS (SELECT id AS scan_id, 0 AS side, xor(hash, (1::BIGINT << (id * 7 % 23)::INTEGER) - 1) AS hash FROM h UNION ALL SELECT id, 1, xor(hash, (1::BIGINT << (id * 5 % 23)::INTEGER) - 1) FROM h),
+k AS (SELECT scan_id, side, h.id, bit_count(xor(q.hash, h.hash))::INTEGER AS distance FROM q JOIN h ON bit_count(xor(q.hash, h.hash)) <= 16),
+r AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY scan_id, side ORDER BY distance, id) <= 10),
+b AS (SELECT scan_id, min(distance) FILTER (WHERE side = 0) AS here, min(distance) FILTER (WHERE side = 1) AS there FROM r GROUP BY scan_id)
+SELECT scan_id, id, distance FROM r JOIN b USING (scan_id) WHERE side = CASE WHEN scan_id % 2 = 0 AND (there < here OR here IS NULL) THEN 1 ELSE 0 END""")
+def rotated_hits(spark, sf_dir):
+    """Hits of every second scan, whose crop was turned, from whichever side is nearer."""
+    h = hashes(spark, sf_dir, 1, 62).where("hash is not null")
+    sides = two_sides(spark, sf_dir)
+    found = scan.sided_hits(sides, "full_hash", hamming.hash_index(h, "id", "hash"), scan.FULL_RADIUS, 10)
+    asked = sides.select("scan_id", F.lit(0).alias("side"), (F.col("scan_id") % 2 == 0).alias("both")).distinct()
+    return scan.better_side(found, asked)

@@ -245,14 +245,62 @@ def test_scan_chain_finds_every_card(spark, tmp_path):
     from catalith.plans.state import scan_chain
 
     names = ["small ring", "green bolt", "shiny plate"]
-    rows = [(i, names[i % 3], "Brand#1", "STANDARD", i % 7) for i in range(1, 61)]
+    rows = [(i, names[i % 3], "Brand#1", "STANDARD", i % 7) for i in range(1, 97)]
     spark.createDataFrame(rows, "p_partkey int, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     got = {int(r["scan_id"]): r for r in scan_chain(spark, str(tmp_path)).collect()}
-    assert sorted(got) == list(range(1, 61))
+    assert sorted(got) == list(range(1, 97))
     # sets of the prior 1.0 are sure, but for worn names without a picture's hash; for those of 0.1 a card of the same name in a likelier set comes first
     assert all((r["id"], r["confidence"]) == (str(i), "Medium" if i % 15 == 0 else "High") for i, r in got.items() if i % 2 == 0), got
     assert all(int(r["id"]) % 2 == 0 and names[int(r["id"]) % 3] == names[i % 3] and r["confidence"] != "High" for i, r in got.items() if i % 2)
-    assert {i for i, r in got.items() if r["turned"]} == {i for i in got if i % 4 == 0}
+    # upside down: with whole-image hashes the probe turns the scan before it is read; without, the second reading does
+    assert {i for i, r in got.items() if r["flipped"]} == {i for i in got if i % 4 == 0 and i % 3 == 2}
+    assert {i for i, r in got.items() if r["turned"]} == {i for i in got if i % 4 == 0 and i % 3 != 2}
+    assert all(r["side"] == (i % 4 == 0) for i, r in got.items())
+    # a turned scan is fused with the hits of its turned picture, not with those of the first reading
+    assert all(r["hash_distance"] == {0: None, 1: 2, 2: 1}[i % 3] for i, r in got.items())
+
+
+SIDES = "scan_id long, side int, best double, cover int, down boolean, bare boolean"
+
+
+def test_retry_chooses_a_whole_side(spark):
+    from catalith.operators import scan
+
+    first = [
+        (1, 0, 0.9, 4, False, False),  # good: not read again
+        (2, 0, 0.3, 2, False, False),  # weak, the other is better
+        (3, 0, 0.3, 2, False, False),  # weak, the other is no better
+        (4, 1, 0.9, 3, True, False),  # upside down, the other as good in both
+        (5, 0, 0.2, 3, True, False),  # upside down, the other refused by the gate
+        (6, 0, 1.0, 2, False, True),  # without structure, the other shows more zones and reads well enough
+        (7, 0, 1.0, 2, False, True),  # the same, but reads badly
+        (8, 0, 0.1, 0, False, True),  # nothing on the other side
+    ]
+    other = [(2, 0.5, 1), (3, 0.3, 5), (4, 0.9, 3), (5, 1.0, 2), (6, 0.4, 3), (7, 0.39, 3), (1, 1.0, 5)]
+    sides = scan.chosen_sides(spark.createDataFrame(first, SIDES), spark.createDataFrame(other, "scan_id long, best double, cover int"))
+    got = {r["scan_id"]: (r["side"], r["retried"], r["turned"]) for r in sides.collect()}
+    assert got == {1: (0, False, False), 2: (1, True, True), 3: (0, True, False), 4: (0, True, True), 5: (0, True, False), 6: (1, True, True), 7: (0, True, False), 8: (0, True, False)}
+    a, b = (spark.createDataFrame([(i, side) for i in range(1, 9)], "scan_id long, id string") for side in ("first", "other"))
+    assert {r["scan_id"] for r in scan.with_choice(a, b, sides).where("id = 'other'").collect()} == {2, 4, 6}
+
+
+@pytest.mark.parametrize(("mode", "side"), [("flip", 1), ("shadow", 0), ("off", 0)])
+def test_orientation_modes(spark, mode, side):
+    from catalith.operators import scan
+
+    hits = spark.createDataFrame([(1, 0, "a", 14), (1, 1, "b", 5), (2, 0, "a", 4), (2, 1, "a", 1), (3, 1, "a", 9), (4, 0, "a", 15), (5, 0, "a", 12), (5, 1, "a", 11)], "scan_id long, side int, id string, distance int")
+    got = {r["scan_id"]: (r["would_flip"], r["side"]) for r in scan.orientation(spark.range(1, 7).withColumnRenamed("id", "scan_id"), hits, mode).collect()}
+    assert got == {i: (i in (1, 3) and mode != "off", side if i in (1, 3) else 0) for i in range(1, 7)}
+    with pytest.raises(ValueError, match="no orientation mode"):
+        scan.orientation(hits, hits, "x")
+
+
+def test_turned_crops_take_the_nearer_side(spark):
+    from catalith.operators import scan
+
+    hits = spark.createDataFrame([(1, 0, "a", 5), (1, 1, "b", 4), (2, 0, "a", 5), (2, 1, "b", 5), (3, 1, "b", 9), (4, 1, "b", 1)], "scan_id long, side int, id string, distance int")
+    asked = spark.createDataFrame([(1, 0, True), (2, 0, True), (3, 0, True), (4, 0, False), (5, 0, True)], "scan_id long, side int, both boolean")
+    assert sorted((r["scan_id"], r["id"]) for r in scan.better_side(hits, asked).collect()) == [(1, "b"), (2, "a"), (3, "b")]
 
 
 def test_resolve_scans_resolves_every_part(spark, tmp_path):
