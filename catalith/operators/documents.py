@@ -77,7 +77,8 @@ def clashes(cards: Column, printing: Column, foil: Column, language: Column) ->
 
 
 def with_default(value: Column, default: str) -> Column:
-    return F.coalesce(F.nullif(F.trim(value), F.lit("")), F.lit(default))
+    """The value, or the default for a null or empty one; blanks are a value."""
+    return F.coalesce(F.nullif(value, F.lit("")), F.lit(default))
 
 
 def committed(entries: Column, ids: Column | None, now: Column) -> Column:
