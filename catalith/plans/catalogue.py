@@ -376,39 +376,61 @@ def zone_case(spark, sf_dir):
     return c.select("vec_id", scoring.zone_of(cx, cy).alias("zone"))
 
 
-COLLECTOR_LINES = ["U 0163 LTR . EN >CALDER MOORE", "U 0163 U 016EN SCARER MOORE", "229/254 R THB • EN", "045/280 C STX-JP", "12/274 M", "", "CALDER MOORE", "000/100"]
 
+def _texts_sql(name: str, key: str, lines: list[str], table: str) -> str:
+    """A CTE of texts made from a table's rows, by their number modulo the number of kinds."""
+    kinds = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(lines))
+    return f"{name} AS (SELECT *, CASE {key} % {len(lines)} {kinds} END AS line FROM {table})"
 
-@query("""WITH t(n, line) AS (VALUES (0, 'U 0163 LTR . EN >CALDER MOORE'), (1, 'U 0163 U 016EN SCARER MOORE'), (2, '229/254 R THB • EN'), (3, '045/280 C STX-JP'), (4, '12/274 M'), (5, ''), (6, 'CALDER MOORE'), (7, '000/100')),
-p AS (SELECT *, regexp_extract(line, '(?i)(\\d{1,4})\\s*/\\s*\\d{1,4}\\s*([CURMS])?', ['a', 'b']) AS l, regexp_extract(line, '\\b([CURMSL])\\s*(\\d{3,4})\\b', ['b', 'a']) AS m,
- regexp_extract(line, '\\b([A-Z][A-Z0-9]{2,4})\\s*[•·.\\-‐‒*,]?\\s*(EN|ES|SP|FR|DE|IT|PT|JP|JA|KO|RU|CS|CT|PH)\\b', ['s', 'g']) AS x FROM t),
-q AS (SELECT n, coalesce(nullif(l.a, ''), nullif(m.a, '')) AS num, upper(CASE WHEN l.a <> '' THEN l.b ELSE m.b END) AS r, x FROM p)
-SELECT n, coalesce(nullif(ltrim(num, '0'), ''), num) AS number, CASE r WHEN 'C' THEN 'common' WHEN 'U' THEN 'uncommon' WHEN 'R' THEN 'rare' WHEN 'M' THEN 'mythic' WHEN 'S' THEN 'special' WHEN 'L' THEN 'common' END AS rarity,
+
+def _texts(df: DataFrame, key: str, lines: list[str]) -> DataFrame:
+    kinds = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(lines))
+    return df.withColumn("line", F.expr(f"CASE {key} % {len(lines)} {kinds} END"))
+
+
+_NUMBER = "lpad(CAST(p_partkey % 1000 AS STRING), 4, '0')"
+COLLECTOR_LINES = [
+    f"'U ' || {_NUMBER} || ' LTR . EN >CALDER MOORE'", f"'U ' || {_NUMBER} || ' U 016EN SCARER MOORE'", "CAST(p_size AS STRING) || '/254 R THB • EN'", "lpad(CAST(p_size AS STRING), 3, '0') || '/280 C STX-JP'",
+    "CAST(p_size AS STRING) || '/274 M'", "''", "p_name", "'000/' || CAST(p_partkey % 1000 AS STRING)",
+]
+
+
+@query(f"""WITH {_texts_sql("t", "p_partkey", COLLECTOR_LINES, "part")},
+p AS (SELECT *, regexp_extract(line, '(?i)(\\d{{1,4}})\\s*/\\s*\\d{{1,4}}\\s*([CURMS])?', ['a', 'b']) AS l, regexp_extract(line, '\\b([CURMSL])\\s*(\\d{{3,4}})\\b', ['b', 'a']) AS m,
+ regexp_extract(line, '\\b([A-Z][A-Z0-9]{{2,4}})\\s*[•·.\\-‐‒*,]?\\s*(EN|ES|SP|FR|DE|IT|PT|JP|JA|KO|RU|CS|CT|PH)\\b', ['s', 'g']) AS x FROM t),
+q AS (SELECT p_partkey, coalesce(nullif(l.a, ''), nullif(m.a, '')) AS num, upper(CASE WHEN l.a <> '' THEN l.b ELSE m.b END) AS r, x FROM p)
+SELECT p_partkey, coalesce(nullif(ltrim(num, '0'), ''), num) AS number, CASE r WHEN 'C' THEN 'common' WHEN 'U' THEN 'uncommon' WHEN 'R' THEN 'rare' WHEN 'M' THEN 'mythic' WHEN 'S' THEN 'special' WHEN 'L' THEN 'common' END AS rarity,
  CASE WHEN num IS NOT NULL THEN lower(nullif(x.s, '')) END AS set_code, CASE WHEN num IS NOT NULL THEN CASE x.g WHEN 'JP' THEN 'ja' WHEN 'SP' THEN 'es' WHEN 'CS' THEN 'zhs' WHEN 'CT' THEN 'zht' ELSE lower(nullif(x.g, '')) END END AS lang FROM q""")
 def collector_parse(spark, sf_dir):
-    t = spark.createDataFrame(list(enumerate(COLLECTOR_LINES)), "n int, line string")
-    return t.select("n", parsing.parse_collector_line(F.col("line")).alias("p")).select("n", "p.*")
+    t = _texts(read_table(spark, sf_dir, "part"), "p_partkey", COLLECTOR_LINES)
+    return t.select("p_partkey", parsing.parse_collector_line(F.col("line")).alias("p")).select("p_partkey", "p.*")
+
 
+TYPE_LINES = ["'Legendary ' || p_type || ' — Elf ' || p_brand", "'Basic Snow ' || p_type || ' - ' || p_brand", "p_type", "'legendary'", "p_type || ' —'", "'World ' || p_type"]
 
-@query("""WITH t(n, line) AS (VALUES (0, 'Legendary Creature — Elf Druid'), (1, 'Basic Snow Land - Forest'), (2, 'Instant'), (3, 'legendary'), (4, 'Artifact Creature —'), (5, 'World Enchantment')),
-p AS (SELECT n, trim(CASE WHEN contains(line, '—') THEN split_part(line, '—', 1) WHEN contains(line, ' - ') THEN split_part(line, ' - ', 1) ELSE line END) AS f,
+
+@query(f"""WITH {_texts_sql("t", "p_partkey", TYPE_LINES, "part")},
+p AS (SELECT p_partkey, trim(CASE WHEN contains(line, '—') THEN split_part(line, '—', 1) WHEN contains(line, ' - ') THEN split_part(line, ' - ', 1) ELSE line END) AS f,
  nullif(trim(CASE WHEN contains(line, '—') THEN split_part(line, '—', 2) WHEN contains(line, ' - ') THEN split_part(line, ' - ', 2) ELSE '' END), '') AS subtype FROM t),
-q AS (SELECT n, subtype, f, regexp_extract(f, '(?i)^((?:(?:Basic|Legendary|Snow|World|Ongoing|Token|Tribal|Host|Elite)(?:\\s+|$))*)', 1) AS u FROM p)
-SELECT n, nullif(trim(u), '') AS supertype, trim(substr(f, length(u) + 1)) AS type, subtype FROM q""")
+q AS (SELECT p_partkey, subtype, f, regexp_extract(f, '(?i)^((?:(?:Basic|Legendary|Snow|World|Ongoing|Token|Tribal|Host|Elite)(?:\\s+|$))*)', 1) AS u FROM p)
+SELECT p_partkey, nullif(trim(u), '') AS supertype, trim(substr(f, length(u) + 1)) AS type, subtype FROM q""")
 def type_line_parse(spark, sf_dir):
-    lines = ["Legendary Creature — Elf Druid", "Basic Snow Land - Forest", "Instant", "legendary", "Artifact Creature —", "World Enchantment"]
-    t = spark.createDataFrame(list(enumerate(lines)), "n int, line string")
-    return t.select("n", parsing.parse_type_line(F.col("line")).alias("p")).select("n", "p.*")
+    t = _texts(read_table(spark, sf_dir, "part"), "p_partkey", TYPE_LINES)
+    return t.select("p_partkey", parsing.parse_type_line(F.col("line")).alias("p")).select("p_partkey", "p.*")
+
+
+_A, _B = "CAST(l_partkey % 9 AS STRING)", "CAST(l_suppkey % 7 AS STRING)"
+POWER_LINES = [f"{_A} || '/' || {_B}", f"'x ' || {_A} || '+* ⁄ ' || {_B}", "'*/*'", "'none'", f"{_A} || ' / ' || {_B}"]
 
 
-@query("""WITH t(n, line, p, t) AS (VALUES (0, '2/3', '2', '3'), (1, 'x 1+* ⁄ 4', '1+*', '5'), (2, '*/*', '1', '*'), (3, 'none', '1', '1'), (4, '7 / 7', '1', '2')),
-x AS (SELECT *, regexp_extract(line, '(\\*|\\d+(?:\\+\\*)?)\\s*[/⁄]\\s*(\\*|\\d+(?:\\+\\*)?)', ['a', 'b']) AS m FROM t)
-SELECT n, CASE WHEN m.a = '' THEN 0.0 ELSE ((m.a = p)::INT + (m.b = t)::INT) / 2 END::DOUBLE AS score, nullif(trim(split_part(line, '/', 1)), '') AS power, nullif(trim(regexp_extract(line, '^[^/]*/(.*)$', 1)), '') AS toughness FROM x""")
+@query(f"""WITH {_texts_sql("t", "l_linenumber", POWER_LINES, "lineitem")}, k AS (SELECT *, CASE WHEN l_linenumber = 1 THEN {_A} || '+*' ELSE {_A} END AS p, (l_suppkey % 5)::VARCHAR AS t FROM t),
+x AS (SELECT *, regexp_extract(line, '(\\*|\\d+(?:\\+\\*)?)\\s*[/⁄]\\s*(\\*|\\d+(?:\\+\\*)?)', ['a', 'b']) AS m FROM k)
+SELECT l_orderkey, l_linenumber, CASE WHEN m.a = '' THEN 0.0 ELSE ((m.a = p)::INT + (m.b = t)::INT) / 2 END::DOUBLE AS score, nullif(trim(split_part(line, '/', 1)), '') AS power, nullif(trim(regexp_extract(line, '^[^/]*/(.*)$', 1)), '') AS toughness FROM x""")
 def pt_score(spark, sf_dir):
-    rows = [(0, "2/3", "2", "3"), (1, "x 1+* ⁄ 4", "1+*", "5"), (2, "*/*", "1", "*"), (3, "none", "1", "1"), (4, "7 / 7", "1", "2")]
-    t = spark.createDataFrame(rows, "n int, line string, p string, t string")
-    split = parsing.split_power_toughness(F.col("line"))
-    return t.select("n", parsing.power_toughness_score(F.col("line"), F.col("p"), F.col("t")).alias("score"), split.alias("s")).select("n", "score", "s.*")
+    t = _texts(read_table(spark, sf_dir, "lineitem"), "l_linenumber", POWER_LINES)
+    own = F.expr(f"CASE WHEN l_linenumber = 1 THEN {_A} || '+*' ELSE {_A} END")
+    score = parsing.power_toughness_score(F.col("line"), own, (F.col("l_suppkey") % 5).cast("string"))
+    return t.select("l_orderkey", "l_linenumber", score.alias("score"), parsing.split_power_toughness(F.col("line")).alias("s")).select("l_orderkey", "l_linenumber", "score", "s.*")
 
 
 @query("""SELECT l_orderkey, len(list(l_linenumber))::BIGINT AS faces, string_agg(l_returnflag || l_linenumber, ',' ORDER BY l_linenumber, l_returnflag) AS line, min(k)::BIGINT AS k
@@ -606,13 +628,20 @@ def top_candidate_join(spark, sf_dir):
     return rows.select("scan_id", F.when(F.col("p_name").isNotNull(), F.col("printing_id")).cast("int").alias("printing"), "p_name")
 
 
-@query("""WITH t(n, d, x, v) AS (VALUES (0, '2024-02-29', '1,234.50', 'a'), (1, '2024-13-01', 'x', ' '), (2, '2024-1-1', NULL, NULL), (3, NULL, ' 7 ', '  b '), (4, '2023-02-29', '1.555', ''))
-SELECT n, try_strptime(CASE WHEN length(d) = 10 THEN d END, '%Y-%m-%d')::DATE::VARCHAR AS day, round(try_cast(replace(trim(x), ',', '') AS DECIMAL(12, 3)), 2)::DOUBLE AS price, coalesce(nullif(trim(v), ''), 'en') AS language, least(50, greatest(1, n * 20 - 5))::INTEGER AS copies FROM t""")
+_K = "o_orderkey"
+DAY_TEXTS = [f"'2024-02-' || lpad(CAST({_K} % 35 AS STRING), 2, '0')", f"'20' || lpad(CAST({_K} % 100 AS STRING), 2, '0') || '-' || lpad(CAST({_K} % 14 AS STRING), 2, '0') || '-31'", "'2024-1-1'", "NULL", f"'2023-02-' || CAST({_K} % 10 + 20 AS STRING)"]
+PRICE_TEXTS = [f"'1,' || lpad(CAST({_K} % 1000 AS STRING), 3, '0') || '.50'", "'x'", "NULL", f"' ' || CAST({_K} AS STRING) || ' '", f"CAST({_K} % 100 AS STRING) || '.555'", "''"]
+LANGUAGE_TEXTS = ["'a'", "' '", "NULL", "'  b '", "''"]
+
+
+@query(f"""WITH {_texts_sql("a", _K, DAY_TEXTS, "orders")}, b AS (SELECT {_K}, line AS d FROM a), {_texts_sql("c", _K, PRICE_TEXTS, "b")}, e AS (SELECT {_K}, d, line AS x FROM c), {_texts_sql("t", _K, LANGUAGE_TEXTS, "e")}
+SELECT {_K}, try_strptime(CASE WHEN length(d) = 10 THEN d END, '%Y-%m-%d')::DATE::VARCHAR AS day, round(try_cast(replace(trim(x), ',', '') AS DECIMAL(15, 3)), 2)::DOUBLE AS price, coalesce(nullif(line, ''), 'en') AS language, least(50, greatest(1, {_K} % 80 - 5))::INTEGER AS copies FROM t""")
 def lenient_values(spark, sf_dir):
-    rows = [(0, "2024-02-29", "1,234.50", "a"), (1, "2024-13-01", "x", " "), (2, "2024-1-1", None, None), (3, None, " 7 ", "  b "), (4, "2023-02-29", "1.555", "")]
-    t = spark.createDataFrame(rows, "n int, d string, x string, v string")
-    copies = F.greatest(F.lit(1), F.least(F.lit(50), F.col("n") * 20 - 5)).alias("copies")
-    return t.select("n", parsing.strict_date(F.col("d")).cast("string").alias("day"), parsing.lenient_decimal(F.col("x")).cast("double").alias("price"), documents.with_default(F.col("v"), "en").alias("language"), copies)
+    """Days, prices and languages as texts of all sorts, one of each an order."""
+    t = _texts(read_table(spark, sf_dir, "orders").select(_K), _K, DAY_TEXTS).withColumnRenamed("line", "d")
+    t = _texts(_texts(t, _K, PRICE_TEXTS).withColumnRenamed("line", "x"), _K, LANGUAGE_TEXTS)
+    copies = F.greatest(F.lit(1), F.least(F.lit(50), F.col(_K) % 80 - 5)).cast("int").alias("copies")
+    return t.select(_K, parsing.strict_date(F.col("d")).cast("string").alias("day"), parsing.lenient_decimal(F.col("x")).cast("double").alias("price"), documents.with_default(F.col("line"), "en").alias("language"), copies)
 
 
 @query("""SELECT event_id, 'scans/' || regexp_replace(lower(event_type || '@Mail.' || user_id), '[^\\p{L}\\p{N}]', '_', 'g') || strftime(ts, '/%Y/%m/') || event_id || CASE event_id % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.webp' ELSE '.jpg' END AS key FROM events""")

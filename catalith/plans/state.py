@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.functions import parsing, scoring
-from catalith.operators import documents, hamming, lookups, mutations, scan, scanlog, search
+from catalith.operators import documents, hamming, lookups, mutations, replay, scan, scanlog, search
 from catalith.plans.catalogue import _CARDS, _OBSERVED, PRINTINGS_SQL, _hash_sql, collections, hashes, observations, printings, query, r6, sets
 from catalith.session import read_table
 from catalith.sources import catalogue as source
@@ -62,7 +62,7 @@ def mutation_soft_delete(spark, sf_dir):
 
 
 @query(f"""WITH {_REQUESTS}, o AS (SELECT *, CASE WHEN NOT found THEN 'NotFound' WHEN request_id % 3 = 0 THEN 'Invalid' ELSE 'Ok' END AS outcome FROM r)
-SELECT request_id, outcome, CASE WHEN outcome = 'Ok' THEN len(ids) + 1 END::INTEGER AS cards, CASE WHEN outcome = 'Ok' THEN 'en/NM' END AS last FROM o""")
+SELECT request_id, outcome, CASE WHEN outcome = 'Ok' THEN len(ids) + 1 END::INTEGER AS cards, CASE WHEN outcome = 'Ok' THEN ' /NM' END AS last FROM o""")
 def mutation_add_card(spark, sf_dir):
     asked = requests(spark, sf_dir).withColumns({
         "instance_id": F.concat(F.lit("new-"), text("request_id")), "printing_id": F.when(F.col("request_id") % 3 == 0, -F.col("request_id")).otherwise(F.lit(1)).cast("long"),
@@ -128,6 +128,47 @@ def mutation_bulk_move(spark, sf_dir):
     return done.select("request_id", "outcome", "moved", "missing", F.when(F.col("outcome") == "Ok", F.size("to_cards")).alias("to_cards"))
 
 
+#: Requests in the order of line number and order; each names the order's document or the next one, and its first two cards.
+_EVENTS = f"""{_CARDS}, d AS (SELECT DISTINCT id, owner_id, is_removed FROM c),
+q AS (SELECT l_linenumber * 10000000000 + l_orderkey AS seq, o_custkey % 10 AS who, (l_partkey + l_linenumber) % 6 AS kind, CASE WHEN l_suppkey % 3 = 0 THEN l_orderkey + 1 ELSE l_orderkey END AS id, CASE WHEN l_suppkey % 3 = 0 THEN l_orderkey ELSE l_orderkey + 1 END AS to_id, l_orderkey AS k FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL) JOIN orders ON l_orderkey = o_orderkey),
+own AS (SELECT q.*, CASE WHEN who < 7 THEN coalesce(s.owner_id, 'x') ELSE 'x' END AS owner_id FROM q LEFT JOIN d s ON s.id = q.id),
+gone AS (SELECT id, min(seq) AS removed FROM own WHERE kind = 5 AND k % 50 = 0 AND owner_id IN (SELECT owner_id FROM d WHERE d.id = own.id AND NOT is_removed) GROUP BY id),
+ok AS (SELECT own.*, s.id IS NOT NULL AND (g.removed IS NULL OR g.removed > seq) AS found, t.id IS NOT NULL AND (h.removed IS NULL OR h.removed > seq) AS target
+ FROM own LEFT JOIN d s ON s.id = own.id AND s.owner_id = own.owner_id AND NOT s.is_removed LEFT JOIN gone g ON g.id = own.id
+ LEFT JOIN d t ON t.id = own.to_id AND t.owner_id = own.owner_id AND NOT t.is_removed LEFT JOIN gone h ON h.id = own.to_id)"""
+
+
+@query(f"""WITH RECURSIVE {_EVENTS},
+e AS (SELECT seq, kind, id, CASE WHEN kind IN (1, 3) THEN to_id END AS dest, unnest(CASE WHEN kind IN (0, 1) THEN [k || '-1'] ELSE [k || '-1', k || '-2'] END) AS card FROM ok WHERE kind < 4 AND found AND (kind IN (0, 2) OR target)),
+n AS (SELECT *, row_number() OVER (PARTITION BY card ORDER BY seq) AS rn FROM e),
+w AS (SELECT instance_id AS card, 0::BIGINT AS rn, id AS at, NULL::BIGINT AS seq, false AS hit, row_number() OVER (PARTITION BY instance_id) AS copy FROM c
+ UNION ALL SELECT w.card, n.rn, CASE WHEN w.at = n.id THEN CASE WHEN n.kind = 3 OR w.copy = 1 THEN n.dest END ELSE w.at END, n.seq, coalesce(w.at = n.id, false), w.copy FROM w JOIN n ON n.card = w.card AND n.rn = w.rn + 1),
+f AS (SELECT seq, count(*) FILTER (WHERE hit) AS hits FROM w WHERE seq IS NOT NULL GROUP BY seq)
+SELECT ok.seq AS request_id, CASE WHEN kind = 5 AND k % 50 = 0 THEN CASE WHEN r.removed = ok.seq THEN 'Ok' ELSE 'NotFound' END WHEN kind IN (4, 5) THEN CASE WHEN found THEN 'Ok' ELSE 'NotFound' END
+ WHEN NOT found OR (kind IN (1, 3) AND NOT target) THEN 'NotFound' WHEN kind IN (0, 1) AND coalesce(hits, 0) = 0 THEN 'NotFound' ELSE 'Ok' END AS outcome,
+ CASE WHEN outcome = 'Ok' AND kind = 1 THEN 1 WHEN outcome = 'Ok' AND kind < 4 THEN coalesce(hits, 0) WHEN outcome = 'Ok' AND (kind = 4 OR k % 50 > 0) THEN 1 END::INTEGER AS done FROM ok LEFT JOIN f ON f.seq = ok.seq LEFT JOIN gone r ON r.id = ok.id""")
+def mutation_replay(spark, sf_dir):
+    """A request a line number of each order, all of them one batch in one order: removes, moves there and back, additions, deletions; each sees those before."""
+    docs = collections(spark, sf_dir).withColumn("updated_at", F.lit(NOW).cast("timestamp"))
+    docs = docs.withColumn("cards", F.transform("cards", lambda c: c.withField("printing_id", c["printing_id"].cast("long"))))
+    line = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    line = line.join(read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 10).alias("who")), "l_orderkey")
+    key, kind, back = F.col("l_orderkey"), (F.col("l_partkey") + F.col("l_linenumber")) % 6, F.col("l_suppkey") % 3 == 0
+    deletes = (kind == 5) & (key % 50 == 0)
+    both = F.array(F.concat(text("l_orderkey"), F.lit("-1")), F.concat(text("l_orderkey"), F.lit("-2")))
+    item = F.struct(F.lit(1).cast("long").alias("printing_id"), F.lit(1).alias("count"), F.lit(True).alias("is_foil"), F.lit("de").alias("language"), F.lit("").alias("condition"))
+    seq = F.col("l_linenumber") * F.lit(10_000_000_000) + key
+    rows = line.select(
+        seq.alias("request_id"), seq.alias("seq"), F.lit(NOW).cast("timestamp").alias("at"), F.col("who"), F.when(back, key + 1).otherwise(key).alias("id"), F.when(back, key).otherwise(key + 1).alias("to_id"), F.lit(None).cast("string").alias("name"),
+        F.when(kind == 0, replay.REMOVE).when(kind == 1, replay.MOVE).when(kind == 2, replay.BULK_REMOVE).when(kind == 3, replay.BULK_MOVE).when(deletes, replay.DELETE).otherwise(replay.ADD).alias("kind"),
+        F.when(kind.isin(0, 1), F.slice(both, 1, 1)).when(kind.isin(2, 3), both).otherwise(F.array(F.concat(F.lit("new-"), seq.cast("string")))).alias("instance_ids"), F.array(item).alias("items"),
+    )
+    owners = docs.select("id", F.col("owner_id").alias("doc_owner"))
+    rows = rows.join(owners, "id", "left").withColumn("owner_id", F.when(F.col("who") < 7, F.coalesce("doc_owner", F.lit("x"))).otherwise("x")).drop("who", "doc_owner")
+    answers, _ = replay.replay(docs, rows, read_table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id")))
+    return answers.select("request_id", "outcome", "done")
+
+
 def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collections as selections; those with an odd number of cards have expired."""
     c = collections(spark, sf_dir).where(~F.col("is_removed"))
@@ -270,10 +311,15 @@ def printings_with_prices(spark, sf_dir):
     return found.select("id", "set_code", "set_name", F.col("eur").cast("double").alias("eur"))
 
 
-@query(f"""WITH w(set_type, weight) AS (VALUES {", ".join(f"('{k}', {v:.2f})" for k, v in source.SET_TYPE_WEIGHTS.items())}), n(set_type, weight) AS (VALUES ('core', 1.5), ('brand new', 0.2))
+@query(f"""WITH w(set_type, weight) AS (VALUES {", ".join(f"('{k}', {v:.2f})" for k, v in source.SET_TYPE_WEIGHTS.items())}),
+q AS (SELECT CASE s_suppkey % 4 WHEN 0 THEN ' Core ' WHEN 1 THEN repeat('x', (s_suppkey % 40)::INTEGER) ELSE 'Type ' || s_nationkey END AS t, (s_suppkey % 21 - 2) / 10.0::DOUBLE AS weight FROM supplier),
+n AS (SELECT lower(trim(t)) AS set_type, max(weight) AS weight FROM q WHERE length(trim(t)) BETWEEN 1 AND 32 AND weight >= 0 GROUP BY 1)
 SELECT coalesce(n.set_type, w.set_type) AS set_type, coalesce(n.weight, w.weight)::DOUBLE AS weight FROM w FULL JOIN n ON w.set_type = n.set_type""")
 def weights_upsert(spark, sf_dir):
-    asked = spark.createDataFrame([(" Core ", 1.5), ("Brand new", 0.2), ("bad", -1.0), ("", 1.0), ("nan", float("nan")), ("x" * 33, 1.0)], "set_type string, weight double")
+    """Suppliers ask for weights of set types, some of them too long, empty or negative."""
+    key = F.col("s_suppkey")
+    kind = F.when(key % 4 == 0, " Core ").when(key % 4 == 1, F.repeat(F.lit("x"), (key % 40).cast("int"))).otherwise(F.concat(F.lit("Type "), text("s_nationkey")))
+    asked = read_table(spark, sf_dir, "supplier").select(kind.alias("set_type"), ((key % 21 - 2) / 10.0).alias("weight"))
     return lookups.browse_weights(source.upsert_weights(source.seed_weights(spark), asked)).select("set_type", "weight")
 
 
