@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from catalith.operators.documents import clashes, committed, moved, those, valid_name, with_default, without
 
 OK, NOT_FOUND, INVALID, CONFLICT = "Ok", "NotFound", "Invalid", "Conflict"
-#: Copies of one item and instances of one call at most.
+#: Copies of one item and instances of one call at most; how long a selection lives.
 MOST_COPIES, MOST_INSTANCES = 50, 500
+SELECTION_TTL = "INTERVAL 7 DAYS"
 
 
 def outcome(*cases: tuple[Column, str]) -> Column:
@@ -62,9 +63,9 @@ def add_card(docs: DataFrame, requests: DataFrame, printings: DataFrame) -> Data
     return rows.select("request_id", "id", result.alias("outcome"), F.concat("doc.cards", F.array(card)).alias("cards"))
 
 
-def remove_card(docs: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests: request_id, owner_id, id, instance_id."""
-    rows = with_document(requests, docs)
+def remove_card(docs: DataFrame, requests: DataFrame, soft: bool = True) -> DataFrame:
+    """requests: request_id, owner_id, id, instance_id. soft: whether docs can be removed (selections expire instead)."""
+    rows = with_document(requests, docs, soft=soft)
     has = F.exists("doc.cards", lambda c: c["instance_id"] == F.col("instance_id"))
     return rows.select("request_id", "id", outcome((F.col("doc").isNull() | ~has, NOT_FOUND)).alias("outcome"), without(F.col("doc.cards"), F.array("instance_id")).alias("cards"))
 
@@ -121,6 +122,22 @@ def bulk_move(docs: DataFrame, requests: DataFrame) -> DataFrame:
     return rows.select("request_id", "id", "to_id", "outcome", F.when(fine, count).alias("moved"), F.when(fine, missing).alias("missing"), F.when(fine, rest).alias("cards"), F.when(fine, into).alias("to_cards"))
 
 
+def create_selection(requests: DataFrame, now: Column) -> DataFrame:
+    """requests: request_id, owner_id, id. New selections without entries, which expire after SELECTION_TTL."""
+    return requests.select("request_id", F.lit(OK).alias("outcome"), "id", "owner_id", now.alias("created_at"), (now + F.expr(SELECTION_TTL)).alias("expires_at"))
+
+
+def get_selection(selections: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
+    """requests: request_id, owner_id, id. The entries and the expiry; at the very moment of expiry a selection is still there."""
+    rows = with_document(requests, selections.where(F.col("expires_at") >= now), soft=False)
+    return rows.select("request_id", "id", outcome((F.col("doc").isNull(), NOT_FOUND)).alias("outcome"), "doc.cards", "doc.expires_at")
+
+
+def unselect_card(selections: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
+    """requests: request_id, owner_id, id, instance_id. Expired selections are not found."""
+    return remove_card(selections.where(F.col("expires_at") >= now), requests, soft=False)
+
+
 def select_card(selections: DataFrame, requests: DataFrame, printings: DataFrame, now: Column) -> DataFrame:
     """requests: request_id, owner_id, id, the entry (with confidence) and allow_duplicate. Expired selections are not found."""
     known = printings.select(F.col("id").alias("printing_id"), F.lit(True).alias("__known")).distinct()

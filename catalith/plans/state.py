@@ -179,6 +179,29 @@ def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SELECTED = _REQUESTS.replace("AND NOT d.is_removed)", "AND NOT d.is_removed AND len(d.ids) % 2 = 0)")
 
 
+@query("SELECT o_orderkey AS request_id, (o_custkey % 10)::VARCHAR AS owner_id, (o_orderdate + INTERVAL 7 DAY)::TIMESTAMP::VARCHAR AS expires_at FROM orders")
+def selection_create(spark, sf_dir):
+    """A selection an order, made at the order's day."""
+    o = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), (F.col("o_custkey") % 10).cast("string").alias("owner_id"), F.col("o_orderkey").alias("id"), "o_orderdate")
+    made = mutations.create_selection(o, F.col("o_orderdate").cast("timestamp"))
+    return made.select("request_id", "owner_id", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"))
+
+
+@query(f"WITH {_SELECTED} SELECT request_id, CASE WHEN found THEN 'Ok' ELSE 'NotFound' END AS outcome, CASE WHEN found THEN len(ids) END::INTEGER AS cards FROM r")
+def selection_get(spark, sf_dir):
+    """Half of the selections expire at this very moment and are there, the others the day before and are not."""
+    done = mutations.get_selection(selections(spark, sf_dir), requests(spark, sf_dir), F.lit(NOW).cast("timestamp"))
+    return done.select("request_id", "outcome", F.when(F.col("outcome") == "Ok", F.size("cards")).alias("cards"))
+
+
+@query(f"""WITH {_SELECTED}, o AS (SELECT *, CASE WHEN NOT found OR NOT list_contains(ids, request_id || '-2') THEN 'NotFound' ELSE 'Ok' END AS outcome FROM r)
+SELECT request_id, outcome, CASE WHEN outcome = 'Ok' THEN len(list_filter(ids, lambda x: x <> request_id || '-2')) END::INTEGER AS cards FROM o""")
+def selection_remove(spark, sf_dir):
+    asked = requests(spark, sf_dir).withColumn("instance_id", F.concat(text("request_id"), F.lit("-2")))
+    done = mutations.unselect_card(selections(spark, sf_dir), asked, F.lit(NOW).cast("timestamp"))
+    return done.select("request_id", "outcome", F.when(F.col("outcome") == "Ok", F.size("cards")).alias("cards"))
+
+
 @query(f"""WITH {_SELECTED}, f AS (SELECT id, bool_or(printing_id % 5 = 2 AND is_foil AND language = 'N') AS clash FROM c GROUP BY id)
 SELECT request_id, CASE WHEN NOT found THEN 'NotFound' WHEN request_id % 9 = 0 THEN 'Invalid' WHEN clash AND request_id % 2 = 0 THEN 'Conflict' ELSE 'Ok' END AS outcome FROM r LEFT JOIN f ON r.id = f.id""")
 def selection_add(spark, sf_dir):
