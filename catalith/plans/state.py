@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from catalith.functions import parsing, scoring
 from catalith.operators import documents, hamming, lookups, mutations, replay, scan, scanlog, search
@@ -400,17 +401,89 @@ def quarantine(spark, sf_dir):
     return kept.groupBy("errors").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("""SELECT l_orderkey, string_agg(coalesce(CASE WHEN l_linenumber % 2 = 0 THEN 'old' || l_linenumber END, CASE WHEN l_linenumber % 3 = 0 THEN 'new' || l_linenumber END, '-'), ',' ORDER BY l_linenumber) AS keys FROM lineitem WHERE l_linenumber <= 4 GROUP BY l_orderkey""".replace("coalesce(CASE WHEN l_linenumber % 2 = 0 THEN 'old' || l_linenumber END, CASE WHEN l_linenumber % 3 = 0 THEN 'new' || l_linenumber END, '-')", "coalesce(CASE WHEN l_linenumber % 3 = 0 THEN 'new' || l_linenumber END, CASE WHEN l_linenumber % 2 = 0 THEN 'old' || l_linenumber END, '-')"))
+#: Lines of an order as faces of a card, numbered from 0.
+_FACES = """f AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i FROM lineitem)"""
+
+
+def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = read_table(spark, sf_dir, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return line.withColumn("i", F.row_number().over(order) - 1)
+
+
+@query(f"""WITH {_FACES} SELECT l_orderkey, string_agg(coalesce(CASE WHEN l_partkey % 3 = 0 THEN 'new' || i END, CASE WHEN i % 2 = 0 THEN 'old' || i END, '-'), ',' ORDER BY i) AS keys FROM f GROUP BY l_orderkey""")
 def face_keys(spark, sf_dir):
     """New faces take the image keys of the old face with their index where they have none."""
-    line = read_table(spark, sf_dir, "lineitem").where("l_linenumber <= 4")
-    face = lambda key: F.struct(F.col("l_linenumber").cast("int").alias("face_index"), key.alias("image_object_key"), F.lit(None).cast("string").alias("image_art_crop_key"))
-    new = face(F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("new"), text("l_linenumber"))))
-    old = face(F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("old"), text("l_linenumber"))))
-    rows = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(new)).alias("new"), F.collect_list(old).alias("old"))
+    face = lambda key: F.struct(F.col("i").cast("int").alias("face_index"), key.alias("image_object_key"), F.lit(None).cast("string").alias("image_art_crop_key"))
+    new = face(F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("new"), text("i"))))
+    old = face(F.when(F.col("i") % 2 == 0, F.concat(F.lit("old"), text("i"))))
+    rows = faces(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(new)).alias("new"), F.collect_list(old).alias("old"))
     return rows.select("l_orderkey", F.array_join(F.transform(source.inherit_face_keys(F.col("new"), F.col("old")), lambda f: F.coalesce(f["image_object_key"], F.lit("-"))), ",").alias("keys"))
 
 
+def image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order is a card: its own images by the order's number, those of its faces by the lines' parts and suppliers."""
+    uris = lambda some, normal, art: F.when(some, F.struct(F.when(normal, "n").otherwise("").alias("normal"), F.when(art, "a").alias("art_crop"), F.lit("l").alias("large")))
+    p, key = F.col("l_partkey"), F.col("id")
+    blank = F.lit(None).cast("string")
+    face = F.struct("i", F.struct(F.lit("f").alias("name"), *[blank.alias(x) for x in ("mana_cost", "type_line", "oracle_text", "power", "toughness")], uris(F.col("l_suppkey") % 3 != 0, p % 2 == 0, p % 5 < 3).alias("image_uris")).alias("f"))
+    rows = faces(spark, sf_dir).groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(F.array_sort(F.collect_list(face), lambda a, b: (a["i"] - b["i"]).cast("int")), lambda x: x["f"]).alias("card_faces"))
+    return rows.select(
+        "id", "card_faces", uris(key % 4 != 0, key % 3 != 0, key % 5 != 0).alias("image_uris"), source.faces_of(F.col("card_faces")).alias("faces"), F.when(key % 5 == 0, "have").alias("image_object_key"), F.when(key % 6 == 0, "art").alias("image_art_crop_key"),
+        F.when(key % 7 == 0, 1).alias("full_phash"), F.when(key % 11 == 0, 1).alias("art_phash"),
+    )
+
+
+_PLAN = f"""{_FACES}, e AS (SELECT l_orderkey AS id, i, l_suppkey % 3 <> 0 AS own, l_partkey % 2 = 0 AS fn, l_partkey % 5 < 3 AS fa FROM f),
+c AS (SELECT id, any_value(CASE WHEN id % 4 <> 0 THEN id % 3 <> 0 ELSE own AND fn END) AS normal, any_value(CASE WHEN id % 4 <> 0 THEN id % 5 <> 0 ELSE own AND fa END) AS art FROM e WHERE i = 0 GROUP BY id),
+k AS (SELECT id, id % 5 <> 0 AND normal AS un, id % 6 <> 0 AND art AS ua, CASE WHEN id % 5 = 0 THEN 'have' WHEN normal THEN 'printings/' || id || '/normal.jpg' END AS nk, CASE WHEN id % 6 = 0 THEN 'art' WHEN art THEN 'printings/' || id || '/art_crop.jpg' END AS ak FROM c),
+g AS (SELECT e.*, CASE WHEN NOT own OR i = 0 THEN nk WHEN fn THEN 'printings/' || e.id || '/face' || i || '/normal.jpg' END AS fk, own AND i > 0 AND fn AS fu, own AND i > 0 AND fa AS fau FROM e JOIN k ON e.id = k.id)"""
+
+
+@query(f"""WITH {_PLAN}
+SELECT k.id, any_value(nk) AS image_object_key, any_value(ak) AS image_art_crop_key, string_agg(coalesce(fk, '-'), ',' ORDER BY i) AS face_keys, (any_value(un)::INT + any_value(ua)::INT + sum(fu::INT) + sum(fau::INT))::INTEGER AS uploads,
+ ((any_value(nk) IS NOT NULL AND k.id % 7 <> 0)::INT + (any_value(ua) AND k.id % 11 <> 0)::INT)::INTEGER AS hashes FROM k JOIN g ON k.id = g.id GROUP BY k.id""")
+def image_plan(spark, sf_dir):
+    plan = source.image_plan(image_rows(spark, sf_dir))
+    keys = F.array_join(F.transform("faces", lambda f: F.coalesce(f["image_object_key"], F.lit("-"))), ",")
+    return plan.select("id", "image_object_key", "image_art_crop_key", keys.alias("face_keys"), F.size("uploads").alias("uploads"), "hashes")
+
+
+@query(f"""WITH {_PLAN}, t AS (SELECT sum(un::INT + ua::INT) AS n, sum((nk IS NOT NULL AND id % 7 <> 0)::INT + (ua AND id % 11 <> 0)::INT) AS h, count(*) AS total, count(*) FILTER (WHERE id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')) AS updated FROM k)
+SELECT total, total - updated AS added, updated, (n + (SELECT sum(fu::INT + fau::INT) FROM g))::BIGINT AS images, h::BIGINT AS hashes FROM t""")
+def sync_counts(spark, sf_dir):
+    """Counters of a sync of all orders' cards over a store that has those of finished orders."""
+    old = read_table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))
+    return store.sync_counts(old, source.image_plan(image_rows(spark, sf_dir)))
+
+
+@query("SELECT s_suppkey AS code FROM supplier WHERE s_suppkey % 4 <> 0 AND s_suppkey % 3 = 0")
+def icon_worklist(spark, sf_dir):
+    key = F.col("s_suppkey")
+    sets_ = read_table(spark, sf_dir, "supplier").select(key.alias("code"), F.when(key % 4 == 0, "sets/x/icon.png").alias("icon_object_key"), F.when(key % 3 == 0, "https://x/icon.svg").alias("icon_svg_uri"))
+    return source.missing_icons(sets_).select("code")
+
+
+@query("""WITH r AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'EN' WHEN 1 THEN 'de' WHEN 2 THEN ' ' ELSE 'en' END AS lang, CASE p_partkey % 5 WHEN 0 THEN ' ' WHEN 1 THEN chr(9) || chr(160) WHEN 2 THEN NULL ELSE 'Gedruckt ' || p_brand END AS printed, p_type AS type_line, p_name AS oracle_text,
+ CASE p_partkey % 3 WHEN 0 THEN 'transform' WHEN 1 THEN '' ELSE 'split' END AS layout, CASE WHEN p_partkey % 7 < 4 THEN 'Face ' || p_size END AS face_text FROM part WHERE p_size % 10 > 0)
+SELECT id, CASE WHEN lang = ' ' THEN 'en' ELSE lang END AS lang, CASE WHEN layout = '' THEN 'normal' ELSE layout END AS layout, CASE WHEN id % 4 = 1 AND id % 5 > 2 THEN printed ELSE type_line END AS type,
+ CASE WHEN id % 5 > 2 THEN printed WHEN layout = 'transform' THEN coalesce(face_text, oracle_text) ELSE oracle_text END AS rules_text, CASE WHEN layout = 'transform' THEN coalesce(face_text, oracle_text) ELSE oracle_text END AS oracle_text, 1::INTEGER AS faces FROM r""")
+def printings_derived(spark, sf_dir):
+    """Parts as raw cards with languages, printed texts and layouts that may be blank."""
+    key = F.col("p_partkey")
+    nothing = F.lit(None).cast("string")
+    lang = F.when(key % 4 == 0, "EN").when(key % 4 == 1, "de").when(key % 4 == 2, " ").otherwise("en")
+    printed = F.when(key % 5 == 0, " ").when(key % 5 == 1, "\t\u00a0").when(key % 5 > 2, F.concat(F.lit("Gedruckt "), "p_brand"))
+    texts = {c: nothing for c in ("name", "mana_cost", "type_line", "printed_type_line", "printed_text", "power", "toughness")} | {"oracle_text": F.when(key % 7 < 4, F.concat(F.lit("Face "), text("p_size")))}
+    raw = read_table(spark, sf_dir, "part").select(
+        key.alias("id"), nothing.alias("oracle_id"), "p_name", F.col("p_name").alias("name"), F.lit("X").alias("set"), text("p_partkey").alias("collector_number"), F.lit(None).cast("array<string>").alias("color_identity"), F.lit("rare").alias("rarity"),
+        (F.col("p_size") % 10 == 0).alias("digital"), F.when(key % 3 == 0, "transform").when(key % 3 == 1, "").otherwise("split").alias("layout"), lang.alias("lang"), F.col("p_type").alias("type_line"), printed.alias("printed_type_line"),
+        F.col("p_name").alias("oracle_text"), printed.alias("printed_text"), nothing.alias("power"), nothing.alias("toughness"), nothing.alias("mana_cost"), F.lit(1.0).alias("cmc"), F.lit(None).cast("boolean").alias("foil"),
+        F.array(F.struct(*[c.alias(n) for n, c in texts.items()])).alias("card_faces"),
+    )
+    return source.printings_of(raw, F.lit(NOW)).select("id", "lang", "layout", "type", "rules_text", "oracle_text", F.size("faces").alias("faces"))
+
+
 def scan_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """Every part as a printing and as a scan of it, with both sides of the image. Each fourth scan lies upside down; every
     eighth does so without its text saying it. A side that is upside down has hashes of its own, far from the catalogue. By the

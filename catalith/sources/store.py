@@ -40,6 +40,12 @@ def upsert_counts(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return seen.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("has").isNull()).alias("added"), F.count_if(F.col("has")).alias("updated"))
 
 
+def sync_counts(old: DataFrame, plan: DataFrame, icons: int = 0) -> DataFrame:
+    """total, added, updated, images and hashes of a sync. plan: see catalogue.image_plan(); icons: set icons stored besides."""
+    work = plan.agg(F.coalesce(F.sum(F.size("uploads")), F.lit(0)).alias("images"), F.coalesce(F.sum("hashes"), F.lit(0)).alias("hashes"))
+    return upsert_counts(old, plan, ["id"]).crossJoin(work).withColumn("images", F.col("images") + F.lit(icons))  # one row each
+
+
 def append(df: DataFrame, path: str, batch: int) -> None:
     """Write a batch; a replay of the same number replaces it."""
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")

@@ -317,3 +317,23 @@ def test_resolve_scans_resolves_every_part(spark, tmp_path):
     found = {(r["scan_id"], r["id"]) for r in resolve.name_candidates(scans, cards).collect()}
     best = lambda line: sorted((-s, str(r[0])) for r in rows if (s := best_extent(r[1], line)) > resolve.NAME_CUTOFF)[: resolve.NAME_TOP]
     assert found == {(str(r[0]), i) for r in rows for _, i in best("</s>" + r[1].replace("l", "1"))}
+
+
+def test_blank_printed_texts_and_shared_face_images(spark, tmp_path):
+    (tmp_path / "c.json").write_text(
+        '{"id":"1","name":"A // B","set":"x","layout":"transform","lang":"DE","type_line":"Land","printed_type_line":" ","printed_text":"\\t","oracle_text":"o","card_faces":[{"name":"A","image_uris":{"normal":"n"}},{"image_uris":{"normal":"n","art_crop":""}},{}]}\n'
+        '{"id":"2","name":"C","set":"x","lang":"EN","type_line":"Land","printed_type_line":"Country","printed_text":"p","oracle_text":"o","image_uris":{"normal":"n","art_crop":"a"},"card_faces":[{"name":"C"}]}\n'
+        '{"id":"3","name":"D","set":"x","lang":" ","layout":"","type_line":"Land","printed_type_line":"Land 2"}\n'
+    )
+    raw = catalogue.read_cards(spark, str(tmp_path / "c.json"))
+    p = {r["id"]: r for r in catalogue.printings_of(raw, F.lit("2026-01-01 00:00:00")).collect()}
+    assert (p["1"]["type"], p["1"]["rules_text"], p["1"]["name"], p["1"]["lang"]) == ("Land", "o", "A // B", "DE")
+    assert (p["2"]["type"], p["2"]["rules_text"], len(p["2"]["faces"])) == ("Land", "p", 1)
+    assert (p["3"]["type"], p["3"]["lang"], p["3"]["layout"], p["3"]["faces"]) == ("Land", "en", "normal", None)
+    none = {c: F.lit(None).cast("string") for c in ("image_object_key", "image_art_crop_key", "full_phash", "art_phash")}
+    plan = {r["id"]: r for r in catalogue.image_plan(raw.withColumn("faces", catalogue.faces_of(F.col("card_faces"))).withColumns(none)).collect()}
+    assert plan["1"]["uploads"] == ["printings/1/normal.jpg", "printings/1/face1/normal.jpg"] and plan["1"]["hashes"] == 1
+    assert [f["image_object_key"] for f in plan["1"]["faces"]] == ["printings/1/normal.jpg", "printings/1/face1/normal.jpg", "printings/1/normal.jpg"]
+    assert [f["name"] for f in plan["1"]["faces"]] == ["A", "", ""]
+    assert plan["2"]["uploads"] == ["printings/2/normal.jpg", "printings/2/art_crop.jpg"] and plan["2"]["hashes"] == 2
+    assert plan["3"]["uploads"] == [] and plan["3"]["hashes"] == 0 and plan["3"]["faces"] is None
