@@ -1,11 +1,13 @@
 """Keyed upserts: as a merge of two tables, and as batches appended to a Parquet folder.
 
 A folder of batches has a subfolder for each batch number; writing a number again replaces it, so a replay changes nothing,
-and a batch that fails leaves no committed files. The current rows are the last of each key. No pointer is kept."""
+and a batch that fails leaves no committed files. Batches are merged by level into runs, whose folders tell the range of
+batches they stand for. The current rows are the last of each key. No pointer is kept."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,37 +48,108 @@ def sync_counts(old: DataFrame, plan: DataFrame, icons: int = 0) -> DataFrame:
     return upsert_counts(old, plan, ["id"]).crossJoin(work).withColumn("images", F.col("images") + F.lit(icons))  # one row each
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as the JVM has them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def append(df: DataFrame, path: str, batch: int) -> None:
     """Write a batch; a replay of the same number replaces it."""
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
+def committed(spark: SparkSession, path: str, batch: int) -> bool:
+    """Whether a batch was written to its end."""
+    fs, where = _files(spark, f"{path}/batch={batch}/_SUCCESS")
+    return fs.exists(where)
+
+
+class Run(NamedTuple):
+    """A folder with the batches first to last: one batch of level 0, or several merged into their last rows."""
+
+    first: int
+    last: int
+    level: int
+    folder: str
+
+
+def runs(spark: SparkSession, path: str) -> tuple[list[Run], list[Run]]:
+    """(live runs by their order, superseded ones). A merged run supersedes all that lie in its range; unfinished folders do not count."""
+    fs, where = _files(spark, path)
+    found = []
+    for status in fs.listStatus(where) if fs.exists(where) else []:
+        name = status.getPath().getName()
+        if not fs.exists(_files(spark, f"{path}/{name}/_SUCCESS")[1]):
+            continue
+        if name.startswith("batch="):
+            n = int(name[6:])
+            found.append(Run(n, n, 0, name))
+        elif name.startswith("merged="):
+            level, first, last = map(int, name[7:].split("_"))
+            found.append(Run(first, last, level, name))
+    found.sort(key=lambda r: (r.first, -r.last, -r.level))
+    live: list[Run] = []
+    for r in found:
+        if not live or r.last > live[-1].last:
+            live.append(r)
+    return live, [r for r in found if r not in live]
+
+
 def batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All rows of all batches with their batch number; none before the first."""
+    """The rows of all live runs with their batch number; none before the first batch. Merged runs have each key's last row only."""
     kind = T.StructType.fromDDL(schema)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], kind).withColumn("batch", F.lit(None).cast("long"))
-    return spark.read.schema(T.StructType([*kind.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    full = T.StructType([*kind.fields, T.StructField("batch", T.LongType())])
+    live, _ = runs(spark, path)
+    out = spark.createDataFrame([], full)
+    for folders in ([r.folder for r in live if not r.level], [r.folder for r in live if r.level]):
+        if folders:
+            out = out.unionByName(spark.read.schema(full).option("basePath", path).parquet(*[f"{path}/{f}" for f in folders]).select(*full.names))
+    return out
 
 
-def current(spark: SparkSession, path: str, schema: str, keys: list[str], preserve: list[str] | None = None, before: int | None = None) -> DataFrame:
-    """The last row of each key over all batches (before a number); preserved columns have their last value that is not null."""
-    rows = batches(spark, path, schema)
-    if before is not None:
-        rows = rows.where(F.col("batch") < before)
+def last_rows(rows: DataFrame, schema: str, keys: list[str], preserve: list[str] | None = None) -> DataFrame:
+    """The last row of each key by batch, with that batch; preserved columns have their last value that is not null."""
     kept = set(preserve or [])
     values = [c for c in rows.columns if c not in keys and c != "batch" and c not in kept]
     aggs = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("batch"))).alias(c) for c in kept]
     if values:
         aggs.append(F.max_by(F.struct(*values), "batch").alias("__last"))
-    out = rows.groupBy(*keys).agg(*aggs)
+    out = rows.groupBy(*keys).agg(*aggs, F.max("batch").alias("batch"))
     pick = {c: F.col(f"__last.{c}").alias(c) for c in values}
-    return out.select(*[pick.get(c, F.col(c)) for c in T.StructType.fromDDL(schema).names])
+    return out.select(*[pick.get(c, F.col(c)) for c in T.StructType.fromDDL(schema).names], "batch")
+
+
+def current(spark: SparkSession, path: str, schema: str, keys: list[str], preserve: list[str] | None = None, before: int | None = None) -> DataFrame:
+    """The last row of each key over all batches (before a number); preserved columns have their last value that is not null."""
+    rows = batches(spark, path, schema)
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    return last_rows(rows, schema, keys, preserve).drop("batch")
+
+
+def level_up(spark: SparkSession, path: str, schema: str, keys: list[str], preserve: list[str] | None = None, before: int | None = None, fanout: int = 8) -> int:
+    """Merge runs by level until none has `fanout` neighbours of its level: a batch is merged once a level, and what is read
+    for the current rows is `fanout` runs a level at most, instead of all batches there ever were. Only batches before a number
+    are merged, so that a replay of that batch still finds the state before it. Folders that a merge supersedes stay for readers until
+    the next call. Returns the number of merges."""
+    fs, _ = _files(spark, path)
+    for old in runs(spark, path)[1]:
+        fs.delete(_files(spark, f"{path}/{old.folder}")[1], True)
+    made = 0
+    while True:
+        live = [r for r in runs(spark, path)[0] if before is None or r.last < before]
+        group = next((live[i : i + fanout] for i in range(len(live) - fanout + 1) if len({r.level for r in live[i : i + fanout]}) == 1), None)
+        if not group:
+            return made
+        full = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField("batch", T.LongType())])
+        rows = spark.read.schema(full).option("basePath", path).parquet(*[f"{path}/{r.folder}" for r in group]).select(*full.names)
+        last_rows(rows, schema, keys, preserve).write.mode("overwrite").parquet(f"{path}/merged={group[0].level + 1}_{group[0].first}_{group[-1].last}")
+        made += 1
 
 
 def compacted(spark: SparkSession, path: str, to: str, schema: str, keys: list[str], preserve: list[str] | None = None) -> None:
-    """The current rows as batch 0 of a new folder, for when a folder has grown many batches."""
+    """The current rows as batch 0 of a new folder."""
     append(current(spark, path, schema, keys, preserve), to, 0)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalith.operators import prices
 from catalith.sources import store
-from catalith.streaming.ingest import apply_prices, keyed_stream, latest_of, points_of, price_stream
+from catalith.streaming.ingest import MOST_COMMITS, apply_prices, commit_by_rows, keyed_stream, latest_of, lying, points_of, price_stream
 
 LATEST = "printing_id string, eur decimal(12,2), eur_foil decimal(12,2), updated_at timestamp"
 POINTS = "printing_id string, observed_on date, eur decimal(12,2), eur_foil decimal(12,2), source string"
@@ -64,3 +64,58 @@ def test_keyed_stream(spark, tmp_path):
     assert rows(table) == [(1, "A", "x"), (2, "b", None)]
     store.compacted(spark, table, str(tmp_path / "small"), schema, ["id"], ["image"])
     assert rows(str(tmp_path / "small")) == rows(table)
+
+
+TABLE = "id int, name string, image string"
+
+
+def test_levels_keep_what_is_read_small(spark, tmp_path):
+    """After each batch the live runs hold few rows, however many batches there were; the current rows are those of all batches."""
+    rng, path, history, plain = random.Random(2), str(tmp_path / "t"), 0, {}
+    for number in range(14):
+        rows = [(i, f"{number}", rng.choice([None, f"i{number}"])) for i in rng.sample(range(12), 10)]
+        history += len(rows)
+        for i, name, image in rows:
+            plain[i] = (name, image or plain.get(i, ("", None))[1])
+        store.level_up(spark, path, TABLE, ["id"], ["image"], before=number, fanout=3)
+        store.append(spark.createDataFrame(rows, TABLE).coalesce(1), path, number)
+        live, _ = store.runs(spark, path)
+        assert all(sum(r.level == level for r in live) <= 3 for level in range(4))
+    assert {r["id"]: (r["name"], r["image"]) for r in store.current(spark, path, TABLE, ["id"], ["image"]).collect()} == plain
+    assert store.batches(spark, path, TABLE).count() <= 5 * 12 < history == 140
+    # a replay of the last batch sees the state before it
+    assert store.current(spark, path, TABLE, ["id"], before=13).where("name = '13'").count() == 0
+    # a merge that was not finished does not count
+    (tmp_path / "t/merged=9_0_13").mkdir()
+    assert store.batches(spark, path, TABLE).count() > 0
+
+
+def landed(spark, tmp_path, n, files=2):
+    for f in range(files):
+        spark.createDataFrame([(i, f"n{i}", None) for i in range(f * n // files, (f + 1) * n // files)], TABLE).coalesce(1).write.parquet(str(tmp_path / f"in/{f}"))
+    return lying(spark.read.schema(TABLE).parquet(*[str(tmp_path / f"in/{f}") for f in range(files)]))
+
+
+def test_a_third_commit_that_fails_leaves_two(spark, tmp_path):
+    batch, path = landed(spark, tmp_path, 23), str(tmp_path / "t")
+    broken = True
+
+    def commit(rows, number):
+        if broken and number == 5 * MOST_COMMITS + 2:
+            raise OSError("lost")
+        store.append(rows, path, number)
+
+    done = lambda n: store.committed(spark, path, n)
+    report = store.reported(lambda: {"made": commit_by_rows(batch, 5, 5, commit, done)})
+    assert report["status"] == "failed" and store.batches(spark, path, TABLE).count() == 10
+    broken = False
+    assert commit_by_rows(batch, 5, 5, commit, done) == 3  # those that are there are not made again
+    rows = store.batches(spark, path, TABLE)
+    assert sorted(r["id"] for r in rows.collect()) == list(range(23))
+    assert sorted(r["count"] for r in rows.groupBy("batch").count().collect()) == [3, 5, 5, 5, 5]
+
+
+def test_streams_commit_by_rows(spark, tmp_path):
+    landed(spark, tmp_path, 23, files=1)
+    keyed_stream(spark, str(tmp_path / "in/*"), TABLE, str(tmp_path / "t"), str(tmp_path / "c"), rows=10).awaitTermination()
+    assert sorted(r["count"] for r in store.batches(spark, str(tmp_path / "t"), TABLE).groupBy("batch").count().collect()) == [3, 10, 10]
