@@ -1,11 +1,12 @@
 """Operator 6: sum-of-squares online packing of token sequences.
 
 Each Spark partition packs its documents as they come. A level array counts the open windows of each fill; a document's
-part goes to the level that least raises the sum of squared counts. What fills whole windows by itself is cut off first.
-At the end of a partition, or when MOST_OPEN windows are open, the open windows themselves are placed by the same rule,
-fullest first; there a window closes if at most capacity / 128 tokens are missing, which is padding. What is open after that is
-topped up: the emptiest windows give their pieces, cut as needed, to the fullest ones. A last run of less than a window is cut
-into powers of two, which need no padding. `made` tells for each piece what made its sequence: placed, joined, topped or cut.
+part goes to the level that least raises the sum of squared counts. What fills whole windows by itself is cut off first. A
+window closes if at most capacity / 128 tokens are missing, which is padding. At the end of a partition, or when MOST_OPEN
+windows are open, the pieces of the open windows are taken out and placed again by the same rule, ROUNDS times: largest first,
+then in an order of chance. What is open after that is topped up: the emptiest windows give their pieces, cut as needed, to the
+fullest ones. A last run of less than a window is cut into powers of two, which need no padding. `made` tells for each piece
+what made its sequence: placed, joined (placed again), topped or cut.
 
 Defined results: null or empty text is a document of one token, the end. Repeated rows are packed each as a document of
 its own. Sequence ids are unique over the whole table: the partition's number in the upper bits. Equal costs go to the fuller
@@ -16,6 +17,7 @@ returned, so none can clash.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +28,14 @@ from pyspark.sql import types as T
 from catalith.session import ship
 
 
-MOST_OPEN = 4096
+MOST_OPEN, ROUNDS = 4096, 4
 
 
 class SquareSumPacker:
     """Pieces are (document, start, length); place() and drain() return finished sequences: how each was made, its pieces."""
 
     def __init__(self, capacity: int, most_open: int = MOST_OPEN):
-        self.capacity, self.most_open = capacity, most_open
+        self.capacity, self.most_open, self.full = capacity, most_open, capacity - capacity // 128
         self.clear()
 
     def clear(self) -> None:
@@ -41,7 +43,7 @@ class SquareSumPacker:
         self.open: list[list[list[tuple]]] = [[] for _ in range(self.capacity)]
         self.n_open = 0
 
-    def level(self, size: int, full: int) -> int:
+    def level(self, size: int) -> int:
         """The fill level (0: a new window) whose use adds least to the sum of squared counts; ties to the fuller one."""
         n, cap = self.count, self.capacity
         here = n[1 : cap - size + 1]
@@ -49,21 +51,21 @@ class SquareSumPacker:
         cost = np.where(here > 0, 2 * there - 2 * here + 2, np.iinfo(np.int64).max)
         if not len(cost):
             return 0
-        closes = max(0, full - size - 1)
+        closes = max(0, self.full - size - 1)
         cost[closes:] -= here[closes:] > 0  # a full window is no longer counted
         new = 2 * n[size] + 1
         best = len(cost) - 1 - int(np.argmin(cost[::-1]))
         return best + 1 if cost[best] <= new else 0
 
-    def put(self, pieces: list[tuple], size: int, full: int) -> list[tuple] | None:
+    def put(self, pieces: list[tuple], size: int) -> list[tuple] | None:
         """Places pieces of less than a window as one; the window if that closes it."""
-        h = self.level(size, full)
+        h = self.level(size)
         window = self.open[h].pop() if h else []
         if h:
             self.count[h] -= 1
             self.n_open -= 1
         window += pieces
-        if h + size >= full:
+        if h + size >= self.full:
             return window
         self.open[h + size].append(window)
         self.count[h + size] += 1
@@ -72,20 +74,22 @@ class SquareSumPacker:
 
     def place(self, doc, start: int, length: int) -> Iterator[tuple[str, list[tuple]]]:
         """A document's part; whole windows are to be cut off before."""
-        if window := self.put([(doc, start, length)], length, self.capacity):
+        if window := self.put([(doc, start, length)], length):
             yield "placed", window
         if self.n_open > self.most_open:
             yield from self.drain()
 
     def drain(self) -> Iterator[tuple[str, list[tuple]]]:
-        full, before = self.capacity - self.capacity // 128, None
-        while self.n_open and self.n_open != before:
-            before, waiting = self.n_open, [(h, w) for h in reversed(range(self.capacity)) for w in self.open[h]]
+        chance = random.Random(self.n_open)
+        for turn in range(ROUNDS):
+            pieces = [p for level in self.open for window in level for p in window]
             self.clear()
-            for h, window in waiting:
-                if h >= full:
-                    yield "joined", window
-                elif window := self.put(window, h, full):
+            if turn % 2:
+                chance.shuffle(pieces)
+            else:
+                pieces.sort(key=lambda p: -p[2])
+            for p in pieces:
+                if window := self.put([p], p[2]):
                     yield "joined", window
         windows = [(h, w) for h in range(self.capacity) for w in self.open[h]]
         self.clear()

@@ -109,6 +109,13 @@ def test_packing_places_or_joins_most_and_bounds_what_is_open():
     assert sum(n > 1 for n in pieces.values()) < 0.15 * len(sizes)  # most documents stay whole
 
 
+def test_nearly_all_tokens_are_placed_by_the_rule(spark):
+    """Of the tokens beyond whole windows at most a tenth is in sequences that were topped up, though a partition is small."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
+    by = {r["made"]: r["n"] for r in packing.pack(docs, PATH).where("length < 2048").groupBy("made").agg(F.sum("length").alias("n")).collect()}
+    assert by.get("topped", 0) + by.get("cut", 0) <= 0.1 * sum(by.values()), by
+
+
 def test_square_sum_level_is_the_cheapest():
     rng = random.Random(4)
     p = packing.SquareSumPacker(16)
