@@ -21,7 +21,7 @@ more (a clash among a billion words has a chance of some per cent, and then chan
 
 Defined results: null text is empty: one token, the end. Rows that repeat a doc_id are scored each. Rows with a null doc_id
 count as training rows. Without training rows all symbols are equally likely. Texts of any length are read in parts of
-PART_BYTES, at which a segment ends. Columns other than the key and the text do not matter and are not returned.
+PART_BYTES, at which a segment ends; a word's fingerprint covers all its bytes, over parts too. Columns other than the key and the text do not matter and are not returned.
 """
 
 from __future__ import annotations
@@ -126,9 +126,10 @@ class Streams:
 
     _power = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
-    def __init__(self, parts: list[tuple[int, bytes, bytes, bool]], order: int):
-        """parts: number of the text, `order` bytes in front, bytes (a text's last part ends with END), whether it begins within a word."""
-        data = b"".join([x for _, front, body, _ in parts for x in (front, body)]) + bytes(8)
+    def __init__(self, parts: list[tuple[int, bytes, bytes, bool, int]], order: int):
+        """parts: number of the text, `order` bytes in front, bytes (a text's last part ends with END), whether it begins within a word,
+        and the sum of what its last word has in later parts (see rest_of_word())."""
+        data = b"".join([x for _, front, body, *_ in parts for x in (front, body)]) + bytes(8)
         self.text = np.array([p[0] for p in parts], np.int64)
         n = np.array([len(p[2]) for p in parts], np.int64)
         inside = np.ones(len(data) - 8, bool)
@@ -157,10 +158,15 @@ class Streams:
         first[1:] &= ~letter[:-1]
         first[self.starts] = letter[self.starts] & ~np.array([p[3] for p in parts])
         first = np.flatnonzero(first)
-        # a word's sum ends with the word: white space adds nothing; what goes on in a next part is left out
+        # a word's sum ends with the word: white space adds nothing; what goes on in a next part is in the sum that the part carries
         until = np.sort(np.concatenate([first, self.starts[[p[3] for p in parts]]])) if any(p[3] for p in parts) else first
         sums = np.add.reduceat(number * power, until)[np.isin(until, first)] if len(first) else np.zeros(0, np.uint64)
-        self.word = mixed(sums * inverse[first]) >> np.uint64(1)
+        sums *= inverse[first]
+        for i in [i for i, p in enumerate(parts) if p[4]]:
+            last = np.searchsorted(first, self.starts[i] + n[i]) - 1
+            if last >= 0 and first[last] >= self.starts[i]:
+                sums[last] = (int(sums[last]) + parts[i][4] * pow(ODD, int(self.starts[i] + n[i] - first[last]), 2**64)) % 2**64
+        self.word = mixed(sums) >> np.uint64(1)
         self.text_of_word = self.text[np.searchsorted(self.starts, first, side="right") - 1]
 
     @classmethod
@@ -176,7 +182,7 @@ class Streams:
 
 
 def part_bounds(text: bytes) -> Iterator[tuple[int, int]]:
-    """A text in parts of PART_BYTES at most that end before white space; a longer word is a part of up to LONGEST_WORD bytes."""
+    """A text in parts of PART_BYTES at most that end before white space; a longer word makes parts of up to LONGEST_WORD bytes."""
     at = 0
     while len(text) - at > PART_BYTES:
         end = max(text.rfind(b" ", at + 1, at + PART_BYTES), text.rfind(b"\n", at + 1, at + PART_BYTES))
@@ -189,13 +195,26 @@ def part_bounds(text: bytes) -> Iterator[tuple[int, int]]:
         yield at, len(text)
 
 
+def rest_of_word(text: bytes, at: int) -> int:
+    """The fingerprint sum of the bytes from `at` to the end of the word there, with the power 0 at `at`; LONGEST_WORD bytes at a time."""
+    found = _SPACE.search(text, at)
+    end, total = found.start() if found else len(text), 0
+    for a in range(at, end, LONGEST_WORD):
+        number = _OF_BYTE[np.frombuffer(text[a : min(end, a + LONGEST_WORD)], np.uint8)]
+        power, _ = Streams.powers(len(number))
+        total += int((number * power[: len(number)]).sum(dtype=np.uint64)) * pow(ODD, a - at, 2**64)
+    return total % 2**64
+
+
 def streams(texts: list[bytes], order: int) -> Iterator[Streams]:
     """All texts (lower case, without their ends) in order, in blocks of bounded size."""
     held, size = [], 0
     for i, text in enumerate(texts):
         for a, b in part_bounds(text):
             front = text[max(0, a - order) : a].rjust(order, b"\0")
-            held.append((i, front, text[a:b] + END if b == len(text) else text[a:b], a > 0 and not text[a - 1 : a].isspace() and not text[a : a + 1].isspace()))
+            within = lambda x: 0 < x < len(text) and not text[x - 1 : x].isspace() and not text[x : x + 1].isspace()  # noqa: E731, B023
+            rest = rest_of_word(text, b) if within(b) and not (within(a) and not _SPACE.search(text, a, b)) else 0
+            held.append((i, front, text[a:b] + END if b == len(text) else text[a:b], within(a), rest))
             size += b - a + order + 1
             if size >= BLOCK_BYTES:
                 yield Streams(held, order)

@@ -152,12 +152,25 @@ def test_ppm_parts_of_long_texts(monkeypatch):
         assert len(parts) > 2
         codes, words = (np.concatenate([getattr(s, x) for s in parts]) for x in ("codes", "word"))
         assert codes[2:-1].tolist() == whole.codes.tolist()
-        assert len(words) == len(whole.word) + 1 and (longest == 1000 or words[1:].tolist() == whole.word.tolist())
+        assert words[1:].tolist() == whole.word.tolist()
         assert sorted(set(np.concatenate([s.text for s in parts]).tolist())) == [0, 1, 2]
     bounds = list(lm.part_bounds(text))
     assert [a for a, _ in bounds[1:]] == [b for _, b in bounds[:-1]] and bounds[-1][1] == len(text) and max(b - a for a, b in bounds) <= 1000
 
 
+def test_words_that_differ_after_many_parts_are_two_words(monkeypatch):
+    """Words longer than any part are told apart by all their bytes; equal ones are one word wherever parts end."""
+    word = "ab" * 3000
+    texts = [word + "c", word + "d", "q " + word + "c", "some words before it " + word + "d e", word, word[:-1]]
+    plain = [s.word.tolist() for s in lm.streams([t.encode() for t in texts], 5)]
+    for part, longest in ((700, 900), (100, 130), (1000, 6001)):
+        monkeypatch.setattr(lm, "PART_BYTES", part)
+        monkeypatch.setattr(lm, "LONGEST_WORD", longest)
+        monkeypatch.setattr(lm, "BLOCK_BYTES", 2000)
+        found = [w for s in lm.streams([t.encode() for t in texts], 5) for w in s.word.tolist()]
+        assert found == [w for ws in plain for w in ws] and len(set(found)) == len({w for t in texts for w in t.split()})
+
+
 def test_code_table_holds_what_it_was_given():
     rng = np.random.default_rng(1)
     table, held = lm.CodeTable(4), {}
