@@ -29,6 +29,8 @@ from catalith.session import ship
 
 
 MOST_OPEN, ROUNDS = 4096, 4
+#: Bytes of text that are encoded at once.
+AT_ONCE = 2_000_000
 
 
 class SquareSumPacker:
@@ -138,6 +140,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, text
         from pyspark import TaskContext
 
         from catalith.llm.bpe import encoder, parts
+        from catalith.llm.packing import AT_ONCE
 
         enc, packer, end = encoder(path), SquareSumPacker(capacity), end_id.to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 40
@@ -160,7 +163,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, text
         types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.string()]
         for batch in batches:
             types[0] = batch.schema.field(0).type
-            for part in parts(batch, 1):
+            for part in parts(batch, 1, AT_ONCE):
                 keys = part.column(0).to_pylist()
                 ids, upto = enc.encode_many(part.column(1).to_pylist())
                 data, upto = ids.astype("<u4").tobytes(), upto.tolist()
