@@ -130,6 +130,22 @@ def fuzzy_filter_part(spark, sf_dir):
     return part.where(F.col("s").cast("double") > 0.2).select("p_partkey", r6(F.col("s").cast("double")).alias("score"))
 
 
+_ORDERED_GRAMS = "flatten(list_transform(regexp_extract_all(lower(line), '[\\p{L}\\p{N}]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))"
+
+
+@query(f"""WITH l AS (SELECT line, {_ORDERED_GRAMS} AS g FROM (SELECT DISTINCT event_type || ' smal rings' AS line FROM events)), s AS (SELECT line, g, unnest(range(1, len(g) + 1)) AS a FROM l),
+x AS (SELECT DISTINCT line, list_sort(list_distinct(g[a:b])) AS t FROM (SELECT line, g, a, unnest(range(a, len(g) + 1)) AS b FROM s)),
+n AS (SELECT p_name, {_grams_sql("p_name")} AS t FROM (SELECT DISTINCT p_name FROM part)),
+j AS (SELECT line, p_name, max(len(list_intersect(x.t, n.t))::DOUBLE / (len(x.t) + len(n.t) - len(list_intersect(x.t, n.t)))) AS score FROM x, n GROUP BY ALL)
+SELECT line, p_name, round(score::FLOAT::DOUBLE, 6) AS score FROM j WHERE score::FLOAT > 0.3::FLOAT""")
+def word_similarity_pairs(spark, sf_dir):
+    """Every kind of event as a line with every part's name, by the best extent."""
+    names = read_table(spark, sf_dir, "part").select(F.col("p_name").alias("id"), "p_name").distinct()
+    lines = read_table(spark, sf_dir, "events").select(F.concat("event_type", F.lit(" smal rings")).alias("line")).distinct()
+    found = trigram.word_matches(names, lines.withColumn("key", F.col("line")), "id", "p_name", "key", "line", 0.3)
+    return found.select(F.col("key").alias("line"), F.col("id").alias("p_name"), r6(F.col("score").cast("double")).alias("score"))
+
+
 @query(None)
 def word_similarity_topk(spark, sf_dir):
     """All events' lines; SQL over whole tables would have to try every extent of every pair, so the tests hold it against the plain definition."""

@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from catalith.functions import parsing, scoring, trigram
+from tests.definitions import best_extent
 
 
 def value(spark, column, **row):
@@ -25,9 +27,9 @@ def test_similarity_matches_the_plain_definition(spark):
 
 
 def test_word_similarity_examples():
-    assert trigram.best_extent("word", "two words") == pytest.approx(0.8)
-    assert trigram.best_extent("Entish Restoration", "</s>English Restoration") == pytest.approx(0.7368, abs=1e-4)
-    assert trigram.best_extent("", "x") == trigram.best_extent("x", None) == 0.0
+    assert best_extent("word", "two words") == pytest.approx(0.8)
+    assert best_extent("Entish Restoration", "</s>English Restoration") == pytest.approx(0.7368, abs=1e-4)
+    assert best_extent("", "x") == best_extent("x", None) == 0.0
 
 
 def test_best_extent_equals_all_extents():
@@ -36,7 +38,7 @@ def test_best_extent_equals_all_extents():
         a, b = ("".join(rng.choice("ab c") for _ in range(rng.randint(0, 9))) for _ in range(2))
         t, line = set(trigram.python_trigrams(a)), trigram.python_trigrams(b)
         best = max((len(t & (e := set(line[i:j]))) / len(t | e) for i in range(len(line)) for j in range(i + 1, len(line) + 1)), default=0.0)
-        assert trigram.best_extent(a, b) == pytest.approx(best)
+        assert best_extent(a, b) == pytest.approx(best)
 
 
 @pytest.mark.parametrize(
@@ -102,3 +104,22 @@ def test_zone_order(spark):
     cases = [(0.3, 0.07, "name"), (0.3, 0.58, "type_line"), (0.9, 0.90, "power_toughness"), (0.1, 0.94, "bottom"), (0.5, 0.7, "rules_text"), (0.99, 0.99, "unknown")]
     df = spark.createDataFrame([(x, y) for x, y, _ in cases], "x double, y double")
     assert [r[0] for r in df.select(scoring.zone_of(F.col("x"), F.col("y"))).collect()] == [z for *_, z in cases]
+
+
+def test_extents_of_many_pairs_at_once(spark, monkeypatch):
+    """Arrow arrays of pairs against the plain definition, with repeated 3-grams, empty and null texts, and small steps."""
+    from catalith.session import ship
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 5)))
+    text = lambda: rng.choice([None, "", "...", " ".join(word() for _ in range(rng.randint(1, 9)))]) if rng.random() < 0.2 else " ".join(word() for _ in range(rng.randint(1, 9)))
+    pairs = [(text(), text()) for _ in range(400)] + [("abcab", "abcab " * 60)]
+    ship(spark)
+    grams = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").select("i", trigram.target_grams(F.col("a")).alias("t"), trigram.line_grams(F.col("b")).alias("l"))
+    got = grams.repartition(3, "i").select("i", trigram.word_similarity("t", "l").alias("s")).orderBy("i").collect()
+    assert [r["s"] for r in got] == pytest.approx([best_extent(a, b) for a, b in pairs], abs=1e-6)
+    monkeypatch.setattr(trigram, "AT_ONCE", 10)
+    number = lambda x: np.array([hash(g) for g in x], np.int64)
+    sets, lines = [sorted(set(trigram.python_trigrams(a))) for a, _ in pairs], [trigram.python_trigrams(b) for _, b in pairs]
+    flat = lambda x: (np.concatenate([number(g) for g in x]), np.cumsum([0, *map(len, x)]))
+    assert trigram.best_extents(*flat(sets), *flat(lines)).tolist() == pytest.approx([best_extent(a, b) for a, b in pairs], abs=1e-6)

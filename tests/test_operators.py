@@ -139,7 +139,8 @@ def test_hamming_tiles_give_no_row_beyond_their_hits():
 
 
 def test_word_matches_equal_the_plain_definition(spark):
-    from catalith.functions.trigram import best_extent, word_matches
+    from catalith.functions.trigram import word_matches
+    from tests.definitions import best_extent
 
     rng = random.Random(4)
     words = ["small", "ring", "green", "bolt", "smal", "rings", "x", "the", "thing"]
@@ -304,7 +305,7 @@ def test_turned_crops_take_the_nearer_side(spark):
 
 
 def test_resolve_scans_resolves_every_part(spark, tmp_path):
-    from catalith.functions.trigram import best_extent
+    from tests.definitions import best_extent
     from catalith.plans.catalogue import resolve_scans
 
     names = ["small ring", "green bolt", "small bolt"]
