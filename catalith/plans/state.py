@@ -4,12 +4,14 @@ Orders with their lines stand in for collections; every order makes one request,
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from catalith.functions import parsing, scoring
-from catalith.operators import documents, hamming, lookups, mutations, replay, scan, scanlog, search
+from catalith.operators import documents, hamming, lookups, mutations, prices, replay, scan, scanlog, search
 from catalith.plans.catalogue import _CARDS, _OBSERVED, PRINTINGS_SQL, _hash_sql, collections, hashes, observations, printings, query, r6, sets
 from catalith.session import read_table
 from catalith.sources import catalogue as source
@@ -582,3 +584,67 @@ def rotated_hits(spark, sf_dir):
     found = scan.sided_hits(sides, "full_hash", hamming.hash_index(h, "id", "hash"), scan.FULL_RADIUS, 10)
     asked = sides.select("scan_id", F.lit(0).alias("side"), (F.col("scan_id") % 2 == 0).alias("both")).distinct()
     return scan.better_side(found, asked)
+
+
+_HISTOGRAM = "SELECT event_type, CASE WHEN value <= 5 THEN 5 WHEN value <= 25 THEN 25 WHEN value <= 50 THEN 50 WHEN value <= 99.5 THEN 99.5 ELSE 'inf'::DOUBLE END::DOUBLE AS bucket, value FROM events WHERE value IS NOT NULL"
+
+
+@query(f"SELECT event_type, bucket::VARCHAR AS bucket, count(*) AS records, min(value) AS low, max(value) AS high FROM ({_HISTOGRAM}) GROUP BY ALL")
+def telemetry_histogram(spark, sf_dir):
+    """Values by kind of event, in buckets; two halves merged."""
+    e, bounds = read_table(spark, sf_dir, "events"), (5.0, 25.0, 50.0, 99.5)
+    halves = [scanlog.histogram(e.where(F.col("event_id") % 2 == i), ["event_type"], "value", bounds) for i in (0, 1)]
+    merged = scanlog.merged_histograms(halves[0].unionByName(halves[1]), ["event_type"])
+    name = F.when(F.col("bucket") == float("inf"), "inf").otherwise(text("bucket"))
+    return merged.select("event_type", name.alias("bucket"), "records", "low", "high")
+
+
+@query(f"""WITH b AS (SELECT event_type, bucket, count(*) AS records, min(value) AS low, max(value) AS high FROM ({_HISTOGRAM}) GROUP BY ALL),
+r AS (SELECT *, sum(records) OVER (PARTITION BY event_type ORDER BY bucket) AS upto, sum(records) OVER (PARTITION BY event_type) * 0.9 AS wanted FROM b)
+SELECT event_type, round(low + (wanted - (upto - records)) / records * (high - low), 6)::DOUBLE AS p90 FROM r WHERE upto >= wanted AND upto - records < wanted""")
+def telemetry_quantiles(spark, sf_dir):
+    h = scanlog.histogram(read_table(spark, sf_dir, "events"), ["event_type"], "value", (5.0, 25.0, 50.0, 99.5))
+    return scanlog.histogram_quantiles(h, ["event_type"], 0.9, "p90").withColumn("p90", r6("p90"))
+
+
+@query(f"WITH {_OBSERVED} SELECT printing_id::VARCHAR AS printing_id, observed_on::VARCHAR AS observed_on, eur::DOUBLE AS eur FROM points WHERE points.observed_on >= greatest(DATE '2024-01-03', DATE '2024-01-20' - 15) AND points.observed_on <= DATE '2024-01-25'")
+def history_stored(spark, sf_dir):
+    """The price history of some days from a store that lies by day: other days' folders are not read."""
+    from catalith.session import scratch
+    from catalith.streaming import ingest
+
+    points = prices.points_of(observations(spark, sf_dir), "printing_id", "observed_on", "seq", ["eur"])
+    path = scratch(spark)
+    store.append(points.select(text("printing_id").alias("printing_id"), "observed_on", F.col("eur").cast("decimal(12,2)").alias("eur"), F.lit(None).cast("decimal(12,2)").alias("eur_foil"), F.lit("test").alias("source")), path, 0, ingest.POINT_DAYS)
+    at = lambda x: F.lit(x).cast("date")
+    found = ingest.history_of(spark, path, at("2024-01-20"), 15, at("2024-01-03"), at("2024-01-25"))
+    return found.select("printing_id", text("observed_on").alias("observed_on"), F.col("eur").cast("double").alias("eur"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, (o_orderkey * 7 + 1) % 3 = 0 AS f1, (o_orderkey * 7 + 2 * o_custkey) % 4 = 0 AS f2, o_custkey % 5 = 0 AS f3 FROM orders)
+SELECT id, (1 + (f1 AND f2)::INT + (f1 AND f2 AND f3)::INT)::INTEGER AS attempts, CASE WHEN f2 AND f3 THEN 'third' END AS error FROM o WHERE f1 AND f2 AND f3""")
+def retry_ledger(spark, sf_dir):
+    """Every order is work; what fails is tried again in the next runs. What is left after three."""
+    from catalith.session import scratch
+
+    path, keys = scratch(spark), "id long"
+    o = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("id"), "o_custkey")
+    key, other = F.col("id"), F.col("o_custkey")
+    for run, (fails, error) in enumerate((((key * 7 + 1) % 3 == 0, "first"), ((key * 7 + 2 * other) % 4 == 0, "second"), (other % 5 == 0, "third"))):
+        failed = store.ledger(spark, path, keys)
+        todo = store.work_list(o if run == 0 else o.join(failed.select("id"), "id", "left_semi"), failed, ["id"], 3)
+        store.settle(spark, todo.withColumn("error", F.when(fails, error)), path, keys, run)
+    return store.ledger(spark, path, keys)
+
+
+@query(f"""WITH h AS {_hash_sql(1, 62)}, x AS (SELECT q.id AS query_id, i.id, bit_count(xor(q.hash, i.hash))::INTEGER AS distance FROM h q JOIN h i ON bit_count(xor(q.hash, i.hash)) <= 20)
+SELECT query_id, id, distance FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 5""")
+def hamming_saved(spark, sf_dir):
+    """Nearest hashes of every vector from an index that was saved, read in its buckets."""
+    from catalith.session import scratch, written
+
+    h = hashes(spark, sf_dir, 1, 62).where("hash is not null")
+    saved = hamming.save_index(h, f"hash_index_{uuid.uuid4().hex}", scratch(spark))
+    found, _ = written(hamming.search_saved(h, saved, 20, 5))
+    hamming.drop_index(spark, saved)
+    return found

@@ -54,9 +54,9 @@ def _files(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def append(df: DataFrame, path: str, batch: int) -> None:
-    """Write a batch; a replay of the same number replaces it."""
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+def append(df: DataFrame, path: str, batch: int, by: list[str] | None = None) -> None:
+    """Write a batch, in folders by the columns of `by`; a replay of the same number replaces it."""
+    df.write.mode("overwrite").partitionBy(*(by or [])).parquet(f"{path}/batch={batch}")
 
 
 def committed(spark: SparkSession, path: str, batch: int) -> bool:
@@ -128,11 +128,11 @@ def current(spark: SparkSession, path: str, schema: str, keys: list[str], preser
     return last_rows(rows, schema, keys, preserve).drop("batch")
 
 
-def level_up(spark: SparkSession, path: str, schema: str, keys: list[str], preserve: list[str] | None = None, before: int | None = None, fanout: int = 8) -> int:
+def level_up(spark: SparkSession, path: str, schema: str, keys: list[str], preserve: list[str] | None = None, before: int | None = None, fanout: int = 8, by: list[str] | None = None) -> int:
     """Merge runs by level until none has `fanout` neighbours of its level: a batch is merged once a level, and what is read
     for the current rows is `fanout` runs a level at most, instead of all batches there ever were. Only batches before a number
     are merged, so that a replay of that batch still finds the state before it. Folders that a merge supersedes stay for readers until
-    the next call. Returns the number of merges."""
+    the next call. by: as in append(). Returns the number of merges."""
     fs, _ = _files(spark, path)
     for old in runs(spark, path)[1]:
         fs.delete(_files(spark, f"{path}/{old.folder}")[1], True)
@@ -144,7 +144,7 @@ def level_up(spark: SparkSession, path: str, schema: str, keys: list[str], prese
             return made
         full = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField("batch", T.LongType())])
         rows = spark.read.schema(full).option("basePath", path).parquet(*[f"{path}/{r.folder}" for r in group]).select(*full.names)
-        last_rows(rows, schema, keys, preserve).write.mode("overwrite").parquet(f"{path}/merged={group[0].level + 1}_{group[0].first}_{group[-1].last}")
+        last_rows(rows, schema, keys, preserve).write.mode("overwrite").partitionBy(*(by or [])).parquet(f"{path}/merged={group[0].level + 1}_{group[0].first}_{group[-1].last}")
         made += 1
 
 
@@ -168,6 +168,29 @@ def reported(run: Callable[[], dict]) -> dict:
         return {"status": "failed", "error": f"{type(e).__name__}: {e}"}
 
 
+LEDGER = "attempts int, error string, failed boolean"
+
+
+def ledger(spark: SparkSession, path: str, keys: str) -> DataFrame:
+    """The rows that failed and have not succeeded since: keys, attempts so far, the last error. keys: columns with types."""
+    names = T.StructType.fromDDL(keys).names
+    return current(spark, path, f"{keys}, {LEDGER}", names).where("failed").drop("failed")
+
+
+def work_list(pending: DataFrame, failed: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
+    """pending with the attempts so far, without rows that failed `most` times, those tried least first when taken in order."""
+    todo = pending.join(failed.select(*keys, "attempts"), keys, "left").withColumn("attempts", F.coalesce("attempts", F.lit(0)))
+    return todo if most is None else todo.where(F.col("attempts") < most)
+
+
+def settle(spark: SparkSession, results: DataFrame, path: str, keys: str, run: int) -> None:
+    """Write the outcome of a run into the ledger: results are work_list() rows with error (null if it went well). A replay of the
+    run replaces its outcome; rows that went well and had never failed leave no trace."""
+    names = T.StructType.fromDDL(keys).names
+    rows = results.where(F.col("error").isNotNull() | (F.col("attempts") > 0))
+    append(rows.select(*names, (F.col("attempts") + F.col("error").isNotNull().cast("int")).alias("attempts"), "error", F.col("error").isNotNull().alias("failed")), path, run)
+
+
 def rebuild_index(rows: DataFrame, path: str, run: int) -> None:
     """Write an index as a new run. One that fails leaves no committed files, and the run before stays live."""
     rows.write.mode("overwrite").parquet(f"{path}/run={run}")

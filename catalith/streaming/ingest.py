@@ -8,19 +8,21 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
-from catalith.operators.prices import ingest_days
+from catalith.operators.prices import history, ingest_days
 from catalith.session import drop_path, scratch, written
 from catalith.sources.store import append, committed, current, level_up
 
 LATEST = "printing_id string, eur decimal(12,2), eur_foil decimal(12,2), updated_at timestamp"
 POINTS = "printing_id string, observed_on date, eur decimal(12,2), eur_foil decimal(12,2), source string"
 POINT_KEYS = ["printing_id", "observed_on"]
+#: Points lie in folders by day, so that a history reads the days it asks for.
+POINT_DAYS = ["observed_on"]
 
 
 def latest_of(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
@@ -31,15 +33,20 @@ def points_of(spark: SparkSession, path: str) -> DataFrame:
     return current(spark, path, POINTS, POINT_KEYS)
 
 
+def history_of(spark: SparkSession, path: str, today: Column, retention_days: int = 365, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """Stored points as prices.history(); only the folders of its days are read."""
+    return history(points_of(spark, path), today, retention_days, start, end)
+
+
 def apply_prices(batch: DataFrame, number: int, latest_path: str, points_path: str, source: str, fanout: int = 8) -> None:
     """Take in a micro-batch of observations (seq, printing_id, eur, eur_foil, observed_on) of any days, in the order of the days."""
     spark = batch.sparkSession
     batch = batch.persist()
     level_up(spark, latest_path, LATEST, ["printing_id"], before=number, fanout=fanout)
-    level_up(spark, points_path, POINTS, POINT_KEYS, before=number, fanout=fanout)
+    level_up(spark, points_path, POINTS, POINT_KEYS, before=number, fanout=fanout, by=POINT_DAYS)
     latest, points = ingest_days(batch, latest_of(spark, latest_path, before=number), F.lit(source))
     # points first: they are worked out from the old latest values, so a replay after a failure between the two is harmless
-    append(points, points_path, number)
+    append(points, points_path, number, POINT_DAYS)
     append(latest, latest_path, number)
     batch.unpersist()
 
