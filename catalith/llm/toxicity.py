@@ -20,8 +20,7 @@ codes by their code point, so texts in other scripts are told apart only roughly
 
 Defined results: null, empty and letterless texts have no unit and get the score of the lowest decision. Repeated rows are
 scored each; in training a doc_id counts once, with its smallest text. Texts of any length are scored whole, in pieces of about
-PIECE characters that overlap by OVERLAP (a unit with a longer gap between its letters than that may be missed at a cut). Labels
-that disagree on a doc_id count as toxic. An empty table gives an empty table. keep() leaves all columns as they are; score()
+PIECE characters between which no unit is lost (see pieces()); a word longer than that is one piece. Labels that disagree on a doc_id count as toxic. An empty table gives an empty table. keep() leaves all columns as they are; score()
 returns the key and its own columns, so none can clash. Without both classes in the labels every score is the labels'
 rate of toxic rows (0 without labels).
 """
@@ -44,8 +43,8 @@ from catalith.session import drop_path, ship, written
 
 LETTERS, SPAN, DECAY = 40, 8, 0.5
 SAMPLE, LANDMARKS = 4000, 256
-#: Characters of a long text scored as one, and those its pieces share.
-PIECE, OVERLAP = 200_000, 400
+#: Characters of a long text scored as one.
+PIECE = 200_000
 JOIN = 16
 #: Letters of the overlapping windows in words of more than JOIN letters.
 WINDOWS = (5, 8, 12, JOIN)
@@ -56,6 +55,7 @@ OFFSETS = [(a, b, c, DECAY ** (c - 3)) for a, b, c in itertools.combinations(ran
 LOWEST = -3.0
 _WIDE_SPACE = [c for c in range(0x250, 0x3001) if chr(c).isspace()]
 _SENTENCE = re.compile(r"[.!?\n]+")
+_BLANK = re.compile(r"\s")
 
 
 def letter_codes() -> np.ndarray:
@@ -381,16 +381,34 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
 
 def pieces(text: str | None) -> list[str]:
-    """A text, or a long one in overlapping pieces that begin at white space where there is any."""
+    """A text, or a long one in pieces that have all its units between them: cut behind a sentence, which no unit crosses. In a
+    sentence longer than PIECE the cut is at white space, and the next piece begins with the last words of the one before, as far
+    as units reach over words; a longer word is never cut."""
     text = text or ""
     if len(text) <= PIECE:
         return [text]
-    out, at = [], 0
-    while at + PIECE < len(text):
-        out.append(text[at : at + PIECE])
-        begin = text.rfind(" ", at + PIECE - 2 * OVERLAP, at + PIECE - OVERLAP)
-        at = begin if begin > 0 else at + PIECE - OVERLAP
-    return [*out, text[at:]]
+    out, at, before = [], 0, ""
+    while len(text) - at > PIECE:
+        end = at + PIECE
+        cut = max(text.rfind("\n", at, end) + 1, *(text.rfind(m, at, end) + 2 for m in (". ", "! ", "? ")))
+        if cut > at + 1:
+            out.append(before + text[at:cut])
+            at, before = cut, ""
+            continue
+        cut = text.rfind(" ", at + 1, end)
+        if cut < 0:
+            found = _BLANK.search(text, end)
+            cut = found.start() if found else len(text)
+        out.append(before + text[at:cut])
+        held, letters = [], 0
+        for w in reversed(out[-1].split()):
+            w = "".join(filter(str.isalpha, w))
+            letters += len(w)
+            if letters > JOIN:
+                break
+            held.append(w)
+        at, before = cut, " ".join(reversed(held))
+    return [*out, before + text[at:]]
 
 
 class Decided:

@@ -320,16 +320,99 @@ def test_first_witness_by_hand():
 
 
 def test_toxicity_of_long_texts_in_pieces(monkeypatch):
+    """Pieces of any size have the units of the whole text: over cuts, wide gaps, words longer than a piece."""
     rng = random.Random(8)
     table = np.random.default_rng(4).normal(size=toxicity.LETTERS**4).astype(np.float32)
     model = toxicity.ToxicModel(np.arange(toxicity.LETTERS**4), table, 1.0, 0.0)
     texts = ["".join(rng.choice("abcde  .\n") for _ in range(n)) for n in (10, 900, 2000)] + ["x" * 700 + "abcd" * 200, None, ""]
+    texts += ["".join(rng.choice(letters) for _ in range(1500)) for letters in ("abcd ", "ab     --12", "abc" * 30 + " ", "é日 b1", "a b\t\u2003c")]
+    texts += ["ab" + " - " * 900 + "cd" + "." * 800 + "ef" + " " * 900 + "gh ij", "q w " * 3 + "z" * 900 + " e r t y" * 100]
     whole = toxicity.sliding(texts, table)
-    monkeypatch.setattr(toxicity, "PIECE", 300)
-    monkeypatch.setattr(toxicity, "OVERLAP", 80)
-    decided = toxicity.Decided(model)
-    assert len(toxicity.pieces(texts[2])) > 5 and np.allclose(decided.documents(texts)[:3], whole[0][:3], atol=1e-4)
-    assert np.allclose(decided.documents(texts)[4:], toxicity.LOWEST) and [bool(u) for u in decided.units(texts)] == [bool(u) for u in whole[1]]
+    for piece in (300, 37):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        decided = toxicity.Decided(model)
+        assert len(toxicity.pieces(texts[2])) > 5 and np.allclose(decided.documents(texts), whole[0], atol=1e-3)
+        assert [bool(u) for u in decided.units(texts)] == [bool(u) for u in whole[1]]
+
+
+def plain_scores(rows, labels, marks=16):
+    """Fit and score from the definitions: units, kernel, landmarks, witnesses and the logistic function, each spelled out."""
+
+    def vector(u):
+        v, square = defaultdict(float), 0.0
+        for i in range(len(u)):
+            for a, b, c, w in toxicity.OFFSETS:
+                if i + c < len(u):
+                    v[u[i] + u[i + a] + u[i + b] + u[i + c]] += w
+                    square += w * w
+        return {k: x / math.sqrt(square) for k, x in v.items()}
+
+    def like(u, v):
+        a, b = vector(u), vector(v)
+        return sum(x * b.get(k, 0.0) for k, x in a.items())
+
+    def units(text):
+        for sentence in re.split(r"\n|(?<=[.!?])\s", (text or "").lower()):
+            words = ["".join(filter(str.isalpha, w)) for w in sentence.split()]
+            yield from (w for w in words if w)
+            yield from toxicity.joined(words)
+            yield from (w[i : i + n] for w in words if len(w) > toxicity.JOIN for n in toxicity.WINDOWS for i in range(len(w) - n + 1))
+
+    texts, y = dict(rows), dict(labels)
+    n = [sum(v == k for v in y.values()) for k in (0, 1)]
+    count = [Counter(), Counter()]
+    for i, v in labels:
+        count[v].update({"".join(filter(str.isalpha, u)) for u in toxicity.units_of(texts[i].lower().split())})
+    seen = sorted(u for u in {*count[0], *count[1]} if len(u) >= 4)
+    odds = {u: math.log((count[1][u] + 0.5) / (n[1] + 1)) - math.log((count[0][u] + 0.5) / (n[0] + 1)) for u in seen}
+    strong = sorted((-count[1][u] * odds[u], u) for u in seen if count[1][u] > 1 and odds[u] > 0)[: 8 * marks]
+    plain = [u for _, u in sorted((-count[0][u], u) for u in seen if odds[u] < 0)[:marks]]
+    witness = {i: toxicity.first_witness(texts[i], {u: -e for e, u in strong}) for i in y}
+    landmarks = [u for _, u in strong[: marks // 2]] + plain[: marks // 2]
+    value, vec = np.linalg.eigh(np.array([[like(a, b) for b in landmarks] for a in landmarks]))
+    root = vec[:, value > 1e-6] / np.sqrt(value[value > 1e-6])
+    sure = [u for _, u in strong if count[1][u] >= 5 and count[0][u] * n[1] < 0.02 * count[1][u] * n[0]]
+    negatives = list(plain)
+
+    def decided(u, beta):
+        return sum(b * like(u, m) for b, m in zip(beta, landmarks)) if len(u) >= 4 else toxicity.LOWEST
+
+    def best(text, beta, known):
+        found = list(units(text))
+        for u in found:
+            if u not in known:
+                known[u] = decided(u, beta)
+        top = max((known[u] for u in found), default=toxicity.LOWEST)
+        return top, next((u for u in found if known[u] == top and top > toxicity.LOWEST), "")
+
+    for again in range(3):
+        bad, good = [u for i, u in witness.items() if y[i] and u] + sure, [u for i, u in witness.items() if not y[i] and u] + negatives
+        z = np.array([[like(u, m) for m in landmarks] for u in bad + good]) @ root
+        side = np.array([1.0] * len(bad) + [-1.0] * len(good))
+        w, bias = toxicity.fit_svm(z, side, np.where(side > 0, 1 / len(bad), 1 / len(good)) * len(side))
+        beta, known = root @ w, {}
+        if again < 2:
+            negatives += [u for i, u in witness.items() if not y[i] and u]
+            witness = {i: best(texts[i], beta, known)[1] for i in y}
+    d = {i: best(t, beta, known)[0] for i, t in rows}
+    x = np.array([[d[i] + bias, 1.0] for i, _ in labels])
+    t = np.array([1 - 1 / (n[1] + 2) if v else 1 / (n[0] + 2) for _, v in labels])
+    ab = np.array([1.0, 0.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ ab, -30, 30)))
+        ab -= np.clip(np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-4 * np.eye(2), x.T @ (p - t) + 1e-4 * ab), -5, 5)
+    return d, {i: 1 / (1 + np.exp(-np.clip(ab[0] * (v + bias) + ab[1], -30, 30))) for i, v in d.items()}
+
+
+def test_toxicity_equals_a_plain_fit_and_score(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LANDMARKS", 8)  # few, so that no two units of a text decide alike
+    rows, labels = toxic_corpus(3, 60)
+    rows = [(i, " ".join(t.split()[:22])) for i, t in rows] + [(900, "you id-iot"), (901, None), (902, "kalomi" * 6), (903, "a mo r on. vor")]
+    got = {r["doc_id"]: r for r in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(False)).collect()}
+    decision, score = plain_scores(rows, labels, 8)
+    assert {i: r["decision"] for i, r in got.items()} == pytest.approx(decision, abs=2e-3)
+    assert {i: r["score"] for i, r in got.items()} == pytest.approx(score, abs=5e-3)
+    assert {i: r["predicted"] for i, r in got.items()} == {i: int(v >= 0.3) for i, v in score.items()}
 
 
 def test_toxicity_without_labels(spark):
