@@ -192,9 +192,14 @@ class PairIndexEncoder:
         if not new:
             return
         pieces = [[w] if w.isalpha() else [w[1:]] if w[0] == "\0" else _PIECE.findall(w) for w in new]
-        flat = [p.encode() for words in pieces for p in words]
-        ids, counts = self.merge(b"".join(flat), np.fromiter(map(len, flat), np.int64, len(flat)))
-        upto = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *map(len, pieces)])]
+        number: dict[str, int] = {}  # words that differ in their punctuation share pieces
+        which = np.array([number.setdefault(p, len(number)) for words in pieces for p in words], np.int64)
+        data = [p.encode() for p in number]
+        ids, counts = self.merge(b"".join(data), np.fromiter(map(len, data), np.int64, len(data)))
+        begin, size = np.cumsum(counts) - counts, counts[which]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = ids[np.repeat(begin[which] - upto[:-1], size) + np.arange(upto[-1])]
+        upto = upto[np.cumsum([0, *map(len, pieces)])]
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + upto[1:]])
         self.flat = np.concatenate([self.flat, ids])
         new.clear()
