@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from catalith.functions import parsing, scoring
-from catalith.operators import documents, hamming, lookups, mutations, prices, replay, scan, scanlog, search
-from catalith.plans.catalogue import _CARDS, _OBSERVED, PRINTINGS_SQL, _hash_sql, collections, hashes, observations, printings, query, r6, sets
+from catalith.operators import documents, hamming, lookups, mutations, prices, replay, resolve, scan, scanlog, search
+from catalith.plans.catalogue import _CARDS, _OBSERVED, PRINTINGS_SQL, _hash_sql, _texts, collections, hashes, observations, printings, query, r6, sets
 from catalith.session import read_table
 from catalith.sources import catalogue as source
 from catalith.sources import store
@@ -648,3 +648,73 @@ def hamming_saved(spark, sf_dir):
     found, _ = written(hamming.search_saved(h, saved, 20, 5))
     hamming.drop_index(spark, saved)
     return found
+
+
+@query("""SELECT p_partkey::VARCHAR AS id, p_name AS name, (p_size % 3)::INTEGER AS faces, CASE WHEN p_size % 4 > 0 THEN round(p_size + 0.5, 2) END::DOUBLE AS eur FROM part WHERE p_size % 5 > 0""")
+def array_cards(spark, sf_dir):
+    """Parts written as files that are one JSON array each, with braces and quotes in texts, and read again in splits; digital ones go."""
+    from catalith.session import scratch
+
+    part, path = read_table(spark, sf_dir, "part"), scratch(spark)
+    odd = F.lit('say "}{" \\\\')
+    face = F.array_repeat(F.struct(odd.alias("name")), (F.col("p_size") % 3).cast("int"))
+    card = F.struct(text("p_partkey").alias("id"), F.col("p_name").alias("name"), odd.alias("oracle_text"), (F.col("p_size") % 5 == 0).alias("digital"), face.alias("card_faces"), F.struct(F.when(F.col("p_size") % 4 > 0, (F.col("p_size") + 0.5).cast("string")).alias("eur")).alias("prices"))
+    rows = part.select((F.col("p_partkey") % 4).alias("k"), F.lit(1).alias("o"), F.concat(F.to_json(card), F.lit(",")).alias("value"))
+    ends = part.select((F.col("p_partkey") % 4).alias("k")).distinct().select("k", F.explode(F.array(F.struct(F.lit(0).alias("o"), F.lit("[").alias("value")), F.struct(F.lit(2).alias("o"), F.lit("null]").alias("value")))).alias("e")).select("k", "e.*")
+    rows.unionByName(ends).repartition("k").sortWithinPartitions("k", "o").select("value").write.text(path)
+    cards = source.read_cards(spark, path, lines=False)
+    priced = source.observations_of(cards, F.lit(1)).select(F.col("printing_id").alias("id"), F.col("eur").cast("double").alias("eur"))
+    made = source.printings_of(cards, F.lit(NOW)).select("id", "name", F.coalesce(F.size("faces"), F.lit(0)).alias("faces"))
+    return made.join(priced, "id")
+
+
+_TIER_LINES = ["'C ' || lpad(CAST(p_partkey % 500 AS STRING), 4, '0') || ' S' || lpad(CAST(p_partkey % 40 AS STRING), 2, '0') || ' . EN'", "'U ' || lpad(CAST(p_partkey % 500 AS STRING), 4, '0')", "'nothing'", "'R ' || lpad(CAST(p_partkey % 500 AS STRING), 4, '0') || ' S' || lpad(CAST(p_partkey % 39 AS STRING), 2, '0') || ' . FR'", "CAST(p_partkey % 500 AS STRING) || '/500 M'"]
+_RARITIES = "CASE p_partkey % 3 WHEN 0 THEN 'common' WHEN 1 THEN 'uncommon' ELSE 'rare' END"
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS scan_id, p_partkey % 5 AS kind, CASE WHEN p_partkey % 500 = 0 AND p_partkey % 5 <> 4 THEN '0000' ELSE (p_partkey % 500)::VARCHAR END AS number, p_partkey % 4 AS sym, p_partkey FROM part),
+p AS (SELECT scan_id, number, CASE kind WHEN 0 THEN 's' || lpad((p_partkey % 40)::VARCHAR, 2, '0') WHEN 3 THEN 's' || lpad((p_partkey % 39)::VARCHAR, 2, '0') END AS code, CASE kind WHEN 0 THEN 'en' WHEN 3 THEN 'fr' END AS lang,
+ CASE kind WHEN 0 THEN 'common' WHEN 1 THEN 'uncommon' WHEN 3 THEN 'rare' ELSE 'mythic' END AS rarity, CASE sym WHEN 0 THEN 's' || lpad((p_partkey % 40)::VARCHAR, 2, '0') WHEN 1 THEN 's07' END AS symbol FROM t WHERE kind <> 2),
+c AS (SELECT p_partkey AS id, 's' || lpad((p_partkey % 40)::VARCHAR, 2, '0') AS c_set, (p_partkey % 500)::VARCHAR AS number, CASE WHEN p_partkey % 6 = 0 THEN 'fr' ELSE 'en' END AS c_lang, {_RARITIES} AS c_rarity FROM part),
+a AS (SELECT scan_id, id, 0 AS tier, 1.0 AS score FROM p JOIN c USING (number) WHERE symbol = code AND c_set = symbol AND (lang IS NULL OR lang = c_lang)
+ UNION ALL SELECT scan_id, id, 1, 0.9 FROM p JOIN c USING (number) WHERE symbol IS NOT NULL AND symbol IS DISTINCT FROM code AND c_set = symbol AND (lang IS NULL OR lang = c_lang)
+ UNION ALL SELECT scan_id, id, 2, 1.0 FROM p JOIN c USING (number) WHERE code IS NOT NULL AND (symbol IS NULL OR symbol = code) AND c_set = code AND (lang IS NULL OR lang = c_lang)
+ UNION ALL SELECT scan_id, id, 3, 0.6 FROM p JOIN c USING (number) WHERE rarity = c_rarity AND id % 1000 < 500 AND scan_id % 1000 < 900
+ UNION ALL SELECT scan_id, id, 4, 0.6 FROM (SELECT scan_id, id, row_number() OVER (PARTITION BY scan_id ORDER BY id) AS rn FROM p JOIN c USING (number) WHERE rarity = c_rarity) WHERE rn <= 50)
+SELECT scan_id, id, tier::INTEGER AS tier, score::DOUBLE AS score FROM a QUALIFY tier = min(tier) OVER (PARTITION BY scan_id)""")
+def collector_tiers(spark, sf_dir):
+    """Every part's collector line, with and without a set, a language and a symbol, against all parts as printings."""
+    key = F.col("p_partkey")
+    code = lambda n: F.concat(F.lit("s"), F.lpad((key % n).cast("string"), 2, "0"))
+    part = _texts(read_table(spark, sf_dir, "part"), "p_partkey", _TIER_LINES)
+    scans = part.select(key.alias("scan_id"), F.col("line").alias("bottom"), F.when(key % 4 == 0, F.upper(code(40))).when(key % 4 == 1, "S07").alias("symbol_set"))
+    cards = part.select(key.alias("id"), code(40).alias("set_code"), (key % 500).cast("string").alias("collector_number"), F.when(key % 6 == 0, "fr").otherwise("en").alias("lang"), F.expr(_RARITIES).alias("rarity"))
+    # the pool: for most scans the printings of their number with a low id in each thousand
+    numbers = cards.where(F.col("id") % 1000 < 500).select("id", F.col("collector_number").alias("n"))
+    pool = part.where(key % 1000 < 900).select(key.alias("scan_id"), (key % 500).cast("string").alias("n")).join(numbers, "n").select("scan_id", "id")
+    return resolve.collector_candidates(scans, cards, pool)
+
+
+@query("""WITH r AS (SELECT o_orderkey AS scan_id, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i, l_partkey, l_suppkey, l_linenumber, o_custkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+k AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY i) - 1 AS seq FROM r WHERE l_suppkey % 4 <> 0)
+SELECT scan_id, seq::INTEGER AS seq, CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE 100 END::INTEGER AS image_width, 't' || l_partkey AS text, (l_partkey % 10)::DOUBLE AS x_min, CASE WHEN l_linenumber % 2 = 0 THEN 8 END::INTEGER AS quad FROM k""")
+def ocr_regions(spark, sf_dir):
+    """Responses as JSON, an order each and its lines as regions: those without a box go, quads stay with 8 numbers, sizes default to 0."""
+    line = faces(spark, sf_dir).join(read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    x = (F.col("l_partkey") % 10).cast("double")
+    box = F.when(F.col("l_suppkey") % 4 != 0, F.struct(x.alias("x_min"), x.alias("y_min"), x.alias("x_max"), x.alias("y_max")))
+    region = F.struct("i", F.struct(F.concat(F.lit("t"), text("l_partkey")).alias("text"), box.alias("box"), F.array_repeat(F.lit(1.0), F.when(F.col("l_linenumber") % 2 == 0, 8).otherwise(7)).alias("quad")).alias("r"))
+    rows = line.groupBy(F.col("l_orderkey").alias("scan_id")).agg(F.max("o_custkey").alias("c"), F.transform(F.array_sort(F.collect_list(region), lambda a, b: (a["i"] - b["i"]).cast("int")), lambda x: x["r"]).alias("regions"))
+    body = F.to_json(F.struct(F.when(F.col("c") % 3 != 0, 100).alias("width"), F.col("regions")))
+    read = source.read_regions(rows.select("scan_id", body.alias("body")))
+    return read.select("scan_id", "seq", "image_width", "text", "x_min", F.when(F.col("quad").isNotNull(), F.size("quad")).alias("quad"))
+
+
+@query("""SELECT event_id, CASE WHEN value / 100 > 0.4 THEN value / 100 ELSE 0 END::DOUBLE AS score, CASE WHEN length(trim(t)) >= 12 THEN trim(t) END AS rules, coalesce(nullif(t, ''), o) IS NOT NULL AS some
+FROM (SELECT event_id, value, CASE WHEN event_id % 3 = 0 THEN ' ' || event_type || ' ' || user_id || ' ' WHEN event_id % 3 = 1 THEN '' END AS t, CASE WHEN event_id % 2 = 0 THEN event_type END AS o FROM events)""")
+def cutoffs(spark, sf_dir):
+    """Scores at or below a cutoff are 0; rules texts count from 12 letters; a printing has rules if either text is there."""
+    e, i = read_table(spark, sf_dir, "events"), F.col("event_id")
+    said = F.when(i % 3 == 0, F.concat(F.lit(" "), "event_type", F.lit(" "), text("user_id"), F.lit(" "))).when(i % 3 == 1, "")
+    other = F.when(i % 2 == 0, F.col("event_type"))
+    return e.select("event_id", scoring.zero_below(F.col("value") / 100, 0.4).alias("score"), parsing.usable_rules_text(said).alias("rules"), F.coalesce(F.nullif(said, F.lit("")), other).isNotNull().alias("some"))
