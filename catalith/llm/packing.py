@@ -30,7 +30,7 @@ from catalith.session import ship
 
 MOST_OPEN, ROUNDS = 4096, 4
 #: Bytes of text that are encoded at once.
-AT_ONCE = 2_000_000
+AT_ONCE = 3_000_000
 
 
 class SquareSumPacker:
