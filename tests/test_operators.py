@@ -138,6 +138,23 @@ def test_hamming_tiles_give_no_row_beyond_their_hits():
     assert len(i) <= 250 and (np.bincount(i, minlength=50) <= 5).all() and (d <= 24).all() and (np.bitwise_count(q[i] ^ h[j]) == d).all()
 
 
+@pytest.mark.parametrize(("bits", "radius"), [(31, 16), (62, 14)])
+def test_hamming_top_k_of_a_tile_is_bounded_before_it_is_sorted(monkeypatch, bits, radius):
+    rng = np.random.default_rng(4)
+    q, h = (rng.integers(0, 2**bits, n, dtype=np.uint64) for n in (70, 3001))
+    h[2000:2600] = h[:600]
+    q[:60] = h[:60]
+    ids = np.array([str(i) for i in rng.permutation(len(h))])
+    distance = np.bitwise_count(q[:, None] ^ h[None, :])
+    want = [(i, int(j), int(distance[i, j])) for i in range(len(q)) for j in np.lexsort((ids, distance[i]))[:6] if distance[i, j] <= radius]
+    sizes, lexsort = [], np.lexsort
+    monkeypatch.setattr(hamming.np, "lexsort", lambda keys: sizes.append(len(keys[0])) or lexsort(keys))
+    assert sorted(zip(*(x.tolist() for x in hamming.hits_of(q, h, radius, ids, 6)), strict=True)) == sorted(want)
+    assert sum(sizes) < 0.15 * len(q) * len(h)  # of 31 bits more than half of all pairs lie within 16
+    every = sorted(zip(*(x.tolist() for x in hamming.hits_of(q, h, radius, ids, None)), strict=True))
+    assert every == sorted((int(i), int(j), int(distance[i, j])) for i, j in zip(*np.nonzero(distance <= radius), strict=True))
+
+
 def test_word_matches_equal_the_plain_definition(spark):
     from catalith.functions.trigram import word_matches
     from tests.definitions import best_extent
