@@ -88,6 +88,27 @@ def test_symbol_tiers(spark):
     assert scored(spark, "U 0163 ONE . EN", symbol="ltr")["test-entish-ltr-163"]["bottom_score"] == 0.9
 
 
+def test_tiers_are_told_before_their_printings_are_looked_up(spark):
+    cards = spark.createDataFrame([(f"c{n:03}", "s01" if n % 2 else "s02", "7", "en", "common") for n in range(140)] + [("other", "s03", "8", "en", "rare")], "id string, set_code string, collector_number string, lang string, rarity string")
+    lines = [("both", "C 0007 S01 . EN", "S01"), ("symbol", "C 0007 S02 . EN", "s01"), ("text", "C 0007 S02 . EN", None), ("french", "C 0007 S01 . FR", None), ("pool", "C 0007", None), ("far", "C 0007 S09 . EN", None), ("far", "C 0007 S09 . EN", None), ("rare", "R 0007", "s03")]
+    scans, asked = spark.createDataFrame(lines, "scan_id string, bottom string, symbol_set string"), []
+
+    def pool(left):
+        asked.append(sorted(r["scan_id"] for r in left.collect()))
+        return left.select("scan_id").distinct().join(cards.select("id")).where("scan_id = 'pool' and id > 'c100' or scan_id = 'rare'")
+
+    rows = resolve.collector_candidates(scans, cards, pool).collect()
+    assert asked == [["far", "far", "french", "pool", "rare"]]  # scans that a set decides draw no pool
+    got = {}
+    for r in rows:
+        got.setdefault((r["scan_id"], r["tier"], r["score"]), []).append(r["id"])
+    ids = lambda low, odd: [f"c{n:03}" for n in range(low, 140) if odd is None or n % 2 == odd]
+    first = ids(0, None)[:50]
+    assert {k: sorted(v) for k, v in got.items()} == {
+        ("both", 0, 1.0): ids(0, 1), ("symbol", 1, 0.9): ids(0, 1), ("text", 2, 1.0): ids(0, 0), ("french", 4, 0.6): first, ("pool", 3, 0.6): ids(101, None), ("far", 4, 0.6): sorted(first[:25] * 2),
+    }
+
+
 def test_fusion_and_class(spark):
     zones = spark.createDataFrame([("s", "right", 0.58)], "scan_id string, id string, ocr_score double")
     hits = spark.createDataFrame([("s", "noise", 8)], "scan_id string, id string, distance int")
