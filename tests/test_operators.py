@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalith.functions import scoring
 from catalith.operators import documents, hamming, lookups, prices, resolve, search
 from catalith.sources import catalogue, store
+from tests.definitions import best_extent
 
 OBSERVED = "seq long, printing_id string, eur decimal(12,2), eur_foil decimal(12,2)"
 LATEST = "printing_id string, eur decimal(12,2), eur_foil decimal(12,2), updated_at timestamp"
@@ -109,6 +110,17 @@ def test_tiers_are_told_before_their_printings_are_looked_up(spark):
     }
 
 
+def test_distinct_pairs_of_texts_are_scored_once(spark, monkeypatch):
+    lines = [("a", "goblin ring"), ("b", "goblin ring"), ("c", None), ("d", " "), ("e", "old plate")]
+    rows = spark.createDataFrame([(s, n, line, c) for s, line in lines for n, c in enumerate(["goblin king", "goblin king", None, "plate"])], "scan_id string, id int, name string, c_name string")
+    seen, write = [], resolve.written
+    monkeypatch.setattr(resolve, "written", lambda df: seen.append(df.count()) or write(df))
+    got = resolve.with_text_score(rows, "c_name", "name", F.coalesce(F.trim("name"), F.lit("")) != "", resolve.word_similarity("__c", "__l"), "said").collect()
+    assert seen == [4] and len(got) == 20  # two lines and two names, however many rows show them
+    want = lambda r: best_extent(r["c_name"], r["name"]) if (r["name"] or " ") != " " and r["c_name"] else None
+    assert all((r["said"] is None) == (want(r) is None) and abs((r["said"] or 0) - (want(r) or 0)) < 1e-6 for r in got)
+
+
 def test_fusion_and_class(spark):
     zones = spark.createDataFrame([("s", "right", 0.58)], "scan_id string, id string, ocr_score double")
     hits = spark.createDataFrame([("s", "noise", 8)], "scan_id string, id string, distance int")
