@@ -4,7 +4,8 @@ cards ever meeting in one task.
 What a request finds splits in two. Whether its documents are there follows from when they were created and deleted: two
 numbers a document, looked up by equi-joins. Whether a card is there follows from the requests that named that card: events
 of a card are sorted and folded one after the other, so a batch is dealt by card, and a document or owner with many of the
-requests is spread over its cards. Counts and outcomes of a request are sums over its cards."""
+requests is spread over its cards; cards that no request names are not folded. Counts and outcomes of a request are sums over its
+cards."""
 
 from __future__ import annotations
 
@@ -159,7 +160,15 @@ def replay(docs: DataFrame, requests: DataFrame, printings: DataFrame) -> tuple[
     touched, _ = written(touched)
     old = docs.join(touched, "id", "left_semi").select("id", F.posexplode("cards").alias("ord", "card"))
     first = old.select(F.col("card.instance_id").alias("instance_id"), F.lit(-1).cast("long").alias("seq"), "ord", F.lit(HAVE).alias("kind"), none.cast(docs.schema["id"].dataType).alias("source"), F.col("id").alias("target"), none.cast(requests.schema["request_id"].dataType).alias("request_id"))
-    folded, _ = written(_folded(first.unionByName(coming).unionByName(leaving), requests.schema["request_id"].dataType, docs.schema["id"].dataType))
+    named, _ = written(leaving.select(F.col("instance_id").alias("named")).distinct())
+    same = F.col("instance_id").eqNullSafe(F.col("named"))
+    events = first.unionByName(coming)
+    folded, _ = written(_folded(events.join(named, same, "left_semi").unionByName(leaving), requests.schema["request_id"].dataType, docs.schema["id"].dataType))
+    # cards that no request names stay where they came to be; only the documents need them
+    still = events.join(named, same, "left_anti").select(
+        F.lit(None).cast(folded.schema["request_id"].dataType).alias("request_id"), F.lit(None).cast("int").alias("hit"), F.col("target").alias("doc"), F.array(F.col("seq").cast("long"), F.col("ord").cast("long")).alias("key"),
+        F.when(F.col("kind") == ADD, F.col("request_id")).alias("origin_request"), F.when(F.col("kind") == HAVE, F.col("target")).alias("origin_doc"), F.col("ord").cast("int").alias("origin_ord"),
+    )
     hits = folded.where("hit is not null").groupBy("request_id").agg(F.sum("hit").cast("int").alias("copies"), F.count(F.lit(1)).cast("int").alias("ids"))
     counts = added.groupBy("request_id").agg(F.count(F.lit(1)).cast("int").alias("made"))
     kind, ok = F.col("kind"), F.col("outcome") == OK
@@ -170,7 +179,7 @@ def replay(docs: DataFrame, requests: DataFrame, printings: DataFrame) -> tuple[
     missing = F.when(kind.isin(BULK_REMOVE, BULK_MOVE), F.size(F.array_distinct("instance_ids")) - F.coalesce(F.when(kind == BULK_REMOVE, F.col("ids")).otherwise(F.col("copies")), F.lit(0)))
     answers = answers.withColumn("done", F.when(ok, done)).withColumn("missing", F.when(ok, missing))
     answers, _ = written(answers.select("request_id", "seq", "at", "kind", "id", "to_id", "name", "outcome", "done", "missing", "unknown"))
-    return answers.select("request_id", "seq", "kind", "outcome", "done", "missing", "unknown"), _documents(docs, lines, answers, folded, old, added, touched)
+    return answers.select("request_id", "seq", "kind", "outcome", "done", "missing", "unknown"), _documents(docs, lines, answers, folded.unionByName(still), old, added, touched)
 
 
 def _documents(docs: DataFrame, lines: DataFrame, answers: DataFrame, folded: DataFrame, old: DataFrame, added: DataFrame, touched: DataFrame) -> DataFrame:

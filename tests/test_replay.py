@@ -129,3 +129,12 @@ def test_one_card_with_many_events_is_folded_in_one_pass():
     events = [("x", -1, 0, "have", None, 1, None)] + [("x", n, 0, "move", 1 + n % 2, 2 - n % 2, n) for n in range(200_000)]
     rows = list(replay.fold(iter(events)))
     assert len(rows) == 200_001 and rows[-1] == (None, None, 1, [199_999], None, 1, 0)
+
+
+def test_only_named_cards_are_folded(spark, monkeypatch):
+    docs = {1: ["a", "one", False, [(f"c{n}", "p", True, "de", "LP") for n in range(5)], START]}
+    requests = [(1, 10, moment(1), "a", "add", 1, None, None, ["n"], [("p", None, False, "de", "LP")]), (2, 20, moment(2), "a", "remove", 1, None, None, ["c3"], None)]
+    seen, folded = [], replay._folded
+    monkeypatch.setattr(replay, "_folded", lambda events, *kinds: seen.append(sorted(r["instance_id"] for r in events.collect())) or folded(events, *kinds))
+    compare(spark, docs, requests, ["p"])
+    assert seen == [["c3", "c3"]]
