@@ -188,6 +188,39 @@ def test_hamming_top_k_of_a_tile_is_bounded_before_it_is_sorted(monkeypatch, bit
     assert every == sorted((int(i), int(j), int(distance[i, j])) for i, j in zip(*np.nonzero(distance <= radius), strict=True))
 
 
+@pytest.mark.parametrize(("bits", "copies"), [(64, 1), (62, 40), (20, 1)])
+def test_hamming_tiles_look_at_near_quarters_only(monkeypatch, bits, copies):
+    rng = np.random.default_rng(5)
+    h = np.repeat(rng.integers(0, 2**bits, 30_000 // copies, dtype=np.uint64), copies)
+    q = np.concatenate([h[:40] ^ np.uint64(5), h[-20:] ^ np.uint64(2**13 - 1), rng.integers(0, 2**bits, 30, dtype=np.uint64)])
+    ids = rng.permutation(len(h))
+    distance = np.bitwise_count(q[:, None] ^ h[None, :])
+    looked, below = [], hamming._Counter.below
+    monkeypatch.setattr(hamming._Counter, "below", lambda self, q, h, bound: looked.append(len(q) * len(h)) or below(self, q, h, bound))
+    monkeypatch.setattr(hamming, "PLACE_COST", 1)
+    monkeypatch.setattr(hamming, "PLACES", 300)  # so that places that many rows share are looked at in parts
+    every = sorted(zip(*(x.tolist() for x in hamming.hits_of(q, h, 12, ids, None)), strict=True))
+    assert every == sorted((int(i), int(j), int(distance[i, j])) for i, j in zip(*np.nonzero(distance <= 12), strict=True))
+    want = [(i, int(j), int(distance[i, j])) for i in range(len(q)) for j in np.lexsort((ids, distance[i]))[:7] if distance[i, j] <= 12]
+    assert sorted(zip(*(x.tolist() for x in hamming.hits_of(q, h, 12, ids, 7)), strict=True)) == sorted(want)
+    assert bool(looked) == (bits == 20)  # rows that share all but one of their quarters are better looked at in turn
+
+
+def test_scan_chain_searches_the_other_side_only_where_it_can_matter(spark, tmp_path, monkeypatch):
+    from catalith.operators import scan
+    from catalith.plans.state import scan_inputs
+
+    rows = [(i, "small ring", "Brand#1", "STANDARD", i % 7) for i in range(1, 49)]
+    spark.createDataFrame(rows, "p_partkey int, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    asked, plain = [], scan.sided_hits
+    monkeypatch.setattr(scan, "sided_hits", lambda hashes, column, *rest: asked.append((column, hashes)) or plain(hashes, column, *rest))
+    regions, hashes, cards, codes, weights = scan_inputs(spark, str(tmp_path))
+    _, outcome = scan.scan_chain(regions, hashes, cards, codes, weights)
+    assert {int(r["scan_id"]) for r in outcome.where("flipped").collect()} == {8, 20, 32, 44}
+    whole = [sorted(int(r["scan_id"]) for r in h.where("full_hash is not null and side = 1").collect()) for c, h in asked if c == "full_hash"]
+    assert [x for x in whole if x] == [[8, 20, 32, 44]]  # those that came upside down; the others are near as they came
+
+
 def test_word_matches_equal_the_plain_definition(spark):
     from catalith.functions.trigram import word_matches
     from tests.definitions import best_extent
