@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from catalith.operators.documents import valid_name, with_default
 from catalith.operators.mutations import INVALID, MOST_COPIES, MOST_INSTANCES, NOT_FOUND, OK, outcome
-from catalith.session import ship, written
+from catalith.session import drop_path, ship, written
 
 CREATE, RENAME, DELETE, ADD, REMOVE, MOVE, BULK_ADD, BULK_REMOVE, BULK_MOVE = KINDS = ("create", "rename", "delete", "add", "remove", "move", "bulk_add", "bulk_remove", "bulk_move")
 HAVE = "have"
@@ -37,10 +38,10 @@ def timelines(docs: DataFrame, requests: DataFrame) -> DataFrame:
 
 def _there(requests: DataFrame, lines: DataFrame, key: str, flag: str) -> DataFrame:
     """requests with whether the document that `key` names is the owner's and there at that moment."""
-    seen = lines.where(~F.col("is_removed")).select(F.col("id").alias(key), "owner_id", "created", "removed")
+    seen = lines.where(~F.col("is_removed")).select(F.col("id").alias("__id"), F.col("owner_id").alias("__owner"), "created", "removed", F.lit(True).alias(flag))
     fits = (F.col("created").isNull() | (F.col("created") < F.col("seq"))) & (F.col("removed").isNull() | (F.col("removed") >= F.col("seq")))
-    found = requests.where(F.col(key).isNotNull()).select("request_id", key, "owner_id", "seq").join(seen, [key, "owner_id"]).where(fits).select("request_id", F.lit(True).alias(flag))
-    return requests.join(found, "request_id", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    same = (F.col(key) == F.col("__id")) & (F.col("owner_id") == F.col("__owner"))
+    return requests.join(seen, same & fits, "left").drop("__id", "__owner", "created", "removed").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def _copies(item: Column) -> Column:
@@ -48,22 +49,30 @@ def _copies(item: Column) -> Column:
 
 
 def judged(requests: DataFrame, lines: DataFrame, printings: DataFrame) -> DataFrame:
-    """requests with `early`: the outcome as far as documents, names and printings decide it, and `unknown` printings."""
+    """requests with `early`: the outcome as far as documents, names and printings decide it, and `unknown` printings.
+
+    Requests are wide, so each goes only to the lookups that its kind needs: all to their document, moves to their target, additions
+    to the printings that are unknown, which are told from the distinct ones."""
     kind, items = F.col("kind"), F.col("items")
-    adds = kind.isin(ADD, BULK_ADD)
+    adds, moves = kind.isin(ADD, BULK_ADD), kind.isin(MOVE, BULK_MOVE)
     wanted = requests.where(adds).select("request_id", F.explode(F.array_distinct(F.transform("items", lambda i: i["printing_id"]))).alias("printing_id"))
-    missing = wanted.join(printings.select(F.col("id").alias("printing_id")).distinct(), "printing_id", "left_anti")
-    missing = missing.groupBy("request_id").agg(F.sort_array(F.collect_list("printing_id")).alias("unknown"))
-    rows = _there(_there(requests, lines, "id", "found"), lines, "to_id", "target").join(missing, "request_id", "left")
+    strange, _ = written(wanted.select("printing_id").distinct().join(printings.select(F.col("id").alias("printing_id")), "printing_id", "left_anti"))
+    missing = wanted.join(strange.withColumnRenamed("printing_id", "__strange"), F.col("printing_id").eqNullSafe(F.col("__strange")))
+    missing, _ = written(missing.groupBy("request_id").agg(F.sort_array(F.collect_list("printing_id")).alias("unknown")))
+    none, no = F.lit(None).cast(missing.schema["unknown"].dataType), F.lit(False)
+    added = _there(requests.where(adds), lines, "id", "found").withColumn("target", no).join(missing, "request_id", "left")
+    moved = _there(_there(requests.where(moves), lines, "id", "found"), lines, "to_id", "target").withColumn("unknown", none)
+    rest = _there(requests.where(~F.coalesce(adds | moves, no)), lines, "id", "found").withColumn("target", no).withColumn("unknown", none)
+    rows = added.unionByName(moved).unionByName(rest)
     nameless = F.exists(items, lambda i: F.coalesce(F.trim(i["printing_id"].cast("string")), F.lit("")) == "")
     many = F.aggregate(items, F.lit(0), lambda n, i: n + _copies(i)) > MOST_INSTANCES
     early = outcome(
         (kind.isin(CREATE, RENAME) & ~F.coalesce(valid_name(F.col("name")), F.lit(False)), INVALID),
         (kind.isin(BULK_REMOVE, BULK_MOVE) & (F.coalesce(F.size("instance_ids"), F.lit(0)) < 1), INVALID),
         ((kind == BULK_ADD) & ((F.coalesce(F.size(items), F.lit(0)) < 1) | nameless | many), INVALID),
-        (kind.isin(MOVE, BULK_MOVE) & (F.col("id") == F.col("to_id")), INVALID),
+        (moves & (F.col("id") == F.col("to_id")), INVALID),
         ((kind != CREATE) & ~F.col("found"), NOT_FOUND),
-        (kind.isin(MOVE, BULK_MOVE) & ~F.col("target"), NOT_FOUND),
+        (moves & ~F.col("target"), NOT_FOUND),
         (adds & (F.size("unknown") > 0), INVALID),
     )
     return rows.withColumn("early", early).withColumn("unknown", F.when(F.col("found"), F.col("unknown")))
@@ -148,35 +157,48 @@ def replay(docs: DataFrame, requests: DataFrame, printings: DataFrame) -> tuple[
 
     A card's events of one batch are held one at a time; a document's cards are one row, as everywhere. Documents that no
     request names keep their row untouched. Cards moved together keep the order they had."""
+    spark = docs.sparkSession
+    # read again by each lookup; what a kind doesn't use stays out of their shuffles
+    uses = {"items": (ADD, BULK_ADD), "to_id": (MOVE, BULK_MOVE), "name": (CREATE, RENAME)}
+    requests, asked_at = written(requests.withColumns({c: F.when(F.col("kind").isin(*kinds), F.col(c)) for c, kinds in uses.items()}))
     lines, _ = written(timelines(docs, requests))
     rows, _ = written(judged(requests, lines, printings))
+    drop_path(spark, asked_at)
+    kind = F.col("kind")
+    leaves = kind.isin(REMOVE, BULK_REMOVE, MOVE, BULK_MOVE)
     fine = rows.where(F.col("early") == OK)
-    added, _ = written(new_cards(fine))
+    added = new_cards(fine)
     none = F.lit(None)
-    out_ids = F.explode(F.array_distinct("instance_ids")).alias("instance_id")
-    leaving = fine.where(F.col("kind").isin(REMOVE, BULK_REMOVE, MOVE, BULK_MOVE)).select(out_ids, "seq", F.lit(0).alias("ord"), "kind", F.col("id").alias("source"), F.col("to_id").alias("target"), "request_id")
+    out = fine.where(leaves)
+    leaving = out.select(F.explode(F.array_distinct("instance_ids")).alias("instance_id"), "seq", F.lit(0).alias("ord"), "kind", F.col("id").alias("source"), F.col("to_id").alias("target"), "request_id")
     coming = added.select(F.col("card.instance_id").alias("instance_id"), "seq", "ord", F.lit(ADD).alias("kind"), none.cast(docs.schema["id"].dataType).alias("source"), F.col("id").alias("target"), "request_id")
-    touched = leaving.select(F.col("source").alias("id")).unionByName(leaving.select(F.col("target").alias("id"))).unionByName(added.select("id")).where("id is not null").distinct()
-    touched, _ = written(touched)
+    out = out.where(F.size("instance_ids") > 0)
+    gets = fine.where(kind.isin(ADD, BULK_ADD) & (F.size("items") > 0))
+    touched = out.select("id").unionByName(out.select(F.col("to_id").alias("id"))).unionByName(gets.select("id")).where("id is not null").distinct()
     old = docs.join(touched, "id", "left_semi").select("id", F.posexplode("cards").alias("ord", "card"))
     first = old.select(F.col("card.instance_id").alias("instance_id"), F.lit(-1).cast("long").alias("seq"), "ord", F.lit(HAVE).alias("kind"), none.cast(docs.schema["id"].dataType).alias("source"), F.col("id").alias("target"), none.cast(requests.schema["request_id"].dataType).alias("request_id"))
-    named, _ = written(leaving.select(F.col("instance_id").alias("named")).distinct())
-    same = F.col("instance_id").eqNullSafe(F.col("named"))
     events = first.unionByName(coming)
-    folded, _ = written(_folded(events.join(named, same, "left_semi").unionByName(leaving), requests.schema["request_id"].dataType, docs.schema["id"].dataType))
+    # told where a card's events meet to be folded, so they are shuffled once
+    named = F.max(leaves).over(Window.partitionBy("instance_id"))
+    asked = events.unionByName(leaving).withColumn("named", named).where("named").drop("named")
+    folded, _ = written(_folded(asked, requests.schema["request_id"].dataType, docs.schema["id"].dataType))
     # cards that no request names stay where they came to be; only the documents need them
-    still = events.join(named, same, "left_anti").select(
+    same = F.col("instance_id").eqNullSafe(F.col("named"))
+    still = events.join(leaving.select(F.col("instance_id").alias("named")).distinct(), same, "left_anti").select(
         F.lit(None).cast(folded.schema["request_id"].dataType).alias("request_id"), F.lit(None).cast("int").alias("hit"), F.col("target").alias("doc"), F.array(F.col("seq").cast("long"), F.col("ord").cast("long")).alias("key"),
         F.when(F.col("kind") == ADD, F.col("request_id")).alias("origin_request"), F.when(F.col("kind") == HAVE, F.col("target")).alias("origin_doc"), F.col("ord").cast("int").alias("origin_ord"),
     )
     hits = folded.where("hit is not null").groupBy("request_id").agg(F.sum("hit").cast("int").alias("copies"), F.count(F.lit(1)).cast("int").alias("ids"))
-    counts = added.groupBy("request_id").agg(F.count(F.lit(1)).cast("int").alias("made"))
-    kind, ok = F.col("kind"), F.col("outcome") == OK
-    answers = rows.join(hits, "request_id", "left").join(counts, "request_id", "left")
+    ok = F.col("outcome") == OK
+    made = F.nullif(F.aggregate("items", F.lit(0), lambda n, i: n + F.when(kind == ADD, 1).otherwise(_copies(i))), F.lit(0))
+    kept = rows.select("request_id", "seq", "at", "kind", "id", "to_id", "name", "early", "unknown", F.when(kind.isin(ADD, BULK_ADD), made).alias("made"), F.size(F.array_distinct("instance_ids")).alias("wanted"))
+    hit = F.coalesce((F.col("early") == OK) & leaves, F.lit(False))
+    nothing = {c: F.lit(None).cast("int") for c in ("copies", "ids")}
+    answers = kept.where(hit).join(hits, "request_id", "left").unionByName(kept.where(~hit).withColumns(nothing))
     lost = kind.isin(REMOVE, MOVE) & F.col("copies").isNull()
     answers = answers.withColumn("outcome", F.when((F.col("early") == OK) & lost, NOT_FOUND).otherwise(F.col("early")))
     done = F.when(kind.isin(ADD, BULK_ADD), F.col("made")).when(kind == MOVE, 1).when(kind.isin(REMOVE, BULK_REMOVE, BULK_MOVE), F.coalesce("copies", F.lit(0)))
-    missing = F.when(kind.isin(BULK_REMOVE, BULK_MOVE), F.size(F.array_distinct("instance_ids")) - F.coalesce(F.when(kind == BULK_REMOVE, F.col("ids")).otherwise(F.col("copies")), F.lit(0)))
+    missing = F.when(kind.isin(BULK_REMOVE, BULK_MOVE), F.col("wanted") - F.coalesce(F.when(kind == BULK_REMOVE, F.col("ids")).otherwise(F.col("copies")), F.lit(0)))
     answers = answers.withColumn("done", F.when(ok, done)).withColumn("missing", F.when(ok, missing))
     answers, _ = written(answers.select("request_id", "seq", "at", "kind", "id", "to_id", "name", "outcome", "done", "missing", "unknown"))
     return answers.select("request_id", "seq", "kind", "outcome", "done", "missing", "unknown"), _documents(docs, lines, answers, folded.unionByName(still), old, added, touched)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 
@@ -138,3 +139,33 @@ def test_only_named_cards_are_folded(spark, monkeypatch):
     monkeypatch.setattr(replay, "_folded", lambda events, *kinds: seen.append(sorted(r["instance_id"] for r in events.collect())) or folded(events, *kinds))
     compare(spark, docs, requests, ["p"])
     assert seen == [["c3", "c3"]]
+
+
+def test_requests_are_made_once_and_shuffles_leave_no_files(spark):
+    from pyspark.sql import functions as F
+
+    docs = {i: ["a", f"d{i}", False, [(f"c{i}-{n}", "p", False, "en", "NM") for n in range(3)], START] for i in range(50)}
+    requests = [(n, n, moment(n), "a", ("move", "bulk_remove", "add", "delete")[n % 4], n % 50, (n + 1) % 50, None, [f"c{n % 50}-{n % 3}"], [("p", None, False, "de", "LP")]) for n in range(400)]
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(kind):
+        made.add(1)
+        return kind
+
+    frame = spark.createDataFrame([(i, d[0], d[1], d[2], d[3], d[4]) for i, d in docs.items()], DOCS)
+    asked = spark.createDataFrame(requests, REQUESTS).repartition(3).withColumn("kind", counted("kind"))
+    before = shuffle_files(spark)
+    answers, after = replay.replay(frame, asked, spark.createDataFrame([("p",)], "id string"))
+    assert made.value == len(requests)  # not again for each lookup
+    until = time.time() + 10
+    while shuffle_files(spark) - before and time.time() < until:  # they go soon after each step
+        time.sleep(0.2)
+    assert shuffle_files(spark) <= before
+    want, _ = one_by_one(docs, requests, ["p"])
+    assert {r["request_id"]: r["outcome"] for r in answers.collect()} == {k: w[0] for k, w in want.items()} and after.count() == 50
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
