@@ -206,6 +206,35 @@ def test_hamming_tiles_look_at_near_quarters_only(monkeypatch, bits, copies):
     assert bool(looked) == (bits == 20)  # rows that share all but one of their quarters are better looked at in turn
 
 
+def test_hamming_top_k_of_a_wide_radius_looks_at_few_pairs(monkeypatch):
+    rng = np.random.default_rng(8)
+    h, q = (rng.integers(0, 2**62, n, dtype=np.uint64) for n in (200_000, 4096))
+    q[:100] = h[:100] ^ np.uint64(1)
+    looked, below = [], hamming._Counter.below
+    monkeypatch.setattr(hamming._Counter, "below", lambda self, q, h, bound: looked.append(len(q) * len(h)) or below(self, q, h, bound))
+    ids = rng.permutation(len(h))
+    i, j, d = hamming.hits_of(q, h, 16, ids, 3)
+    assert sum(looked) < 0.2 * len(q) * len(h)
+    for n in range(0, 4096, 128):
+        distance = np.bitwise_count(q[n] ^ h)
+        assert sorted(zip(d[i == n], ids[j[i == n]], strict=True)) == [(distance[x], ids[x]) for x in np.lexsort((ids, distance))[:3] if distance[x] <= 16]
+
+
+@pytest.mark.parametrize(("bits", "copies", "radius"), [(62, 1, 16), (60, 30, 13), (34, 3, 14), (62, 5, 2)])
+def test_hamming_tables_hold_few_hits_and_lose_none(monkeypatch, bits, copies, radius):
+    rng = np.random.default_rng(9)
+    h = np.repeat(rng.integers(0, 2**bits, 12_000 // copies, dtype=np.uint64), copies)
+    q = np.concatenate([h[:50] ^ np.uint64(3), rng.integers(0, 2**bits, 50, dtype=np.uint64)])
+    ids = rng.permutation(len(h))
+    distance = np.bitwise_count(q[:, None] ^ h[None, :])
+    monkeypatch.setattr(hamming, "PLACE_COST", 0)
+    monkeypatch.setattr(hamming, "HELD", 200)  # so that hits beyond the k nearest go again and again
+    want = [(i, int(j), int(distance[i, j])) for i in range(len(q)) for j in np.lexsort((ids, distance[i]))[:7] if distance[i, j] <= radius]
+    assert sorted(zip(*(x.tolist() for x in hamming.hits_of(q, h, radius, ids, 7)), strict=True)) == sorted(want)
+    every = sorted(zip(*(x.tolist() for x in hamming.hits_of(q, h, radius, ids, None)), strict=True))
+    assert every == sorted((int(i), int(j), int(distance[i, j])) for i, j in zip(*np.nonzero(distance <= radius), strict=True))
+
+
 def test_scan_chain_searches_the_other_side_only_where_it_can_matter(spark, tmp_path, monkeypatch):
     from catalith.operators import scan
     from catalith.plans.state import scan_inputs
