@@ -49,10 +49,10 @@ def _copies(item: Column) -> Column:
 
 
 def judged(requests: DataFrame, lines: DataFrame, printings: DataFrame) -> DataFrame:
-    """requests with `early`: the outcome as far as documents, names and printings decide it, and `unknown` printings.
+    """requests with `early`: the outcome as far as documents, names and printings decide it, and `unknown` printings; written.
 
     Requests are wide, so each goes only to the lookups that its kind needs: all to their document, moves to their target, additions
-    to the printings that are unknown, which are told from the distinct ones."""
+    to the printings that are unknown, which are told from the distinct ones. One after the other, so that their shuffles don't add up."""
     kind, items = F.col("kind"), F.col("items")
     adds, moves = kind.isin(ADD, BULK_ADD), kind.isin(MOVE, BULK_MOVE)
     wanted = requests.where(adds).select("request_id", F.explode(F.array_distinct(F.transform("items", lambda i: i["printing_id"]))).alias("printing_id"))
@@ -63,7 +63,6 @@ def judged(requests: DataFrame, lines: DataFrame, printings: DataFrame) -> DataF
     added = _there(requests.where(adds), lines, "id", "found").withColumn("target", no).join(missing, "request_id", "left")
     moved = _there(_there(requests.where(moves), lines, "id", "found"), lines, "to_id", "target").withColumn("unknown", none)
     rest = _there(requests.where(~F.coalesce(adds | moves, no)), lines, "id", "found").withColumn("target", no).withColumn("unknown", none)
-    rows = added.unionByName(moved).unionByName(rest)
     nameless = F.exists(items, lambda i: F.coalesce(F.trim(i["printing_id"].cast("string")), F.lit("")) == "")
     many = F.aggregate(items, F.lit(0), lambda n, i: n + _copies(i)) > MOST_INSTANCES
     early = outcome(
@@ -75,7 +74,8 @@ def judged(requests: DataFrame, lines: DataFrame, printings: DataFrame) -> DataF
         (moves & ~F.col("target"), NOT_FOUND),
         (adds & (F.size("unknown") > 0), INVALID),
     )
-    return rows.withColumn("early", early).withColumn("unknown", F.when(F.col("found"), F.col("unknown")))
+    done = [written(part.withColumn("early", early).withColumn("unknown", F.when(F.col("found"), F.col("unknown"))))[0] for part in (added, moved, rest)]
+    return done[0].unionByName(done[1]).unionByName(done[2])
 
 
 def new_cards(rows: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def replay(docs: DataFrame, requests: DataFrame, printings: DataFrame) -> tuple[
     uses = {"items": (ADD, BULK_ADD), "to_id": (MOVE, BULK_MOVE), "name": (CREATE, RENAME)}
     requests, asked_at = written(requests.withColumns({c: F.when(F.col("kind").isin(*kinds), F.col(c)) for c, kinds in uses.items()}))
     lines, _ = written(timelines(docs, requests))
-    rows, _ = written(judged(requests, lines, printings))
+    rows = judged(requests, lines, printings)
     drop_path(spark, asked_at)
     kind = F.col("kind")
     leaves = kind.isin(REMOVE, BULK_REMOVE, MOVE, BULK_MOVE)
@@ -176,7 +176,8 @@ def replay(docs: DataFrame, requests: DataFrame, printings: DataFrame) -> tuple[
     gets = fine.where(kind.isin(ADD, BULK_ADD) & (F.size("items") > 0))
     touched = out.select("id").unionByName(out.select(F.col("to_id").alias("id"))).unionByName(gets.select("id")).where("id is not null").distinct()
     old = docs.join(touched, "id", "left_semi").select("id", F.posexplode("cards").alias("ord", "card"))
-    first = old.select(F.col("card.instance_id").alias("instance_id"), F.lit(-1).cast("long").alias("seq"), "ord", F.lit(HAVE).alias("kind"), none.cast(docs.schema["id"].dataType).alias("source"), F.col("id").alias("target"), none.cast(requests.schema["request_id"].dataType).alias("request_id"))
+    held, _ = written(old.select(F.col("card.instance_id").alias("instance_id"), "ord", "id"))  # so that the documents' shuffle goes before the events'
+    first = held.select("instance_id", F.lit(-1).cast("long").alias("seq"), "ord", F.lit(HAVE).alias("kind"), none.cast(docs.schema["id"].dataType).alias("source"), F.col("id").alias("target"), none.cast(requests.schema["request_id"].dataType).alias("request_id"))
     events = first.unionByName(coming)
     # told where a card's events meet to be folded, so they are shuffled once
     named = F.max(leaves).over(Window.partitionBy("instance_id"))
